@@ -183,8 +183,8 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
     """Frames at which a sampled output is due: the first, then each at least an interval after the last one taken.
 
     Which frame a chunk starts with depends on the chunk before it, but only frames
-    in the first interval of a chunk can be its first.  So each chunk answers, for
-    every such start, which frame it would take last.  Blocks of ``fan_in`` chunks
+    in the first interval of a chunk, or the next one after it, can be its first.
+    So each chunk answers, for every such start, which frame it would take last.  Blocks of ``fan_in`` chunks
     combine their answers the same way, one short walk per series links the blocks,
     and the starts are handed back down.  No task sees more than a chunk of frames
     or a block of answers.
@@ -203,7 +203,8 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
 
     def chunk_answers(key, pdf):
         times = np.sort(pdf[time].to_numpy())
-        starts = [i for i in range(len(times)) if times[i] - times[0] < interval_ns]
+        beyond = int(np.searchsorted(times, times[0] + interval_ns))
+        starts = range(min(beyond + 1, len(times)))
         entries = [{"start": int(times[i]), "last": int(times[_hops(times, i, interval_ns)[-1]])} for i in starts]
         return pd.DataFrame([(*key, entries)], columns=[*keys, ordered.CHUNK, "entries"])
 
@@ -213,7 +214,9 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
     def block_answers(key, pdf):
         pieces = pieces_of(pdf, ordered.CHUNK)
         origin = pieces[0][1][0]["start"]
-        starts = [e["start"] for _, entries in pieces[:2] for e in entries if e["start"] - origin < interval_ns]
+        listed = sorted({e["start"] for _, entries in pieces for e in entries})
+        beyond = next((i for i, s in enumerate(listed) if s - origin >= interval_ns), len(listed))
+        starts = listed[: beyond + 1]
         entries = [{"start": s, "last": _walk(pieces, s, interval_ns)[1]} for s in starts]
         return pd.DataFrame([(*key, entries)], columns=[*keys, "block", "entries"])
 
