@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pacelane.functions.scalar import GRAVITY_M_S2, is_finite, seconds
 from pacelane.operators import kinematics as kin
 from pacelane.operators import ordered
+from pacelane.session import settle
 
 DEFAULT_CHUNK_NS = 600_000_000_000
 
@@ -206,9 +207,11 @@ def turning_points(df: DataFrame, keys: Sequence[str], time: str, position: str,
         found, _ = _follow(pdf["t"].to_numpy(), pdf["x"].to_numpy(), int(pdf["d"].iloc[0]), float(pdf["e_x"].iloc[0]), int(pdf["e_at"].iloc[0]), reversal)
         return pd.DataFrame([(*key[:-1], t, x) for t, x in found], columns=[*keys, "t", "x"])
 
+    cut = settle(cut)
     reported = cut.groupBy(*keys, ordered.CHUNK).applyInPandas(reports, report_schema)
     entries = reported.groupBy(*keys).applyInPandas(walk, state_schema).withColumnRenamed("c", ordered.CHUNK)
     found = cut.drop("__go").join(entries, [*keys, ordered.CHUNK]).groupBy(*keys, ordered.CHUNK).applyInPandas(turns, turn_schema)
+    found = settle(found)
     every = first.select(*keys, F.col("__t0").alias("t"), F.col("__x0").alias("x")).unionByName(found)
     return ordered.number(every, keys, ["t"], "turn", chunk=chunk)
 
@@ -227,9 +230,10 @@ def rep_segments(
 ) -> DataFrame:
     """Repetitions: two turns there and back, long and wide enough, with their peak speed."""
     keys = list(keys)
-    points = turning_points(df, keys, time, position, reversal, chunk=chunk)
+    points = settle(turning_points(df, keys, time, position, reversal, chunk=chunk))
     moving = kin.derivative(df.select(*keys, time, position, sample_index), keys, [time], position, "__v", edge=kin.ONE_SIDED_EDGE, chunk=chunk)
     marked = moving.join(points.select(*keys, F.col("t").alias(time), "turn"), [*keys, time], "left")
+    marked = settle(marked)
     # A sample belongs to the stretch after the last turn; a turn also closes the stretch before it.
     placed = ordered.running(marked, keys, [time], chunk=chunk, lasts={"__stretch": F.col("turn")})
     both = F.when(F.col("turn").isNotNull() & (F.col("turn") > 0), F.array(F.col("turn"), F.col("turn") - 1)).otherwise(F.array("__stretch"))
@@ -247,7 +251,7 @@ def rep_segments(
     )
     grouped = grouped.withColumn("duration_s", seconds(F.col("end_ns") - F.col("start_ns")))
     kept = grouped.filter((F.col("rom_m") >= min_range) & (F.col("duration_s") >= min_duration_s) & (F.col("duration_s") > 0))
-    kept = ordered.number(kept, keys, ["start_ns"], "rep_index", chunk=chunk)
+    kept = ordered.number(settle(kept), keys, ["start_ns"], "rep_index", chunk=chunk)
     return kept.select(
         *keys,
         "rep_index",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pacelane.functions.scalar import SPHERE_RADIUS_M, haversine_m, seconds
 from pacelane.operators import ordered
+from pacelane.session import settle
 
 DEFAULT_CHUNK_NS = 600_000_000_000
 OPEN_EDGE = "none"
@@ -324,12 +325,13 @@ def effort_segments(
             F.max("speed_m_s").alias("peak"),
         )
     )
+    runs = settle(runs)
     gap = int(round(merge_gap_s * 1e9))
     runs = ordered.stencil(
         runs, keys, ["begin_ns"], lambda w: {"__new": F.coalesce(F.col("begin_ns") - F.lag("end_ns").over(w) > gap, F.lit(True))}, ahead=0, chunk=chunk
     )
     runs = ordered.islands(runs, keys, ["begin_ns"], F.col("__new"), "__effort", chunk=chunk)
-    merged = runs.groupBy(*keys, "__effort").agg(
+    merged = settle(runs).groupBy(*keys, "__effort").agg(
         F.min_by("__b", "begin_ns").alias("b"), F.max_by("__e", "begin_ns").alias("e"), F.min("begin_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.max("peak").alias("peak_speed_m_s")
     )
     kept = merged.withColumns({"duration_s": F.col("e.time") - F.col("b.time"), "distance_m": F.col("e.dist") - F.col("b.dist")}).filter(

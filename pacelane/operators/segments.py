@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacelane.operators import ordered
+from pacelane.session import settle
 
 DEFAULT_CHUNK_NS = 600_000_000_000
 
@@ -198,7 +199,7 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
         return T.StructType([*key_fields, *extra])
 
     long = lambda name: T.StructField(name, T.LongType())
-    frames = ordered.with_chunk(df.select(*keys, time).distinct(), time, width)
+    frames = settle(ordered.with_chunk(df.select(*keys, time).distinct(), time, width))
     block = F.call_function("div", F.col(ordered.CHUNK), F.lit(fan_in).cast("bigint"))
 
     def chunk_answers(key, pdf):
@@ -235,7 +236,7 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
         return pd.DataFrame({**dict(zip(keys, key)), time: picked}, columns=[*keys, time])
 
     per_chunk = frames.groupBy(*keys, ordered.CHUNK).applyInPandas(chunk_answers, schema(long(ordered.CHUNK), T.StructField("entries", entry)))
-    per_chunk = per_chunk.withColumn("block", block)
+    per_chunk = settle(per_chunk.withColumn("block", block))
     per_block = per_chunk.groupBy(*keys, "block").applyInPandas(block_answers, schema(long("block"), T.StructField("entries", entry)))
     block_begins = per_block.groupBy(*keys).applyInPandas(series_walk, schema(long("block"), long("begin_ns")))
     chunk_begins = per_chunk.join(block_begins, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(block_walk, schema(long(ordered.CHUNK), long("begin_ns")))

@@ -149,4 +149,4 @@ def trail(tb):
        SELECT entity_id, t_rel_ns FROM walk WHERE t_rel_ns IS NOT NULL""",
 )
 def sample_frames(tb):
-    return seg.sample_frames(tb.signal, ["entity_id"], "t_rel_ns", 10 * HOUR, chunk=2 * SIGNAL_CHUNK, fan_in=4)
+    return seg.sample_frames(tb.signal, ["entity_id"], "t_rel_ns", 10 * HOUR, chunk=6 * SIGNAL_CHUNK, fan_in=2)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pacelane", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -44,3 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="pacelane-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several passes follow: the passes read narrow columns of a written
+    table instead of each running the whole plan before it, and a lost executor
+    costs one task, not the lineage.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pacelane-work/{spark.sparkContext.applicationId}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove this application's settled tables once their readers are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

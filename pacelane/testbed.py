@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacelane.operators import ordered
+from pacelane.session import settle
 
 # Chunk widths for the stand-in streams; real streams use minutes.
 TRACK_CHUNK = 1_500_000_000
@@ -115,7 +116,7 @@ class Testbed:
     def ticks(self) -> DataFrame:
         """Per-user samples on a uniform 1 ms axis."""
         numbered = ordered.number(self.signal, ["entity_id"], ["t_rel_ns", "event_id"], "sample_index", chunk=SIGNAL_CHUNK)
-        return numbered.select("entity_id", "sample_index", (F.col("sample_index") * 1_000_000).alias("t_rel_ns"), "v", "k", "event_id")
+        return settle(numbered.select("entity_id", "sample_index", (F.col("sample_index") * 1_000_000).alias("t_rel_ns"), "v", "k", "event_id"))
 
     @cached_property
     def force(self) -> DataFrame:
@@ -188,7 +189,7 @@ class Testbed:
         exploded = kept.select("vec_id", "label", "n", "embedding", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("joint_id"))
         item = lambda i: F.get("embedding", i).cast("double")
         error = F.get("embedding", F.lit(60) + F.col("joint_id") % 4).cast("double")
-        return exploded.select(
+        joints = exploded.select(
             F.concat(F.lit("sub"), F.col("label").cast("string")).alias("subject_id"),
             (F.col("n") * 40_000_000).alias("t_rel_ns"),
             "joint_id",
@@ -199,6 +200,7 @@ class Testbed:
             F.abs(error).alias("error_m"),
             (error > -0.15).alias("is_available"),
         )
+        return settle(joints)
 
     @cached_property
     def plays(self) -> DataFrame:
