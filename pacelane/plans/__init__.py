@@ -4,7 +4,7 @@ import importlib
 
 from pacelane.plans.registry import ORACLE, QUERIES, SURVEY
 
-MODULES = ("motion", "series", "joining", "sensors", "posture")
+MODULES = ("motion", "series", "joining", "sensors", "posture", "pitch")
 
 for _name in MODULES:
     importlib.import_module(f"pacelane.plans.{_name}")
