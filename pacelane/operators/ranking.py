@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pacelane.functions.scalar import is_finite
 from pacelane.operators import ordered
+from pacelane.session import settle
 
 GRID = 1_000_000
 CELLS_PER_CHUNK = 2_000
@@ -23,6 +24,7 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct finite value: its count and how many rows are at or below it."""
     keys = list(keys)
     counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(counts)
     ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"))
     joined = counts.join(ends, keys) if keys else counts.join(F.broadcast(ends))  # one row
     width = F.col("maximum") - F.col("minimum")
@@ -37,8 +39,11 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, one named column each, plus ``valid_n``."""
+    return quantiles_of(distribution(df, keys, value), keys, probabilities)
+
+
+def quantiles_of(table: DataFrame, keys: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
     keys = list(keys)
-    table = distribution(df, keys, value)
     first = F.col("at_or_below") - F.col("n")
     picks = []
     for name, p in probabilities.items():
@@ -64,8 +69,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, *, targets: Data
     by default the population ranks itself.
     """
     keys = list(keys)
-    table = distribution(df, keys, value).select(*keys, F.col("value").alias("__v"), "at_or_below", "valid_n", "minimum", "maximum")
-    middle = quantiles(df, keys, value, {"median": 0.5}).drop("valid_n")
+    whole = settle(distribution(df, keys, value))
+    middle = quantiles_of(whole, keys, {"median": 0.5}).drop("valid_n")
+    table = whole.select(*keys, F.col("value").alias("__v"), "at_or_below", "valid_n", "minimum", "maximum")
     rows = (df if targets is None else targets).withColumn("__own", F.when(is_finite(value), F.col(value).cast("double")))
     population = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("population_n"))
     if targets is None:
@@ -77,9 +83,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, *, targets: Data
         merged = ours.withColumn("__seen", F.lit(None).cast("bigint")).unionByName(
             table.select(*keys, F.col("__v").alias("__own"), F.col("at_or_below").alias("__seen"))
         )
-        combined = merged.groupBy(*keys, "__own").agg(F.max("__seen").alias("__seen"))
-        whole = combined.groupBy(*keys).agg(F.min("__own").alias("__lo"), F.max("__own").alias("__hi"))
-        spread = combined.join(whole, keys).withColumn(
+        combined = settle(merged.groupBy(*keys, "__own").agg(F.max("__seen").alias("__seen")))
+        span = combined.groupBy(*keys).agg(F.min("__own").alias("__lo"), F.max("__own").alias("__hi"))
+        spread = (combined.join(span, keys) if keys else combined.join(F.broadcast(span))).withColumn(
             "__place", F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__own") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * GRID)).otherwise(0).cast("bigint")
         )
         known = ordered.running(spread, keys, ["__place", "__own"], chunk=CELLS_PER_CHUNK, lasts={"at_or_below": F.col("__seen")})

@@ -171,7 +171,7 @@ def replace_by_path(tb):
 @query(
     "definition_conflicts",
     "K9",
-    """SELECT p_partkey AS metric_id, array_to_string(list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'unit' END, CASE WHEN p_partkey % 6 = 0 THEN 'name' END], x -> x IS NOT NULL), ',') AS fields FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 6 = 0""",
+    """SELECT p_partkey AS metric_id, concat_ws(',', CASE WHEN p_partkey % 4 = 0 THEN 'unit' END, CASE WHEN p_partkey % 6 = 0 THEN 'name' END) AS fields FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 6 = 0""",
 )
 def definition_conflicts(tb):
     known = tb.table("part").select(F.col("p_partkey").alias("metric_id"), F.col("p_brand").alias("unit"), F.col("p_name").alias("name"))
