@@ -120,8 +120,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT l_suppkey, sum(l_quantity) AS q, avg(l_discount) AS d, count(*) AS games_played FROM lineitem GROUP BY 1)""",
     "tb_catalog": """
         SELECT s_suppkey AS entry_id, lower(r_name) AS sport_id, lower(n_name) AS competition_id, 'ed' || (s_suppkey % 7) AS edition_id, s_name AS title,
-               ['discovered', 'authorized', 'acquired', 'verified', 'registered', 'published'][CAST(s_suppkey % 6 AS INTEGER) + 1] AS state,
-               CAST(s_suppkey % 6 AS INTEGER) AS stage
+               ['UPSTREAM_AVAILABLE', 'REGISTERED', 'ACQUIRED', 'MATERIALIZED', 'READY', 'ACQUISITION_FAILED', 'MATERIALIZATION_FAILED', 'VALIDATION_FAILED'][CAST(s_suppkey % 8 AS INTEGER) + 1] AS availability_state
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 

@@ -321,7 +321,6 @@ class Testbed:
                 F.lower("n_name").alias("competition_id"),
                 F.concat(F.lit("ed"), (F.col("s_suppkey") % 7).cast("string")).alias("edition_id"),
                 F.col("s_name").alias("title"),
-                F.expr("element_at(array('discovered', 'authorized', 'acquired', 'verified', 'registered', 'published'), cast(s_suppkey % 6 as int) + 1)").alias("state"),
-                F.expr("cast(s_suppkey % 6 as int)").alias("stage"),
+                F.expr("element_at(array('UPSTREAM_AVAILABLE', 'REGISTERED', 'ACQUIRED', 'MATERIALIZED', 'READY', 'ACQUISITION_FAILED', 'MATERIALIZATION_FAILED', 'VALIDATION_FAILED'), cast(s_suppkey % 8 as int) + 1)").alias("availability_state"),
             )
         )
