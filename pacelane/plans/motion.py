@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pacelane.operators import filtering
 from pacelane.operators import kinematics as kin
 from pacelane.plans.registry import query, r6, rounded
 from pacelane.testbed import SIGNAL_CHUNK, TICK_CHUNK, TRACK, TRACK_CHUNK, Testbed
@@ -291,3 +292,23 @@ def gnss_locomotor_summary(tb):
     )
     df = kin.locomotor_summary(series, ["entity_id"], "t_rel_ns")
     return rounded(df, "distance_total_m", "duration_s", "mean_speed_m_s", "max_speed_m_s", "max_acceleration_m_s2", "max_deceleration_m_s2", digits=4)
+
+
+# Second order, 100 Hz at 1 kHz: the coefficients as the bilinear map gives them.
+LOWPASS_SQL = """
+    WITH RECURSIVE g AS (SELECT tan(pi() * 0.1) AS w), co AS (SELECT w * w / (1 + sqrt(2.0) * w + w * w) AS b, 2 * (w * w - 1) / (1 + sqrt(2.0) * w + w * w) AS a1, (1 - sqrt(2.0) * w + w * w) / (1 + sqrt(2.0) * w + w * w) AS a2 FROM g),
+    s AS (SELECT entity_id, sample_index AS i, v AS x FROM tb_ticks),
+    f AS (SELECT s.entity_id, s.i, b * x AS y, 0.0::DOUBLE AS y1, x AS x0, 0.0::DOUBLE AS x1 FROM s, co WHERE i = 0
+          UNION ALL SELECT f.entity_id, s.i, co.b * s.x + 2 * co.b * f.x0 + co.b * f.x1 - co.a1 * f.y - co.a2 * f.y1, f.y, s.x, f.x0 FROM f JOIN s ON s.entity_id = f.entity_id AND s.i = f.i + 1, co)"""
+
+
+@query("lowpass", "2.11", LOWPASS_SQL + " SELECT entity_id, i AS sample_index, round(y, 6) + 0.0 AS filtered FROM f")
+def lowpass(tb):
+    df = filtering.lowpass(tb.ticks, ["entity_id"], ORDER, "v", "filtered", order=2, cutoff_hz=100.0, rate_hz=1000.0, phase=filtering.CAUSAL, chunk=1000)
+    return rounded(df.select("entity_id", "sample_index", "filtered"), "filtered")
+
+
+@query("lowpass_zero_phase", "2.11")
+def lowpass_zero_phase(tb):
+    df = filtering.lowpass(tb.ticks, ["entity_id"], ORDER, "v", "filtered", order=3, cutoff_hz=80.0, rate_hz=1000.0, chunk=1000)
+    return rounded(df.select("entity_id", "sample_index", "filtered"), "filtered")
