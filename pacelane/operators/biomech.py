@@ -242,8 +242,8 @@ def rep_segments(
     rep = F.call_function("div", F.col("__stretch"), F.lit(2).cast("bigint"))
     inside = stretched.filter((rep * 2 + 2 <= F.col("__last")) & (F.col("__stretch") < F.col("__last")))
     grouped = inside.groupBy(*keys, rep.alias("__rep")).agg(
-        F.min_by(F.struct(F.col(sample_index).alias("i"), F.col(position).alias("x")), time).alias("b"),
-        F.max_by(F.struct(F.col(sample_index).alias("i"), F.col(position).alias("x")), time).alias("e"),
+        F.min_by(F.struct(F.col(sample_index).alias("i"), F.col(position).alias("x")), time).alias("__begin"),
+        F.max_by(F.struct(F.col(sample_index).alias("i"), F.col(position).alias("x")), time).alias("__end"),
         F.min(time).alias("start_ns"),
         F.max(time).alias("end_ns"),
         (F.max(position) - F.min(position)).alias("rom_m"),
@@ -255,12 +255,12 @@ def rep_segments(
     return kept.select(
         *keys,
         "rep_index",
-        F.col("b.i").alias("start_sample_index"),
-        F.col("e.i").alias("end_sample_index"),
+        F.col("__begin.i").alias("start_sample_index"),
+        F.col("__end.i").alias("end_sample_index"),
         "start_ns",
         "end_ns",
-        F.col("b.x").alias("start_position_m"),
-        F.col("e.x").alias("end_position_m"),
+        F.col("__begin.x").alias("start_position_m"),
+        F.col("__end.x").alias("end_position_m"),
         "rom_m",
         "duration_s",
         (F.col("rom_m") / F.col("duration_s")).alias("mean_speed_m_s"),

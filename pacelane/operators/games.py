@@ -13,6 +13,10 @@ from pacelane.operators.clean import canonical_id, crosswalk_id
 NS = 1_000_000_000
 
 
+def _ns(seconds: Column) -> Column:
+    return seconds.cast("bigint") * F.lit(NS).cast("bigint")
+
+
 @dataclass(frozen=True)
 class PeriodRule:
     """Regulation and overtime lengths of a league and the direction of its clock."""
@@ -38,7 +42,7 @@ def period_origin_ns(rule: PeriodRule, period: Column, postseason: Column) -> Co
     """Start of a period on the contest axis: all regulation before it, then overtimes."""
     extra = F.greatest(period - 1 - rule.regulation_periods, F.lit(0))
     overtime = F.when(postseason, rule.playoff_overtime_s).otherwise(rule.overtime_s)
-    return ((F.least(period - 1, F.lit(rule.regulation_periods)) * rule.regulation_s + extra * overtime) * F.lit(NS)).cast("bigint")
+    return _ns(F.least(period - 1, F.lit(rule.regulation_periods)) * rule.regulation_s + extra * overtime)
 
 
 def game_clock_ns(rule: PeriodRule, period: Column, clock_s: Column, postseason: Column, shootout: Column | None = None) -> Column:
@@ -65,7 +69,7 @@ def contest_periods(plays: DataFrame, rule: PeriodRule, label: str = "label") ->
         kind.alias("kind"),
         "label",
         F.when(~shootout, start).alias("start_ns"),
-        F.when(~shootout, start + period_length_s(rule, period, post) * NS).alias("end_ns"),
+        F.when(~shootout, start + _ns(period_length_s(rule, period, post))).alias("end_ns"),
     )
 
 

@@ -332,17 +332,17 @@ def effort_segments(
     )
     runs = ordered.islands(runs, keys, ["begin_ns"], F.col("__new"), "__effort", chunk=chunk)
     merged = settle(runs).groupBy(*keys, "__effort").agg(
-        F.min_by("__b", "begin_ns").alias("b"), F.max_by("__e", "begin_ns").alias("e"), F.min("begin_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.max("peak").alias("peak_speed_m_s")
+        F.min_by("__b", "begin_ns").alias("__begin"), F.max_by("__e", "begin_ns").alias("__end"), F.min("begin_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.max("peak").alias("peak_speed_m_s")
     )
-    kept = merged.withColumns({"duration_s": F.col("e.time") - F.col("b.time"), "distance_m": F.col("e.dist") - F.col("b.dist")}).filter(
+    kept = merged.withColumns({"duration_s": F.col("__end.time") - F.col("__begin.time"), "distance_m": F.col("__end.dist") - F.col("__begin.dist")}).filter(
         F.col("duration_s") + 1e-9 >= min_duration_s
     )
     kept = ordered.number(kept, keys, ["start_ns"], "effort_index", chunk=chunk)
     return kept.select(
         *keys,
         "effort_index",
-        F.col("b.i").alias("start_sample_index"),
-        F.col("e.i").alias("end_sample_index"),
+        F.col("__begin.i").alias("start_sample_index"),
+        F.col("__end.i").alias("end_sample_index"),
         "start_ns",
         "end_ns",
         "duration_s",
@@ -392,15 +392,15 @@ def rolling_peak(
         moved = ordered.trailing(narrow, keys, t, covered, inside, span=span, chunk=chunk, tie=order[1:])
         full = moved.join(begins, list(keys)).filter((F.col(t) - F.col("__t0") >= span) & (F.col(t) > F.col("__t0")))
         best = full.groupBy(*keys).agg(
-            F.max_by(F.struct(F.col("__covered").alias("d"), F.col(sample_index).alias("i"), F.col(t).alias("t")), F.struct(F.col("__covered"), -F.col(t))).alias("b")
+            F.max_by(F.struct(F.col("__covered").alias("d"), F.col(sample_index).alias("i"), F.col(t).alias("t")), F.struct(F.col("__covered"), -F.col(t))).alias("__best")
         )
         rows = best.select(
             *keys,
             F.lit(float(window_s)).alias("window_s"),
-            F.col("b.d").alias("peak_distance_m"),
-            (F.col("b.d") / float(window_s)).alias("peak_mean_speed_m_s"),
-            F.col("b.i").alias("end_sample_index"),
-            F.col("b.t").alias("end_ns"),
+            F.col("__best.d").alias("peak_distance_m"),
+            (F.col("__best.d") / float(window_s)).alias("peak_mean_speed_m_s"),
+            F.col("__best.i").alias("end_sample_index"),
+            F.col("__best.t").alias("end_ns"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out

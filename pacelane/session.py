@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "pacelane", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings every plan here relies on.
 
@@ -42,9 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="pacelane-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="pacelane-")
+    return _LOCAL_FOLDERS[key]
 
 
 def settle(df: DataFrame) -> DataFrame:

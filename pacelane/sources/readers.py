@@ -142,21 +142,23 @@ def event_rows(raw: DataFrame, kickoff_ns: int) -> DataFrame:
     names = F.regexp_extract_all(opened, F.lit(r"<([A-Za-z_][\w.-]*)"), F.lit(1))
     deepest = F.get(names, F.size(names) - 1)
 
-    def value(field: str, name: str | Column) -> Column:
-        wanted = F.lit(name) if isinstance(name, str) else name
-        found = F.filter(field, lambda a: a["k"] == wanted)
-        text = F.get(found, F.size(found) - 1)["v"]
+    def plain_text(text: Column) -> Column:
         for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
             text = F.replace(text, F.lit(code), F.lit(sign))
         return text
 
+    def value(field: str, name: str | Column) -> Column:
+        wanted = F.lit(name) if isinstance(name, str) else name
+        found = F.filter(field, lambda a: a["k"] == wanted)
+        return plain_text(F.get(found, F.size(found) - 1)["v"])
+
     actor = lambda special, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in special.items() for v in p]), F.col("primary")), F.lit(default))
     when = value("own", "EventTime")
     x, y = _number(value("own", "X-Position")), _number(value("own", "Y-Position"))
     placed = value("own", "X-Position").isNotNull() & value("own", "Y-Position").isNotNull()
     every = F.concat("own", "chain")
     names_kept = F.array_sort(F.array_distinct(F.transform(F.filter(every, lambda a: ~a["k"].isin(*MAPPED_ATTRIBUTES)), lambda a: a["k"])))
-    last_of = lambda k: F.element_at(F.filter(every, lambda a: a["k"] == k), -1)["v"]
+    last_of = lambda k: plain_text(F.element_at(F.filter(every, lambda a: a["k"] == k), -1)["v"])
     context = F.map_from_arrays(names_kept, F.transform(names_kept, last_of))
     out = df.select(
         value("own", "EventId").alias("event_id"),
