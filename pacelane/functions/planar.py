@@ -132,59 +132,94 @@ def delaunay_of(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([[{"a": i, "b": j, "c": k} for i, j, k in triangulate(np.column_stack((x, y)))] for x, y in zip(xs, ys)])
 
 
-def left_of(ring: np.ndarray, cut: float) -> float:
-    """Area of a convex ring left of a vertical line, from y dx along its clipped edges."""
-    if len(ring) < 3:
-        return 0.0
-    x1, y1 = ring[:, 0], ring[:, 1]
-    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+def left_of(rings: np.ndarray, cut: float) -> np.ndarray:
+    """Area of convex rings left of a vertical line, from y dx along their clipped edges."""
+    x1, y1 = rings[..., 0], rings[..., 1]
+    x2, y2 = np.roll(x1, -1, axis=-1), np.roll(y1, -1, axis=-1)
     u1, u2 = np.minimum(x1, cut), np.minimum(x2, cut)
     run = np.where(x2 == x1, 1.0, x2 - x1)
     at = lambda u: y1 + (y2 - y1) * (u - x1) / run
-    return float(abs(np.sum((at(u1) + at(u2)) / 2 * (u2 - u1))))
+    return np.abs(np.sum((at(u1) + at(u2)) / 2 * (u2 - u1), axis=-1))
 
 
-def cell_ring(points: np.ndarray, i: int, length: float, width: float) -> np.ndarray:
-    """Part of the pitch closer to point ``i`` than to any other distinct point.
+def cell_rings(points: np.ndarray, length: float, width: float, neighbours: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the pitch closer to each point than to any other distinct point.
 
     Corners are the meeting points of two border lines that satisfy all the others.
+    Only near points can cut a cell: when the next one is more than twice as far
+    away as the cell's farthest corner, the rest cannot reach it; otherwise the
+    frame is done again with more neighbours.  Returns rings padded by repeating
+    their first corner, and the number of corners of each.
     """
-    own = points[i]
-    apart = points[np.abs(points - own).max(axis=1) >= 1e-12]
-    normal = np.vstack((2 * (apart - own), [[1, 0], [-1, 0], [0, 1], [0, -1]]))
-    bound = np.concatenate(((apart**2).sum(axis=1) - (own**2).sum(), [length / 2, length / 2, width / 2, width / 2]))
-    p, q = np.triu_indices(len(bound), 1)
-    turn = normal[p, 0] * normal[q, 1] - normal[p, 1] * normal[q, 0]
+    n = len(points)
+    apart = points[None, :, :] - points[:, None, :]
+    far = np.hypot(apart[..., 0], apart[..., 1])
+    far[np.abs(apart).max(axis=2) < 1e-12] = np.inf  # itself and points on the same spot
+    order = np.argsort(far, axis=1, kind="stable")
+    m = min(neighbours, n - 1)
+    near = order[:, :m]
+    d = np.take_along_axis(apart, near[..., None], axis=1)
+    real = np.isfinite(np.take_along_axis(far, near, axis=1))
+    # 2 d.p <= |o|^2 - |s|^2; a line that is not real never cuts.
+    own = points[:, None, :]
+    bound = np.where(real, (2 * own * d + d * d).sum(axis=2), 1.0)
+    normal = np.where(real[..., None], 2 * d, 0.0)
+    walls = np.broadcast_to(np.array([[1.0, 0], [-1, 0], [0, 1], [0, -1]]), (n, 4, 2))
+    limits = np.broadcast_to(np.array([length / 2, length / 2, width / 2, width / 2]), (n, 4))
+    normal, bound = np.concatenate((normal, walls), axis=1), np.concatenate((bound, limits), axis=1)
+    p, q = np.triu_indices(m + 4, 1)
+    a, b = normal[:, p], normal[:, q]
+    turn = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
     meets = np.abs(turn) > 1e-12
-    p, q, turn = p[meets], q[meets], turn[meets]
-    x = (bound[p] * normal[q, 1] - bound[q] * normal[p, 1]) / turn
-    y = (normal[p, 0] * bound[q] - normal[q, 0] * bound[p]) / turn
-    scale = np.maximum(1.0, np.hypot(normal[:, 0], normal[:, 1]))
-    slack = x[:, None] * normal[None, :, 0] + y[:, None] * normal[None, :, 1] - bound[None, :]
-    corners = np.column_stack((x, y))[np.all(slack <= EDGE * scale[None, :], axis=1)]
-    return around(corners) if len(corners) >= 3 else np.empty((0, 2))
-
-
-def cells_of(length: float, width: float):
-    """Cell area, outline and area per frame-axis third for every object of a frame, ids ascending.
+    safe = np.where(meets, turn, 1.0)
+    x = (bound[:, p] * b[..., 1] - bound[:, q] * a[..., 1]) / safe
+    y = (a[..., 0] * bound[:, q] - b[..., 0] * bound[:, p]) / safe
+    scale = np.maximum(1.0, np.hypot(normal[..., 0], normal[..., 1]))
+    slack = x[..., None] * normal[:, None, :, 0] + y[..., None] * normal[:, None, :, 1] - bound[:, None, :]
+    ok = meets & np.all(slack <= EDGE * scale[:, None, :], axis=2)
+    reach = np.where(ok, np.hypot(x - points[:, :1], y - points[:, 1:]), 0.0).max(axis=1)
+    if m < n - 1 and np.any(np.take_along_axis(far, order[:, m : m + 1], axis=1)[:, 0] < 2 * reach + 1e-6):
+        return cell_rings(points, length, width, 2 * neighbours)
+    count = ok.sum(axis=1)
+    total = np.maximum(count, 1)
+    cx, cy = np.where(ok, x, 0.0).sum(axis=1) / total, np.where(ok, y, 0.0).sum(axis=1) / total
+    angle = np.where(ok, np.arctan2(y - cy[:, None], x - cx[:, None]), np.inf)
+    turned = np.argsort(angle, axis=1, kind="stable")[:, : max(int(count.max()), 1)]
+    rings = np.stack((np.take_along_axis(x, turned, axis=1), np.take_along_axis(y, turned, axis=1)), axis=2)
+    padding = np.arange(rings.shape[1])[None, :] >= count[:, None]
+    rings = np.where(padding[..., None], rings[:, :1, :], rings)
+    return rings, count
+
+
+def rings_area(rings: np.ndarray) -> np.ndarray:
+    x, y = rings[..., 0], rings[..., 1]
+    return np.abs(np.sum(x * np.roll(y, -1, axis=-1) - np.roll(x, -1, axis=-1) * y, axis=-1)) / 2
+
+
+def cells_of(length: float, width: float, outline: bool = True):
+    """Cell area, area per frame-axis third and outline of every object of a frame, ids ascending.
 
     Objects on the same spot share it: the smallest id owns the cell.
     """
+    fields = dict(area=DOUBLES, third_0=DOUBLES, third_1=DOUBLES, third_2=DOUBLES)
+    if outline:
+        fields["polygon"] = T.ArrayType(RING)
 
-    @pandas_udf(T.ArrayType(_struct(area=T.DoubleType(), polygon=RING, thirds=DOUBLES)))
-    def cells(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    @pandas_udf(_struct(**fields))
+    def cells(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(xs, ys):
             points = np.column_stack((np.clip(x, -length / 2, length / 2), np.clip(y, -width / 2, width / 2)))
-            seen, frame = set(), []
-            for i, spot in enumerate(map(tuple, points)):
-                ring = np.empty((0, 2)) if spot in seen else cell_ring(points, i, length, width)
-                seen.add(spot)
-                cuts = [left_of(ring, c) for c in (-length / 6, length / 6)]
-                area = ring_area(ring)
-                frame.append({"area": area, "polygon": _ring(ring), "thirds": [cuts[0], cuts[1] - cuts[0], area - cuts[1]]})
-            out.append(frame)
-        return pd.Series(out)
+            rings, count = cell_rings(points, length, width)
+            same = (points[:, None, :] == points[None, :, :]).all(axis=2)
+            owner = same.argmax(axis=1) == np.arange(len(points))
+            area = np.where(owner & (count >= 3), rings_area(rings), 0.0)
+            one, two = (np.where(area > 0, left_of(rings, c), 0.0) for c in (-length / 6, length / 6))
+            row = [area, one, two - one, area - two]
+            if outline:
+                row.append([_ring(r[:c]) if a > 0 else [] for r, c, a in zip(rings, count, area)])
+            out.append(row)
+        return pd.DataFrame(out, columns=list(fields))
 
     return cells
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from pacelane.functions.scalar import GRAVITY_M_S2, is_finite, seconds
 from pacelane.operators import kinematics as kin
 from pacelane.operators import ordered
+from pacelane.operators.grouped import apply_grouped, sorted_columns
 from pacelane.session import settle
 
 DEFAULT_CHUNK_NS = 600_000_000_000
@@ -189,28 +189,32 @@ def turning_points(df: DataFrame, keys: Sequence[str], time: str, position: str,
     state_schema = T.StructType([*fields, T.StructField("c", long), T.StructField("d", long), T.StructField("e_x", number), T.StructField("e_at", long)])
     turn_schema = T.StructType([*fields, T.StructField("t", long), T.StructField("x", number)])
 
-    def reports(key, pdf):
-        pdf = pdf.sort_values("t")
-        times, x, begin = pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["__go"].iloc[0]
-        return pd.DataFrame([(*key, _report(times, x, 1, reversal), _report(times, x, -1, reversal), dict(begin))], columns=[*keys, "c", "up", "down", "go"])
+    def repeat(key, count):
+        return {k: [v] * count for k, v in zip(keys, key)}
 
-    def walk(key, pdf):
-        state, out = None, []
-        for row in pdf.sort_values("c").itertuples(index=False):
-            state = (int(row.go["d"]), float(row.go["x"]), int(row.go["t"])) if state is None else state
-            out.append((*key, row.c, *state))
-            state = _advance(state, {"up": row.up, "down": row.down}, reversal)
-        return pd.DataFrame(out, columns=[*keys, "c", "d", "e_x", "e_at"])
+    def reports(key, table):
+        times, x = sorted_columns(table, "t", "x")
+        return repeat(key, 1) | {"c": [key[-1]], "up": [_report(times, x, 1, reversal)], "down": [_report(times, x, -1, reversal)], "go": [table.column("__go")[0].as_py()]}
 
-    def turns(key, pdf):
-        pdf = pdf.sort_values("t")
-        found, _ = _follow(pdf["t"].to_numpy(), pdf["x"].to_numpy(), int(pdf["d"].iloc[0]), float(pdf["e_x"].iloc[0]), int(pdf["e_at"].iloc[0]), reversal)
-        return pd.DataFrame([(*key[:-1], t, x) for t, x in found], columns=[*keys, "t", "x"])
+    def walk(key, table):
+        state, out = None, []
+        for row in sorted(table.select(["c", "up", "down", "go"]).to_pylist(), key=lambda r: r["c"]):
+            go = row["go"]
+            state = (go["d"], go["x"], go["t"]) if state is None else state
+            out.append((row["c"], *state))
+            state = _advance(state, row, reversal)
+        return repeat(key, len(out)) | dict(zip(("c", "d", "e_x", "e_at"), map(list, zip(*out))))
+
+    def turns(key, table):
+        times, x = sorted_columns(table, "t", "x")
+        entry = [table.column(c)[0].as_py() for c in ("d", "e_x", "e_at")]
+        found, _ = _follow(times, x, *entry, reversal)
+        return repeat(key, len(found)) | {"t": [int(t) for t, _ in found], "x": [float(v) for _, v in found]}
 
     cut = settle(cut)
-    reported = cut.groupBy(*keys, ordered.CHUNK).applyInPandas(reports, report_schema)
-    entries = reported.groupBy(*keys).applyInPandas(walk, state_schema).withColumnRenamed("c", ordered.CHUNK)
-    found = cut.drop("__go").join(entries, [*keys, ordered.CHUNK]).groupBy(*keys, ordered.CHUNK).applyInPandas(turns, turn_schema)
+    reported = apply_grouped(cut, [*keys, ordered.CHUNK], reports, report_schema)
+    entries = apply_grouped(reported, keys, walk, state_schema).withColumnRenamed("c", ordered.CHUNK)
+    found = apply_grouped(cut.drop("__go").join(entries, [*keys, ordered.CHUNK]), [*keys, ordered.CHUNK], turns, turn_schema)
     found = settle(found)
     every = first.select(*keys, F.col("__t0").alias("t"), F.col("__x0").alias("x")).unionByName(found)
     return ordered.number(every, keys, ["t"], "turn", chunk=chunk)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacelane.functions.filters import low_pass
 from pacelane.operators import ordered
+from pacelane.operators.grouped import apply_grouped, sorted_columns
 from pacelane.session import settle
 
 CAUSAL, ZERO_PHASE = "causal", "zero_phase"
@@ -31,29 +31,33 @@ def _pass(df: DataFrame, keys: list[str], design: tuple[int, float, float], sett
     start_schema = T.StructType([*fields, T.StructField(ordered.CHUNK, long), T.StructField("state", vector)])
     rows_schema = T.StructType([*fields, T.StructField("i", long), T.StructField("x", T.DoubleType())])
 
-    def ends(key, pdf):
-        x = pdf.sort_values("i")["x"].to_numpy()
+    def repeat(key, count):
+        return {k: [v] * count for k, v in zip(keys, key)}
+
+    def ends(key, table):
+        _, x = sorted_columns(table, "i", "x")
         f = low_pass(*design)
         _, state = f.run(x, np.zeros(f.size))
-        return pd.DataFrame([(*key, len(x), float(x[0]), state.tolist())], columns=[*keys, "c", "n", "x0", "state"])
+        return repeat(key, 1) | {"c": [key[-1]], "n": [len(x)], "x0": [float(x[0])], "state": [state.tolist()]}
 
-    def walk(key, pdf):
+    def walk(key, table):
         f = low_pass(*design)
-        state, out = None, []
-        for row in pdf.sort_values("c").itertuples(index=False):
+        state, chunks, states = None, [], []
+        for row in sorted(table.select(["c", "n", "x0", "state"]).to_pylist(), key=lambda r: r["c"]):
             if state is None:
-                state = f.settled * row.x0 if settled else np.zeros(f.size)
-            out.append((*key, row.c, state.tolist()))
-            state = f.coast(state, row.n) + np.asarray(row.state)
-        return pd.DataFrame(out, columns=[*keys, ordered.CHUNK, "state"])
-
-    def apply(key, pdf):
-        pdf = pdf.sort_values("i")
-        y, _ = low_pass(*design).run(pdf["x"].to_numpy(), np.asarray(pdf["state"].iloc[0]))
-        return pd.DataFrame({**dict(zip(keys, key)), "i": pdf["i"].to_numpy(), "x": y}, columns=[*keys, "i", "x"])
-
-    starts = cut.groupBy(*keys, ordered.CHUNK).applyInPandas(ends, end_schema).groupBy(*keys).applyInPandas(walk, start_schema)
-    return cut.join(starts, [*keys, ordered.CHUNK]).groupBy(*keys, ordered.CHUNK).applyInPandas(apply, rows_schema)
+                state = f.settled * row["x0"] if settled else np.zeros(f.size)
+            chunks.append(row["c"])
+            states.append(state.tolist())
+            state = f.coast(state, row["n"]) + np.asarray(row["state"])
+        return repeat(key, len(chunks)) | {ordered.CHUNK: chunks, "state": states}
+
+    def apply(key, table):
+        i, x = sorted_columns(table, "i", "x")
+        y, _ = low_pass(*design).run(x, np.asarray(table.column("state")[0].as_py()))
+        return repeat(key, len(y)) | {"i": i, "x": y}
+
+    starts = apply_grouped(apply_grouped(cut, [*keys, ordered.CHUNK], ends, end_schema), keys, walk, start_schema)
+    return apply_grouped(cut.join(starts, [*keys, ordered.CHUNK]), [*keys, ordered.CHUNK], apply, rows_schema)
 
 
 def lowpass(

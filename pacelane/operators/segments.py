@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pacelane.operators import ordered
+from pacelane.operators.grouped import apply_grouped, sorted_columns
 from pacelane.session import settle
 
 DEFAULT_CHUNK_NS = 600_000_000_000
@@ -202,43 +202,44 @@ def sample_frames(df: DataFrame, keys: Sequence[str], time: str, interval_ns: in
     frames = settle(ordered.with_chunk(df.select(*keys, time).distinct(), time, width))
     block = F.call_function("div", F.col(ordered.CHUNK), F.lit(fan_in).cast("bigint"))
 
-    def chunk_answers(key, pdf):
-        times = np.sort(pdf[time].to_numpy())
+    def repeat(key, count):
+        return {k: [v] * count for k, v in zip(keys, key)}
+
+    def chunk_answers(key, table):
+        (times,) = sorted_columns(table, time)
         beyond = int(np.searchsorted(times, times[0] + interval_ns))
         starts = range(min(beyond + 1, len(times)))
         entries = [{"start": int(times[i]), "last": int(times[_hops(times, i, interval_ns)[-1]])} for i in starts]
-        return pd.DataFrame([(*key, entries)], columns=[*keys, ordered.CHUNK, "entries"])
+        return repeat(key, 1) | {ordered.CHUNK: [key[-1]], "entries": [entries]}
 
-    def pieces_of(pdf, column):
-        return [(int(c), e) for c, e in sorted(zip(pdf[column], pdf["entries"]), key=lambda p: p[0])]
+    def pieces_of(table, column):
+        return sorted(zip(table.column(column).to_pylist(), table.column("entries").to_pylist()), key=lambda p: p[0])
 
-    def block_answers(key, pdf):
-        pieces = pieces_of(pdf, ordered.CHUNK)
+    def block_answers(key, table):
+        pieces = pieces_of(table, ordered.CHUNK)
         origin = pieces[0][1][0]["start"]
         listed = sorted({e["start"] for _, entries in pieces for e in entries})
         beyond = next((i for i, s in enumerate(listed) if s - origin >= interval_ns), len(listed))
-        starts = listed[: beyond + 1]
-        entries = [{"start": s, "last": _walk(pieces, s, interval_ns)[1]} for s in starts]
-        return pd.DataFrame([(*key, entries)], columns=[*keys, "block", "entries"])
+        entries = [{"start": s, "last": _walk(pieces, s, interval_ns)[1]} for s in listed[: beyond + 1]]
+        return repeat(key, 1) | {"block": [key[-1]], "entries": [entries]}
 
-    def series_walk(key, pdf):
-        begins, _ = _walk(pieces_of(pdf, "block"), None, interval_ns)
-        return pd.DataFrame([(*key, b, s) for b, s in begins], columns=[*keys, "block", "begin_ns"])
+    def series_walk(key, table):
+        begins, _ = _walk(pieces_of(table, "block"), None, interval_ns)
+        return repeat(key, len(begins)) | {"block": [b for b, _ in begins], "begin_ns": [s for _, s in begins]}
 
-    def block_walk(key, pdf):
-        begins, _ = _walk(pieces_of(pdf, ordered.CHUNK), int(pdf["begin_ns"].iloc[0]), interval_ns)
-        return pd.DataFrame([(*key[:-1], c, s) for c, s in begins], columns=[*keys, ordered.CHUNK, "begin_ns"])
+    def block_walk(key, table):
+        begins, _ = _walk(pieces_of(table, ordered.CHUNK), table.column("begin_ns")[0].as_py(), interval_ns)
+        return repeat(key, len(begins)) | {ordered.CHUNK: [c for c, _ in begins], "begin_ns": [s for _, s in begins]}
 
-    def take(key, pdf):
-        times = np.sort(pdf[time].to_numpy())
-        start = int(np.searchsorted(times, pdf["begin_ns"].iloc[0]))
+    def take(key, table):
+        (times,) = sorted_columns(table, time)
+        start = int(np.searchsorted(times, table.column("begin_ns")[0].as_py()))
         picked = times[_hops(times, start, interval_ns)]
-        return pd.DataFrame({**dict(zip(keys, key)), time: picked}, columns=[*keys, time])
+        return repeat(key, len(picked)) | {time: picked}
 
-    per_chunk = frames.groupBy(*keys, ordered.CHUNK).applyInPandas(chunk_answers, schema(long(ordered.CHUNK), T.StructField("entries", entry)))
+    per_chunk = apply_grouped(frames, [*keys, ordered.CHUNK], chunk_answers, schema(long(ordered.CHUNK), T.StructField("entries", entry)))
     per_chunk = settle(per_chunk.withColumn("block", block))
-    per_block = per_chunk.groupBy(*keys, "block").applyInPandas(block_answers, schema(long("block"), T.StructField("entries", entry)))
-    block_begins = per_block.groupBy(*keys).applyInPandas(series_walk, schema(long("block"), long("begin_ns")))
-    chunk_begins = per_chunk.join(block_begins, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(block_walk, schema(long(ordered.CHUNK), long("begin_ns")))
-    ready = frames.join(chunk_begins, [*keys, ordered.CHUNK])
-    return ready.groupBy(*keys, ordered.CHUNK).applyInPandas(take, schema(long(time)))
+    per_block = apply_grouped(per_chunk, [*keys, "block"], block_answers, schema(long("block"), T.StructField("entries", entry)))
+    block_begins = apply_grouped(per_block, keys, series_walk, schema(long("block"), long("begin_ns")))
+    chunk_begins = apply_grouped(per_chunk.join(block_begins, [*keys, "block"]), [*keys, "block"], block_walk, schema(long(ordered.CHUNK), long("begin_ns")))
+    return apply_grouped(frames.join(chunk_begins, [*keys, ordered.CHUNK]), [*keys, ordered.CHUNK], take, schema(long(time)))

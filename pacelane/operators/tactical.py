@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pacelane.functions import planar
 from pacelane.functions.scalar import is_finite, seconds
 from pacelane.operators import ordered
+from pacelane.operators.grouped import spread
 from pacelane.operators import segments as seg
 from pacelane.session import settle
 
@@ -75,7 +76,7 @@ def frame_quality(df: DataFrame, keys: Sequence[str] = FRAME, *, length: float =
 
 def pack(rows: DataFrame, keys: Sequence[str] = FRAME, fields: Sequence[str] = ("object_id", "group_id", "x_m", "y_m", "role")) -> DataFrame:
     """One row per frame with its players as an array, ordered by the first field."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("players"))
+    return spread(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("players"))
 
 
 def _hypot(a: Column, b: Column) -> Column:
@@ -87,7 +88,7 @@ def team_geometry(
 ) -> DataFrame:
     """Centroid, extent, hull, stretch and spacing of each team in each frame."""
     place = F.struct("object_id", "x_m", "y_m")
-    teams = rows.groupBy(*keys, "group_id").agg(
+    teams = spread(rows, *keys).groupBy(*keys, "group_id").agg(
         F.count(F.lit(1)).alias("player_count"),
         F.avg("x_m").alias("centroid_x_m"),
         F.avg("y_m").alias("centroid_y_m"),
@@ -394,20 +395,22 @@ def triangle_metrics(
 # -- territory and influence -----------------------------------------------------------
 
 
-def territory(rows: DataFrame, keys: Sequence[str] = FRAME, *, length: float = 105.0, width: float = 68.0) -> DataFrame:
+def territory(rows: DataFrame, keys: Sequence[str] = FRAME, *, length: float = 105.0, width: float = 68.0, outline: bool = True) -> DataFrame:
     """Cell of each player inside the pitch: area, share, outline and area per third."""
     packed = pack(rows, keys, ("object_id", "group_id", "x_m", "y_m"))
-    cells = planar.cells_of(length, width)(F.transform("players", lambda p: p["x_m"]), F.transform("players", lambda p: p["y_m"]))
-    zipped = packed.withColumn("__cells", cells).select(*keys, F.inline(F.arrays_zip("players", "__cells")))
-    area = F.col("__cells.area")
+    cells = planar.cells_of(length, width, outline)(F.transform("players", lambda p: p["x_m"]), F.transform("players", lambda p: p["y_m"]))
+    made = packed.withColumn("__c", cells)
+    parts = [F.col(f"__c.{n}").alias(n) for n in ("area", "third_0", "third_1", "third_2", *(["polygon"] if outline else []))]
+    zipped = made.select(*keys, F.inline(F.arrays_zip("players", *parts)))
+    area = F.col("area")
     return zipped.select(
         *keys,
         F.col("players.object_id").alias("object_id"),
         F.col("players.group_id").alias("group_id"),
         area.alias("cell_area_m2"),
         (100.0 * area / (length * width)).alias("cell_percentage"),
-        F.col("__cells.polygon").alias("cell_polygon"),
-        *[F.get("__cells.thirds", F.lit(i)).alias(f"frame_third_{i}_area_m2") for i in range(3)],
+        *[F.col(f"third_{i}").alias(f"frame_third_{i}_area_m2") for i in range(3)],
+        *([F.col("polygon").alias("cell_polygon")] if outline else []),
     )
 
 

@@ -325,7 +325,7 @@ CELL_SQL = """
                  round(t1, 2) + 0.0 AS frame_third_1_area_m2, round(t2, 2) + 0.0 AS frame_third_2_area_m2 FROM cell""",
 )
 def voronoi_cell(tb):
-    df = tac.territory(_players(tb)).drop("cell_polygon")
+    df = tac.territory(_players(tb), outline=False)
     return rounded(df, "cell_area_m2", "cell_percentage", "frame_third_0_area_m2", "frame_third_1_area_m2", "frame_third_2_area_m2", digits=2)
 
 
@@ -337,7 +337,7 @@ def voronoi_cell(tb):
                  round(sum(t0), 2) + 0.0 AS frame_third_0_area_m2, round(sum(t1), 2) + 0.0 AS frame_third_1_area_m2, round(sum(t2), 2) + 0.0 AS frame_third_2_area_m2 FROM cell GROUP BY 1, 2, 3""",
 )
 def territory_team(tb):
-    df = tac.territory_teams(tac.territory(_players(tb)))
+    df = tac.territory_teams(tac.territory(_players(tb), outline=False))
     return rounded(df, "controlled_area_m2", "control_percentage", "frame_third_0_area_m2", "frame_third_1_area_m2", "frame_third_2_area_m2", digits=2)
 
 

@@ -18,7 +18,7 @@ from pacelane.session import settle
 # Chunk widths for the stand-in streams; real streams use minutes.
 TRACK_CHUNK = 1_500_000_000
 SIGNAL_CHUNK = 86_400_000_000_000
-TICK_CHUNK = 20_000_000
+TICK_CHUNK = 40_000_000
 POSE_CHUNK = 500_000_000
 
 TRACK = ["stream_id", "object_id"]

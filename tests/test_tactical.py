@@ -71,14 +71,17 @@ def test_collinear_players_have_no_triangle():
 def test_cells_share_the_pitch():
     rng = np.random.default_rng(8)
     pts = np.column_stack((rng.uniform(-52, 52, 22), rng.uniform(-34, 34, 22)))
-    rings = [planar.cell_ring(pts, i, 105.0, 68.0) for i in range(22)]
-    assert sum(map(planar.ring_area, rings)) == pytest.approx(105 * 68)
-    ring = rings[3]
-    assert planar.left_of(ring, 1e3) == pytest.approx(planar.ring_area(ring)) and planar.left_of(ring, -1e3) == 0
+    for few in (3, 7, 30):
+        rings, count = planar.cell_rings(pts, 105.0, 68.0, few)
+        area = planar.rings_area(rings)
+        assert area.sum() == pytest.approx(105 * 68) and count.min() >= 3
+        assert np.allclose(planar.left_of(rings, 1e3), area) and np.allclose(planar.left_of(rings, -1e3), 0)
     grid = np.column_stack([g.ravel() for g in np.meshgrid(np.linspace(-52.4, 52.4, 150), np.linspace(-33.9, 33.9, 100))])
     owner = np.argmin(((grid[:, None, :] - pts[None]) ** 2).sum(axis=2), axis=1)
     for i in range(22):
-        assert planar.ring_area(rings[i]) == pytest.approx((owner == i).mean() * 105 * 68, abs=25)
+        assert area[i] == pytest.approx((owner == i).mean() * 105 * 68, abs=25)
+    alone, _ = planar.cell_rings(pts[:1], 105.0, 68.0)
+    assert planar.rings_area(alone)[0] == pytest.approx(105 * 68)
 
 
 def test_arrival_column_agrees_with_array(spark):
