@@ -142,53 +142,57 @@ def left_of(rings: np.ndarray, cut: float) -> np.ndarray:
     return np.abs(np.sum((at(u1) + at(u2)) / 2 * (u2 - u1), axis=-1))
 
 
-def cell_rings(points: np.ndarray, length: float, width: float, neighbours: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def cut_rings(rings: np.ndarray, count: np.ndarray, normal: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keep the part of each convex ring where normal.p <= bound, for many rings at once.
+
+    Corners outside form one stretch.  Each ring is turned so that the stretch comes
+    first; two crossings replace it, and spare places repeat the last corner.
+    """
+    many, places = rings.shape[:2]
+    row, place, last = np.arange(many), np.arange(places), (count - 1)[:, None]
+    over = rings[..., 0] * normal[:, None, 0] + rings[..., 1] * normal[:, None, 1] - bound[:, None]
+    out = (over > 0) & (place <= last)
+    hit = out.any(axis=1)
+    if not hit.any():
+        return rings, count
+    before = np.where(place == 0, last, place - 1)
+    first = np.argmax(out & ~np.take_along_axis(out, before, axis=1), axis=1)
+    turned = (first[:, None] + place) % (last + 1)
+    rings_t, over_t = np.take_along_axis(rings, turned[..., None], axis=1), np.take_along_axis(over, turned, axis=1)
+    gone = np.where(hit, out.sum(axis=1), 0)
+
+    def crossing(inner, outer):
+        a, b = over_t[row, inner], over_t[row, outer]
+        t = np.where(a == b, 0.0, a / np.where(a == b, 1.0, a - b))
+        return rings_t[row, inner] + t[:, None] * (rings_t[row, outer] - rings_t[row, inner])
+
+    entry, leave = crossing(count - 1, np.zeros(many, dtype=int)), crossing(np.minimum(gone, count - 1), np.maximum(gone - 1, 0))
+    source = np.minimum(gone[:, None] + np.arange(places - 1), last)
+    cut = np.concatenate((entry[:, None], leave[:, None], np.take_along_axis(rings_t, source[..., None], axis=1)), axis=1)
+    same = np.concatenate((rings, rings[:, -1:]), axis=1)
+    count = np.where(hit, count - gone + 2, count)
+    return np.where(hit[:, None, None], cut, same)[:, : int(count.max())], count
+
+
+def cell_rings(points: np.ndarray, present: np.ndarray, length: float, width: float) -> np.ndarray:
     """Parts of the pitch closer to each point than to any other distinct point.
 
-    Corners are the meeting points of two border lines that satisfy all the others.
-    Only near points can cut a cell: when the next one is more than twice as far
-    away as the cell's farthest corner, the rest cannot reach it; otherwise the
-    frame is done again with more neighbours.  Returns rings padded by repeating
-    their first corner, and the number of corners of each.
+    ``points`` is (frames, places, 2) and ``present`` says which places are used.
+    All cells of all frames are cut together, one rival place at a time.  Returns
+    (frames, places, corners, 2); spare corners repeat another one.
     """
-    n = len(points)
-    apart = points[None, :, :] - points[:, None, :]
-    far = np.hypot(apart[..., 0], apart[..., 1])
-    far[np.abs(apart).max(axis=2) < 1e-12] = np.inf  # itself and points on the same spot
-    order = np.argsort(far, axis=1, kind="stable")
-    m = min(neighbours, n - 1)
-    near = order[:, :m]
-    d = np.take_along_axis(apart, near[..., None], axis=1)
-    real = np.isfinite(np.take_along_axis(far, near, axis=1))
-    # 2 d.p <= |o|^2 - |s|^2; a line that is not real never cuts.
-    own = points[:, None, :]
-    bound = np.where(real, (2 * own * d + d * d).sum(axis=2), 1.0)
-    normal = np.where(real[..., None], 2 * d, 0.0)
-    walls = np.broadcast_to(np.array([[1.0, 0], [-1, 0], [0, 1], [0, -1]]), (n, 4, 2))
-    limits = np.broadcast_to(np.array([length / 2, length / 2, width / 2, width / 2]), (n, 4))
-    normal, bound = np.concatenate((normal, walls), axis=1), np.concatenate((bound, limits), axis=1)
-    p, q = np.triu_indices(m + 4, 1)
-    a, b = normal[:, p], normal[:, q]
-    turn = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
-    meets = np.abs(turn) > 1e-12
-    safe = np.where(meets, turn, 1.0)
-    x = (bound[:, p] * b[..., 1] - bound[:, q] * a[..., 1]) / safe
-    y = (a[..., 0] * bound[:, q] - b[..., 0] * bound[:, p]) / safe
-    scale = np.maximum(1.0, np.hypot(normal[..., 0], normal[..., 1]))
-    slack = x[..., None] * normal[:, None, :, 0] + y[..., None] * normal[:, None, :, 1] - bound[:, None, :]
-    ok = meets & np.all(slack <= EDGE * scale[:, None, :], axis=2)
-    reach = np.where(ok, np.hypot(x - points[:, :1], y - points[:, 1:]), 0.0).max(axis=1)
-    if m < n - 1 and np.any(np.take_along_axis(far, order[:, m : m + 1], axis=1)[:, 0] < 2 * reach + 1e-6):
-        return cell_rings(points, length, width, 2 * neighbours)
-    count = ok.sum(axis=1)
-    total = np.maximum(count, 1)
-    cx, cy = np.where(ok, x, 0.0).sum(axis=1) / total, np.where(ok, y, 0.0).sum(axis=1) / total
-    angle = np.where(ok, np.arctan2(y - cy[:, None], x - cx[:, None]), np.inf)
-    turned = np.argsort(angle, axis=1, kind="stable")[:, : max(int(count.max()), 1)]
-    rings = np.stack((np.take_along_axis(x, turned, axis=1), np.take_along_axis(y, turned, axis=1)), axis=2)
-    padding = np.arange(rings.shape[1])[None, :] >= count[:, None]
-    rings = np.where(padding[..., None], rings[:, :1, :], rings)
-    return rings, count
+    frames, places = present.shape
+    corner = np.array([[-length / 2, -width / 2], [length / 2, -width / 2], [length / 2, width / 2], [-length / 2, width / 2]])
+    rings = np.broadcast_to(corner, (frames * places, 4, 2)).copy()
+    count = np.full(frames * places, 4)
+    square = (points * points).sum(axis=2)
+    for rival in range(places):
+        d = points[:, rival : rival + 1] - points
+        cuts = present[:, rival : rival + 1] & (np.abs(d).max(axis=2) >= 1e-12)
+        normal = np.where(cuts[..., None], 2 * d, 0.0).reshape(-1, 2)
+        bound = np.where(cuts, square[:, rival : rival + 1] - square, 1.0).reshape(-1)
+        rings, count = cut_rings(rings, count, normal, bound)
+    return rings.reshape(frames, places, -1, 2)
 
 
 def rings_area(rings: np.ndarray) -> np.ndarray:
@@ -207,23 +211,32 @@ def cells_of(length: float, width: float, outline: bool = True):
 
     @pandas_udf(_struct(**fields))
     def cells(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(xs, ys):
-            points = np.column_stack((np.clip(x, -length / 2, length / 2), np.clip(y, -width / 2, width / 2)))
-            rings, count = cell_rings(points, length, width)
-            same = (points[:, None, :] == points[None, :, :]).all(axis=2)
-            owner = same.argmax(axis=1) == np.arange(len(points))
-            area = np.where(owner & (count >= 3), rings_area(rings), 0.0)
-            one, two = (np.where(area > 0, left_of(rings, c), 0.0) for c in (-length / 6, length / 6))
-            row = [area, one, two - one, area - two]
-            if outline:
-                row.append([_ring(r[:c]) if a > 0 else [] for r, c, a in zip(rings, count, area)])
-            out.append(row)
+        sizes = xs.map(len).to_numpy()
+        present = np.arange(max(sizes.max(initial=0), 1))[None, :] < sizes[:, None]
+        points = np.zeros((*present.shape, 2))
+        if sizes.sum():
+            points[present] = np.column_stack((np.concatenate(xs.to_list()), np.concatenate(ys.to_list())))
+        points = np.clip(points, [-length / 2, -width / 2], [length / 2, width / 2])
+        rings = cell_rings(points, present, length, width)
+        same = (points[:, :, None, :] == points[:, None, :, :]).all(axis=3) & present[:, None, :]
+        owner = same.argmax(axis=2) == np.arange(present.shape[1])[None, :]
+        area = np.where(owner, rings_area(rings), 0.0)
+        one, two = (np.where(owner, left_of(rings, c), 0.0) for c in (-length / 6, length / 6))
+        columns = [area, one, two - one, area - two]
+        out = {n: [row[:k] for row, k in zip(c, sizes)] for n, c in zip(fields, columns)}
+        if outline:
+            out["polygon"] = [[_ring(_corners(r)) if a > 0 else [] for r, a in zip(rs[:k], ar[:k])] for rs, ar, k in zip(rings, area, sizes)]
         return pd.DataFrame(out, columns=list(fields))
 
     return cells
 
 
+def _corners(ring: np.ndarray) -> np.ndarray:
+    """A ring without repeated neighbours, lowest-left corner first."""
+    kept = ring[np.abs(ring - np.roll(ring, 1, axis=0)).max(axis=1) > EDGE]
+    return np.roll(kept, -int(np.lexsort((kept[:, 1], kept[:, 0]))[0]), axis=0) if len(kept) else kept
+
+
 def arrival(px, py, vx, vy, tx, ty, reaction: float, top_speed: float, top_accel: float) -> np.ndarray:
     """Array form of ``functions.scalar.arrival_time_s``."""
     raw = np.hypot(vx, vy)

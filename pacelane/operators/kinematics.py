@@ -300,6 +300,8 @@ def effort_segments(
     t = order[0]
     speed = F.col("speed_m_s")
     release = max(0.0, threshold - hysteresis)
+    # Both passes below read the narrow written series instead of deriving it twice.
+    series = settle(series.select(*keys, *order, *([sample_index] if sample_index not in order else []), "speed_m_s", "duration_s", "step_m"))
     decisive = F.when(speed.isNull(), 0).when(speed >= threshold, 1).when(speed < release, 0)
     state = ordered.running(
         series,
@@ -331,7 +333,7 @@ def effort_segments(
         runs, keys, ["begin_ns"], lambda w: {"__new": F.coalesce(F.col("begin_ns") - F.lag("end_ns").over(w) > gap, F.lit(True))}, ahead=0, chunk=chunk
     )
     runs = ordered.islands(runs, keys, ["begin_ns"], F.col("__new"), "__effort", chunk=chunk)
-    merged = settle(runs).groupBy(*keys, "__effort").agg(
+    merged = runs.groupBy(*keys, "__effort").agg(
         F.min_by("__b", "begin_ns").alias("__begin"), F.max_by("__e", "begin_ns").alias("__end"), F.min("begin_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.max("peak").alias("peak_speed_m_s")
     )
     kept = merged.withColumns({"duration_s": F.col("__end.time") - F.col("__begin.time"), "distance_m": F.col("__end.dist") - F.col("__begin.dist")}).filter(
@@ -377,7 +379,8 @@ def rolling_peak(
     anywhere, so each chunk (plus one window of earlier rows) sums on its own.
     """
     t = order[0]
-    begins = series.groupBy(*keys).agg(F.min(t).alias("__t0"))
+    narrow = settle(series.select(*keys, *order, step, *([sample_index] if sample_index not in order else [])))
+    begins = narrow.groupBy(*keys).agg(F.min(t).alias("__t0"))
     out = None
     for window_s in windows_s:
         span = int(round(window_s * 1e9))
@@ -388,7 +391,6 @@ def rolling_peak(
         def inside(ranged: WindowSpec, along: WindowSpec) -> Mapping[str, Column]:
             return {"__covered": F.col("__cum") - F.min("__cum").over(ranged)}
 
-        narrow = series.select(*keys, *order, step, *([sample_index] if sample_index not in order else []))
         moved = ordered.trailing(narrow, keys, t, covered, inside, span=span, chunk=chunk, tie=order[1:])
         full = moved.join(begins, list(keys)).filter((F.col(t) - F.col("__t0") >= span) & (F.col(t) > F.col("__t0")))
         best = full.groupBy(*keys).agg(

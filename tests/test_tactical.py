@@ -71,17 +71,20 @@ def test_collinear_players_have_no_triangle():
 def test_cells_share_the_pitch():
     rng = np.random.default_rng(8)
     pts = np.column_stack((rng.uniform(-52, 52, 22), rng.uniform(-34, 34, 22)))
-    for few in (3, 7, 30):
-        rings, count = planar.cell_rings(pts, 105.0, 68.0, few)
-        area = planar.rings_area(rings)
-        assert area.sum() == pytest.approx(105 * 68) and count.min() >= 3
-        assert np.allclose(planar.left_of(rings, 1e3), area) and np.allclose(planar.left_of(rings, -1e3), 0)
+    frames = np.stack((pts, pts[::-1], np.vstack((pts[:5], np.zeros((17, 2))))))
+    present = np.ones((3, 22), dtype=bool)
+    present[2, 5:] = False
+    rings = planar.cell_rings(frames, present, 105.0, 68.0)
+    areas = planar.rings_area(rings)
+    area = areas[0]
+    assert area.sum() == pytest.approx(105 * 68) and np.allclose(areas[1], area[::-1]) and areas[2][:5].sum() == pytest.approx(105 * 68)
+    assert np.allclose(planar.left_of(rings, 1e3), areas) and np.allclose(planar.left_of(rings, -1e3), 0)
     grid = np.column_stack([g.ravel() for g in np.meshgrid(np.linspace(-52.4, 52.4, 150), np.linspace(-33.9, 33.9, 100))])
     owner = np.argmin(((grid[:, None, :] - pts[None]) ** 2).sum(axis=2), axis=1)
     for i in range(22):
         assert area[i] == pytest.approx((owner == i).mean() * 105 * 68, abs=25)
-    alone, _ = planar.cell_rings(pts[:1], 105.0, 68.0)
-    assert planar.rings_area(alone)[0] == pytest.approx(105 * 68)
+    alone = planar.cell_rings(pts[None, :1], np.ones((1, 1), dtype=bool), 105.0, 68.0)
+    assert planar.rings_area(alone)[0, 0] == pytest.approx(105 * 68)
 
 
 def test_arrival_column_agrees_with_array(spark):
