@@ -30,7 +30,7 @@ def jump_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], ratio:
     """
     t = order[0]
     begin = df.groupBy(*keys).agg(F.min(t).alias("__t0"))
-    df = df.join(begin, list(keys)).withColumns({"acceleration_m_s2": F.lit(gravity) * (F.col(ratio) - 1), "__t": seconds(F.col(t) - F.col("__t0"))})
+    df = ordered.attach(df, begin, keys, t).withColumns({"acceleration_m_s2": F.lit(gravity) * (F.col(ratio) - 1), "__t": seconds(F.col(t) - F.col("__t0"))})
 
     def parts(w):
         previous = F.lag("__t").over(w)
@@ -171,12 +171,12 @@ def turning_points(df: DataFrame, keys: Sequence[str], time: str, position: str,
     rows = df.select(*keys, F.col(time).alias("t"), F.col(position).cast("double").alias("x"))
     first = rows.groupBy(*keys).agg(F.min_by("x", "t").alias("__x0"), F.min("t").alias("__t0"))
     away = F.abs(F.col("x") - F.col("__x0")) > reversal
-    entry = rows.join(first, keys).groupBy(*keys).agg(
+    entry = ordered.attach(rows, first, keys, "t").groupBy(*keys).agg(
         F.min(F.when(away, F.struct("t", "x", F.when(F.col("x") > F.col("__x0"), 1).otherwise(-1).alias("d")))).alias("__go"),
         F.min("__t0").alias("__t0"),
         F.min("__x0").alias("__x0"),
     )
-    moving = rows.join(entry.filter("__go IS NOT NULL").select(*keys, "__go"), keys).filter(F.col("t") > F.col("__go.t"))
+    moving = ordered.attach(rows, entry.filter("__go IS NOT NULL").select(*keys, "__go"), keys, "t").filter(F.col("t") > F.col("__go.t"))
     cut = ordered.with_chunk(moving.select(*keys, "t", "x", "__go"), "t", chunk)
 
     fields = [df.schema[k] for k in keys]
@@ -242,7 +242,7 @@ def rep_segments(
     placed = ordered.running(marked, keys, [time], chunk=chunk, lasts={"__stretch": F.col("turn")})
     both = F.when(F.col("turn").isNotNull() & (F.col("turn") > 0), F.array(F.col("turn"), F.col("turn") - 1)).otherwise(F.array("__stretch"))
     last = points.groupBy(*keys).agg(F.max("turn").alias("__last"))
-    stretched = placed.withColumn("__stretch", F.explode(both)).join(last, keys)
+    stretched = ordered.attach(placed.withColumn("__stretch", F.explode(both)), last, keys, time)
     rep = F.call_function("div", F.col("__stretch"), F.lit(2).cast("bigint"))
     inside = stretched.filter((rep * 2 + 2 <= F.col("__last")) & (F.col("__stretch") < F.col("__last")))
     grouped = inside.groupBy(*keys, rep.alias("__rep")).agg(

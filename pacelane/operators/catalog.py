@@ -24,10 +24,10 @@ TRANSITIONS = [
 FAILURES = ("ACQUISITION_FAILED", "MATERIALIZATION_FAILED", "VALIDATION_FAILED")
 # What each product needs, as alternatives of capabilities and of grains.
 PRODUCT_GATES = [
-    ("MatchLab", ["TRACKING"], ["FRAME_SERIES"]),
-    ("GameLab", ["PLAY_BY_PLAY", "EVENTS"], ["PLAY_BY_PLAY", "EVENT_SERIES"]),
-    ("SeasonLab", ["SEASON_AGGREGATE"], ["PLAYER_SEASON", "TEAM_SEASON"]),
-    ("PerformanceLab", ["FORCE", "IMU", "LPT", "GNSS"], ["TRIAL_SERIES", "SENSOR_SERIES"]),
+    ("match", ["TRACKING"], ["FRAME_SERIES"]),
+    ("game", ["PLAY_BY_PLAY", "EVENTS"], ["PLAY_BY_PLAY", "EVENT_SERIES"]),
+    ("season", ["SEASON_AGGREGATE"], ["PLAYER_SEASON", "TEAM_SEASON"]),
+    ("performance", ["FORCE", "IMU", "LPT", "GNSS"], ["TRIAL_SERIES", "SENSOR_SERIES"]),
 ]
 MODALITY_CAPABILITY = {"tracking": "TRACKING", "pose": "POSE", "event": "EVENTS", "force": "FORCE", "imu": "IMU", "lpt": "LPT", "gnss": "GNSS"}
 CATALOG_SPORTS = ("football", "basketball", "ice_hockey", "baseball")

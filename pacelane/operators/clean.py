@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacelane.functions.scalar import col, is_finite
+from pacelane.operators.ordered import attach
 
 # Canonical unit and factor of each accepted linear unit, in the
 # order of the quantity they measure.
@@ -58,7 +59,7 @@ def match_clock_ns(text: str | Column) -> Column:
 def relative_ns(df: DataFrame, keys: Sequence[str], micros: str, out: str = "t_rel_ns") -> DataFrame:
     """Nanoseconds since each key's earliest time; the origin comes from an aggregate, not a window."""
     origin = df.groupBy(*keys).agg(F.min(micros).alias("__origin"))
-    return df.join(origin, list(keys)).withColumn(out, (F.col(micros) - F.col("__origin")) * 1000).drop("__origin")
+    return attach(df, origin, keys, micros).withColumn(out, (F.col(micros) - F.col("__origin")) * 1000).drop("__origin")
 
 
 def map_clock(value: Column, *, scale_to_ns: str, period_origin_ns: Column, counts_down_from: Column | None = None, offset_ns: int = 0) -> Column:

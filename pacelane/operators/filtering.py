@@ -92,7 +92,7 @@ def lowpass(
 
     pad = 0 if padding == "none" else f.pad_length if pad_length is None else pad_length
     ends = series.groupBy(*keys).agg(F.max("i").alias("__n"), F.min_by("x", "i").alias("__a"), F.max_by("x", "i").alias("__b"))
-    long_enough = series.join(ends.filter(F.col("__n") + 1 > pad), keys)
+    long_enough = ordered.attach(series, ends.filter(F.col("__n") + 1 > pad), keys, "i")
     shape = {"odd": lambda edge: 2 * edge - F.col("x"), "even": lambda edge: F.col("x"), "constant": lambda edge: edge, "none": lambda edge: edge}[padding]
     whole = long_enough.select(*keys, "i", "x")
     if pad:

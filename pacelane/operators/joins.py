@@ -180,7 +180,7 @@ def period_of_event(events: DataFrame, periods: DataFrame, keys: Sequence[str],
     """
     listed = periods.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("period_order", "start_ns", "end_ns", "period_id"))).alias("__periods"))
     inside = F.filter("__periods", lambda p: (p["start_ns"] <= F.col(time)) & (F.col(time) <= p["end_ns"]))
-    return events.join(listed, list(keys), "left").withColumn(out, F.get(inside, F.lit(0))["period_id"]).drop("__periods")
+    return ordered.attach(events, listed, keys, time, "left").withColumn(out, F.get(inside, F.lit(0))["period_id"]).drop("__periods")
 
 
 def derive_periods(boundaries: DataFrame, declared: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,7 +202,7 @@ def derive_periods(boundaries: DataFrame, declared: DataFrame, keys: Sequence[st
 def alias_resolve(df: DataFrame, aliases: DataFrame, column: str, out: str) -> DataFrame:
     """Canonical id of an alias, or the id itself."""
     lookup = aliases.select(F.col("alias_id").alias(column), F.col("canonical_id").alias("__canonical"))
-    return df.join(lookup, column, "left").withColumn(out, F.coalesce("__canonical", column)).drop("__canonical")
+    return ordered.attach(df, lookup, [column], F.xxhash64(*df.columns), "left").withColumn(out, F.coalesce("__canonical", column)).drop("__canonical")
 
 
 def missing_parents(children: DataFrame, parents: DataFrame, on: Mapping[str, str], how: str = "rows") -> DataFrame:

@@ -118,7 +118,7 @@ def displacement_from_first(df: DataFrame, keys: Sequence[str], order: Sequence[
     for axis in axes:
         delta = F.col(axis) - F.col(f"__first.{axis}")
         total = total + delta * delta
-    return df.join(first, list(keys)).withColumn(out, F.when(ok, F.sqrt(total))).drop("__first")
+    return ordered.attach(df, first, keys, order[0]).withColumn(out, F.when(ok, F.sqrt(total))).drop("__first")
 
 
 def local_plane(df: DataFrame, keys: Sequence[str], order: Sequence[str], latitude: str, longitude: str, *, radius: float = SPHERE_RADIUS_M) -> DataFrame:
@@ -126,7 +126,7 @@ def local_plane(df: DataFrame, keys: Sequence[str], order: Sequence[str], latitu
     origin = df.groupBy(*keys).agg(F.min_by(F.struct(F.col(latitude).alias("lat"), F.col(longitude).alias("lon")), F.struct(*order)).alias("__origin"))
     lat0, lon0 = F.radians("__origin.lat"), F.radians("__origin.lon")
     return (
-        df.join(origin, list(keys))
+        ordered.attach(df, origin, keys, order[0])
         .withColumns(
             {
                 "east_m": F.lit(radius) * (F.radians(longitude) - lon0) * F.cos(lat0),
@@ -392,7 +392,7 @@ def rolling_peak(
             return {"__covered": F.col("__cum") - F.min("__cum").over(ranged)}
 
         moved = ordered.trailing(narrow, keys, t, covered, inside, span=span, chunk=chunk, tie=order[1:])
-        full = moved.join(begins, list(keys)).filter((F.col(t) - F.col("__t0") >= span) & (F.col(t) > F.col("__t0")))
+        full = ordered.attach(moved, begins, keys, t).filter((F.col(t) - F.col("__t0") >= span) & (F.col(t) > F.col("__t0")))
         best = full.groupBy(*keys).agg(
             F.max_by(F.struct(F.col("__covered").alias("d"), F.col(sample_index).alias("i"), F.col(t).alias("t")), F.struct(F.col("__covered"), -F.col(t))).alias("__best")
         )

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 HALO = "__halo"
+SALTS = 32
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -46,6 +47,17 @@ def _add(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.withColumns(dict(columns)) if columns else df
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], by: str | Column, how: str = "inner") -> DataFrame:
+    """Join one row per key to all rows of the key without gathering a hot key in one task.
+
+    The rows of a key are dealt over ``SALTS`` shares by the hash of ``by``; the
+    small side is repeated once per share.
+    """
+    share = F.pmod(F.xxhash64(by), F.lit(SALTS).cast("bigint"))
+    shares = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    return df.withColumn("__share", share).join(per_key.withColumn("__share", shares), [*keys, "__share"], how).drop("__share")
+
+
 def stencil(
     df: DataFrame,
     keys: Sequence[str],

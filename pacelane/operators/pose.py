@@ -267,7 +267,7 @@ def landmark_series(
     rows = settle(relative_landmarks(df, anchor, landmarks))
     valid = F.col("x").isNotNull()
     first = rows.groupBy(*keys).agg(F.min_by(F.struct("x", "y", "z"), F.when(valid, F.col(TIME))).alias("__first"))
-    rows = rows.join(first, keys)
+    rows = ordered.attach(rows, first, keys, TIME)
     away = _norm([F.col(a) - F.col(f"__first.{a}") for a in "xyz"])
     limit = int(gap_factor * step_ns)
 

@@ -26,7 +26,7 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     counts = settle(counts)
     ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"))
-    joined = counts.join(ends, keys) if keys else counts.join(F.broadcast(ends))  # one row
+    joined = ordered.attach(counts, ends, keys, "value") if keys else counts.join(F.broadcast(ends))  # one row
     width = F.col("maximum") - F.col("minimum")
     place = F.when(width > 0, F.floor((F.col("value") - F.col("minimum")) / width * GRID)).otherwise(0).cast("bigint")
     placed = joined.withColumn("__place", place)
@@ -74,9 +74,10 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, *, targets: Data
     table = whole.select(*keys, F.col("value").alias("__v"), "at_or_below", "valid_n", "minimum", "maximum")
     rows = (df if targets is None else targets).withColumn("__own", F.when(is_finite(value), F.col(value).cast("double")))
     population = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("population_n"))
+    whole_row = F.xxhash64(*rows.columns)
     if targets is None:
         steps = table.select(*keys, F.col("__v").alias("__own"), "at_or_below")
-        ranked = rows.join(steps, [*keys, "__own"], "left")
+        ranked = ordered.attach(rows, steps, [*keys, "__own"], whole_row, "left")
     else:
         # A value between two population values is carried down from the one below it.
         ours = rows.select(*keys, "__own").filter("__own IS NOT NULL").distinct()
@@ -85,13 +86,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, *, targets: Data
         )
         combined = settle(merged.groupBy(*keys, "__own").agg(F.max("__seen").alias("__seen")))
         span = combined.groupBy(*keys).agg(F.min("__own").alias("__lo"), F.max("__own").alias("__hi"))
-        spread = (combined.join(span, keys) if keys else combined.join(F.broadcast(span))).withColumn(
+        spread = (ordered.attach(combined, span, keys, "__own") if keys else combined.join(F.broadcast(span))).withColumn(
             "__place", F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__own") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * GRID)).otherwise(0).cast("bigint")
         )
         known = ordered.running(spread, keys, ["__place", "__own"], chunk=CELLS_PER_CHUNK, lasts={"at_or_below": F.col("__seen")})
-        ranked = rows.join(known.select(*keys, "__own", F.coalesce("at_or_below", F.lit(0)).alias("at_or_below")), [*keys, "__own"], "left")
+        ranked = ordered.attach(rows, known.select(*keys, "__own", F.coalesce("at_or_below", F.lit(0)).alias("at_or_below")), [*keys, "__own"], whole_row, "left")
     ends = table.groupBy(*keys).agg(F.max("valid_n").alias("valid_n"), F.max("minimum").alias("minimum"), F.max("maximum").alias("maximum"))
-    out = ranked.join(population.join(ends, keys, "left").join(middle, keys, "left"), keys, "left")
+    out = ordered.attach(ranked, population.join(ends, keys, "left").join(middle, keys, "left"), keys, whole_row, "left")
     has = F.col("__own").isNotNull() & F.col("valid_n").isNotNull()
     return out.withColumns(
         {

@@ -67,7 +67,7 @@ def coverage_by_grid(df: DataFrame, keys: Sequence[str], time: str, step_ns: int
     No grid is built: ticks are counted from the span, usable ticks from the rows.
     """
     span = cadence_span(df, keys, time, step_ns)
-    joined = df.join(span, list(keys))
+    joined = ordered.attach(df, span, keys, time)
     counted = joined.groupBy(*keys, "first_ns", "last_ns", "expected_ticks").agg(
         F.countDistinct(F.when(usable, F.col(time))).alias("usable_ticks"),
         F.count_if(off_grid(F.col(time), F.col("first_ns"), step_ns)).alias("off_grid_rows"),
@@ -125,7 +125,7 @@ def frame_time_check(df: DataFrame, keys: Sequence[str], frame: str, time: str,
     """Adds ``time_mismatch``: the clock disagrees with the frame counter from the first frame on."""
     origin = df.groupBy(*keys).agg(F.min_by(F.struct(F.col(frame).alias("f"), F.col(time).alias("t")), frame).alias("__origin"))
     expected = F.col("__origin.t") + (F.col(frame) - F.col("__origin.f")) * step_ns
-    return df.join(origin, list(keys)).withColumn("time_mismatch", F.abs(expected - F.col(time)) > tolerance_ns).drop("__origin")
+    return ordered.attach(df, origin, keys, frame).withColumn("time_mismatch", F.abs(expected - F.col(time)) > tolerance_ns).drop("__origin")
 
 
 def order_checks(df: DataFrame, keys: Sequence[str], source_order: Sequence[str], columns: Sequence[str], *, chunk: int | None) -> DataFrame:

@@ -36,9 +36,9 @@ def stage_max(tb):
 @query(
     "route_products",
     "P29",
-    """WITH e AS (SELECT entry_id, p.product, CASE p.product WHEN 'MatchLab' THEN entry_id % 4 = 0 WHEN 'GameLab' THEN entry_id % 4 = 0 WHEN 'SeasonLab' THEN entry_id % 4 = 1 ELSE entry_id % 4 = 2 END AS cap,
-                      CASE p.product WHEN 'MatchLab' THEN entry_id % 3 = 0 WHEN 'PerformanceLab' THEN entry_id % 3 = 0 ELSE entry_id % 3 <> 0 END AS gr FROM tb_catalog, (VALUES ('MatchLab'), ('GameLab'), ('SeasonLab'), ('PerformanceLab')) p(product))
-       SELECT entry_id, product, cap AND gr AS ready, CASE WHEN cap THEN '' ELSE CASE product WHEN 'MatchLab' THEN 'TRACKING' WHEN 'GameLab' THEN 'PLAY_BY_PLAY,EVENTS' WHEN 'SeasonLab' THEN 'SEASON_AGGREGATE' ELSE 'FORCE,IMU,LPT,GNSS' END END AS missing FROM e""",
+    """WITH e AS (SELECT entry_id, p.product, CASE p.product WHEN 'match' THEN entry_id % 4 = 0 WHEN 'game' THEN entry_id % 4 = 0 WHEN 'season' THEN entry_id % 4 = 1 ELSE entry_id % 4 = 2 END AS cap,
+                      CASE p.product WHEN 'match' THEN entry_id % 3 = 0 WHEN 'performance' THEN entry_id % 3 = 0 ELSE entry_id % 3 <> 0 END AS gr FROM tb_catalog, (VALUES ('match'), ('game'), ('season'), ('performance')) p(product))
+       SELECT entry_id, product, cap AND gr AS ready, CASE WHEN cap THEN '' ELSE CASE product WHEN 'match' THEN 'TRACKING' WHEN 'game' THEN 'PLAY_BY_PLAY,EVENTS' WHEN 'season' THEN 'SEASON_AGGREGATE' ELSE 'FORCE,IMU,LPT,GNSS' END END AS missing FROM e""",
 )
 def route_products(tb):
     df = cat.route_products(tb.catalog.select("entry_id", F.expr(CAPS).alias("capabilities"), F.expr(GRAINS).alias("grains")))

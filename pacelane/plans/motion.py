@@ -11,7 +11,7 @@ from pacelane.testbed import SIGNAL_CHUNK, TICK_CHUNK, TRACK, TRACK_CHUNK, Testb
 
 ORDER = ["t_rel_ns"]
 
-# Parameters the reference runs tracking streams with.
+# Zones of a tracking run.
 ZONES = [("low", 0.0, 2.0), ("medium", 2.0, 5.5), ("high", 5.5, None)]
 
 # The stand-in entities jump across the pitch, so the gates are set where both
