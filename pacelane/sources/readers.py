@@ -94,7 +94,7 @@ def position_rows(sets: DataFrame, kickoff_ns: int | Column, *, frame_ns: int =
     x, y, z = _number(F.col("f._X")), _number(F.col("f._Y")), _number(F.col("f._Z"))
     df = rows.select(*identity, F.col("pos").cast("bigint").alias("pos"), "f", number.alias("frame"), iso_ns(F.col("f._T")).alias("utc_ns"), x.alias("x_m"), y.alias("y_m"), z.alias("z_m"))
     first = df.filter("frame IS NOT NULL AND utc_ns IS NOT NULL").groupBy("section").agg(F.min(F.struct("frame", "utc_ns")).alias("__first"))
-    df = df.join(first, "section", "left")
+    df = ordered.attach(df, first, ["section"], F.xxhash64("person_id", "pos"), "left")
     expected = F.col("__first.utc_ns") + (F.col("frame") - F.col("__first.frame")) * frame_ns
     drift = F.abs(expected - F.col("utc_ns")) > tolerance_ns
     missing = F.col("f._X").isNull() | F.col("f._Y").isNull()

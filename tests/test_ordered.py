@@ -43,6 +43,26 @@ def test_no_window_spans_a_whole_key(series):
     assert row_window and all("__chunk" in line for line in row_window)
 
 
+def test_hot_key_is_spread(spark):
+    """A key with nine rows in ten is worked on by many tasks, also after a per-key value was joined."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 1).otherwise(0).alias("k"), F.col("id").alias("t"), (F.col("id") % 13).cast("double").alias("v"))
+    origin = rows.groupBy("k").agg(F.min("v").alias("low"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = ordered.attach(rows, origin, ["k"], "t")
+        out = ordered.running(joined, ["k"], ["t"], chunk=500, sums={"s": F.col("v") - F.col("low")})
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 0.25 * 60_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == old
+
+
 def test_floor_division_is_exact_for_large_times(spark):
     big = 1_700_000_000_123_456_789
     df = spark.createDataFrame([(big,), (-1,), (0,), (-1000,)], "t bigint")
