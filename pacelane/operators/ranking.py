@@ -24,7 +24,6 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct finite value: its count and how many rows are at or below it."""
     keys = list(keys)
     counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    counts = settle(counts)
     ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"))
     joined = ordered.attach(counts, ends, keys, "value") if keys else counts.join(F.broadcast(ends))  # one row
     width = F.col("maximum") - F.col("minimum")

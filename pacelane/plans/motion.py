@@ -282,13 +282,35 @@ def rolling_peak(tb):
     return rounded(df, "peak_distance_m", "peak_mean_speed_m_s", digits=4)
 
 
-@query(
-    "gnss_locomotor_summary",
-    "G21 (haversine)",
+SUMMARY_SQL = """ SELECT {keys}, count(*) AS samples, round(sum(kept), 4) + 0.0 AS distance_total_m, round((max(t_rel_ns) - min(t_rel_ns)) / 1e9, 4) + 0.0 AS duration_s,
+    round(CASE WHEN max(t_rel_ns) > min(t_rel_ns) THEN sum(kept) / ((max(t_rel_ns) - min(t_rel_ns)) / 1e9) ELSE 0.0 END, 4) + 0.0 AS mean_speed_m_s, round(max(speed), 4) + 0.0 AS max_speed_m_s,
+    round(coalesce(max(sqrt(ax * ax + ay * ay)), 0.0), 4) + 0.0 AS max_acceleration_m_s2, round(greatest(0.0, -coalesce(min(tang), 0.0)), 4) + 0.0 AS max_deceleration_m_s2,
+    count(*) FILTER (bad) AS invalid_samples, count(*) FILTER (fast) AS excluded_steps FROM s GROUP BY ALL"""
+
+# The same chain on the local plane, with great-circle steps and a gate of 0.01 m/s.
+GNSS_SQL = (
+    SERIES_SQL.replace("stream_id, object_id", "entity_id")
+    .replace("FROM tb_tracking", "FROM gn")
+    .replace(f"> {GATE}", "> 0.01")
+    .replace(
+        "sqrt((x_m - lag(x_m) OVER w) ** 2 + (y_m - lag(y_m) OVER w) ** 2)",
+        """2 * 6371008.8 * asin(least(1.0, sqrt(sin((radians(latitude_deg) - radians(lag(latitude_deg) OVER w)) / 2) ** 2
+           + cos(radians(lag(latitude_deg) OVER w)) * cos(radians(latitude_deg)) * sin((radians(longitude_deg) - radians(lag(longitude_deg) OVER w)) / 2) ** 2)))""",
+    )
+    .replace(
+        "WITH a AS (",
+        """WITH o AS (SELECT entity_id, arg_min(latitude_deg, t_rel_ns) AS la0, arg_min(longitude_deg, t_rel_ns) AS lo0 FROM tb_gnss GROUP BY 1),
+        gn AS (SELECT g.*, 6371008.8 * (radians(longitude_deg) - radians(lo0)) * cos(radians(la0)) AS x_m, 6371008.8 * (radians(latitude_deg) - radians(la0)) AS y_m, true AS is_detected FROM tb_gnss g JOIN o USING (entity_id)),
+        a AS (""",
+        1,
+    )
 )
+
+
+@query("gnss_locomotor_summary", "G21 (haversine)", GNSS_SQL + SUMMARY_SQL.format(keys="entity_id"))
 def gnss_locomotor_summary(tb):
     series = kin.locomotor_series(
-        tb.gnss, ["entity_id"], ORDER, "latitude_deg", "longitude_deg", method="haversine", max_step_speed=15.0, drop_gated_distance=True, chunk=SIGNAL_CHUNK
+        tb.gnss, ["entity_id"], ORDER, "latitude_deg", "longitude_deg", method="haversine", max_step_speed=0.01, drop_gated_distance=True, chunk=SIGNAL_CHUNK
     )
     df = kin.locomotor_summary(series, ["entity_id"], "t_rel_ns")
     return rounded(df, "distance_total_m", "duration_s", "mean_speed_m_s", "max_speed_m_s", "max_acceleration_m_s2", "max_deceleration_m_s2", digits=4)
