@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacelane.plans.views import with_views
+from pacelane.session import ship_package
 from pacelane.testbed import Testbed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,12 @@ def query(name: str, survey: str, sql: str | None = None):
     def wrap(build: Callable[[Testbed], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: build(Testbed(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(Testbed(spark, folder))
+
+        QUERIES[name] = run
         SURVEY[name] = survey
         if sql is not None:
             ORACLE[name] = with_views(sql)

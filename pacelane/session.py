@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,9 @@ def build_session(app: str = "pacelane", master: str | None = None, partitions:
         builder = builder.master(master).config("spark.driver.memory", "12g")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,3 +77,32 @@ def drop_work(spark: SparkSession) -> None:
     """Remove this application's settled tables once their readers are done."""
     path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    The zipped package goes to the shared folder, from which every executor, also a
+    later one, can fetch it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    bundle.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = f"{shared_folder(spark)}/pacelane-code/{context.applicationId}/pacelane.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)

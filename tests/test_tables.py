@@ -166,3 +166,38 @@ def test_violations_of_each_rule_are_counted_once(spark):
     df = spark.createDataFrame([("s", 0, 0), ("s", 1, 5), ("s", 2, 3), ("s", 2, 9)], "stream_id string, sample_index bigint, t_rel_ns bigint")
     got = {r.rule: r.violations for r in quality.time_rules(df, ["stream_id"], strict=False, chunk=2).collect()}
     assert got == {"time.monotonic:sample_index": 1, "time.monotonic:t_rel_ns": 1, "time.contiguous": 1}
+
+
+def test_window_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "dense")
+    spark.range(1000).select(F.col("id").alias("t_rel_ns"), (F.col("id") % 5).cast("string").alias("object_id"), F.lit(1.0).alias("x_m"), F.lit(2.0).alias("y_m")).write.parquet(path)
+    plan = serve.scan_stream(spark.read.parquet(path), 10, 20, ["t_rel_ns", "x_m"], "3")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t_rel_ns,10)" in plan and "EqualTo(object_id,3)" in plan
+    assert "y_m" not in plan.split("ReadSchema:")[1]
+
+
+def test_stream_files_split_a_large_session(spark, tmp_path):
+    from pacelane.sinks import tables
+
+    rows = spark.range(20_000).select(F.lit("d").alias("dataset_id"), F.lit("tracking").alias("modality"), F.lit("s").alias("session_id"), F.lit("st").alias("stream_id"), F.col("id").alias("t_rel_ns"))
+    tables.write_stream(rows, str(tmp_path / "out"), slice_ns=2_000)
+    folder = tmp_path / "out" / "dataset_id=d" / "modality=tracking" / "session_id=s"
+    assert len(list(folder.glob("*.parquet"))) > 1 and spark.read.parquet(str(tmp_path / "out")).count() == 20_000
+
+
+def test_publish_is_refused_without_a_code_revision(spark, tmp_path):
+    from pacelane.sinks import tables
+
+    runs = spark.createDataFrame([("r1", "processor", None), ("r2", "source", None)], "run_id string, origin string, code_sha string")
+    mart = spark.range(3)
+    with pytest.raises(ValueError):
+        tables.publish_marts({"m": mart}, runs, str(tmp_path / "marts"))
+    tables.publish_marts({"m": mart}, runs.filter("run_id = 'r2'"), str(tmp_path / "marts"))
+    assert spark.read.parquet(str(tmp_path / "marts" / "m")).count() == 3
+
+
+def test_package_is_on_the_workers(spark):
+    from pacelane.session import ship_package
+
+    ship_package(spark)
+    assert "pacelane.zip" in spark.sparkContext._python_includes
