@@ -180,7 +180,12 @@ def test_stream_files_split_a_large_session(spark, tmp_path):
     from pacelane.sinks import tables
 
     rows = spark.range(20_000).select(F.lit("d").alias("dataset_id"), F.lit("tracking").alias("modality"), F.lit("s").alias("session_id"), F.lit("st").alias("stream_id"), F.col("id").alias("t_rel_ns"))
-    tables.write_stream(rows, str(tmp_path / "out"), slice_ns=2_000)
+    # Adaptive execution would merge these few bytes into one file.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tables.write_stream(rows, str(tmp_path / "out"), slice_ns=2_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     folder = tmp_path / "out" / "dataset_id=d" / "modality=tracking" / "session_id=s"
     assert len(list(folder.glob("*.parquet"))) > 1 and spark.read.parquet(str(tmp_path / "out")).count() == 20_000
 
