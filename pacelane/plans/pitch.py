@@ -72,13 +72,15 @@ TEAM_SQL = (
     "G17, J6, X1, X2",
     TEAM_SQL
     + """ SELECT stream_id, t_rel_ns, group_id, n AS player_count, round(cx, 6) + 0.0 AS centroid_x_m, round(cy, 6) + 0.0 AS centroid_y_m, round(l, 6) + 0.0 AS length_m, round(w, 6) + 0.0 AS width_m,
-                 round(CASE WHEN w > 0 THEN l / w END, 6) + 0.0 AS length_width_ratio, round(hull, 6) + 0.0 AS hull_area_m2, round(rms / sqrt(105.0 ** 2 + 68.0 ** 2), 6) + 0.0 AS stretch_index,
+                 round(CASE WHEN w > 0 THEN l / w END, 9) + 0.0 AS length_width_ratio, round(hull, 6) + 0.0 AS hull_area_m2, round(rms / sqrt(105.0 ** 2 + 68.0 ** 2), 6) + 0.0 AS stretch_index,
                  round(pm, 6) + 0.0 AS pairwise_distance_mean_m, round(pn, 6) + 0.0 AS pairwise_distance_min_m, round(px, 6) + 0.0 AS pairwise_distance_max_m, corners AS hull_corners,
                  round(bd, 6) + 0.0 AS ball_distance_to_centroid_m FROM team""",
 )
 def team_geometry(tb):
     df = tac.team_geometry(_players(tb), tac.ball(tb.frames)).withColumn("hull_corners", F.size("hull_polygon").cast("bigint")).drop("hull_polygon")
-    return rounded(df, *[c for c in df.columns if c not in ("stream_id", "t_rel_ns", "group_id", "player_count", "hull_corners")])
+    # Quotients by 64 end at the seventh digit, so six digits would round ties.
+    df = rounded(df, "length_width_ratio", digits=9)
+    return rounded(df, *[c for c in df.columns if c not in ("stream_id", "t_rel_ns", "group_id", "player_count", "hull_corners", "length_width_ratio")])
 
 
 @query(
