@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pacelane.operators import clean
-from pacelane.plans.registry import query, r6, rounded
-from pacelane.testbed import TRACK_CHUNK  # noqa: F401
+from pacelane.plans.registry import query, r6
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pacelane.operators import biomech as bio
 from pacelane.operators import joins
