@@ -3,8 +3,9 @@
 A text is folded to lower-case letters with one space between words and counted as
 hashed 1- to 3-grams.  Counts become ``(1 + ln tf) * idf``, normalised to length one.  Each language
 owns several centroids, found by spherical k-means, because its texts come in
-kinds.  A text gets the language of the centroid with the largest cosine.  A text whose
-distance to its nearest centroid exceeds that centroid's radius is marked as rejected.
+kinds.  A text gets the language of the centroid with the largest cosine.  A text that is
+farther from it than the language's radius allows is marked as rejected; short texts hold few
+n-grams and so have small cosines, which the radius allows for.
 
 Document frequencies count every training row.  The centroids come from a bounded
 sample, ``SAMPLE`` rows of each language with the smallest hashes of their ids.
@@ -33,7 +34,9 @@ SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.55
-"""A centroid rejects texts with a cosine below this share of the smallest one among its training rows."""
+"""A language rejects texts whose nearness is below this share of the smallest one among its training rows."""
+SHORT = 60
+"""A cosine is held against what a text with this many distinct n-grams more would reach: nearness is cosine * (n + SHORT) / n."""
 
 _fold: list[np.ndarray] = []
 
@@ -84,8 +87,8 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return rows / np.maximum(norm, 1e-12)
 
 
-def spherical_means(rows: np.ndarray, count: int, rounds: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of length one and, for each, the smallest cosine of its rows."""
+def spherical_means(rows: np.ndarray, count: int, rounds: int, seed: int = 7) -> np.ndarray:
+    """Centroids of length one."""
     rng = np.random.default_rng(seed)
     count = min(count, len(rows))
     centre = rows[[int(rng.integers(len(rows)))]]
@@ -101,10 +104,12 @@ def spherical_means(rows: np.ndarray, count: int, rounds: int, seed: int = 7) ->
         if np.allclose(moved, centre, atol=1e-5):
             break
         centre = moved
-    cosine = rows @ centre.T
-    near = cosine.argmax(axis=1)
-    least = np.array([cosine[near == k, k].min() if (near == k).any() else 1.0 for k in range(len(centre))])
-    return centre, least
+    return centre
+
+
+def nearness(cosine: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Cosine with the number of distinct n-grams allowed for."""
+    return cosine * (grams + SHORT) / np.maximum(grams, 1)
 
 
 class LanguageModel:
@@ -127,10 +132,12 @@ class LanguageModel:
                     counts.append(count)
             if not kept:
                 continue
-            cosine = vectors(np.stack(counts), self.idf) @ self.centroids.T
+            counts = np.stack(counts)
+            cosine = vectors(counts, self.idf) @ self.centroids.T
             best = cosine.argmax(axis=1)
-            for k, row, b in zip(kept, cosine, best, strict=True):
-                names[k], score[k], rejected[k] = self.languages[b], min(1.0, max(0.0, float(row[b]))), row[b] < self.least[b]
+            near = nearness(cosine.max(axis=1), (counts > 0).sum(axis=1))
+            for k, row, b, n in zip(kept, cosine, best, near, strict=True):
+                names[k], score[k], rejected[k] = self.languages[b], min(1.0, max(0.0, float(row[b]))), n < self.least[b]
         return names, score, rejected
 
 
@@ -171,8 +178,10 @@ def fit_language(df: DataFrame, training: Column | None = None, sample: int = SA
         counts = [c for c in map(gram_counts, sorted(table.column("text").to_pylist())) if c is not None]
         if not counts:
             return pa.table({"lang": pa.array([], pa.string()), "least": pa.array([], pa.float64()), "centroid": pa.array([], pa.binary())})
-        centre, least = spherical_means(vectors(np.stack(counts).astype(np.float32), idf.astype(np.float32)), centroids, ROUNDS)
-        return pa.table({"lang": [language] * len(centre), "least": pa.array(least, pa.float64()), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary())})
+        rows = vectors(np.stack(counts), idf.astype(np.float32))
+        centre = spherical_means(rows, centroids, ROUNDS)
+        least = float(nearness((rows @ centre.T).max(axis=1), np.array([(c > 0).sum() for c in counts])).min())
+        return pa.table({"lang": [language] * len(centre), "least": [least] * len(centre), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary())})
 
     found = sorted(map(tuple, chosen.groupBy("lang").applyInArrow(fit, "lang string, least double, centroid binary").collect()))
     return LanguageModel(

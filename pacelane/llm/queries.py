@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import language, pieces
+from pacelane.llm import language, neardup, pieces
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op1(t: Tables) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op6_neardup")
+def op6(t: Tables) -> DataFrame:
+    found = neardup.near_groups(t.documents, width=3, threshold=85)
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 @query("op8_pieces")
 def op8(t: Tables) -> DataFrame:
     return pieces.piece_codes(t.documents, piece_model(), digest=True)
