@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, language, neardup, pieces
+from pacelane.llm import decontam, language, neardup, pieces, secrets, secrets_sql
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op8(t: Tables) -> DataFrame:
     return pieces.piece_codes(t.documents, piece_model(), digest=True)
 
 
+@query("op9_secrets", secrets_sql.sql())
+def op9(t: Tables) -> DataFrame:
+    return secrets.digest(secrets.with_spans(t.documents))
+
+
 @query("op10_decontam")
 def op10(t: Tables) -> DataFrame:
     return decontam.find_leaks(t.documents, t.benchmark)
