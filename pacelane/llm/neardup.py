@@ -5,13 +5,8 @@ shingles.  Documents with equal sets are one node from the start.  Universal has
 set are cut into bands; nodes that agree on a band share a bucket.  Candidates are checked on their
 signatures, then on the full sets.  Links become groups by alternating large-star and small-star.
 
-No bucket is compared pair by pair.  Every member of a bucket is compared with the bucket's lead,
-the smallest id.  Members that are not linked to it form a smaller bucket, which is treated the same way
-(of up to ``SMALL`` members, pair by pair).  What is left are links between a member linked to the lead and
-one that is not.  The Jaccard distance obeys the triangle inequality, so with distances ``p`` and ``q``
-to the lead they can only be linked if ``|p - q|`` is at most the allowed distance; just those pairs are
-compared, if they are not already in one group.  Band and row counts put the odds of missing a link at the
-threshold under one in ten million.
+No bucket is compared pair by pair (``stars``).  Band and row counts put the odds of missing a link at the threshold
+under one in ten million.
 
 Null, empty and wordless texts have an empty set and are linked with nothing.  A text with fewer words than a
 shingle is one shingle.  Repeated rows and equal texts are in one group.  Rows with a null id are grouped
@@ -24,15 +19,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacelane.llm.components import components
 from pacelane.llm.frames import plain, settle, ship_package
+from pacelane.llm.stars import bucket_links, grouped, shared_buckets
 from pacelane.llm.words import U64, find_words, shingle_set, slices
 
 BANDS = 32
-SMALL = 32
 LENIENT = 0.2
 """A signature may show this much less likeness than asked for before a pair is dropped unseen (over 5 deviations)."""
 
@@ -116,61 +110,19 @@ def _compare(pairs: DataFrame, sets: DataFrame, width: int, threshold: int) -> D
     return rows.mapInArrow(measure, "a binary, b binary, jaccard double")
 
 
-def _order(prefix: str = "") -> Column:
-    """Nodes by smallest id, null ids last, then by digest."""
-    return F.struct(F.col(f"{prefix}rep").isNull().alias("none"), F.col(f"{prefix}rep").alias("rep"), F.col(f"{prefix}node").alias("node"))
-
-
 def node_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Verified links ``a``, ``b`` that connect just what all links connect.
 
     ``nodes``: ``node``, ``rep`` (smallest id), ``signature``; ``texts``: ``id``, ``text`` of the documents.
     """
     rows = band_rows(threshold)
-    near, apart = threshold / 100, 1 - threshold / 100
     spots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("signature", i * rows + 1, rows))))
     spread = nodes.select("node", "rep", spots.alias("band", "value")).select("node", "rep", F.xxhash64("band", "value").alias("bucket"))
-    leads = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(_order()).alias("lead")).where("size > 1")
-    level = settle(spread.join(leads.select("bucket", "size", F.col("lead.node").alias("lead")), "bucket"))
-    members = level.select("node", "rep").distinct()
-    keys = members.select(F.col("rep").alias("key_rep"), F.col("node").alias("key_node")).join(nodes.select(F.col("node").alias("key_node"), "signature"), "key_node")
+    level = shared_buckets(spread)
+    members = level.select(F.col("rep").alias("key_rep"), F.col("node").alias("key_node")).distinct()
+    keys = members.join(nodes.select(F.col("node").alias("key_node"), "signature"), "key_node")
     sets = settle(_texts_of(keys, texts, width))
-    links: DataFrame | None = None
-    loose: list[DataFrame] = []
-    while True:
-        stars = level.where(F.col("node") != F.col("lead"))
-        measured = settle(_compare(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), sets, width, threshold))
-        found = measured.where(F.col("jaccard") >= near).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        judged = settle(stars.join(measured.select(F.col("a").alias("node"), F.col("b").alias("lead"), "jaccard"), ["node", "lead"]))
-        failed = judged.where(F.col("jaccard") < near)
-        loose.append(judged.where(F.col("jaccard") >= 1 - 2 * apart - 1e-9))
-        rest = failed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(_order()).alias("lead")).where("size > 1")
-        sizes = rest.agg(F.max("size")).first()[0] or 0
-        if not sizes:
-            break
-        level = failed.select("node", "rep", "bucket").join(rest.select("bucket", "size", F.col("lead.node").alias("lead")), "bucket")
-        few = level.where(F.col("size") <= SMALL).select("node", "bucket")
-        pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
-        links = links.unionByName(settle(_compare(pairs, sets, width, threshold).where(F.col("jaccard") >= near).select("a", "b")))
-        if sizes <= SMALL:
-            break
-        level = settle(level.where(F.col("size") > SMALL))
-    return links.unionByName(_across(links, loose, sets, width, threshold))
-
-
-def _across(links: DataFrame, loose: list[DataFrame], sets: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links between members that are linked to a bucket's lead and members that are not."""
-    near, apart = threshold / 100, 1 - threshold / 100
-    group = components(links).withColumnRenamed("component", "of")
-    found = None
-    for judged in loose:
-        sides = judged.join(group, "node", "left").select("bucket", "node", "jaccard", F.coalesce("of", "node").alias("of"))
-        out = sides.where(F.col("jaccard") < near).select("bucket", F.col("node").alias("a"), F.col("jaccard").alias("p"), F.col("of").alias("of_a"))
-        linked = sides.where(F.col("jaccard") >= near).select("bucket", F.col("node").alias("b"), F.col("jaccard").alias("q"), F.col("of").alias("of_b"))
-        pairs = out.join(linked, "bucket").where((F.col("q") - F.col("p") <= apart + 1e-9) & (F.col("of_a") != F.col("of_b"))).select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-    return _compare(found.distinct(), sets, width, threshold).where(F.col("jaccard") >= near).select("a", "b")
+    return bucket_links(level, lambda pairs: _compare(pairs, sets, width, threshold), threshold / 100)
 
 
 def _texts_of(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -199,10 +151,7 @@ def near_groups(df: DataFrame, width: int = 5, threshold: int = 80, id_column: s
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
     nodes = settle(nodes)
     texts = plain(df, id_column, text_column).toDF("id", "text")
-    group = components(node_links(nodes, texts, width, threshold))
-    named = nodes.select("node", "rep").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("node", F.col("least").alias("component"))
+    named = grouped(nodes, node_links(nodes, texts, width, threshold))
     known = signed.where("node IS NOT NULL").select("id", "n_shingles", "node").join(named, "node")
     bare = signed.where("node IS NULL").select("id", "n_shingles", "node", F.col("id").alias("component"))
     return known.select("id", "n_shingles", "node", "component").unionByName(bare)

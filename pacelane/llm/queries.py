@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, language, neardup, pieces, secrets, secrets_sql
+from pacelane.llm import decontam, language, neardup, pieces, secrets, secrets_sql, spots
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,20 @@ def op6(t: Tables) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+@query("op7_spots")
+def op7(t: Tables) -> DataFrame:
+    rows = spots.with_edits(t.documents)
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spots.shown(F.col("spots")).alias("fingerprint"),
+        spots.shown(F.col("edited_spots")).alias("edited_fingerprint"),
+        spots.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        F.coalesce(spots.likeness(F.col("spots"), F.col("next_spots")), F.lit(0.0)).alias("near_next"),
+    )
+
+
 @query("op8_pieces")
 def op8(t: Tables) -> DataFrame:
     return pieces.piece_codes(t.documents, piece_model(), digest=True)
