@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, language, neardup, pieces, secrets, secrets_sql, spots
+from pacelane.llm import decontam, language, neardup, pieces, secrets, secrets_sql, shards, spots
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,14 @@ def op1(t: Tables) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op5_shards")
+def op5(t: Tables) -> DataFrame:
+    rows = shards.shuffled(t.documents.select("doc_id", "text"), 24, seed=5)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    none = F.lit(None).cast("int")
+    return rows.select("doc_id", shards.row_size().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
 @query("op6_neardup")
 def op6(t: Tables) -> DataFrame:
     found = neardup.near_groups(t.documents, width=3, threshold=85)
