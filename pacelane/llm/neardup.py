@@ -158,11 +158,11 @@ def near_groups(df: DataFrame, width: int = 5, threshold: int = 80, id_column: s
 
 
 def drop_near_copies(df: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """Rows of ``df`` without near copies: of each group the document with the smallest id stays, once.
+    """Rows of ``df`` without near copies: of each group the document with the smallest id stays; repeated rows once.
 
-    Rows whose group has no id at all keep one row of each text.
+    Rows that share an id go together.  A row with a null id has no place in the order of ids and stays.
     """
     found = near_groups(df, width, threshold)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone")).distinct()
-    kept = df.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    gone = found.where("id IS NOT NULL AND id <> component").select(F.col("id").alias("doc_id")).distinct()
+    kept = df.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.select(*df.columns).unionByName(df.where("doc_id IS NULL"))
