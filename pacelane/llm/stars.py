@@ -1,10 +1,13 @@
 """Links inside buckets without comparing a bucket pair by pair.
 
 Every member of a bucket is compared with the bucket's lead, the node of the smallest id.  Members that are not
-linked to it form a smaller bucket, treated the same way (of up to ``SMALL`` members, pair by pair).  What is left are
-links between a member linked to the lead and one that is not.  The Jaccard distance obeys the triangle inequality,
-so with distances ``p`` and ``q`` to the lead these two can only be linked if ``|p - q|`` is at most the allowed
-distance; just those pairs are compared, if they are not already in one group.
+linked to it form what is left of the bucket: of up to ``SMALL`` members it is compared pair by pair.  Larger ones are
+bucketed anew by sharper keys, if there are any, and then compared with ``SMALL`` leads at once, with twice as many
+in each further round, until at most that many members are left that are linked to no lead.
+
+What is still open are links between a member linked to a lead and one that is not.  The Jaccard distance obeys the
+triangle inequality, so with distances ``p`` and ``q`` to the lead these two can only be linked if ``|p - q|`` is at most the
+allowed distance; just those pairs are compared, if they are not already in one group.
 """
 
 from __future__ import annotations
@@ -34,31 +37,55 @@ def shared_buckets(spread: DataFrame) -> DataFrame:
     return settle(spread.join(leads.select("bucket", "size", F.col("lead.node").alias("lead")), "bucket"))
 
 
-def bucket_links(level: DataFrame, compare: Compare, near: float) -> DataFrame:
-    """Links ``a``, ``b`` that connect just what all pairs of a bucket with a similarity of ``near`` connect."""
-    links: DataFrame | None = None
+def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """Each pair of nodes once, whichever way round."""
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a <> b").distinct()
+
+
+def _inside(few: DataFrame) -> DataFrame:
+    """All pairs of the small buckets ``few`` (``node``, ``bucket``)."""
+    few = few.select("node", "bucket")
+    return _pairs(few.join(few.withColumnRenamed("node", "lead"), "bucket").where("node < lead"), "node", "lead")
+
+
+def bucket_links(spread: DataFrame, compare: Compare, near: float, sharper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links ``a``, ``b`` that connect just what all pairs of a bucket with a similarity of ``near`` connect.
+
+    ``spread``: the buckets (``shared_buckets``); ``sharper`` gives, for some nodes (``node``, ``rep``), other buckets
+    (``node``, ``rep``, ``bucket``) in which any two nodes as near as asked meet as well.
+    """
+    linked = F.col("jaccard") >= near
+    stars = spread.where("node <> lead").select("node", "rep", "bucket", "lead")
+    links: list[DataFrame] = []
     loose: list[DataFrame] = []
+    leads = 1
     while True:
-        stars = level.where(F.col("node") != F.col("lead"))
-        measured = settle(compare(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()))
-        found = measured.where(F.col("jaccard") >= near).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        judged = settle(stars.join(measured.select(F.col("a").alias("node"), F.col("b").alias("lead"), "jaccard"), ["node", "lead"]))
-        failed = judged.where(F.col("jaccard") < near)
-        loose.append(judged.where(F.col("jaccard") >= 2 * near - 1 - 1e-9))
-        rest = failed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(_order()).alias("lead")).where("size > 1")
-        rest = settle(rest.select("bucket", "size", F.col("lead.node").alias("lead")))
+        measured = settle(compare(_pairs(stars, "node", "lead")))
+        links.append(measured.where(linked).select("a", "b"))
+        judged = stars.withColumns({"a": F.least("node", "lead"), "b": F.greatest("node", "lead")}).join(measured, ["a", "b"]).drop("a", "b")
+        loose.append(settle(judged.where(F.col("jaccard") >= 2 * near - 1 - 1e-9).select("bucket", "lead", "node", "jaccard")))
+        failed = judged.groupBy("node", "bucket").agg(F.first("rep").alias("rep"), F.max("jaccard").alias("most")).where(F.col("most") < near).drop("most")
+        if leads > 1:  # leads have been compared with all others
+            failed = failed.join(stars.select(F.col("lead").alias("node"), "bucket").distinct(), ["node", "bucket"], "left_anti")
+        sizes = failed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        rest = settle(failed.join(sizes, "bucket"))
         most = rest.agg(F.max("size")).first()[0] or 0
         if not most:
             break
-        level = settle(failed.select("node", "rep", "bucket").join(rest, "bucket"))
-        few = level.where(F.col("size") <= SMALL).select("node", "bucket")
-        pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
-        links = links.unionByName(settle(compare(pairs).where(F.col("jaccard") >= near).select("a", "b")))
-        if most <= SMALL:
+        few = SMALL * max(1, leads // SMALL)
+        links.append(settle(compare(_inside(rest.where(F.col("size") <= few))).where(linked).select("a", "b")))
+        if most <= few:
             break
-        level = level.where(F.col("size") > SMALL)
-    return links.unionByName(_across(links, loose, compare, near))
+        rest = rest.where(F.col("size") > few)
+        if leads == 1 and sharper is not None:
+            rest = shared_buckets(sharper(rest.select("node", "rep").distinct())).drop("lead")
+        leads = SMALL if leads == 1 else 2 * leads
+        asked = rest.where(F.pmod(F.xxhash64("node", F.lit(leads)), F.greatest(F.lit(1), F.ceil(F.col("size") / leads))) == 0)
+        stars = settle(rest.drop("size").join(asked.select("bucket", F.col("node").alias("lead")), "bucket").where("node <> lead"))
+    all_links = links[0]
+    for more in links[1:]:
+        all_links = all_links.unionByName(more)
+    return all_links.unionByName(settle(_across(all_links, loose, compare, near)))
 
 
 def _across(links: DataFrame, loose: list[DataFrame], compare: Compare, near: float) -> DataFrame:
@@ -66,12 +93,12 @@ def _across(links: DataFrame, loose: list[DataFrame], compare: Compare, near: fl
     group = components(links).withColumnRenamed("component", "of")
     found = None
     for judged in loose:
-        sides = judged.join(group, "node", "left").select("bucket", "node", "jaccard", F.coalesce("of", "node").alias("of"))
-        out = sides.where(F.col("jaccard") < near).select("bucket", F.col("node").alias("a"), F.col("jaccard").alias("p"), F.col("of").alias("of_a"))
-        linked = sides.where(F.col("jaccard") >= near).select("bucket", F.col("node").alias("b"), F.col("jaccard").alias("q"), F.col("of").alias("of_b"))
-        pairs = out.join(linked, "bucket").where((F.col("q") - F.col("p") <= 1 - near + 1e-9) & (F.col("of_a") != F.col("of_b"))).select("a", "b")
+        sides = judged.join(group, "node", "left").select("bucket", "lead", "node", "jaccard", F.coalesce("of", "node").alias("of"))
+        out = sides.where(F.col("jaccard") < near).select("bucket", "lead", F.col("node").alias("a"), F.col("jaccard").alias("p"), F.col("of").alias("of_a"))
+        linked = sides.where(F.col("jaccard") >= near).select("bucket", "lead", F.col("node").alias("b"), F.col("jaccard").alias("q"), F.col("of").alias("of_b"))
+        pairs = out.join(linked, ["bucket", "lead"]).where((F.col("q") - F.col("p") <= 1 - near + 1e-9) & (F.col("of_a") != F.col("of_b"))).select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-    return compare(found.distinct()).where(F.col("jaccard") >= near).select("a", "b")
+    return compare(_pairs(found, "a", "b")).where(F.col("jaccard") >= near).select("a", "b")
 
 
 def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
