@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, extract, language, neardup, pieces, secrets, secrets_sql, shards, spots
+from pacelane.llm import decontam, extract, language, neardup, pieces, secrets, secrets_sql, shards, spots, toxicity
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,14 @@ def op3(t: Tables) -> DataFrame:
     return extract.main_texts(t.pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op4_toxicity")
+def op4(t: Tables) -> DataFrame:
+    network = toxicity.fit_toxicity(t.documents, t.labels, remainder(3) != 1)
+    found = toxicity.score_texts(t.documents, network)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op5_shards")
 def op5(t: Tables) -> DataFrame:
     rows = shards.shuffled(t.documents.select("doc_id", "text"), 24, seed=5)

@@ -30,11 +30,13 @@ from pacelane.llm.words import PUNCTUATION, U64, find_words, slices
 WINDOW, STEP = 24, 16
 HIDDEN, SIZE, LOOK = 8, 16, 8
 GRAM_BITS = 15
+LEARNED_BITS = 12
+FOLD = GRAM_BITS - LEARNED_BITS
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 16
 FREQUENT = 5
 CUT = 0.7
-EPOCHS = 8
+EPOCHS = 6
 TELLING = 3
 """Numbers beside a word's learned vector."""
 
@@ -144,7 +146,7 @@ class Network:
         self.tables = np.zeros(len(known) + 1, np.float32), np.zeros(1 << GRAM_BITS, np.float32)
         self.p = {
             "word": draw(len(known) + 1, SIZE, scale=0.02) * self.learned,
-            "gram": draw(1 << GRAM_BITS, SIZE, scale=0.02),
+            "gram": draw(1 << LEARNED_BITS, SIZE, scale=0.02),
             "in_f": draw(SIZE + TELLING, 3 * HIDDEN, scale=0.3),
             "in_b": draw(SIZE + TELLING, 3 * HIDDEN, scale=0.3),
             "base_f": np.zeros(3 * HIDDEN, np.float32),
@@ -166,7 +168,7 @@ class Network:
             to = min(at + (1 << 15), len(rows))
             low, high = vocabulary.begin[at], vocabulary.begin[to] if to < len(rows) else len(vocabulary.gram)
             gram, begin = vocabulary.gram[low:high], vocabulary.begin[at:to] - low
-            rows[at:to, :SIZE] += np.add.reduceat(self.p["gram"][gram], begin, axis=0) / vocabulary.grams[at:to, None]
+            rows[at:to, :SIZE] += np.add.reduceat(self.p["gram"][gram >> FOLD], begin, axis=0) / vocabulary.grams[at:to, None]
             rows[at:to, SIZE + 1] = np.maximum.reduceat(tables[1][gram], begin)
             rows[at:to, SIZE + 2] = np.add.reduceat(tables[1][gram], begin) / vocabulary.grams[at:to]
         return rows
@@ -207,7 +209,7 @@ class Network:
         p = self.p
         low = vocabulary.begin[distinct]
         grams = vocabulary.grams[distinct]
-        gram = vocabulary.gram[_within(low, low + grams)]
+        gram = vocabulary.gram[_within(low, low + grams)] >> FOLD
         own = np.repeat(np.arange(len(distinct)), grams)
         start = np.cumsum(grams) - grams
         learned = p["word"][vocabulary.row[distinct]] + np.add.reduceat(p["gram"][gram], start, axis=0) / grams[:, None]
@@ -299,9 +301,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
     spread = {k: np.zeros_like(v) for k, v in network.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        if epoch:
+        if epoch % 2:
             score = _window_scores(network, vocabulary, tables, label[text], begin, size)
-        else:  # the sum of what is telling in a window
+        elif not epoch:  # the sum of what is telling in a window
             sums = [np.concatenate([[0.0], np.cumsum(np.maximum(n, 0).sum(axis=1)[vocabulary.of])]) for n in numbers]
             score = np.where(label[text] == 1, sums[1][begin + size] - sums[1][begin], sums[0][begin + size] - sums[0][begin])
         order = np.lexsort((score, text))
