@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, extract, language, neardup, pieces, secrets, secrets_sql, shards, spots, toxicity
+from pacelane.llm import decontam, extract, language, neardup, passages, pieces, secrets, secrets_sql, shards, spots, toxicity
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op1(t: Tables) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op2_passages")
+def op2(t: Tables) -> DataFrame:
+    return passages.repeated_passages(t.documents)
+
+
 @query("op3_extract")
 def op3(t: Tables) -> DataFrame:
     return extract.main_texts(t.pages).withColumn("n_chars", F.length("text").cast("long"))
