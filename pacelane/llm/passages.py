@@ -1,7 +1,7 @@
 """Repeated passages by compact windows.
 
 A text is a sequence of tokens, the numbers of its runs of five words (words are runs without white space, ``A-Z``
-in lower case).  Under a hash function, a compact window ``(l, c, r)`` stands for all subsequences that contain token ``c`` and
+in lower case; equal neighbours are numbered).  Under a hash function, a compact window ``(l, c, r)`` stands for all subsequences that contain token ``c`` and
 lie in ``l..r``: ``c`` has the least hash in all of them.  The windows are the nodes of the Cartesian tree over the hashes;
 those at least as long as the shortest passage are kept.  Two near-duplicate passages have the same minimum under most functions,
 so windows of different documents that agree on a function and its minimum are joined; a pair of documents that agree
@@ -87,6 +87,17 @@ def token_hashes(codes: np.ndarray, function: int) -> np.ndarray:
     return np.where(codes == 0, U64(0), mix(codes * factor + U64(function)) | U64(4))
 
 
+def told_apart(tokens: np.ndarray) -> np.ndarray:
+    """Tokens with equal neighbours numbered along the run, so a word said over and over has more than one token."""
+    again = np.zeros(len(tokens), bool)
+    again[1:] = (tokens[1:] == tokens[:-1]) & (tokens[1:] != 0)
+    if not again.any():
+        return tokens
+    place = np.arange(len(tokens))
+    along = place - np.maximum.accumulate(np.where(again, 0, place))
+    return np.where(along > 0, mix(tokens + along.astype(U64) * U64(0xD6E8FEB86659FD93)) | U64(1), tokens)
+
+
 def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``value`` (function and least hash), ``doc`` and ``place`` (centre, reach to the left and right) of every compact window."""
     ship_package(df.sparkSession)
@@ -105,6 +116,7 @@ def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 last = words.first[1:]
                 for k in range(1, RUN):
                     tokens[np.maximum(last - k, 0)] = 0
+                tokens = told_apart(tokens)
                 values, docs, places = [], [], []
                 for function in range(FUNCTIONS):
                     hashes = token_hashes(tokens, function)
