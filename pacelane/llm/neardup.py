@@ -131,7 +131,44 @@ def node_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -
         band = F.transform(picked, lambda p, i: F.xxhash64(F.lit(-1), i, F.transform(p, lambda k: F.element_at("signature", k))))
         return some.join(sets.select("node", "signature").distinct(), "node").select("node", "rep", F.explode(band).alias("bucket"))
 
-    return bucket_links(level, lambda pairs: _compare(pairs, sets, width, threshold), threshold / 100, sharper)
+    return bucket_links(level, lambda pairs: _compare(pairs, sets, width, threshold), threshold / 100, sharper, lambda cells: _meet(cells, sets, width, threshold))
+
+
+def _meet(cells: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links between the two sides of each cell, or inside a cell of one side, by products of shingle incidence matrices."""
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table.column("side").to_numpy()
+        sets = []
+        for _, _, data, offsets in slices(table.column("text").chunk(0)):
+            words = find_words(data, offsets)
+            sets += [shingle_set(words.code[words.first[k] : words.first[k + 1]], width) for k in range(len(offsets) - 1)]
+        size = np.array([len(s) for s in sets])
+        _, shingle, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        common = often > 1
+        column = np.cumsum(common) - 1
+        use = common[shingle]
+        owner, column = owner[use], column[shingle[use]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        one = np.flatnonzero(side == 0)
+        other = np.flatnonzero(side == 1) if (side == 1).any() else one
+        both = np.zeros((len(one), len(other)), np.float32)
+        for first in range(0, int(common.sum()), 4096):
+            part = slice(*np.searchsorted(column, [first, first + 4096]))
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[owner[part], column[part] - first] = 1
+            both += matrix[one] @ matrix[other].T
+        shared = both.astype(np.int64)
+        near = 100 * shared >= threshold * (size[one][:, None] + size[other][None, :] - shared)
+        a, b = np.nonzero(near & (one[:, None] != other[None, :]))
+        node = table.column("node")
+        return pa.table({"a": node.take(pa.array(one[a])), "b": node.take(pa.array(other[b]))})
+
+    rows = cells.join(sets.select("node", "text"), "node").select("cell", "side", "node", "text")
+    return rows.groupBy("cell").applyInArrow(links, "a binary, b binary")
 
 
 def _texts_of(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
