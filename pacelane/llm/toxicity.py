@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacelane.llm.frames import plain, ship_package
-from pacelane.llm.words import PUNCTUATION, U64, find_words, slices
+from pacelane.llm.words import PUNCTUATION, U64, Words, find_words, slices
 
 WINDOW, STEP = 24, 16
 HIDDEN, SIZE, LOOK = 8, 16, 8
@@ -119,12 +119,16 @@ class Telling:
 
     def __init__(self, vocabulary: Vocabulary, words, label: np.ndarray, rows: int):
         self.texts = float((label == 1).sum()), float((label == 0).sum())
-        pairs = np.unique(np.stack([vocabulary.of, words.text]), axis=1)
-        self.word = [np.bincount(vocabulary.row[pairs[0]], label[pairs[1]] == k, minlength=rows) for k in (1, 0)]
-        size = vocabulary.grams[pairs[0]]
-        gram = vocabulary.gram[_within(vocabulary.begin[pairs[0]], vocabulary.begin[pairs[0]] + size)]
-        pairs = np.unique(gram * len(label) + np.repeat(pairs[1], size))
-        self.gram = [np.bincount(pairs // len(label), label[pairs % len(label)] == k, minlength=1 << GRAM_BITS) for k in (1, 0)]
+        pairs = np.unique(vocabulary.of * len(label) + words.text)
+        word, text = pairs // len(label), pairs % len(label)
+        self.word = [np.bincount(vocabulary.row[word], label[text] == k, minlength=rows) for k in (1, 0)]
+        self.gram = [np.zeros(1 << GRAM_BITS) for _ in range(2)]
+        order = np.argsort(text, kind="stable")
+        for mine in np.split(word[order], np.searchsorted(text[order], np.arange(1, len(label)))):
+            if len(mine):
+                gram = vocabulary.gram[_within(vocabulary.begin[mine], vocabulary.begin[mine] + vocabulary.grams[mine])]
+                self.gram[0 if label[text[order[0]]] == 1 else 1][np.unique(gram)] += 1
+            order = order[len(mine) :]
 
     def tables(self, left_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         less = [left_out == 1, left_out == 0]
@@ -277,18 +281,30 @@ def window_words(of: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
     return of[np.where(mask, begin[:, None] + place, 0)], mask.astype(np.float32)
 
 
+def _all_words(column: pa.Array) -> Words:
+    """Words of all texts, found slice by slice, which bounds the memory."""
+    parts, byte, text, word = [], 0, 0, 0
+    firsts = [np.zeros(1, np.int64)]
+    for _, _, data, offsets in slices(column):
+        found = find_words(data, offsets, PUNCTUATION)
+        parts.append((found.code, found.text + text, found.start + byte, found.end + byte, data))
+        firsts.append(found.first[1:] + word)
+        byte, text, word = byte + len(data), text + len(offsets) - 1, word + len(found.code)
+    return Words(*[np.concatenate(p) for p in zip(*parts)], np.concatenate(firsts))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
     """A network fitted to whole labelled texts; None unless both labels occur."""
     label = np.array(labels, np.float32)
     if not len(label) or label.min() == label.max():
         return None
     column = pc.utf8_lower(pa.array(texts, pa.large_string()))
-    ((_, _, data, offsets),) = slices(column, 1 << 62)
-    words = find_words(data, offsets, PUNCTUATION)
+    words = _all_words(column)
     text, begin, size = windows(words.first)
     if not len(text):
         return None
-    code, count = np.unique(np.unique(np.stack([words.code, words.text.astype(U64)]), axis=1)[0], return_counts=True)
+    code, of = np.unique(words.code, return_inverse=True)
+    count = np.bincount(np.unique(of * len(label) + words.text) // len(label), minlength=len(code))
     network = Network(code[count > 1], count[count > 1] >= FREQUENT)
     vocabulary = Vocabulary(words, network.known)
     known = Telling(vocabulary, words, label, len(network.known) + 1)
