@@ -64,9 +64,9 @@ def relative_ns(df: DataFrame, keys: Sequence[str], micros: str, out: str = "t_r
 
 def map_clock(value: Column, *, scale_to_ns: str, period_origin_ns: Column, counts_down_from: Column | None = None, offset_ns: int = 0) -> Column:
     """Affine clock map in decimal arithmetic, rounded half to even."""
-    source = value.cast("decimal(20,6)")
-    elapsed = source if counts_down_from is None else counts_down_from.cast("decimal(20,6)") - source
-    return period_origin_ns + F.lit(offset_ns) + F.bround(elapsed * F.lit(scale_to_ns).cast("decimal(18,6)"), 0).cast("bigint")
+    source = value.cast("decimal(28,9)")
+    elapsed = source if counts_down_from is None else counts_down_from.cast("decimal(28,9)") - source
+    return period_origin_ns + F.lit(offset_ns) + F.bround(elapsed * F.lit(scale_to_ns).cast("decimal(20,9)"), 0).cast("bigint")
 
 
 def apply_alignment(t_ns: str | Column, scale: float | Column, offset_ns: int | Column) -> Column:
@@ -138,6 +138,13 @@ def event_attributes(names: Sequence[str]) -> Column:
     return sorted_json({n: F.col(n) for n in names})
 
 
+def iso_text(name: str) -> Column:
+    """ISO text of a timestamp, with a fraction only if there is one."""
+    whole = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(name, ".SSSSSS")
+    return F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction))
+
+
 def clean_doubles(df: DataFrame) -> DataFrame:
     """NULL for every non-finite double, ISO text for dates and timestamps."""
     out = []
@@ -148,7 +155,7 @@ def clean_doubles(df: DataFrame) -> DataFrame:
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            c = iso_text(name)
         out.append(c.alias(name))
     return df.select(*out)
 

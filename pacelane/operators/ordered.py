@@ -12,7 +12,8 @@ from one row (or ``reach`` rows) per chunk:
   copied into the next one
 * ``number``   - dense numbering
 
-Order columns must be non-null and, together, unique per key.  ``chunk=None``
+Order columns should be non-null and, together, unique per key; rows without an order value come first.  Null keys
+are one key like any other, with every chunk setting.  ``chunk=None``
 means the caller knows the groups are small (plays of one game, say) and a plain
 window is used.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 HALO = "__halo"
 SALTS = 16
+NOWHERE = -(1 << 62)
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -40,7 +42,15 @@ def chunk_number(order: str | Column, chunk: int) -> Column:
 
 
 def with_chunk(df: DataFrame, order: str, chunk: int) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_number(order, chunk))
+    """Chunk of every row; rows without an order value form one chunk before all others, as nulls sort first."""
+    return df.withColumn(CHUNK, F.coalesce(chunk_number(order, chunk), F.lit(NOWHERE)))
+
+
+def _whole_keys(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Stand-ins of the keys without nulls, so that a join on them loses no row: the values, and which of them are missing."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    out = {f"__key{n}": F.coalesce(F.col(k), F.lit("" if kinds[k] in ("string", "binary") else 0).cast(kinds[k])) for n, k in enumerate(keys)}
+    return out | {"__missing": F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys]) if keys else F.lit("")}
 
 
 def _add(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -57,7 +67,11 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], by: str | Col
     """
     share = F.pmod(F.xxhash64(by), F.lit(SALTS).cast("bigint"))
     shares = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    return df.withColumn("__share", share).join(per_key.withColumn("__share", shares), [*keys, "__share"], how).drop("__share")
+    small = per_key.withColumns({f"__of_{k}": F.col(k) for k in keys}).drop(*keys).withColumn("__of_share", shares)
+    same = F.col("__share") == F.col("__of_share")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return df.withColumn("__share", share).join(small, same, how).drop("__share", "__of_share", *[f"__of_{k}" for k in keys])
 
 
 def stencil(
@@ -142,7 +156,9 @@ def running(
             | {n: F.first(e, ignorenulls=True).over(after) for n, e in nexts.items()},
         )
 
-    cut = with_chunk(df, order[0], chunk)
+    stand_ins = _whole_keys(df, keys)
+    cut = with_chunk(df, order[0], chunk).withColumns(stand_ins)
+    keys = list(stand_ins)
     position = F.struct(*order)
     summary = cut.groupBy(*keys, CHUNK).agg(
         *[F.sum(e).alias(f"__sum_{n}") for n, e in sums.items()],
@@ -173,7 +189,7 @@ def running(
         new[n] = F.coalesce(F.last(e, ignorenulls=True).over(before), F.col(f"__last_{n}"))
     for n, e in nexts.items():
         new[n] = F.coalesce(F.first(e, ignorenulls=True).over(after), F.col(f"__next_{n}"))
-    helper = [CHUNK, *[c for c in carry.columns if c.startswith("__")]]
+    helper = [CHUNK, *keys, *[c for c in carry.columns if c.startswith("__")]]
     return _add(out, new).drop(*helper)
 
 

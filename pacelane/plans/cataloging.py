@@ -113,12 +113,12 @@ def catalog_rows(tb):
     "catalog_entries",
     "J22",
     """SELECT c.entry_id, c.title, r_name AS sport_name, n_name AS competition_name, coalesce(string_agg(DISTINCT 's' || l_linenumber, ',' ORDER BY 's' || l_linenumber), '') AS sessions
-       FROM tb_catalog c LEFT JOIN region ON lower(r_name) = c.sport_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 3) ON lower(n_name) = c.competition_id LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 3 = 0) ON l_suppkey = c.entry_id GROUP BY 1, 2, 3, 4""",
+       FROM tb_catalog c LEFT JOIN region ON lower(r_name) = c.sport_id LEFT JOIN nation ON CASE WHEN n_nationkey > 3 THEN lower(n_name) END = c.competition_id LEFT JOIN (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END AS of, l_linenumber FROM lineitem) ON of = c.entry_id GROUP BY 1, 2, 3, 4""",
 )
 def catalog_entries(tb):
     sports = tb.table("region").select(F.lower("r_name").alias("sport_id"), F.col("r_name").alias("sport_name"))
-    competitions = tb.table("nation").filter("n_nationkey > 3").select(F.lower("n_name").alias("competition_id"), F.col("n_name").alias("competition_name"))
-    links = tb.table("lineitem").filter("l_quantity > 45 AND l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("entry_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("session_id"))
+    competitions = tb.table("nation").select(F.expr("CASE WHEN n_nationkey > 3 THEN lower(n_name) END").alias("competition_id"), F.col("n_name").alias("competition_name"))
+    links = tb.table("lineitem").select(F.expr("CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END").alias("entry_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("session_id"))
     df = cat.catalog_entries(tb.catalog, sports, competitions, links)
     return df.select("entry_id", "title", "sport_name", "competition_name", F.array_join("sessions", ",").alias("sessions"))
 

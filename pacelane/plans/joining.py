@@ -36,7 +36,7 @@ def nearest_event_join(tb):
     "event_snapshot",
     "J3, J33",
     """WITH fr AS (SELECT stream_id, t_rel_ns AS ft, count(*) AS n, count(*) FILTER (object_type <> 'ball') AS pl, count(DISTINCT group_id) AS tm,
-                    max(x_m) FILTER (object_type = 'ball') AS bx, max(y_m) FILTER (object_type = 'ball') AS bally FROM tb_frames WHERE frame % 5 < 3 GROUP BY 1, 2),
+                    max(x_m) FILTER (object_type = 'ball') AS bx, max(y_m) FILTER (object_type = 'ball') AS bally FROM (SELECT * REPLACE (t_rel_ns + (frame // 3) * 80000000 AS t_rel_ns) FROM tb_frames) GROUP BY 1, 2),
        m AS (SELECT e.event_id, e.stream_id, any_value(e.t_rel_ns) AS t, any_value(e.x_m) AS x, any_value(e.y_m) AS y,
                     arg_min(ft, abs(ft - e.t_rel_ns) * 2 + CASE WHEN ft > e.t_rel_ns THEN 1 ELSE 0 END) AS ft FROM tb_source_event e LEFT JOIN fr USING (stream_id) GROUP BY 1, 2),
        s AS (SELECT *, abs(ft - t) AS d FROM m)
@@ -46,7 +46,8 @@ def nearest_event_join(tb):
        FROM s LEFT JOIN fr ON fr.stream_id = s.stream_id AND fr.ft = s.ft AND d <= 40000000""",
 )
 def event_snapshot(tb):
-    df = joins.event_snapshot(tb.source_event, tb.frames.filter("frame % 5 < 3"), ["stream_id"], chunk=TRACK_CHUNK)
+    gapped = tb.frames.withColumn("t_rel_ns", F.expr("t_rel_ns + (frame div 3) * 80000000"))  # three frames, then a gap
+    df = joins.event_snapshot(tb.source_event, gapped, ["stream_id"], chunk=TRACK_CHUNK)
     df = df.select("event_id", "stream_id", "sync_delta_ns", "synchronized", "tracking_t_rel_ns", "tracking_entity_count", "tracking_player_count", "tracking_team_count", "ball_x_m", "ball_y_m", "event_ball_distance_m")
     return rounded(df, "ball_x_m", "ball_y_m", "event_ball_distance_m")
 

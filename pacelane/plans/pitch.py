@@ -151,12 +151,12 @@ def team_relations(tb):
     "expansion_rate",
     "W14",
     """WITH t AS (SELECT stream_id, t_rel_ns, group_id, CASE WHEN count(*) >= 6 THEN max(x_m) - min(x_m) END AS l, CASE WHEN count(*) >= 6 THEN max(y_m) - min(y_m) END AS w
-                  FROM tb_tracking WHERE k >= 40 GROUP BY ALL)
+                  FROM tb_tracking GROUP BY ALL)
        SELECT stream_id, t_rel_ns, group_id, round((l - lag(l) OVER v) / ((t_rel_ns - lag(t_rel_ns) OVER v) / 1e9), 6) + 0.0 AS expansion_rate_x_m_s,
               round((w - lag(w) OVER v) / ((t_rel_ns - lag(t_rel_ns) OVER v) / 1e9), 6) + 0.0 AS expansion_rate_y_m_s FROM t WINDOW v AS (PARTITION BY stream_id, group_id ORDER BY t_rel_ns)""",
 )
 def expansion_rate(tb):
-    rows = tac.players(tb.frames.filter("k >= 40"))
+    rows = tac.players(tb.frames)
     teams = tac.team_geometry(rows, min_players=6).select("stream_id", "t_rel_ns", "group_id", "length_m", "width_m")
     df = tac.expansion_rate(teams, chunk=TRACK_CHUNK).drop("length_m", "width_m")
     return rounded(df, "expansion_rate_x_m_s", "expansion_rate_y_m_s")
@@ -214,8 +214,13 @@ def attacker_defender(tb):
     return rounded(tac.attacker_defender(_players(tb)), "nearest_defender_distance_m", "second_nearest_defender_distance_m")
 
 
-TRI_SQL = """
-    WITH pt AS (SELECT stream_id, t_rel_ns, group_id, x_m AS x, y_m AS y, min(object_id) AS id FROM tb_tracking WHERE frame % 37 < 30 GROUP BY ALL),
+# Every 37 frames the clock jumps, so that windows and segments meet gaps.
+LATER = "t_rel_ns + (frame {div} 37) * 280000000"
+TRI_SQL = (
+    f"""
+    WITH late AS (SELECT * REPLACE ({LATER.format(div="//")} AS t_rel_ns) FROM tb_tracking), late_ball AS (SELECT * REPLACE ({LATER.format(div="//")} AS t_rel_ns) FROM tb_ball),"""
+    + """
+    pt AS (SELECT stream_id, t_rel_ns, group_id, x_m AS x, y_m AS y, min(object_id) AS id FROM late GROUP BY ALL),
     tr AS (SELECT a.stream_id, a.t_rel_ns, a.group_id, a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy,
                   (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS area
            FROM pt a JOIN pt b ON a.stream_id = b.stream_id AND a.t_rel_ns = b.t_rel_ns AND a.group_id = b.group_id AND a.id < b.id
@@ -225,10 +230,15 @@ TRI_SQL = """
               AND sign(area) * ((ax - d.x) * ((by_ - d.y) * ((cx - d.x) ** 2 + (cy - d.y) ** 2) - ((bx - d.x) ** 2 + (by_ - d.y) ** 2) * (cy - d.y))
                  - (ay - d.y) * ((bx - d.x) * ((cx - d.x) ** 2 + (cy - d.y) ** 2) - ((bx - d.x) ** 2 + (by_ - d.y) ** 2) * (cx - d.x))
                  + ((ax - d.x) ** 2 + (ay - d.y) ** 2) * ((bx - d.x) * (cy - d.y) - (by_ - d.y) * (cx - d.x))) > 0))"""
+)
+
+
+def _late(tb):
+    return tb.frames.withColumn("t_rel_ns", F.expr(LATER.format(div="div")))
 
 
 def _shape_rows(tb):
-    return settle(tac.players(tb.frames.filter("frame % 37 < 30")))
+    return settle(tac.players(_late(tb)))
 
 
 @query("delaunay", "X6", TRI_SQL + " SELECT stream_id, t_rel_ns, group_id, a, b, c FROM tri")
@@ -241,7 +251,7 @@ EDGE_SQL = (
     TRI_SQL
     + """,
     ed AS (SELECT DISTINCT stream_id, t_rel_ns, group_id, p, q FROM (SELECT *, a AS p, b AS q FROM tri UNION ALL SELECT *, a, c FROM tri UNION ALL SELECT *, b, c FROM tri)),
-    fr AS (SELECT DISTINCT stream_id, t_rel_ns FROM tb_tracking WHERE frame % 37 < 30),
+    fr AS (SELECT DISTINCT stream_id, t_rel_ns FROM late),
     sg AS (SELECT *, sum(CASE WHEN t_rel_ns - p > 200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY t_rel_ns) AS seg FROM (SELECT *, lag(t_rel_ns) OVER (PARTITION BY stream_id ORDER BY t_rel_ns) AS p FROM fr)),
     wf AS (SELECT stream_id, t_rel_ns, seg, count(*) OVER w AS frames, t_rel_ns - min(t_rel_ns) OVER w AS cov FROM sg WINDOW w AS (PARTITION BY stream_id, seg ORDER BY t_rel_ns RANGE BETWEEN 1000000000 PRECEDING AND CURRENT ROW))"""
 )
@@ -272,17 +282,17 @@ def edge_persistence(tb):
                  CAST(count(*) FILTER (o.group_id <> m.group_id AND (
                    ((bx - ax) * (o.y_m - ay) - (by_ - ay) * (o.x_m - ax) >= -1e-10 AND (cx - bx) * (o.y_m - by_) - (cy - by_) * (o.x_m - bx) >= -1e-10 AND (ax - cx) * (o.y_m - cy) - (ay - cy) * (o.x_m - cx) >= -1e-10) OR
                    ((bx - ax) * (o.y_m - ay) - (by_ - ay) * (o.x_m - ax) <= 1e-10 AND (cx - bx) * (o.y_m - by_) - (cy - by_) * (o.x_m - bx) <= 1e-10 AND (ax - cx) * (o.y_m - cy) - (ay - cy) * (o.x_m - cx) <= 1e-10))) AS INTEGER) AS inside
-          FROM m JOIN tb_tracking o ON o.stream_id = m.stream_id AND o.t_rel_ns = m.t_rel_ns GROUP BY 1, 2, 3, 4, 5, 6)
+          FROM m JOIN late o ON o.stream_id = m.stream_id AND o.t_rel_ns = m.t_rel_ns GROUP BY 1, 2, 3, 4, 5, 6)
     SELECT m.stream_id, m.t_rel_ns, m.group_id, m.a AS player_a_id, m.b AS player_b_id, m.c AS player_c_id, round(ar, 6) + 0.0 AS area_m2, round(greatest(s1, s2, s3) / least(s1, s2, s3), 4) + 0.0 AS aspect_ratio,
            round(gx, 6) + 0.0 AS centroid_x_m, round(gy, 6) + 0.0 AS centroid_y_m, round(sqrt((bl.x_m * f - gx) ** 2 + (bl.y_m * f - gy) ** 2), 6) + 0.0 AS ball_distance_m,
            CASE WHEN abs(gx) > 52.5 OR abs(gy) > 34 THEN 'out_of_bounds' WHEN gx < -17.5 THEN 'own_third' WHEN gx >= 17.5 THEN 'opponent_third' ELSE 'middle_third' END AS zone,
            inside AS opponent_count_inside, round(inside / ar, 4) + 0.0 AS opponent_density_per_m2, CASE WHEN own < oth THEN m.group_id WHEN own > oth THEN CASE m.group_id WHEN 'home' THEN 'away' ELSE 'home' END ELSE 'away' END AS nearest_team_at_centroid,
            round(oth - own, 6) + 0.0 AS nearest_team_distance_margin_m
-    FROM m JOIN n USING (stream_id, t_rel_ns, group_id, a, b, c) JOIN tb_ball bl ON bl.stream_id = m.stream_id AND bl.t_rel_ns = m.t_rel_ns WHERE ar > 1e-9""",
+    FROM m JOIN n USING (stream_id, t_rel_ns, group_id, a, b, c) JOIN late_ball bl ON bl.stream_id = m.stream_id AND bl.t_rel_ns = m.t_rel_ns WHERE ar > 1e-9""",
 )
 def triangle_metrics(tb):
     rows = _shape_rows(tb)
-    df = tac.triangle_metrics(tac.shape_triangles(rows), rows, tac.ball(tb.frames), F.expr(TURN)).drop("orientation_deg")
+    df = tac.triangle_metrics(tac.shape_triangles(rows), rows, tac.ball(_late(tb)), F.expr(TURN)).drop("orientation_deg")
     df = rounded(df, "area_m2", "centroid_x_m", "centroid_y_m", "ball_distance_m", "nearest_team_distance_margin_m")
     return rounded(df, "aspect_ratio", "opponent_density_per_m2", digits=4)
 
@@ -343,16 +353,23 @@ def territory_team(tb):
     return rounded(df, "controlled_area_m2", "control_percentage", "frame_third_0_area_m2", "frame_third_1_area_m2", "frame_third_2_area_m2", digits=2)
 
 
-VELOCITY_SQL = """
-    WITH v AS (SELECT *, t_rel_ns - lag(t_rel_ns) OVER w AS dt, x_m - lag(x_m) OVER w AS dx, y_m - lag(y_m) OVER w AS dy FROM tb_tracking WHERE frame % 20 NOT BETWEEN 5 AND 12
+# Every 20 frames the clock jumps, so that a velocity has no step to come from.
+GAPPED = "t_rel_ns + (frame {div} 20) * 320000000"
+VELOCITY_SQL = f"""
+    WITH gap AS (SELECT * REPLACE ({GAPPED.format(div="//")} AS t_rel_ns) FROM tb_tracking), gap_ball AS (SELECT * REPLACE ({GAPPED.format(div="//")} AS t_rel_ns) FROM tb_ball),
+    v AS (SELECT *, t_rel_ns - lag(t_rel_ns) OVER w AS dt, x_m - lag(x_m) OVER w AS dx, y_m - lag(y_m) OVER w AS dy FROM gap
                WINDOW w AS (PARTITION BY stream_id, object_id ORDER BY t_rel_ns)),
     mv AS (SELECT stream_id, t_rel_ns, group_id, object_id, x_m AS x, y_m AS y, CASE WHEN k % 4 = 1 THEN k / 20.0 WHEN dt <= 250000000 THEN dx / (dt / 1e9) ELSE 0.0 END AS vx,
                   CASE WHEN k % 4 = 1 THEN -k / 25.0 WHEN dt <= 250000000 THEN dy / (dt / 1e9) ELSE 0.0 END AS vy,
                   CASE WHEN k % 4 = 1 THEN 'provider' WHEN dt <= 250000000 THEN 'position_first_difference' ELSE 'zero_fallback' END AS src FROM v)"""
 
 
+def _gapped(tb):
+    return tb.frames.withColumn("t_rel_ns", F.expr(GAPPED.format(div="div")))
+
+
 def _moving(tb):
-    rows = tb.frames.filter("frame % 20 NOT BETWEEN 5 AND 12").withColumns(
+    rows = _gapped(tb).withColumns(
         {"vx": F.expr("CASE WHEN k % 4 = 1 THEN cast(k as double) / 20 END"), "vy": F.expr("CASE WHEN k % 4 = 1 THEN -cast(k as double) / 25 END")}
     )
     return tac.velocity_fallback(tac.players(rows, fields=("vx", "vy")), vx="vx", vy="vy", chunk=TRACK_CHUNK)
@@ -388,7 +405,7 @@ GRID_SQL = (
 
 
 def _frames_of(tb, sampled=None):
-    return tac.influence_frames(settle(_moving(tb)), tac.ball(tb.frames), sampled)
+    return tac.influence_frames(settle(_moving(tb)), tac.ball(_gapped(tb)), sampled)
 
 
 @query(
@@ -403,7 +420,7 @@ def _frames_of(tb, sampled=None):
            round(100 * coalesce(n, 0) / 294::DOUBLE, 4) + 0.0 AS influence_percentage, round(f, 6) + 0.0 AS opponent_min_arrival_time_s, round("""
     + _arrival("mv", "bl.x_m", "bl.y_m")
     + """, 6) + 0.0 AS arrival_time_to_ball_s
-    FROM mv LEFT JOIN cn USING (stream_id, t_rel_ns, object_id) LEFT JOIN fo USING (stream_id, t_rel_ns, object_id) LEFT JOIN tb_ball bl ON bl.stream_id = mv.stream_id AND bl.t_rel_ns = mv.t_rel_ns""",
+    FROM mv LEFT JOIN cn USING (stream_id, t_rel_ns, object_id) LEFT JOIN fo USING (stream_id, t_rel_ns, object_id) LEFT JOIN gap_ball bl ON bl.stream_id = mv.stream_id AND bl.t_rel_ns = mv.t_rel_ns""",
 )
 def player_influence(tb):
     df = tac.player_influence(_frames_of(tb))
@@ -427,7 +444,7 @@ def influence_team(tb):
 @query(
     "influence_grid",
     "J11, W25",
-    GRID_SQL.replace("WITH v AS", "WITH RECURSIVE v AS", 1)
+    GRID_SQL.replace("WITH gap AS", "WITH RECURSIVE gap AS", 1)
     + """, fr AS (SELECT DISTINCT stream_id, t_rel_ns FROM mv),
     walk(stream_id, t_rel_ns) AS (SELECT stream_id, min(t_rel_ns) FROM fr GROUP BY 1 UNION ALL
         SELECT w.stream_id, (SELECT min(fr.t_rel_ns) FROM fr WHERE fr.stream_id = w.stream_id AND fr.t_rel_ns >= w.t_rel_ns + 1000000000) FROM walk w WHERE w.t_rel_ns IS NOT NULL)
@@ -437,7 +454,7 @@ def influence_team(tb):
 def influence_grid(tb):
     moving = settle(_moving(tb))
     due = seg.sample_frames(moving, ["stream_id"], "t_rel_ns", 1_000_000_000, chunk=TRACK_CHUNK)
-    df = tac.influence_grid(tac.influence_frames(moving, tac.ball(tb.frames), due))
+    df = tac.influence_grid(tac.influence_frames(moving, tac.ball(_gapped(tb)), due))
     return rounded(df, "x_m", "y_m", "arrival_time_s")
 
 

@@ -61,25 +61,27 @@ KICKOFF = 1_700_000_000_000_000_000
 @query(
     "read_positions_xml",
     "S5, W18, W19",
-    f"""WITH p AS (SELECT stream_id, object_id, group_id, row_number() OVER (PARTITION BY stream_id, object_id ORDER BY frame) - 1 AS pos, CASE WHEN k = 2 THEN frame - 1 ELSE frame END AS fr, frame, k, x_m, y_m FROM tb_tracking WHERE stream_id IN ('trk0', 'trk1')),
+    f"""WITH p AS (SELECT stream_id, object_id, group_id, row_number() OVER (PARTITION BY stream_id, object_id ORDER BY frame) - 1 AS pos, CASE WHEN k = 2 THEN frame - 1 ELSE frame END AS fr, frame, k, x_m, y_m, frame // 100 AS block FROM tb_tracking),
         e AS (SELECT *, CASE WHEN k = 1 THEN 'required_field_null' WHEN k = 3 THEN 'timestamp_unparsable' WHEN k = 4 THEN 'frame_time_mismatch' END AS early, CASE WHEN k = 5 THEN 'coordinate_missing' WHEN k = 6 THEN 'coordinate_out_of_range' WHEN k = 7 THEN 'non_finite_value' END AS late FROM p),
         b AS (SELECT *, fr <= max(CASE WHEN early IS NULL AND late IS NULL THEN fr END) OVER (PARTITION BY stream_id, object_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dup FROM e)
-        SELECT CASE stream_id WHEN 'trk0' THEN 'period-1' ELSE 'period-2' END AS trial_id, object_id, CASE WHEN object_id = 'p00' THEN 'ball' ELSE 'player' END AS object_type, CASE WHEN object_id <> 'p00' THEN group_id END AS group_id,
+        SELECT CASE WHEN block % 2 = 0 THEN 'period-1' ELSE 'period-2' END AS trial_id, object_id || '-' || (block // 2) AS object_id, CASE WHEN object_id = 'p00' THEN 'ball' ELSE 'player' END AS object_type, CASE WHEN object_id <> 'p00' THEN group_id END AS group_id,
                CASE WHEN k = 1 THEN NULL ELSE fr END AS frame, CASE WHEN k = 3 THEN NULL ELSE fr * 40000000 + CASE WHEN k = 4 THEN 5000000 ELSE 0 END END AS t_rel_ns,
                coalesce(early, CASE WHEN dup THEN 'duplicate_frame' END, late) AS rule, round(CASE WHEN k IN (5, 6, 7) THEN NULL ELSE x_m END, 6) + 0.0 AS x_m FROM b""",
 )
 def read_positions_xml(tb):
-    rows = tb.tracking.filter("stream_id IN ('trk0', 'trk1')").withColumn("fr", F.expr("CASE WHEN k = 2 THEN frame - 1 ELSE frame END"))
+    rows = tb.tracking.withColumn("fr", F.expr("CASE WHEN k = 2 THEN frame - 1 ELSE frame END"))
     stamp = F.date_format(F.timestamp_micros(F.lit(KICKOFF // 1000) + F.col("fr") * 40_000 + F.expr("CASE WHEN k = 4 THEN 5000 ELSE 0 END")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     x = F.expr("CASE WHEN k = 5 THEN '' WHEN k = 6 THEN ' X=\"left\"' WHEN k = 7 THEN ' X=\"Infinity\"' ELSE concat(' X=\"', cast(x_m as string), '\"') END")
     frame = F.concat(
         F.lit("<Frame"), F.expr("CASE WHEN k = 1 THEN '' ELSE concat(' N=\"', cast(fr as string), '\"') END"), F.lit(' T="'), stamp, F.expr("CASE WHEN k = 3 THEN '' ELSE '+00:00' END"), F.lit('"'), x, F.lit(' Y="'), F.col("y_m").cast("string"), F.lit('"/>')
     )
-    # A set holds the frames of one person in one block of 100 frames.
+    # A set holds the frames of one person in one block of 100 frames; two blocks are the halves of a match with players of its own.
     sets = rows.select("stream_id", "object_id", "group_id", F.struct("frame", frame.alias("x")).alias("f")).groupBy("stream_id", "object_id", "group_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    section = F.expr("CASE stream_id WHEN 'trk0' THEN 'firstHalf' ELSE 'secondHalf' END")
+    block = F.substring("stream_id", 4, 18).cast("long")
+    section = F.when(block % 2 == 0, "firstHalf").otherwise("secondHalf")
+    person = F.concat("object_id", F.lit("-"), F.floor(block / 2).cast("string"))
     team = F.expr("CASE WHEN object_id = 'p00' THEN 'BALL' ELSE group_id END")
-    xml = F.concat(F.lit('<FrameSet GameSection="'), section, F.lit('" TeamId="'), team, F.lit('" PersonId="'), F.col("object_id"), F.lit('">'), F.array_join(F.transform("fs", lambda f: f["x"]), ""), F.lit("</FrameSet>"))
+    xml = F.concat(F.lit('<FrameSet GameSection="'), section, F.lit('" TeamId="'), team, F.lit('" PersonId="'), person, F.lit('">'), F.array_join(F.transform("fs", lambda f: f["x"]), ""), F.lit("</FrameSet>"))
     halves = sets.groupBy("stream_id").agg(F.array_join(F.collect_list(xml), "").alias("x")).select("x")  # 22 sets each
     df = rd.read_positions_xml(tb.spark, _text(tb, halves, "positions", "Positions"), KICKOFF, chunk=40)
     good = F.when(clean.is_finite("x_m"), F.col("x_m"))
@@ -255,9 +257,9 @@ def match_periods(tb):
 
 
 def _court(tb):
-    """Ten players per frame; one frame in ten is dead, one ball in six is missing."""
+    """All players of a frame; one frame in ten is dead, one ball in six is missing."""
     player = F.struct(F.substring("object_id", 2, 2).alias("playerId"), F.array(F.col("x_m") / 0.3048, F.col("y_m") / 0.3048, F.lit(None).cast("double")).alias("xyz"), F.col("is_detected").cast("int").alias("isDetected"))
-    rows = tb.tracking.filter("substr(object_id, 2) % 11 < 5")
+    rows = tb.tracking
     side = lambda g: F.filter(F.collect_list(F.when(F.col("group_id") == g, player)), lambda p: p.isNotNull())
     live = F.col("frame") % 10 != 0
     grouped = rows.groupBy("frame").agg(side("home").alias("h"), side("away").alias("a"))
@@ -275,7 +277,7 @@ def _court(tb):
     "read_frame_clock",
     "S11, P21",
     """SELECT frame AS frame_idx, CAST(frame // 120 + 1 AS INTEGER) AS period_number, frame * 40 + 1700000000000 AS wall_clock_ms, (frame * 40 + 1700000000000) * 1000000 AS canonical_time_ns, CAST(120 - (frame % 120) // 2 AS DOUBLE) AS game_clock_s, frame % 5 = 0 AS game_clock_stopped,
-              CAST(24 - frame % 24 AS DOUBLE) AS shot_clock_s, CASE WHEN frame % 10 = 0 THEN 0 ELSE 10 END AS player_count, frame % 10 <> 0 AND frame % 6 <> 1 AS ball_present, frame % 10 = 0 AS is_dead_time FROM tb_ball""",
+              CAST(24 - frame % 24 AS DOUBLE) AS shot_clock_s, CASE WHEN frame % 10 = 0 THEN 0 ELSE 22 END AS player_count, frame % 10 <> 0 AND frame % 6 <> 1 AS ball_present, frame % 10 = 0 AS is_dead_time FROM tb_ball""",
 )
 def read_frame_clock(tb):
     return rd.frame_clock(_court(tb))
@@ -284,7 +286,7 @@ def read_frame_clock(tb):
 @query(
     "read_court_tracking",
     "S12, J15, P8",
-    """WITH p AS (SELECT frame, substr(object_id, 2, 2) AS object_id, 'team-' || group_id AS group_id, x_m, is_detected FROM tb_tracking WHERE CAST(substr(object_id, 2) AS INTEGER) % 11 < 5 AND frame % 10 <> 0)
+    """WITH p AS (SELECT frame, substr(object_id, 2, 2) AS object_id, 'team-' || group_id AS group_id, x_m, is_detected FROM tb_tracking WHERE frame % 10 <> 0)
        SELECT CAST(frame // 120 + 1 AS INTEGER) AS period_number, (frame * 40 + 1700000000000) * 1000000 AS t_rel_ns, object_id, 'player' AS object_type, group_id, 'subject-' || substr(md5('court:subject:' || CASE WHEN object_id = '03' THEN '04' ELSE object_id END), 1, 24) AS subject_id,
               round(x_m, 6) + 0.0 AS x_m, CAST(NULL AS DOUBLE) AS z_m, is_detected FROM p
        UNION ALL SELECT CAST(frame // 120 + 1 AS INTEGER), (frame * 40 + 1700000000000) * 1000000, 'ball', 'ball', NULL, NULL, round(10 * 0.3048, 6)::DOUBLE, round(3 * 0.3048, 6)::DOUBLE, true FROM tb_ball WHERE frame % 10 <> 0 AND frame % 6 <> 1""",

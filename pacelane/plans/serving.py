@@ -225,11 +225,11 @@ def source_metric_lookup(tb):
     "G36",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, min(CAST({c} AS VARCHAR)) AS minimum, max(CAST({c} AS VARCHAR)) AS maximum FROM documents"
-        for c in ("doc_id", "lang", "source", "n_chars")
+        for c in ("doc_id", "text", "lang", "source", "n_chars")
     ),
 )
 def profile_table(tb):
-    return cmp.profile_table(tb.table("documents").select("doc_id", "lang", "source", "n_chars"))
+    return cmp.profile_table(tb.table("documents"))
 
 
 @query("structure_discovery", "G37", "SELECT event_type AS section, count(*) AS rows, count(CASE WHEN k > 50 THEN k END) AS high_k, count(user_id) AS user_id FROM tb_ev GROUP BY 1")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pacelane.operators.clean import iso_text
+
 from pacelane.operators.ordered import chunk_number
 
 CODEC = "zstd"
@@ -44,7 +46,7 @@ def serving_form(df: DataFrame) -> DataFrame:
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            c = iso_text(name)
         out.append(c.alias(name))
     return df.select(*out)
 

@@ -43,7 +43,7 @@ def classify_family(tag: Column) -> dict[str, Column]:
         for prefix in reversed(prefixes):
             hit = tag.startswith(prefix)
             league, sport = F.when(hit, code).otherwise(league), F.when(hit, of).otherwise(sport)
-            stem = F.when(hit, F.substring(tag, len(prefix) + 1, 1000)).otherwise(stem)
+            stem = F.when(hit, F.substr(tag, F.lit(len(prefix) + 1))).otherwise(stem)
     kind, grain = F.lit("unmapped"), F.lit(None).cast("string")
     for name, pattern, of in reversed(FAMILIES):
         hit = stem.rlike(pattern)

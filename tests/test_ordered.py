@@ -68,3 +68,23 @@ def test_floor_division_is_exact_for_large_times(spark):
     df = spark.createDataFrame([(big,), (-1,), (0,), (-1000,)], "t bigint")
     got = {r[0]: r[1] for r in df.select("t", ordered.chunk_number("t", 1000)).collect()}
     assert got == {big: big // 1000, -1: -1, 0: 0, -1000: -1}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_null_keys_and_orders_are_kept(spark, chunk):
+    rows = [(None if k % 3 else "a", None if k % 11 == 0 else k * 3, k, float(k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "key string, t long, n long, v double")
+    both = []
+    for width in (None, chunk):
+        out = ordered.running(df, ["key"], ["t", "n"], chunk=width, sums={"total": F.col("v")}, lasts={"last": F.when(F.col("n") % 2 == 0, F.col("n"))}, maxima={"most": F.col("v")})
+        both.append(sorted(map(str, out.select("key", "t", "n", "total", "last", "most").collect())))
+    assert len(both[0]) == 60 and both[0] == both[1]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_null_keys_in_a_stencil_and_an_attached_table(spark, chunk):
+    df = spark.createDataFrame([(None if k % 3 else 1, k * 2, k) for k in range(40)], "key long, t long, n long")
+    both = [sorted(map(str, ordered.stencil(df, ["key"], ["t", "n"], lambda w: {"before": F.lag("n").over(w), "after": F.lead("n").over(w)}, chunk=width).collect())) for width in (None, chunk)]
+    assert both[0] == both[1]
+    per_key = df.groupBy("key").agg(F.max("n").alias("most"))
+    assert ordered.attach(df, per_key, ["key"], "n").count() == 40

@@ -206,3 +206,10 @@ def test_package_is_on_the_workers(spark):
 
     ship_package(spark)
     assert "pacelane.zip" in spark.sparkContext._python_includes
+
+
+def test_exported_times_keep_their_fraction(spark):
+    from pacelane.sinks.tables import serving_form
+
+    rows = spark.sql("SELECT TIMESTAMP '2024-01-02 00:00:00.123456' AS a, TIMESTAMP '2024-01-02 03:04:05' AS b, CAST(NULL AS TIMESTAMP) AS c")
+    assert tuple(serving_form(rows).first()) == ("2024-01-02T00:00:00.123456", "2024-01-02T03:04:05", None)
