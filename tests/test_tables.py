@@ -213,3 +213,40 @@ def test_exported_times_keep_their_fraction(spark):
 
     rows = spark.sql("SELECT TIMESTAMP '2024-01-02 00:00:00.123456' AS a, TIMESTAMP '2024-01-02 03:04:05' AS b, CAST(NULL AS TIMESTAMP) AS c")
     assert tuple(serving_form(rows).first()) == ("2024-01-02T00:00:00.123456", "2024-01-02T03:04:05", None)
+
+
+def test_counts_behind_rates():
+    from pacelane.operators.season import is_rate, rate_weights
+
+    expected = {
+        ("shots", "fg_percentage"): ["attempts"],
+        ("shots", "corner_three_fg_percentage"): ["corner_three_attempts"],
+        ("shots", "rim_efg_percentage"): ["rim_attempts"],
+        ("shots", "fouled_fg_percentage"): ["fouled_fg_attempts"],
+        ("shots", "three_attempt_rate"): ["attempts"],
+        ("shots", "attempts"): [],
+        ("drives", "turnover_rate"): ["total_drives"],
+        ("drives", "points_per_shot_in_drive"): ["fga_in_drive"],
+        ("picks", "handler_fg2_pct_vs_drop"): ["handler_score_2pt_vs_drop", "handler_miss_2pt_vs_drop"],
+        ("picks", "handler_points_per_shot_in_pick"): ["handler_fga_in_pick"],
+        ("picks", "screener_ppp_at_elbow"): ["screener_picks_at_elbow"],
+        ("picks", "screener_direct_ppp"): ["screener_total_picks"],
+        ("picks", "handler_pass_rate_vs_blitz_high"): ["handler_picks_vs_blitz_high"],
+        ("picks", "handler_rate_left"): ["handler_total_picks"],
+        ("picks", "handler_picks"): [],
+    }
+    assert {k: rate_weights(*k) for k in expected} == expected
+    assert is_rate("three_pa_rate") and is_rate("avg_speed") and not is_rate("operations") and not is_rate("attempts")
+
+
+def test_seasons_in_asset_names(spark):
+    from pyspark.sql import functions as F
+
+    from pacelane.sources.taxonomy import asset_season
+
+    expected = {
+        "play_by_play_2021.parquet": 2021, "pbp-2019_lite.csv": 2019, "box-2020-21.csv.gz": 2021, "2005.rds": 2005, "all.csv": None, "x_2021.txt": None,
+        "x_1821.csv": None, "x2021.csv": None, "x_2020_21.csv": None, "lite.csv": None, "": None,
+    }
+    rows = spark.createDataFrame([(n,) for n in expected], "name string")
+    assert {r.name: r.season for r in rows.select("name", asset_season(F.col("name")).alias("season")).collect()} == expected
