@@ -127,10 +127,9 @@ def _follow(times, x, direction: int, extreme: float, at: int, reversal: float):
     """Plain machine over one chunk; returns its turns and the state it ends in."""
     turns = []
     for t, value in zip(times, x):
-        ahead = (value - extreme) * direction
-        if ahead > 0:
+        if value * direction > extreme * direction:
             extreme, at = value, t
-        elif -ahead >= reversal:
+        elif value * direction <= extreme * direction - reversal:  # the same comparison in all parts of the machine
             turns.append((at, extreme))
             direction, extreme, at = -direction, value, t
     return turns, (direction, float(extreme), int(at))
@@ -156,11 +155,11 @@ def _report(times, x, direction: int, reversal: float) -> dict:
 def _advance(state, report, reversal: float):
     direction, extreme, at = state
     r = report["up" if direction > 0 else "down"]
-    if (extreme - r["lowest"]) * direction >= reversal:
+    if r["lowest"] * direction <= extreme * direction - reversal:
         return r["t_dir"], r["t_x"], r["t_at"]
     if r["own"]:
         return r["o_dir"], r["o_x"], r["o_at"]
-    if (r["top_x"] - extreme) * direction > 0:
+    if r["top_x"] * direction > extreme * direction:
         return direction, r["top_x"], r["top_at"]
     return state
 

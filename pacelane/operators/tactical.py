@@ -40,10 +40,10 @@ def players(df: DataFrame, keys: Sequence[str] = FRAME, order: str = "sample_ind
     return good.groupBy(*keys, "group_id", "object_id").agg(F.min_by(rest, order).alias("__p")).select(*keys, "group_id", "object_id", "__p.*")
 
 
-def ball(df: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
-    """One ball position per frame: the smallest (x, y) when there are several."""
+def ball(df: DataFrame, keys: Sequence[str] = FRAME, order: str = "sample_index") -> DataFrame:
+    """One ball position per frame: the first usable one in source order."""
     good = df.filter((F.col("object_type") == "ball") & is_finite("x_m") & is_finite("y_m"))
-    return good.groupBy(*keys).agg(F.min(F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y"))).alias("ball"))
+    return good.groupBy(*keys).agg(F.min_by(F.struct(F.col("x_m").alias("x"), F.col("y_m").alias("y")), F.struct(order, "x_m", "y_m")).alias("ball"))
 
 
 def frame_quality(df: DataFrame, keys: Sequence[str] = FRAME, *, length: float = 105.0, width: float = 68.0) -> DataFrame:

@@ -57,8 +57,8 @@ def read_gnss_rows(spark: SparkSession, path: str, *, chunk: int = 100_000) -> D
 def gnss_rows(raw: DataFrame, *, chunk: int = 100_000) -> DataFrame:
     time = F.when(F.col("local_time").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$"), F.unix_micros(F.try_to_timestamp("local_time")) * 1000)
     lat, lon, speed = _number(F.col("latitude")), _number(F.col("longitude")), _number(F.col("speed_kmh"))
-    df = raw.withColumns({"row_no": F.col("row_no").cast("bigint"), "__t": time, "latitude_deg": lat, "longitude_deg": lon, "__v": speed})
-    absent = F.col("latitude").isNull() | F.col("longitude").isNull()
+    df = raw.withColumns({"row_no": F.col("row_no").try_cast("bigint"), "__t": time, "latitude_deg": lat, "longitude_deg": lon, "__v": speed})
+    absent = F.col("latitude").isNull() | F.col("longitude").isNull() | F.col("sheet").isNull() | F.col("row_no").isNull()
     off = lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon) | ~lat.between(-90, 90) | ~lon.between(-180, 180)
     bad_speed = F.col("speed_kmh").isNotNull() & ~F.coalesce(is_finite(speed), F.lit(False))
     df = df.withColumn("__later", first_rule((absent, "required_field_null"), (off, "coordinate_out_of_range"), (bad_speed, "non_finite_value")))

@@ -91,6 +91,16 @@ def validate_batch(batch: DataFrame, state: DataFrame, *, strict: bool, chunk: i
     )
 
 
+def _last_epoch(spark: SparkSession, path: str) -> int:
+    """Newest epoch that earlier runs have stored; -1 if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return -1
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return max([int(n.split("=")[1]) for n in names if n.startswith("epoch=")], default=-1)
+
+
 def validate_stream(stream: DataFrame, path: str, *, strict: bool, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, chunk: int = 100_000) -> DataFrame:
     """Validate a stream batch by batch; the state is a small table per epoch in the shared folder.
 
@@ -106,6 +116,6 @@ def validate_stream(stream: DataFrame, path: str, *, strict: bool, prepare: Call
         validate_batch(prepare(batch), state_of(epoch - 1), strict=strict, chunk=chunk).write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
         last[0] = epoch
 
-    last = [-1]
+    last = [_last_epoch(spark, f"{path}/state")]
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return state_of(last[0])

@@ -38,9 +38,9 @@ def turns_by_hand(x, reversal):
             if abs(x[i] - x[0]) > reversal:
                 direction, extreme, at = (1 if x[i] > x[0] else -1), x[i], i
             continue
-        if (x[i] - extreme) * direction > 0:
+        if x[i] * direction > extreme * direction:
             extreme, at = x[i], i
-        elif (extreme - x[i]) * direction >= reversal:
+        elif x[i] * direction <= extreme * direction - reversal:
             turns.append(at)
             direction, extreme, at = -direction, x[i], i
     return turns
@@ -54,6 +54,10 @@ def test_turning_points_do_not_depend_on_chunks(spark, chunk):
         x = np.cumsum(rng.normal(0, 0.3 + 0.1 * key, 200))
         rows += [(key, int(i), float(v)) for i, v in enumerate(x)]
         want[key] = turns_by_hand(x, 1.0)
+    for key in range(8, 108):  # steps of 5 mm, so that a reversal is often met exactly
+        x = np.round(np.cumsum(rng.integers(-40, 41, 120)) * 0.005, 3)
+        rows += [(key, int(i), float(v)) for i, v in enumerate(x)]
+        want[key] = turns_by_hand(x, 1.0)
     df = spark.createDataFrame(rows, "k int, t bigint, x double")
     got: dict[int, list[int]] = {}
     for r in bio.turning_points(df, ["k"], "t", "x", 1.0, chunk=chunk).orderBy("k", "turn").collect():

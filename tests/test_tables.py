@@ -150,6 +150,12 @@ def test_rejected_rows_do_not_move_the_clock(spark):
     assert got[1] == (None, pytest.approx(1.0)) and [got[i][0] for i in (2, 3, 4, 5)] == ["required_field_null", None, "time_out_of_range", "timestamp_unparsable"]
 
 
+def test_unreadable_rows_are_set_aside_not_lost(spark):
+    rows = [(None, "1", "2024-01-01 00:00:01.000", "1", "1", None), ("s", "x", "2024-01-01 00:00:02.000", "1", "1", None), ("s", None, "2024-01-01 00:00:02.000", "1", "1", None), ("s", "2", "2024-01-01 00:00:03.000", "1", "1", None)]
+    got = [(r.sheet, r.row_no, r.rule) for r in readers.gnss_rows(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in readers.GNSS_COLUMNS)), chunk=2).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, "required_field_null"), ("s", None, "required_field_null"), ("s", None, "required_field_null"), ("s", 2, None)], key=str)
+
+
 def test_streamed_validation_sees_across_batches(spark, tmp_path):
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
     schema = "stream_id string, sample_index bigint, t_rel_ns bigint"
@@ -160,6 +166,8 @@ def test_streamed_validation_sees_across_batches(spark, tmp_path):
         state = live.validate_stream(stream, work, strict=True, chunk=3)
     got = {r.stream_id: (r.rows, r.violations, r.last_index) for r in state.collect()}
     assert got == {"a": (5, 1, 4), "b": (2, 1, 1)}
+    again = live.validate_stream(spark.readStream.schema(schema).parquet(source), work, strict=True, chunk=3)  # a restart without new files
+    assert {r.stream_id: (r.rows, r.violations, r.last_index) for r in again.collect()} == got
 
 
 def test_violations_of_each_rule_are_counted_once(spark):
