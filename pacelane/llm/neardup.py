@@ -135,7 +135,8 @@ def node_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -
 
 
 def _meet(cells: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links between the two sides of each cell, or inside a cell of one side, by products of shingle incidence matrices."""
+    """Links that connect what links between the two sides of a cell, or inside a cell of one side, connect; by products of
+    shingle incidence matrices.  At most one for each node of the cell."""
 
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -163,9 +164,18 @@ def _meet(cells: DataFrame, sets: DataFrame, width: int, threshold: int) -> Data
             both += matrix[one] @ matrix[other].T
         shared = both.astype(np.int64)
         near = 100 * shared >= threshold * (size[one][:, None] + size[other][None, :] - shared)
-        a, b = np.nonzero(near & (one[:, None] != other[None, :]))
+        # one link from each node to the first one that links lead to, instead of all links
+        far, first = len(sets), np.arange(len(sets))
+        while True:
+            before = first.copy()
+            first[one] = np.minimum(first[one], np.where(near, first[other][None, :], far).min(axis=1, initial=far))
+            first[other] = np.minimum(first[other], np.where(near, first[one][:, None], far).min(axis=0, initial=far))
+            first = np.minimum(first, first[first])
+            if (first == before).all():
+                break
+        tied = np.flatnonzero(first != np.arange(len(sets)))
         node = table.column("node")
-        return pa.table({"a": node.take(pa.array(one[a])), "b": node.take(pa.array(other[b]))})
+        return pa.table({"a": node.take(pa.array(tied)), "b": node.take(pa.array(first[tied]))})
 
     rows = cells.join(sets.select("node", "text"), "node").select("cell", "side", "node", "text")
     return rows.groupBy("cell").applyInArrow(links, "a binary, b binary")

@@ -3,7 +3,7 @@
 Every member of a bucket is compared with the bucket's lead, the node of the smallest id.  Members that are not
 linked to it form what is left of the bucket: of up to ``SMALL`` members it is compared pair by pair.  Larger ones are
 bucketed anew by sharper keys, if there are any; what is still large is cut into blocks of about ``BLOCK`` nodes, and two
-blocks meet in one task, which returns their links only.
+blocks meet in one task, which returns a few links that connect what all links of the two blocks connect.
 
 What is still open are links between a member linked to a lead and one that is not.  The Jaccard distance obeys the
 triangle inequality, so with distances ``p`` and ``q`` to the lead these two can only be linked if ``|p - q|`` is at most the
