@@ -82,9 +82,9 @@ def overlap_ring(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     q, s = b[None, :, :], (np.roll(b, -1, axis=0) - b)[None, :, :]
     turn = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
     gap = q - p
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * s[..., 1] - gap[..., 1] * s[..., 0]) / turn
-        u = (gap[..., 0] * r[..., 1] - gap[..., 1] * r[..., 0]) / turn
+    divisor = np.where(turn == 0, 1.0, turn)
+    t = (gap[..., 0] * s[..., 1] - gap[..., 1] * s[..., 0]) / divisor
+    u = (gap[..., 0] * r[..., 1] - gap[..., 1] * r[..., 0]) / divisor
     meet = (turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
     crossings = (p + t[..., None] * r)[meet]
     found = np.vstack((within(a, b), within(b, a), crossings))

@@ -158,17 +158,11 @@ def nominal_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], decla
     rate = F.col(declared) if declared else F.lit(None).cast("double")
     positive = F.when(rate > 0, rate)
     # Steps repeat, so count equal steps first: the exact median then needs one row per distinct step.
-    out = stepped.groupBy(*keys).agg(
-        F.countDistinct(positive).alias("__declared"),
-        F.max(positive).alias("__rate"),
-        F.percentile("__step", F.lit(0.5)).alias("__median"),
-    )
+    counted = stepped.groupBy(*keys, "__step").agg(F.count(F.lit(1)).alias("__n"), F.min(positive).alias("__low"), F.max(positive).alias("__high"))
+    out = counted.groupBy(*keys).agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.percentile("__step", F.lit(0.5), F.col("__n")).alias("__median"))
     derived = F.when(F.col("__median") > 0, F.lit(1e9) / F.col("__median"))
-    return out.select(
-        *keys,
-        (F.col("__declared") > 1).alias("is_ambiguous"),
-        F.when(F.col("__declared") > 1, None).when(F.col("__declared") == 1, F.col("__rate")).otherwise(derived).alias("rate_hz"),
-    )
+    several = F.coalesce(F.col("__low") < F.col("__high"), F.lit(False))
+    return out.select(*keys, several.alias("is_ambiguous"), F.when(~several, F.coalesce("__high", derived)).alias("rate_hz"))
 
 
 # -- locomotor processor --------------------------------------------------------

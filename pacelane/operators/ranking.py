@@ -18,17 +18,22 @@ from pacelane.session import settle
 
 GRID = 1_000_000
 CELLS_PER_CHUNK = 2_000
+PARTS = 64
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per distinct finite value: its count and how many rows are at or below it."""
     keys = list(keys)
     counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"))
+    cuts = F.percentile_approx("value", [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("__cuts")
+    ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"), cuts)
     joined = ordered.attach(counts, ends, keys, "value") if keys else counts.join(F.broadcast(ends))  # one row
-    width = F.col("maximum") - F.col("minimum")
-    place = F.when(width > 0, F.floor((F.col("value") - F.col("minimum")) / width * GRID)).otherwise(0).cast("bigint")
-    placed = joined.withColumn("__place", place)
+    # The cuts hold about as many distinct values each, wherever outliers lie; inside a cut values go on an even grid.
+    joined = joined.withColumn("__cut", F.size(F.filter("__cuts", lambda c: c <= F.col("value"))))
+    low = F.coalesce(F.get("__cuts", F.col("__cut") - 1), F.col("minimum"))
+    width = F.coalesce(F.get("__cuts", "__cut"), F.col("maximum")) - low
+    cell = F.when(width > 0, F.floor((F.col("value") - low) / width * (GRID // PARTS))).otherwise(0).cast("bigint")
+    placed = joined.withColumn("__place", F.col("__cut").cast("bigint") * (GRID // PARTS + 1) + cell).drop("__cuts", "__cut")
     partition = keys if keys else ["__all"]
     if not keys:
         placed = placed.withColumn("__all", F.lit(0))

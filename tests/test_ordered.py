@@ -88,3 +88,24 @@ def test_null_keys_in_a_stencil_and_an_attached_table(spark, chunk):
     assert both[0] == both[1]
     per_key = df.groupBy("key").agg(F.max("n").alias("most"))
     assert ordered.attach(df, per_key, ["key"], "n").count() == 40
+
+
+def test_one_outlier_does_not_fill_a_chunk(spark):
+    from pacelane.operators import ranking
+
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, F.lit(1e12)).otherwise(F.col("id") / 7.0).alias("v"))
+    found = ranking.distribution(df, ["k"], "v")
+    assert found.count() == 40_000 and found.agg(F.max("at_or_below")).first()[0] == 40_000
+    got = ranking.quantiles(df, ["k"], "v", {"median": 0.5, "top": 1.0}).first()
+    assert got.top == 1e12 and abs(got.median - 20_000.5 / 7) < 1e-6
+
+
+def test_chunks_of_a_long_tail_are_even(spark, monkeypatch):
+    from pacelane.operators import ranking
+
+    seen = {}
+    plain = ordered.running
+    monkeypatch.setattr(ordered, "running", lambda df, keys, order, **more: seen.update(df=df, chunk=more["chunk"]) or plain(df, keys, order, **more))
+    ranking.distribution(spark.range(60_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, F.lit(1e12)).otherwise(F.col("id") / 7.0).alias("v")), ["k"], "v")
+    sizes = [r["count"] for r in ordered.with_chunk(seen["df"], "__place", seen["chunk"]).groupBy(ordered.CHUNK).count().collect()]
+    assert max(sizes) <= 60_000 / 8
