@@ -153,7 +153,7 @@ def unknown_games(tb):
     "SELECT lower(substr(n_name, 1, 2)) AS abbr, min(n_nationkey) AS team_id, min(n_nationkey) <> max(n_nationkey) AS is_conflict FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
 )
 def abbr_team_map(tb):
-    nation = F.broadcast(tb.table("nation"))  # fixed 25 rows
+    nation = tb.table("nation")
     rows = tb.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lower(F.substring("n_name", 1, 2)).alias("abbr"), F.col("n_nationkey").alias("team_id"))
     return joins.consistent_map(rows, "abbr", "team_id")
 

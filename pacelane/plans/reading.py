@@ -121,7 +121,7 @@ def read_events_xml(tb):
               s_suppkey % 3 = 0 AS starting, CASE WHEN s_suppkey % 5 = 0 THEN 'TW' END AS playing_position, false AS team_leader FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def read_match_info(tb):
-    people = tb.table("supplier").join(F.broadcast(tb.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # fixed 25 rows
+    people = tb.table("supplier").join(tb.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     attr = lambda name, e: F.concat(F.lit(f' {name}="'), F.expr(e), F.lit('"'))
     player = F.concat(
         F.lit("<Player"), attr("PersonId", "concat('S', cast(s_suppkey as string))"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(attr("ShirtNumber", "cast(s_suppkey as string)")), attr("Shortname", "s_name"),

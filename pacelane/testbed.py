@@ -244,7 +244,7 @@ class Testbed:
         spent = self.table("orders").groupBy("o_custkey").agg(
             F.count(F.lit(1)).alias("count_match"), F.avg("o_totalprice").alias("avg_price"), F.max("o_totalprice").alias("max_price")
         )
-        nation = F.broadcast(self.table("nation"))  # fixed 25 rows
+        nation = self.table("nation")
         return (
             self.table("customer")
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -313,8 +313,8 @@ class Testbed:
         nation, region = self.table("nation"), self.table("region")
         return (
             self.table("supplier")
-            .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # fixed 25 rows
-            .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed 5 rows
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 F.col("s_suppkey").alias("entry_id"),
                 F.lower("r_name").alias("sport_id"),
