@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pacelane.session import settle, ship_package
 
-__all__ = ["Tables", "attached", "plain", "settle", "ship_package"]
+__all__ = ["Tables", "fresh", "plain", "settle", "ship_package"]
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:
@@ -17,9 +17,9 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def attached(df: DataFrame, **columns) -> DataFrame:
-    """``df`` with new columns; a column of the same name is replaced."""
-    return df.withColumns(columns)
+def fresh(stem: str) -> str:
+    """A column name that no input has."""
+    return f"__{stem}_{uuid.uuid4().hex[:8]}"
 
 
 class Tables:
@@ -30,8 +30,3 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def fresh(stem: str) -> str:
-    """A column name that no input has."""
-    return f"__{stem}_{uuid.uuid4().hex[:8]}"
