@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import sentencepiece
@@ -31,7 +33,7 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 class ChunkTable:
     """Distinct marked words, each without its first marker, with their ids; holds ``limit`` words, then starts anew."""
 
-    def __init__(self, model: bytes, limit: int = 500_000):
+    def __init__(self, model: bytes, limit: int = 300_000):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         count = self.processor.get_piece_size()
         if any(MARK in self.processor.id_to_piece(i).lstrip(MARK) for i in range(count)):
@@ -81,11 +83,12 @@ def words_of(text: str | None) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-def _groups(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+def _groups(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``size`` characters."""
     group, chars = [], 0
     for text in texts:
-        group.append(text)
-        chars += len(text or "")
+        group.append(text.as_py())
+        chars += len(group[-1] or "")
         if chars >= size:
             yield group
             group, chars = [], 0
@@ -93,6 +96,15 @@ def _groups(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
         yield group
 
 
+def _lists(rows: list[array]) -> pa.Array:
+    """Arrow lists from packed numbers, without an object for each number."""
+    offsets = [0, *accumulate(len(r) for r in rows)]
+    values = array("i")
+    for row in rows:
+        values.extend(row)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values.tobytes())]))
+
+
 def piece_codes(df: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
     """Ids of every whole text and the text that they decode to.
 
@@ -108,17 +120,20 @@ def piece_codes(df: DataFrame, model: bytes, id_column: str = "doc_id", text_col
     def encode(batches):
         table = ChunkTable(model)
         for batch in batches:
-            counts, first, second = [], [], []
-            for group in _groups(batch.column(1).to_pylist(), 1 << 20):
+            at = 0
+            for group in _groups(batch.column(1), 1 << 20):
+                counts, first, second = [], [], []
                 split = [words_of(text) for text in group]
                 table.learn(set().union(*split))
                 for words in split:
                     shown, decoded = table.joined(words), table.decoded(words)
                     counts.append(shown.count(",") + bool(shown))
-                    first.append(hashlib.sha256(shown.encode()).hexdigest() if digest else [int(i) for i in shown.split(",")] if shown else [])
+                    first.append(hashlib.sha256(shown.encode()).hexdigest() if digest else array("i", map(int, shown.split(","))) if shown else array("i"))
                     second.append(hashlib.sha256(decoded.encode()).hexdigest() if digest else decoded)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                ids = pa.array(first, pa.string()) if digest else _lists(first)
+                # one output batch for each group keeps little in memory at a time
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(counts, pa.int64()), ids, pa.array(second, pa.string())], names)
+                at += len(group)
 
     names = [id_column, "n_tokens", *[c.split()[0] for c in rest.split(", ")]]
     return source.mapInArrow(encode, f"`{id_column}` {kind}, n_tokens long, {rest}")
