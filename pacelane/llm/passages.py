@@ -34,7 +34,7 @@ FUNCTIONS = 3
 AGREE = 2
 SIMILAR = 0.8
 GAP = RUN + 1
-"""Tokens between two shared ones of a passage: one changed word spoils five."""
+"""Tokens between two shared ones of a passage whose parts may lie in any order: one changed word spoils five."""
 AROUND = 2 * WORDS
 SPAN_BITS, PLACE_BITS = 18, 28
 """Bits of a window's reach to either side (farther reaches are cut) and of its centre."""
@@ -187,10 +187,57 @@ def _likeness(one: np.ndarray, other: np.ndarray) -> float:
     return both / (len(one) + len(other) - both)
 
 
+def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``lead``, in ``part``) where the passage around equal tokens ``a`` and ``b`` may end, in the direction of ``step``, and
+    the score up to there: 0.2 for a shared token, -0.8 for a token of either side between; a passage of score 0 has a similarity of 0.8.
+
+    ``shared``: running count of the tokens of ``lead`` that ``part`` has.  The chain goes on while the shared tokens still to come could pay.
+    """
+    rise, fall = 1 - SIMILAR, SIMILAR
+    beside = int(shared[a] if step > 0 else shared[-1] - shared[a + 1])
+    ends, scores, score = [], [], 0.0
+    while True:
+        length = min(len(lead) - a, len(part) - b) if step > 0 else min(a, b) + 1
+        equal = lead[a : a + length] == part[b : b + length] if step > 0 else lead[a - length + 1 : a + 1][::-1] == part[b - length + 1 : b + 1][::-1]
+        run = length if equal.all() else int(np.argmin(equal))
+        a, b, score = a + step * (run - 1), b + step * (run - 1), score + rise * run
+        ends.append((a, b))
+        scores.append(score)
+        # the nearest equal tokens beyond, by the tokens passed over on both sides
+        left = int(shared[-1] - shared[a + 1] if step > 0 else shared[a])
+        most = int((score + rise * (left + beside)) / fall + 1e-6)
+        one = lead[a + 1 : a + 2 + most] if step > 0 else lead[max(0, a - 1 - most) : a][::-1]
+        other = part[b + 1 : b + 2 + most] if step > 0 else part[max(0, b - 1 - most) : b][::-1]
+        near, nearest = most + 1, None
+        for reach in (4 * RUN, 32 * RUN, most + 1):
+            _, at, there = np.intersect1d(one[:reach], other[:reach], return_indices=True)
+            if len(at):
+                k = int(np.argmin(at + there))
+                near, nearest = int(at[k] + there[k]), (int(at[k]), int(there[k]))
+                if near <= reach:
+                    break
+        if nearest is None or near > most:
+            return np.array(ends), np.array(scores)
+        a, b, score = a + step * (nearest[0] + 1), b + step * (nearest[1] + 1), score - fall * near
+
+
+def _grown(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray) -> tuple[int, int, int, int]:
+    """The longest passage in one order around equal tokens whose similarity, if no token repeats, is 0.8 or more."""
+    back, before = _chain(lead, part, a, b, shared, -1)
+    ahead, after = _chain(lead, part, a, b, shared, 1)
+    # for each begin the farthest end that leaves a score of 0; the tokens at the hit count twice
+    most = np.maximum.accumulate(after[::-1])[::-1]
+    farthest = len(most) - 1 - np.searchsorted(most[::-1], (1 - SIMILAR) - before - 1e-9)
+    length = np.where(farthest >= 0, ahead[farthest, 0] - back[:, 0], -1)
+    k = int(np.argmax(length))
+    return int(back[k, 0]), int(ahead[farthest[k], 0]), int(back[k, 1]), int(ahead[farthest[k], 1])
+
+
 def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """Passages of two token sequences around pairs of equal tokens: from and to (tokens) in either, and their likeness."""
     found: list[tuple[int, int, int, int, float]] = []
     in_part, in_lead = np.isin(lead, part), np.isin(part, lead)
+    shared = np.concatenate([[0], np.cumsum(in_part)])
     for a, b in sorted(set(hits), key=lambda h: (h[1], h[0])):
         if not (0 <= a < len(lead) and 0 <= b < len(part)) or lead[a] != part[b]:
             continue
@@ -201,17 +248,19 @@ def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple[int, int]]) ->
         # neither side reaches farther from the centre than the other, but for a few edits
         a0, a1 = max(a0, a - (b - b0) - 4 * RUN), min(a1, a + (b1 - b) + 4 * RUN)
         b0, b1 = max(b0, b - (a - a0) - 4 * RUN), min(b1, b + (a1 - a) + 4 * RUN)
-        if min(a1 - a0, b1 - b0) + 1 >= LEAST:
-            like = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1])
+        options = [(a0, a1, b0, b1), _grown(lead, part, a, b, shared)]
+        for a0, a1, b0, b1 in sorted(options, key=lambda o: -min(o[1] - o[0], o[3] - o[2])):
+            like = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1]) if min(a1 - a0, b1 - b0) + 1 >= LEAST else 0.0
             if like >= SIMILAR:
                 found.append((a0, a1, b0, b1, like))
-                continue
-        back, ahead = min(a, b), min(len(lead) - a, len(part) - b)
-        differ = np.flatnonzero(lead[a - back : a + ahead] != part[b - back : b + ahead]) - back
-        low = int(differ[differ < 0].max()) + 1 if (differ < 0).any() else -back
-        high = int(differ[differ > 0].min()) - 1 if (differ > 0).any() else ahead - 1
-        if high - low + 1 >= LEAST:
-            found.append((a + low, a + high, b + low, b + high, 1.0))
+                break
+        else:
+            back, ahead = min(a, b), min(len(lead) - a, len(part) - b)
+            differ = np.flatnonzero(lead[a - back : a + ahead] != part[b - back : b + ahead]) - back
+            low = int(differ[differ < 0].max()) + 1 if (differ < 0).any() else -back
+            high = int(differ[differ > 0].min()) - 1 if (differ > 0).any() else ahead - 1
+            if high - low + 1 >= LEAST:
+                found.append((a + low, a + high, b + low, b + high, 1.0))
     return found
 
 

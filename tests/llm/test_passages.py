@@ -81,3 +81,34 @@ def test_verification_needs_length_and_likeness():
     mixed = passage.copy()
     mixed[::3] = rng.integers(1, 1 << 60, len(mixed[::3]))
     assert verified(passage, mixed, [(1, 1)]) == []
+
+
+def test_neighbouring_changes_stay_in_one_passage():
+    rng = random.Random(21)
+    number = {}
+
+    def tokens(text):
+        runs = [tuple(text[k : k + RUN]) for k in range(len(text) - RUN + 1)]
+        return np.array([number.setdefault(r, len(number) + 1) for r in runs]).astype(U64)
+
+    for length in (52, 58, 64, 70, 80, 90, 100):
+        for changes in (1, 2, 3):
+            for _ in range(30):
+                passage = words(rng, length)
+                at = rng.randrange(1, length - changes)
+                mixed = passage[:at] + words(rng, changes) + passage[at + changes :]
+                sides = [tokens(words(rng, 40) + p + words(rng, 40)) for p in (passage, mixed)]
+                one, other = (s[40 : 40 + length - RUN + 1] for s in sides)
+                places = 40 + np.flatnonzero(one == other)
+                both = len(places)
+                # brute force: the best of all pairs of begin and end that have the hit inside
+                for hit in (int(places[0]), int(places[-1]), int(rng.choice(places.tolist()))):
+                    wanted = 0
+                    for i in places[places <= hit]:
+                        for j in places[places >= hit]:
+                            n, s = j - i + 1, int(((places >= i) & (places <= j)).sum())
+                            if n >= LEAST and s >= 0.8 * (2 * n - s):
+                                wanted = max(wanted, n)
+                    found = verified(*sides, [(hit, hit)])
+                    assert both and (max((f[1] - f[0] + 1 for f in found), default=0) >= wanted), (length, changes, at, hit)
+                    assert all(f[4] >= 0.8 and f[0] <= hit <= f[1] for f in found)
