@@ -1,16 +1,22 @@
 """Repeated passages by compact windows.
 
 A text is a sequence of tokens, the numbers of its runs of five words (words are runs without white space, ``A-Z``
-in lower case; equal neighbours are numbered).  Under a hash function, a compact window ``(l, c, r)`` stands for all subsequences that contain token ``c`` and
-lie in ``l..r``: ``c`` has the least hash in all of them.  The windows are the nodes of the Cartesian tree over the hashes;
-those at least as long as the shortest passage are kept.  Two near-duplicate passages have the same minimum under most functions,
-so windows of different documents that agree on a function and its minimum are joined; a pair of documents that agree
-under ``AGREE`` of the ``FUNCTIONS`` is verified on the texts around the windows.  A verified passage has at least
-``WORDS`` words in both documents, and the sets of its tokens have a Jaccard similarity of 0.8 or more.
-
-Windows that share a minimum are not paired with each other: each is paired with the one of the smallest document, so a
-passage that many documents share costs one pair for each.  A passage's row names one document it repeats; that
-document has a row of its own.
+in lower case).  A verified passage has at least ``WORDS`` words in both documents, and the sets of its tokens have a Jaccard
+similarity of 0.8 or more.
+
+Candidates come from the runs of ``MATCH`` words (equal neighbours are numbered).  Under a hash function, a compact window
+``(l, c, r)`` stands for all subsequences that contain run ``c`` and lie in ``l..r``: ``c`` has the least hash in all of them.  The
+windows are the nodes of the Cartesian tree over the hashes; those of at least ``REACH`` runs are kept.  Every stretch of ``REACH``
+runs lies in one window, so documents that share ``MATCH + REACH - 1`` words in a row agree on a minimum, whatever the function.
+Passages of similarity 0.8 share as many: two sets of ``LEAST`` tokens share 41 at least, and between two shared stretches at
+least 8 tokens are lost (4 on either side at a moved part, 9 at a word put in, 10 at a changed one), so with ``k`` breaks at least
+``max(41, 32 k)`` tokens are shared in ``k + 1`` stretches, and one of them has ``STRETCH`` = 21 tokens or more.  (Passages in which tokens repeat may share less.)  One
+agreement makes a candidate; verification on the texts around it decides.
+
+Documents that share a minimum are first verified with the smallest one, so a passage that many documents share costs one
+pair for each.  Where a minimum of a document then lies in no verified passage that begins and ends with shared tokens, it meets every other document of that
+minimum, in blocks of which two meet in one task; each of these minima names one partner, verified again on the whole texts.
+A passage's row names one document it repeats; that document has a row of its own.
 
 Null and empty texts and texts with fewer than ``WORDS`` words have no passage.  Rows that share an id count as one document;
 rows with a null id cannot be named and are left out.  A passage that repeats only inside one document is not reported.
@@ -24,20 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacelane.llm.frames import plain, settle, ship_package
-from pacelane.llm.words import U64, find_words, mix, shingle_codes, slices
+from pacelane.llm.words import U64, Words, find_words, mix, shingle_codes, slices
 
 RUN = 5
 WORDS = 50
 LEAST = WORDS - RUN + 1
 """Tokens of the shortest passage."""
-FUNCTIONS = 3
-AGREE = 2
+STRETCH = 21
+"""Tokens that passages of similarity 0.8 share in a row."""
+MATCH = 12
+"""Words of the runs that make candidates."""
+REACH = STRETCH + RUN - MATCH
+"""Runs of a shared stretch, and of the shortest window."""
 SIMILAR = 0.8
 GAP = RUN + 1
 """Tokens between two shared ones of a passage whose parts may lie in any order: one changed word spoils five."""
 AROUND = 2 * WORDS
-SPAN_BITS, PLACE_BITS = 18, 28
-"""Bits of a window's reach to either side (farther reaches are cut) and of its centre."""
+BLOCK = 256
+"""Members of a block that meets others in one task."""
+TASK = 2048
+"""Members in one task."""
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -81,10 +93,9 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return places[real], before[real] + 1, after[real] - 1
 
 
-def token_hashes(codes: np.ndarray, function: int) -> np.ndarray:
-    """Hash of every token under a function, never zero; 0 stays 0."""
-    factor = U64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * function & (1 << 64) - 1 | 1)
-    return np.where(codes == 0, U64(0), mix(codes * factor + U64(function)) | U64(4))
+def token_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of every token, never zero; 0 stays 0."""
+    return np.where(codes == 0, U64(0), mix(codes * U64(0x9E3779B97F4A7C15)) | U64(1))
 
 
 def told_apart(tokens: np.ndarray) -> np.ndarray:
@@ -99,7 +110,7 @@ def told_apart(tokens: np.ndarray) -> np.ndarray:
 
 
 def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``value`` (function and least hash), ``doc`` and ``place`` (centre, reach to the left and right) of every compact window."""
+    """``value`` (least hash), ``doc`` and ``place`` (word of the centre) of every compact window."""
     ship_package(df.sparkSession)
     source = plain(df, id_column, text_column).where(F.col(f"`{id_column}`").isNotNull() & (F.octet_length(F.col(f"`{text_column}`")) >= 2 * WORDS - 1))
     kind = source.schema[id_column].dataType.simpleString()
@@ -112,36 +123,30 @@ def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                     continue
                 # a token for every word, 0 where the run would leave the text
                 tokens = np.zeros(len(words.code) + 1, U64)
-                tokens[: max(0, len(words.code) - RUN + 1)] = shingle_codes(words.code, RUN) | U64(1)
+                tokens[: max(0, len(words.code) - MATCH + 1)] = shingle_codes(words.code, MATCH) | U64(1)
                 last = words.first[1:]
-                for k in range(1, RUN):
+                for k in range(1, MATCH):
                     tokens[np.maximum(last - k, 0)] = 0
-                tokens = told_apart(tokens)
-                values, docs, places = [], [], []
-                for function in range(FUNCTIONS):
-                    hashes = token_hashes(tokens, function)
-                    centre, low, high = compact_windows(hashes, LEAST)
-                    text = words.text[centre]
-                    values.append((hashes[centre] & ~U64(3)) | U64(function))
-                    docs.append(text + first)
-                    reach = (1 << SPAN_BITS) - 1
-                    left, right = np.minimum(centre - low, reach), np.minimum(high - centre, reach)
-                    places.append((centre - words.first[text] << 2 * SPAN_BITS) | (left << SPAN_BITS) | right)
-                docs = batch.column(0).take(pa.array(np.concatenate(docs)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), docs, pa.array(np.concatenate(places))], ["value", "doc", "place"])
+                hashes = token_hashes(told_apart(tokens))
+                centre, _, _ = compact_windows(hashes, REACH)
+                text = words.text[centre]
+                docs = batch.column(0).take(pa.array(text + first))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[centre].view(np.int64)), docs, pa.array(centre - words.first[text])], ["value", "doc", "place"])
 
     return source.mapInArrow(cut, f"value long, doc {kind}, place long")
 
 
-def agreeing_pairs(rows: DataFrame) -> DataFrame:
-    """``lead``, ``doc`` and their ``hits`` (function, ``lead_place``, ``place``) of documents that agree under enough functions."""
+def shared_windows(rows: DataFrame) -> DataFrame:
+    """The rows whose minimum several documents have, with ``lead``, the smallest of these."""
     leads = rows.groupBy("value").agg(F.min("doc").alias("lead"), F.max("doc").alias("other")).where("lead <> other").select("value", "lead")
-    shared = settle(rows.join(leads, "value"))
-    heads = shared.where("doc = lead").groupBy("value").agg(F.min("place").alias("lead_place"))
+    return settle(rows.join(leads, "value"))
+
+
+def lead_pairs(shared: DataFrame) -> DataFrame:
+    """``lead``, ``doc`` and their ``hits`` (``lead_places``, ``place``) of every document and the leads of its minima."""
+    heads = shared.where("doc = lead").groupBy("value").agg(F.array_sort(F.collect_set("place")).alias("lead_places"))
     met = shared.where("doc <> lead").join(heads, "value")
-    hit = F.struct(F.col("value").bitwiseAND(3).cast("int").alias("function"), "lead_place", "place")
-    pairs = met.groupBy("lead", "doc").agg(F.collect_set(hit).alias("hits"))
-    return pairs.where(F.size(F.array_distinct(F.col("hits.function"))) >= AGREE)
+    return met.groupBy("lead", "doc").agg(F.collect_set(F.struct("lead_places", "place")).alias("hits"))
 
 
 def _cut_members(pairs: DataFrame) -> DataFrame:
@@ -154,12 +159,10 @@ def _cut_members(pairs: DataFrame) -> DataFrame:
             for _, _, data, offsets in slices(batch.column(3)):
                 words = find_words(data, offsets)
                 for k in range(len(offsets) - 1):
-                    centres = [h["place"] >> 2 * SPAN_BITS for h in hits[at]]
-                    first, last = words.first[k], words.first[k + 1]
-                    low = min(max(first, first + min(centres) - AROUND), last - 1)
-                    high = max(low + 1, min(last, first + max(centres) + AROUND + RUN))
-                    bases.append(int(low - first))
-                    texts.append(data[words.start[low] : words.end[high - 1]].tobytes().decode("utf-8", "replace") if last > first else "")
+                    centres = [h["place"] for h in hits[at]]
+                    base, text = _around(words, k, min(centres), max(centres))
+                    bases.append(base)
+                    texts.append(text)
                     at += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bases, pa.int32()), pa.array(texts, pa.string())], ["lead", "doc", "hits", "base", "part"])
 
@@ -168,17 +171,31 @@ def _cut_members(pairs: DataFrame) -> DataFrame:
     return pairs.select("lead", "doc", "hits", "text").mapInArrow(cut, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", base int, part string")
 
 
+def _around(words: Words, k: int, least: int, most: int) -> tuple[int, str]:
+    """First word and text of the words of text ``k`` around the places from ``least`` to ``most``."""
+    first, last = words.first[k], words.first[k + 1]
+    if last <= first:
+        return 0, ""
+    low = min(max(first, first + least - AROUND), last - 1)
+    high = max(low + 1, min(last, first + most + AROUND + MATCH))
+    return int(low - first), words.data[words.start[low] : words.end[high - 1]].tobytes().decode("utf-8", "replace")
+
+
 def _tokens(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     return shingle_codes(find_words(data, np.array([0, len(data)])).code, RUN)
 
 
-def _region(shared: np.ndarray, centre: int) -> tuple[int, int]:
-    """First and last shared token around ``centre`` without a longer gap than ``GAP``."""
+def _regions(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last shared token around every shared token without a longer gap than ``GAP``."""
     places = np.flatnonzero(shared)
-    group = np.concatenate([[0], np.cumsum(np.diff(places) > GAP)])
-    mine = places[group == group[np.searchsorted(places, centre)]]
-    return int(mine[0]), int(mine[-1])
+    first, last = np.zeros(len(shared), np.int64), np.zeros(len(shared), np.int64)
+    if len(places):
+        cuts = np.flatnonzero(np.diff(places) > GAP)
+        begins, ends = places[np.r_[0, cuts + 1]], places[np.r_[cuts, len(places) - 1]]
+        group = np.searchsorted(begins, places, side="right") - 1
+        first[places], last[places] = begins[group], ends[group]
+    return first, last
 
 
 def _likeness(one: np.ndarray, other: np.ndarray) -> float:
@@ -187,19 +204,20 @@ def _likeness(one: np.ndarray, other: np.ndarray) -> float:
     return both / (len(one) + len(other) - both)
 
 
-def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ``lead``, in ``part``) where the passage around equal tokens ``a`` and ``b`` may end, in the direction of ``step``, and
-    the score up to there: 0.2 for a shared token, -0.8 for a token of either side between; a passage of score 0 has a similarity of 0.8.
+def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in ``lead``, in ``part``) where the passage around equal tokens ``a`` and ``b`` may end, in the direction of ``step``, the
+    score up to there and where the equal run begins that ends there: 0.2 for a shared token, -0.8 for a token of either side between; a passage of score 0 has a similarity of 0.8.
 
     ``shared``: running count of the tokens of ``lead`` that ``part`` has.  The chain goes on while the shared tokens still to come could pay.
     """
     rise, fall = 1 - SIMILAR, SIMILAR
     beside = int(shared[a] if step > 0 else shared[-1] - shared[a + 1])
-    ends, scores, score = [], [], 0.0
+    ends, scores, begins, score = [], [], [], 0.0
     while True:
         length = min(len(lead) - a, len(part) - b) if step > 0 else min(a, b) + 1
         equal = lead[a : a + length] == part[b : b + length] if step > 0 else lead[a - length + 1 : a + 1][::-1] == part[b - length + 1 : b + 1][::-1]
         run = length if equal.all() else int(np.argmin(equal))
+        begins.append((a, b))
         a, b, score = a + step * (run - 1), b + step * (run - 1), score + rise * run
         ends.append((a, b))
         scores.append(score)
@@ -217,42 +235,105 @@ def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarra
                 if near <= reach:
                     break
         if nearest is None or near > most:
-            return np.array(ends), np.array(scores)
+            return np.array(ends), np.array(scores), np.array(begins)
         a, b, score = a + step * (nearest[0] + 1), b + step * (nearest[1] + 1), score - fall * near
 
 
-def _grown(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray) -> tuple[int, int, int, int]:
-    """The longest passage in one order around equal tokens whose similarity, if no token repeats, is 0.8 or more."""
-    back, before = _chain(lead, part, a, b, shared, -1)
-    ahead, after = _chain(lead, part, a, b, shared, 1)
+def _grown(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray) -> tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]:
+    """The longest passage in one order around equal tokens whose similarity, if no token repeats, is 0.8 or more.
+
+    It begins and ends with shared tokens, unless it would be too short.  Also: begin and end of the equal runs it was chosen from."""
+    back, before, back_from = _chain(lead, part, a, b, shared, -1)
+    ahead, after, ahead_from = _chain(lead, part, a, b, shared, 1)
+    starts, stops = np.concatenate([back[::-1], ahead_from[1:]]), np.concatenate([back_from[:0:-1], ahead])
     # for each begin the farthest end that leaves a score of 0; the tokens at the hit count twice
+    twice = (1 - SIMILAR) - 1e-9
     most = np.maximum.accumulate(after[::-1])[::-1]
-    farthest = len(most) - 1 - np.searchsorted(most[::-1], (1 - SIMILAR) - before - 1e-9)
-    length = np.where(farthest >= 0, ahead[farthest, 0] - back[:, 0], -1)
+    farthest = len(most) - 1 - np.searchsorted(most[::-1], twice - before)
+    length = np.where(farthest >= 0, (ahead[farthest] - back).min(axis=1), -1)
     k = int(np.argmax(length))
-    return int(back[k, 0]), int(ahead[farthest[k], 0]), int(back[k, 1]), int(ahead[farthest[k], 1])
-
-
-def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """Passages of two token sequences around pairs of equal tokens: from and to (tokens) in either, and their likeness."""
+    if length[k] + 1 >= LEAST:
+        return (int(back[k, 0]), int(ahead[farthest[k], 0]), int(back[k, 1]), int(ahead[farthest[k], 1])), starts, stops
+    # too short: with lost tokens at the ends
+    back, before = back[back[:, 0] > a - LEAST], before[back[:, 0] > a - LEAST]
+    ahead, after = ahead[ahead[:, 0] < a + LEAST], after[ahead[:, 0] < a + LEAST]
+    lacking = np.maximum(0, LEAST - 1 - (ahead[None, :, :] - back[:, None, :]))
+    score = before[:, None] + after[None, :] - SIMILAR * lacking.sum(axis=2)
+    i, j = np.unravel_index(int(np.argmax(score)), score.shape)
+    if score[i, j] < twice:
+        return (a, a, b, b), starts, stops
+    ends = []
+    for side, size in enumerate((len(lead), len(part))):
+        low = max(0, int(back[i, side] - lacking[i, j, side]))
+        high = min(size - 1, max(int(ahead[j, side]), low + LEAST - 1))
+        ends += [low, high]
+    return tuple(ends), starts, stops
+
+
+def _hopeless(starts: np.ndarray, stops: np.ndarray) -> bool:
+    """Whether no run of neighbouring equal runs makes a passage."""
+    if len(starts) > 500:
+        return False
+    length = (stops - starts)[:, 0] + 1
+    gaps = np.concatenate([[0], (starts[1:] - stops[:-1] - 1).sum(axis=1)])
+    upto = np.cumsum((1 - SIMILAR) * length - SIMILAR * gaps)
+    before = upto - (1 - SIMILAR) * length
+    lacking = np.maximum(0, LEAST - 1 - (stops[None, :, :] - starts[:, None, :])).sum(axis=2)
+    score = np.triu(upto[None, :] - before[:, None] - SIMILAR * lacking + 1)
+    return bool(score.max() < 1 - 1e-9)
+
+
+def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple]) -> list[tuple[int, int, int, int, float]]:
+    """Passages of two token sequences around equal tokens (a place or places in ``lead``, a place in ``part``): from and to (tokens) in
+    either, and their likeness.  Pairs of places that both lie in a passage found before are passed over."""
     found: list[tuple[int, int, int, int, float]] = []
     in_part, in_lead = np.isin(lead, part), np.isin(part, lead)
     shared = np.concatenate([[0], np.cumsum(in_part)])
-    for a, b in sorted(set(hits), key=lambda h: (h[1], h[0])):
-        if not (0 <= a < len(lead) and 0 <= b < len(part)) or lead[a] != part[b]:
-            continue
-        if any(f[0] <= a <= f[1] and f[2] <= b <= f[3] for f in found):
-            continue
-        a0, a1 = _region(in_part, a)
-        b0, b1 = _region(in_lead, b)
+    region_lead, region_part = _regions(in_part), _regions(in_lead)
+    judged: dict[tuple[int, int, int, int], float] = {}
+    known_lead, known_part = np.zeros(len(lead), bool), np.zeros(len(part), bool)
+    failed: set[tuple[int, int]] = set()
+    chained: set[tuple[int, int]] = set()
+
+    def add(a0, a1, b0, b1, like):
+        found.append((a0, a1, b0, b1, like))
+        known_lead[a0 : a1 + 1] = known_part[b0 : b1 + 1] = True
+
+    def runs():
+        for places, b in sorted(((np.unique(a), b) for a, b in hits), key=lambda h: (h[1], h[0][0])):
+            if not 0 <= b < len(part):
+                continue
+            places = places[(places >= 0) & (places < len(lead))]
+            for a in places[(lead[places] == part[b]) & ~(known_lead[places] & known_part[b])].tolist():
+                if known_lead[a] and known_part[b]:
+                    continue
+                back = min(a, b)
+                differ = np.flatnonzero(lead[a - back : a] != part[b - back : b])
+                start = a - back + (int(differ[-1]) + 1 if len(differ) else 0)
+                # one of the hits in an equal run stands for all
+                if (start, a - b) not in failed:
+                    failed.add((start, a - b))
+                    yield a, b, start
+
+    for a, b, start in runs():
+        a0, a1 = (int(r[a]) for r in region_lead)
+        b0, b1 = (int(r[b]) for r in region_part)
         # neither side reaches farther from the centre than the other, but for a few edits
         a0, a1 = max(a0, a - (b - b0) - 4 * RUN), min(a1, a + (b1 - b) + 4 * RUN)
         b0, b1 = max(b0, b - (a - a0) - 4 * RUN), min(b1, b + (a1 - a) + 4 * RUN)
-        options = [(a0, a1, b0, b1), _grown(lead, part, a, b, shared)]
-        for a0, a1, b0, b1 in sorted(options, key=lambda o: -min(o[1] - o[0], o[3] - o[2])):
-            like = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1]) if min(a1 - a0, b1 - b0) + 1 >= LEAST else 0.0
+        options = [(a0, a1, b0, b1)]
+        if (start, a - b) not in chained:
+            grown, starts, stops = _grown(lead, part, a, b, shared)
+            options.append(grown)
+            if _hopeless(starts, stops):
+                chained.update(zip(starts[:, 0].tolist(), (starts[:, 0] - starts[:, 1]).tolist(), strict=True))
+        for o in sorted(options, key=lambda o: -min(o[1] - o[0], o[3] - o[2])):
+            a0, a1, b0, b1 = o
+            if o not in judged:
+                judged[o] = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1]) if min(a1 - a0, b1 - b0) + 1 >= LEAST else 0.0
+            like = judged[o]
             if like >= SIMILAR:
-                found.append((a0, a1, b0, b1, like))
+                add(a0, a1, b0, b1, like)
                 break
         else:
             back, ahead = min(a, b), min(len(lead) - a, len(part) - b)
@@ -260,15 +341,17 @@ def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple[int, int]]) ->
             low = int(differ[differ < 0].max()) + 1 if (differ < 0).any() else -back
             high = int(differ[differ > 0].min()) - 1 if (differ > 0).any() else ahead - 1
             if high - low + 1 >= LEAST:
-                found.append((a + low, a + high, b + low, b + high, 1.0))
+                add(a + low, a + high, b + low, b + high, 1.0)
     return found
 
 
-def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each passage of a document that repeats in another: id, ``start_word``, ``end_word`` (exclusive), ``n_words``,
-    ``partner`` (the smallest document it was verified with), ``partner_start``, ``partner_end`` and ``similarity``."""
-    texts = plain(df, id_column, text_column).where(F.col(f"`{id_column}`").isNotNull() & (F.octet_length(F.col(f"`{text_column}`")) >= 2 * WORDS - 1))
-    pairs = settle(agreeing_pairs(window_rows(df, id_column, text_column)))
+def firm(lead: np.ndarray, part: np.ndarray, a0: int, a1: int, b0: int, b1: int) -> bool:
+    """Whether a passage begins and ends with shared tokens."""
+    return bool(np.isin(lead[[a0, a1]], part[b0 : b1 + 1]).all() and np.isin(part[[b0, b1]], lead[a0 : a1 + 1]).all())
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
+    """Passages of the pairs (``lead``, ``doc``, ``hits``), a row for either document."""
     kind = texts.schema[id_column].dataType.simpleString()
     members = _cut_members(pairs.join(texts.toDF("doc", "text"), "doc"))
     joined = members.join(texts.toDF("lead", "text"), "lead").select("lead", "doc", "hits", "base", "part", "text")
@@ -279,16 +362,188 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
             for lead, doc, hits, base, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (lead, text) != last:
                     last, tokens = (lead, text), _tokens(text)
-                places = [(h["lead_place"] >> 2 * SPAN_BITS, (h["place"] >> 2 * SPAN_BITS) - base) for h in hits]
-                for a0, a1, b0, b1, like in verified(tokens, _tokens(part), places):
+                places = [(h["lead_places"], h["place"] - base) for h in hits]
+                for a0, a1, b0, b1, like in verified(tokens, own := _tokens(part), places):
+                    whole = firm(tokens, own, a0, a1, b0, b1)
                     one, other = (a0, a1 + RUN), (b0 + base, b1 + base + RUN)
-                    rows.append((doc, *other, lead, *one, like))
-                    rows.append((lead, *one, doc, *other, like))
+                    rows.append((doc, *other, lead, *one, like, whole))
+                    rows.append((lead, *one, doc, *other, like, whole))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-    names = [id_column, "start_word", "end_word", "partner", "partner_start", "partner_end", "similarity"]
-    schema = f"`{id_column}` {kind}, start_word long, end_word long, partner {kind}, partner_start long, partner_end long, similarity double"
-    found = joined.mapInArrow(verify, schema)
+    names = [id_column, "start_word", "end_word", "partner", "partner_start", "partner_end", "similarity", "firm"]
+    schema = f"`{id_column}` {kind}, start_word long, end_word long, partner {kind}, partner_start long, partner_end long, similarity double, firm boolean"
+    return joined.mapInArrow(verify, schema)
+
+
+def open_members(shared: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """Members (``value``, ``doc``, ``place``, ``open``, ``size``) of the minima at which some member, ``open``, is in no firm passage ``found`` for it.
+
+    The lead has met all others and is left out.
+    """
+    spans = found.where("firm").groupBy(F.col(f"`{id_column}`").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (F.col("place") + MATCH <= s["end_word"]))
+    members = shared.where("doc <> lead").join(spans, "doc", "left").select("value", "doc", "place", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    sizes = members.groupBy("value").agg(F.count("*").alias("size"), F.max("open").alias("some"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return settle(members.join(sizes.where("some AND low <> high").select("value", "size"), "value"))
+
+
+def _contexts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members with ``part``, the words around, in which ``at`` is the place."""
+    kind = texts.schema.fields[0].dataType.simpleString()
+    listed = members.groupBy("doc").agg(F.collect_list(F.struct("value", "place", "open", "size")).alias("windows"))
+
+    def cut(batches):
+        for batch in batches:
+            windows, at = batch.column(1).to_pylist(), 0
+            for _, _, data, offsets in slices(batch.column(2)):
+                words = find_words(data, offsets)
+                for k in range(len(offsets) - 1):
+                    rows = []
+                    for w in windows[at]:
+                        base, text = _around(words, k, w["place"], w["place"])
+                        rows.append((w["value"], w["place"], w["open"], w["size"], w["place"] - base, text))
+                    docs = batch.column(0).take(pa.array(np.full(len(rows), at)))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([docs, *columns], ["doc", "value", "place", "open", "size", "at", "part"])
+                    at += 1
+
+    return listed.join(texts.toDF("doc", "text"), "doc").select("doc", "windows", "text").mapInArrow(cut, f"doc {kind}, value long, place long, open boolean, size long, at long, part string")
+
+
+def _fewest(tokens: np.ndarray) -> int:
+    """Distinct tokens of the stretch of ``LEAST`` tokens that has fewest; more than any if there is none."""
+    if len(tokens) < LEAST:
+        return 2 * AROUND + LEAST
+    order = np.argsort(tokens, kind="stable")
+    again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
+    previous = np.full(len(tokens), -1)
+    previous[order[again + 1]] = order[again]
+    windows = np.lib.stride_tricks.sliding_window_view(previous, LEAST)
+    return int((windows < np.arange(len(windows))[:, None]).sum(axis=1).min())
+
+
+def _promising(shared: np.ndarray, centre: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The most that one side adds to the score of a passage around ``centre``: 0.1 for a shared token and -0.8 for a lost one; a
+    similarity of 0.8 without repeated tokens needs a sum of 0 over both sides.  Rows are pairs."""
+    place = np.arange(shared.shape[1] + 1)
+    sums = np.zeros((len(shared), shared.shape[1] + 1))
+    np.cumsum(np.where(shared, (1 - SIMILAR) / 2, -SIMILAR), axis=1, out=sums[:, 1:])
+    after = np.where(place[None, :] <= size[:, None], sums, -np.inf)
+    after = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    stop = np.maximum(centre[:, None] + 1, place[None, :] + LEAST)
+    best = np.where(stop <= size[:, None], np.take_along_axis(after, np.minimum(stop, shared.shape[1]), axis=1), -np.inf) - sums
+    return np.where(place[None, :] <= centre[:, None], best, -np.inf).max(axis=1)
+
+
+def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For every open member of a cell the smallest other document's member (this, then the open one) that it has a passage with,
+    if there is one a passage that begins and ends with shared tokens.
+
+    Members on different sides of a cell are compared, or all if there is one side.
+    """
+    distinct = [np.unique(t) for t in tokens]
+    count = np.array([len(d) for d in distinct])
+    # a passage has as many distinct tokens as some stretch of its least length, and shares four of five
+    least = np.array([np.ceil(SIMILAR * _fewest(t) - 1e-9) for t in tokens])
+    owner = np.repeat(np.arange(len(tokens)), count)
+    _, token, often = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
+    common = often > 1
+    column = np.cumsum(common) - 1
+    use = common[token]
+    owner, column = owner[use], column[token[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(tokens), len(tokens)), np.float32)
+    for first in range(0, int(common.sum()), 4096):
+        part = slice(*np.searchsorted(column, [first, first + 4096]))
+        matrix = np.zeros((len(tokens), min(4096, int(common.sum()) - first)), np.float32)
+        matrix[owner[part], column[part] - first] = 1
+        both += matrix @ matrix.T
+    apart = side[:, None] != side[None, :] if (side != side[0]).any() else np.ones(both.shape, bool)
+    hopeful = apart & (both >= least[:, None]) & (both >= least[None, :])
+    # tokens of every member by column, for the bound of ``_promising``
+    held = np.zeros((len(tokens), int(common.sum()) + 1), bool)
+    held[owner, column] = True
+    held[:, -1] = False
+    places = np.full((len(tokens), max(map(len, tokens)) + 1), held.shape[1] - 1)
+    sorted_tokens, where = np.unique(np.concatenate(distinct)), np.cumsum(common) - 1
+    for k, t in enumerate(tokens):
+        index = np.searchsorted(sorted_tokens, t)
+        places[k, : len(t)] = np.where(common[index], where[index], held.shape[1] - 1)
+    size, once = np.array([len(t) for t in tokens]), count == np.array([len(t) for t in tokens])
+    by_id = sorted(range(len(docs)), key=lambda k: docs[k])
+    # equal surroundings are judged once
+    looks = [(t.tobytes(), p) for t, p in zip(tokens, at, strict=True)]
+    known: dict = {look: k for k, look in enumerate(looks)}
+    look = [known[x] for x in looks]
+    judged: dict[tuple[int, int], tuple[bool, bool]] = {}
+    out = []
+    centres = np.array(at)
+    for k in np.flatnonzero(is_open).tolist():
+        best = None
+        some = np.flatnonzero(hopeful[k] & once) if once[k] else np.zeros(0, np.int64)
+        if len(some):
+            mine = _promising(held[some][:, places[k]], np.full(len(some), at[k]), np.full(len(some), size[k]))
+            theirs = _promising(held[k][places[some]], centres[some], size[some])
+            hopeful[k, some] = mine + theirs >= -1e-6
+        for other in by_id:
+            if hopeful[k, other] and docs[other] != docs[k]:
+                pair = (look[other], look[k])
+                if pair not in judged:
+                    met = verified(tokens[other], tokens[k], [(at[other], at[k])])
+                    judged[pair] = bool(met), any(firm(tokens[other], tokens[k], *m[:4]) for m in met)
+                if judged[pair][1]:
+                    best = other
+                    break
+                best = other if judged[pair][0] and best is None else best
+        if best is not None:
+            out.append((best, k))
+    return out
+
+
+def open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``lead``, ``doc`` and ``hits`` of open members and one partner each from every block they have one in."""
+    kind = texts.schema.fields[0].dataType.simpleString()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    total = members.agg(F.sum(blocks)).first()[0]
+    own = F.pmod(F.xxhash64("doc", "place"), blocks).cast("int")
+    rows = _contexts(members, texts).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cell = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(cell.alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "value", "doc", "place", "open", "at", "part")
+    rows = rows.withColumn("task", F.pmod("cell", F.lit(-(-total // TASK))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
+        cells = table.column("cell").to_numpy()
+        side, is_open = table.column("side").to_numpy(), table.column("open").to_numpy()
+        docs, places, at = (table.column(c).to_pylist() for c in ("doc", "place", "at"))
+        parts = table.column("part")
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        one, other = [], []
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
+            if high - low > 1 and is_open[low:high].any():
+                tokens = [_tokens(p.as_py()) for p in parts[low:high]]
+                for a, b in partners(docs[low:high], side[low:high], is_open[low:high], at[low:high], tokens):
+                    one.append(low + a)
+                    other.append(low + b)
+        column = table.column("doc")
+        one, other = np.array(one, np.int64), np.array(other, np.int64)
+        places = np.array(places, np.int64)
+        return pa.table({"lead": column.take(pa.array(one)), "doc": column.take(pa.array(other)), "lead_place": places[one], "place": places[other]})
+
+    met = rows.groupBy("task").applyInArrow(meet, f"lead {kind}, doc {kind}, lead_place long, place long")
+    return met.groupBy("lead", "doc").agg(F.collect_set(F.struct(F.array("lead_place").alias("lead_places"), "place")).alias("hits"))
+
+
+def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each passage of a document that repeats in another: id, ``start_word``, ``end_word`` (exclusive), ``n_words``,
+    ``partner`` (the smallest document it was verified with), ``partner_start``, ``partner_end`` and ``similarity``."""
+    texts = plain(df, id_column, text_column).where(F.col(f"`{id_column}`").isNotNull() & (F.octet_length(F.col(f"`{text_column}`")) >= 2 * WORDS - 1))
+    shared = shared_windows(window_rows(df, id_column, text_column))
+    found = settle(_verify(settle(lead_pairs(shared)), texts, id_column))
+    members = open_members(shared, found, id_column)
+    if not members.isEmpty():
+        found = found.unionByName(_verify(settle(open_pairs(members, texts)), texts, id_column))
     best = found.groupBy(id_column, "start_word", "end_word").agg(F.min(F.struct("partner", "partner_start", "partner_end", "similarity")).alias("best"))
     return best.select(id_column, "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "best.*")

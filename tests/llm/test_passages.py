@@ -112,3 +112,51 @@ def test_neighbouring_changes_stay_in_one_passage():
                     found = verified(*sides, [(hit, hit)])
                     assert both and (max((f[1] - f[0] + 1 for f in found), default=0) >= wanted), (length, changes, at, hit)
                     assert all(f[4] >= 0.8 and f[0] <= hit <= f[1] for f in found)
+
+
+def test_documents_whose_lead_fails_meet(spark, docs, monkeypatch):
+    from pacelane.llm import passages
+
+    rng = random.Random(33)
+    rows, expected, passages_of = [], set(), {}
+    for k in range(60):
+        passage = passages_of[k] = words(rng, rng.choice([52, 60]))
+        piece = passage[:44] if k % 3 else passage[-48:]
+        if k % 3 == 0:
+            expected.add(k)  # 44 shared tokens and two more: 0.92
+        rows.append((k, " ".join(words(rng, 30) + piece + words(rng, 40))))
+        rows += [(1000 + k + 100 * side, " ".join(words(rng, 50) + passage + words(rng, 20))) for side in (0, 1)]
+        expected |= {1000 + k, 1100 + k}
+    line = words(rng, 30)  # in many documents, and two of them share more
+    rows += [(3000 + k, " ".join(words(rng, 60) + line + words(rng, 60))) for k in range(40)]
+    more = words(rng, 30)
+    rows += [(4000 + k, " ".join(words(rng, 20) + line + more + words(rng, 9))) for k in range(2)]
+    # the lead has the run twice, first without the passage
+    twice = words(rng, 60)
+    rows += [(5000, " ".join(twice[10:40] + words(rng, 60) + twice)), (5001, " ".join(words(rng, 30) + twice))]
+    expected |= {4000, 4001, 5000, 5001}
+    frame = docs(rows)
+    for block in (256, 8):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        monkeypatch.setattr(passages, "TASK", 4 * block)
+        found = repeated_passages(frame).collect()
+        assert {r.doc_id for r in found} == expected
+        texts = {i: t.split() for i, t in rows}
+        for k, passage in passages_of.items():
+            for i in (1000 + k, 1100 + k):
+                assert any(" ".join(passage) in " ".join(texts[i][r.start_word : r.end_word]) for r in found if r.doc_id == i), i
+
+
+def test_near_passages_at_the_threshold_are_found(spark, docs):
+    rng = random.Random(34)
+    rows = []
+    for k in range(400):
+        length, changes = rng.choice([(52, 1), (60, 1), (70, 2), (90, 2), (100, 3), (100, 2)])
+        passage = words(rng, length)
+        other = list(passage)
+        at = rng.randrange(1, length - changes)
+        other[at : at + changes] = words(rng, changes)
+        rows += [(2 * k + side, " ".join(words(rng, 40) + p + words(rng, 40))) for side, p in enumerate((passage, other))]
+        sets = [{tuple(p[i : i + RUN]) for i in range(len(p) - RUN + 1)} for p in (passage, other)]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    assert {r.doc_id for r in repeated_passages(docs(rows)).collect()} == set(range(800))
