@@ -11,8 +11,9 @@ answer, or the item as a whole, overlap with the passage: shares of runs of five
 An item's answer is what follows its last line break or, on a single line, its last sentence; an item of
 one sentence is all question.  Words are runs of ASCII letters, digits and any other non-ASCII characters,
 in lower case.  Null and empty texts and items match nothing.  Repeated rows give repeated answers;
-items with equal texts are reported each.  The index travels with the tasks in parts of at most ``PART`` items,
-one pass over the documents for each part; with several parts, term weights come from the part.
+items with equal texts are reported each.  The index travels with the tasks in parts of about ``PART`` distinct items,
+one pass over the documents for each part.  Term weights come from all items, repeated ones counted as often as they are, so
+the parts do not change a score.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacelane.llm.frames import plain, ship_package
+from pacelane.llm.frames import plain, settle, ship_package
 from pacelane.llm.words import PUNCTUATION, U64, find_words, shingle_codes, slices, text_bytes
 
 PART = 2048
@@ -62,6 +63,7 @@ def _runs(codes: np.ndarray) -> np.ndarray:
 
 class Item(NamedTuple):
     id: object
+    copies: int
     length: int
     question: np.ndarray
     answer: np.ndarray
@@ -73,7 +75,7 @@ class Item(NamedTuple):
 class Tier:
     """Postings of items of similar length: impacts, blocks and thresholds."""
 
-    def __init__(self, items: list[Item], pairs: np.ndarray, impact: np.ndarray, vocabulary: np.ndarray, often: np.ndarray):
+    def __init__(self, items: list[Item], pairs: np.ndarray, impact: np.ndarray, vocabulary: np.ndarray, often: np.ndarray, longest: int):
         score = np.bincount(pairs[0], impact, minlength=len(items))
         order = np.argsort(score, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -106,7 +108,7 @@ class Tier:
         cut = np.searchsorted(item[by_item], np.arange(1, len(self.items)))
         self.item_terms, self.item_impacts = np.split(term[by_item], cut), np.split(impact[by_item], cut)
         self.least = np.minimum.reduceat(self.threshold, np.arange(0, len(self.items), BLOCK))
-        self.longest = max(i.length for i in self.items)
+        self.longest = longest
         self.hit = np.zeros(1 << 20, bool)
         self.hit[(self.vocabulary >> U64(44)).astype(np.int64)] = True
 
@@ -169,31 +171,47 @@ class Tier:
         return text, begin, np.minimum(begin + width, first[text + 1])
 
 
+def _tier(size: np.ndarray) -> np.ndarray:
+    return np.maximum(4, np.ceil(np.log2(size))).astype(np.int64)
+
+
+class Statistics(NamedTuple):
+    """Counts over all items that have words."""
+
+    items: int
+    words: int
+    df: dict[int, int]
+    """Items that hold a word, by its number."""
+    longest: dict[int, int]
+    """Words of the longest item of every tier."""
+
+
 class Index:
-    """BM25 statistics over all items of a part, and a tier for each doubling of the item length."""
+    """A part of the items, a tier for each doubling of the item length; BM25 statistics over all items.  ``rows``: id, text, copies."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], statistics: Statistics):
         self.tiers: list[Tier] = []
         parsed = []
-        for item_id, text in rows:
+        for item_id, text, copies in rows:
             codes = _codes(text or "")
             if len(codes):
                 question, answer = (_codes(part) for part in split_item(text))
-                parsed.append((codes, Item(item_id, len(codes), _runs(question), _runs(answer), min(RUN, len(answer)), _runs(codes), min(RUN, len(question)))))
+                parsed.append((codes, Item(item_id, copies, len(codes), _runs(question), _runs(answer), min(RUN, len(answer)), _runs(codes), min(RUN, len(question)))))
         if not parsed:
             return
         size = np.array([len(c) for c, _ in parsed])
         vocabulary, inverse = np.unique(np.concatenate([c for c, _ in parsed]), return_inverse=True)
         pairs, tf = np.unique(np.stack([np.repeat(np.arange(len(parsed)), size), inverse.ravel()]), axis=1, return_counts=True)
-        df = np.bincount(pairs[1], minlength=len(vocabulary))
-        idf = np.log(1 + (len(parsed) - df + 0.5) / (df + 0.5))
-        impact = idf[pairs[1]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[pairs[0]] / size.mean()))
-        often = df > max(2, COMMON * len(parsed))
-        tier = np.maximum(4, np.ceil(np.log2(size)))
+        count, mean = statistics.items, statistics.words / statistics.items
+        df = np.array([statistics.df[c] for c in vocabulary.view(np.int64).tolist()])
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        impact = idf[pairs[1]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[pairs[0]] / mean))
+        often = df > max(2, COMMON * count)
+        tier = _tier(size)
         for k in np.unique(tier):
             members = np.flatnonzero(tier == k)
             mine = tier[pairs[0]] == k
-            self.tiers.append(Tier([parsed[m][1] for m in members], np.stack([np.searchsorted(members, pairs[0][mine]), pairs[1][mine]]), impact[mine], vocabulary, often))
+            self.tiers.append(Tier([parsed[m][1] for m in members], np.stack([np.searchsorted(members, pairs[0][mine]), pairs[1][mine]]), impact[mine], vocabulary, often, statistics.longest[int(k)]))
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """Text index, item, score, question, answer and whole overlap, word span, of every leak; best passage each."""
@@ -212,17 +230,79 @@ class Index:
                     start = int(begin[p] - words.first[text[p]])
                     rank = (shares[2], score, -start)
                     if key not in best or best[key][0] < rank:
-                        best[key] = (rank, (int(text[p]), item.id, score, *shares, start, start + len(codes)))
-        return [row for _, row in sorted(best.values(), key=lambda x: (x[1][0], str(x[1][1])))]
-
-
-def _parts(items: DataFrame):
-    """Item rows in parts of bounded count and bytes."""
-    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+                        best[key] = (rank, (item.copies, int(text[p]), item.id, score, *shares, start, start + len(codes)))
+        return [row[1:] for _, row in sorted(best.values(), key=lambda x: (x[1][1], str(x[1][2]))) for _ in range(row[0])]
+
+
+def _counted(rows: list[tuple]) -> Statistics:
+    """Statistics of items (id, text, copies) that are all of them."""
+    items = words = 0
+    df: dict[int, int] = {}
+    longest: dict[int, int] = {}
+    for _, text, copies in rows:
+        codes = _codes(text or "").view(np.int64)
+        items, words = items + copies * (len(codes) > 0), words + copies * len(codes)
+        for c in np.unique(codes).tolist():
+            df[c] = df.get(c, 0) + copies
+        if len(codes):
+            tier = int(_tier(np.array(len(codes))))
+            longest[tier] = max(longest.get(tier, 0), len(codes))
+    return Statistics(items, words, df, longest)
+
+
+def _word_counts(counted: DataFrame) -> DataFrame:
+    """``code`` and ``df`` of every word of the counted items (``text``, ``copies``)."""
+
+    def count(batches):
+        for batch in batches:
+            for first, _, data, offsets in slices(pc.utf8_lower(batch.column(0).cast(pa.large_string()))):
+                words = find_words(data, offsets, PUNCTUATION)
+                copies = batch.column(1).to_numpy()[first : first + len(offsets) - 1]
+                pairs = np.unique(np.stack([words.text.astype(U64), words.code]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), pa.array(copies[pairs[0].astype(np.int64)])], ["code", "df"])
+
+    return counted.select("text", "copies").mapInArrow(count, "code long, df long").groupBy("code").agg(F.sum("df").alias("df"))
+
+
+def _tier_sums(counted: DataFrame) -> DataFrame:
+    """``longest``, ``items`` and ``words`` of every tier of the counted items."""
+
+    def count(batches):
+        for batch in batches:
+            for first, _, data, offsets in slices(pc.utf8_lower(batch.column(0).cast(pa.large_string()))):
+                size = np.diff(find_words(data, offsets, PUNCTUATION).first)
+                copies = batch.column(1).to_numpy()[first : first + len(size)][size > 0]
+                size = size[size > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(_tier(size)), pa.array(size), pa.array(copies), pa.array(copies * size)], ["tier", "longest", "items", "words"])
+
+    sums = counted.select("text", "copies").mapInArrow(count, "tier long, longest long, items long, words long")
+    return sums.groupBy("tier").agg(F.max("longest"), F.sum("items"), F.sum("words"))
+
+
+def _indexes(items: DataFrame):
+    """Indexes over parts of bounded count and bytes of the distinct items, all with the statistics of all items.
+
+    Repeated items are counted, so they take up no room; their answers are the same.
+    """
+    ship_package(items.sparkSession)
+    counted = settle(items.groupBy("item_id", "text").agg(F.count("*").alias("copies")))
+    count, size = counted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-count // PART), -(-size // PART_BYTES))
+    order = lambda r: (r[0] is None, r[0], r[1] or "")
+    if parts == 1:
+        rows = sorted(((i, t, n) for i, t, n in counted.collect()), key=order)
+        yield Index(rows, _counted(rows))
+        return
+    worded = counted.where("text IS NOT NULL")
+    words = settle(_word_counts(worded))
+    tiers = _tier_sums(worded).collect()  # one row per tier
+    total, longest = [sum(t[k] for t in tiers) for k in (2, 3)], {t[0]: t[1] for t in tiers}
     for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+        part = settle(counted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k))
+        rows = sorted(((i, t, n) for i, t, n in part.collect()), key=order)
+        known = _word_counts(part.where("text IS NOT NULL")).select("code")
+        df = dict(map(tuple, words.join(known, "code").select("code", "df").collect()))
+        yield Index(rows, Statistics(*total, df, longest))
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -248,8 +328,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_
         return run
 
     found = None
-    for rows in _parts(items):
-        part = source.mapInArrow(search(Index(rows)), schema)
+    for index in _indexes(items):
+        part = source.mapInArrow(search(index), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -270,6 +350,6 @@ def drop_leaks(df: DataFrame, items: DataFrame) -> DataFrame:
 
         return run
 
-    for rows in _parts(plain(items, "item_id", "text")):
-        df = df.mapInArrow(clean(Index(rows)), df.schema)
+    for index in _indexes(plain(items, "item_id", "text")):
+        df = df.mapInArrow(clean(index), df.schema)
     return df

@@ -81,3 +81,15 @@ def test_split():
     assert split_item("Q one\nQ two\nA") == ("Q one\nQ two", "A")
     assert split_item("Why? Because.") == ("Why?", "Because.")
     assert split_item("only") == ("only", "")
+
+
+def test_parts_change_no_row(spark, docs, monkeypatch):
+    rows, items = fixture()
+    items += [items[5]] * 40 + [(205, "?!"), (206, "Ünï kö")]  # one repeated often, one without words
+    found = []
+    for part in (2048, 10):
+        monkeypatch.setattr(decontam, "PART", part)
+        got = find_leaks(docs([*rows[:60], (700, items[5][1])]), item_frame(spark, items[:12] + items[90:])).collect()
+        found.append(sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in got], key=str))
+    assert found[0] == found[1] and len(found[0]) > 40
+    assert sum(r[1] == items[5][0] for r in found[0]) % 41 == 0
