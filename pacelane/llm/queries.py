@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacelane.llm import decontam, extract, language, neardup, passages, pieces, secrets, secrets_sql, shards, spots, toxicity
+from pacelane.llm import decontam, extract, language, mixing, neardup, passages, pieces, runs, secrets, secrets_sql, shards, spots, toxicity, variants
 from pacelane.llm.frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,36 @@ def op9(t: Tables) -> DataFrame:
 @query("op10_decontam")
 def op10(t: Tables) -> DataFrame:
     return decontam.find_leaks(t.documents, t.benchmark)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``; in one of ten documents the words from some place on repeat the first few of them."""
+    crc = remainder(1 << 32)
+    g = F.floor(crc / 10)
+
+    def repeat(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    edited = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise("")), 1)
+    return docs.select("doc_id", F.when(crc % 10 == 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_runs")
+def op11(t: Tables) -> DataFrame:
+    return runs.digest(runs.with_runs(with_periods(t.documents)))
+
+
+@query("op12_mixing", mixing.sql())
+def op12(t: Tables) -> DataFrame:
+    mixed = mixing.mix(t.documents)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op13_variants", variants.sql())
+def op13(t: Tables) -> DataFrame:
+    return variants.spelling_forms(variants.count_words(t.documents))

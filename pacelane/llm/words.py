@@ -30,7 +30,7 @@ _FOLDED = _TABLE[_FOLD]
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < size:
         have = 1 << max(16, (size - 1).bit_length())
         for slot, factor in enumerate((_BASE, _INVERSE)):
@@ -60,8 +60,8 @@ class Words(NamedTuple):
     """Index of each text's first word, and the word count at the end."""
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE) -> Words:
-    """Words of the texts that lie between ``offsets`` in ``data``; ASCII letters fold to lower case."""
+def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE, fold: bool = True) -> Words:
+    """Words of the texts that lie between ``offsets`` in ``data``; ASCII letters ``fold`` to lower case."""
     n = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -78,9 +78,9 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WH
     after[:-1] = inside[1:]
     after[cuts - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_FOLDED[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_FOLDED if fold else _TABLE)[data] * up[: len(data)], out=sums[1:])
     code = mix((sums[end] - sums[start]) * down[start])
     first = np.searchsorted(start, offsets)
     text = np.repeat(np.arange(n), np.diff(first))
