@@ -228,7 +228,8 @@ def with_runs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     held = runs.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("__found"))
     held = held.select("__id", "__hash", F.transform("__found", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))).alias("runs"))
     keyed = df.drop("runs").withColumn("__own", text_hash(F.col(f"`{text_column}`")))
-    joined = keyed.join(held, F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    # the plan stays the same at every size: runs grow with the documents
+    joined = keyed.join(held.hint("merge"), F.col(f"`{id_column}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     return joined.drop("__id", "__hash", "__own")
 
 
