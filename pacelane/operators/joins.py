@@ -117,25 +117,25 @@ NO_KEY = "provider_temporal_keys_missing"
 NO_FRAME = "no_exact_tracking_key"
 
 
-def link_events_to_frames(events: DataFrame, clock: DataFrame, event_id: str = "event_no") -> DataFrame:
+def link_events_to_frames(events: DataFrame, clock: DataFrame, event_id: str = "event_no", *, keys: Sequence[str] = ()) -> DataFrame:
     """Link events to frames by frame index, then wall clock, then a unique game clock.
 
-    Every event keeps a disposition; conflicting or ambiguous keys never link.
+    Every event keeps a disposition; conflicting or ambiguous keys never link.  ``keys`` tell contests apart, whose frames and clocks repeat.
     """
-    period = "period_number"
+    period = [*keys, "period_number"]
     frame = F.struct("frame_idx", "canonical_time_ns")
-    by_index = clock.select(period, F.col("frame_idx").alias("source_frame_idx"), frame.alias("__by_index"))
-    by_wall = clock.select(period, "wall_clock_ms", frame.alias("__by_wall"))
+    by_index = clock.select(*period, F.col("frame_idx").alias("source_frame_idx"), frame.alias("__by_index"))
+    by_wall = clock.select(*period, "wall_clock_ms", frame.alias("__by_wall"))
     known = clock.filter("game_clock_s IS NOT NULL")
     found = [F.count(F.lit(1)).alias("n"), F.min(frame).alias("f")]
-    by_game = known.groupBy(period, "game_clock_s").agg(*found).select(period, "game_clock_s", F.struct("n", "f").alias("__by_game"))
+    by_game = known.groupBy(*period, "game_clock_s").agg(*found).select(*period, "game_clock_s", F.struct("n", "f").alias("__by_game"))
     by_both = (
-        known.filter("shot_clock_s IS NOT NULL").groupBy(period, "game_clock_s", "shot_clock_s").agg(*found).select(period, "game_clock_s", "shot_clock_s", F.struct("n", "f").alias("__by_both"))
+        known.filter("shot_clock_s IS NOT NULL").groupBy(*period, "game_clock_s", "shot_clock_s").agg(*found).select(*period, "game_clock_s", "shot_clock_s", F.struct("n", "f").alias("__by_both"))
     )
-    out = left_lookup(events, by_index, [period, "source_frame_idx"], event_id)
-    out = left_lookup(out, by_wall, [period, "wall_clock_ms"], event_id)
-    out = left_lookup(out, by_game, [period, "game_clock_s"], event_id)
-    out = left_lookup(out, by_both, [period, "game_clock_s", "shot_clock_s"], event_id)
+    out = left_lookup(events, by_index, [*period, "source_frame_idx"], event_id)
+    out = left_lookup(out, by_wall, [*period, "wall_clock_ms"], event_id)
+    out = left_lookup(out, by_game, [*period, "game_clock_s"], event_id)
+    out = left_lookup(out, by_both, [*period, "game_clock_s", "shot_clock_s"], event_id)
     i, w = F.col("__by_index"), F.col("__by_wall")
     game = F.when(F.col("shot_clock_s").isNull(), F.col("__by_game")).otherwise(F.col("__by_both"))
     candidates = F.coalesce(game["n"], F.lit(0))
@@ -236,19 +236,20 @@ def possession_context(frames: DataFrame, possession: DataFrame, keys: Sequence[
     )
 
 
-def coincidence(pose: DataFrame, tracking: DataFrame) -> DataFrame:
-    """Player rows of frames both sources saw: pose at 25 Hz, tracking at 10 Hz.
+def coincidence(pose: DataFrame, tracking: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Player rows of frames both sources saw, contest by contest (``keys``): pose at 25 Hz, tracking at 10 Hz.
 
     Pose frame 5n shares its instant with tracking frame 2n.  Returned rows say
     which side saw the player and how far apart the two positions are.
     """
     sampled = pose.filter(F.col("frame") % 5 == 0).withColumn("frame", F.call_function("div", F.col("frame") * 2, F.lit(5).cast("bigint")))
-    head = lambda d, side: d.groupBy("frame").agg(F.min("period").alias(f"{side}_period"), F.min("timestamp").alias(f"{side}_timestamp"))
-    shared = head(sampled, "pose").join(head(tracking, "tracking"), "frame").filter("pose_period IS NOT NULL AND tracking_period IS NOT NULL")
-    spot = lambda d, side: d.select("frame", "player_id", F.struct(F.lit(True).alias("seen"), "x", "y").alias(side))
-    players = spot(sampled, "p").join(spot(tracking, "t"), ["frame", "player_id"], "full_outer")
-    return shared.join(players, "frame").select(
-        "frame",
+    instant = [*keys, "frame"]
+    head = lambda d, side: d.groupBy(*instant).agg(F.min("period").alias(f"{side}_period"), F.min("timestamp").alias(f"{side}_timestamp"))
+    shared = head(sampled, "pose").join(head(tracking, "tracking"), instant).filter("pose_period IS NOT NULL AND tracking_period IS NOT NULL")
+    spot = lambda d, side: d.select(*instant, "player_id", F.struct(F.lit(True).alias("seen"), "x", "y").alias(side))
+    players = spot(sampled, "p").join(spot(tracking, "t"), [*instant, "player_id"], "full_outer")
+    return shared.join(players, instant).select(
+        *instant,
         F.col("pose_period").alias("period"),
         (F.col("pose_timestamp") == F.col("tracking_timestamp")).alias("timestamp_match"),
         "player_id",
@@ -258,15 +259,15 @@ def coincidence(pose: DataFrame, tracking: DataFrame) -> DataFrame:
     )
 
 
-def frames_with_players(clock: DataFrame, tracking: DataFrame, roster: DataFrame, scale: Column) -> DataFrame:
-    """Clock frames with their players and ball; positions scaled for display."""
-    positions = tracking.join(roster, "object_id", "left")
+def frames_with_players(clock: DataFrame, tracking: DataFrame, roster: DataFrame, scale: Column, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Clock frames with their players and ball, contest by contest (``keys``); positions scaled for display."""
+    positions = tracking.join(roster, [*keys, "object_id"], "left")
     person = F.struct(
         F.col("object_id"), F.coalesce("display_name", "object_id").alias("display_name"), "group_id", (F.col("x_m") * scale).alias("x"), (F.col("y_m") * scale).alias("y")
     )
     is_ball = F.col("object_type") == "ball"
-    grouped = positions.groupBy("t_rel_ns").agg(
+    grouped = positions.groupBy(*keys, F.col("t_rel_ns").alias("canonical_time_ns")).agg(
         F.array_sort(F.collect_list(F.when(~is_ball, person))).alias("players"),
         F.min(F.when(is_ball, F.struct((F.col("x_m") * scale).alias("x"), (F.col("y_m") * scale).alias("y")))).alias("ball"),
     )
-    return clock.join(grouped, clock["canonical_time_ns"] == grouped["t_rel_ns"], "left").drop("t_rel_ns")
+    return clock.join(grouped, [*keys, "canonical_time_ns"], "left")

@@ -57,33 +57,37 @@ def several(column: str) -> Column:
     return F.when(F.min(column) != F.max(column), 1).otherwise(0)
 
 
-def identity_rules(contract: StreamContract, columns: Sequence[str]) -> dict[str, Column]:
-    rules: dict[str, Column] = {}
-    for name in ("dataset_id", "session_id", "stream_id"):
-        if name in columns:
-            rules[f"identity.null:{name}"] = F.count_if(F.col(name).isNull())
-            rules[f"identity.multiple:{name}"] = several(name)
+def counted(checks: Mapping[str, Column]) -> dict[str, Column]:
+    """Row checks as rules: how many rows fail."""
+    return {name: F.count_if(failed) for name, failed in checks.items()}
+
+
+def identity_checks(contract: StreamContract, columns: Sequence[str]) -> dict[str, Column]:
+    out = {f"identity.null:{n}": F.col(n).isNull() for n in ("dataset_id", "session_id", "stream_id") if n in columns}
     if contract.subject_required and "subject_id" in columns:
-        rules["identity.subject_required"] = F.count_if(F.col("subject_id").isNull())
-    return rules
+        out["identity.subject_required"] = F.col("subject_id").isNull()
+    return out
 
 
-def authority_rules(contract: StreamContract, columns: Sequence[str]) -> dict[str, Column]:
-    rules: dict[str, Column] = {}
-    for name in ("clock_id", "synchronization_spec_id"):
-        if name in columns:
-            rules[f"authority.null:{name}"] = F.count_if(F.col(name).isNull())
-            rules[f"authority.multiple:{name}"] = several(name)
-    if contract.frame_required:
-        if "coordinate_frame_id" not in columns:
-            rules["authority.frame_missing_column"] = F.count(F.lit(1))
-        else:
-            rules["authority.frame_required"] = F.count_if(F.col("coordinate_frame_id").isNull())
-            rules["authority.frame_multiple"] = several("coordinate_frame_id")
-    return rules
+def authority_checks(contract: StreamContract, columns: Sequence[str]) -> dict[str, Column]:
+    out = {f"authority.null:{n}": F.col(n).isNull() for n in ("clock_id", "synchronization_spec_id") if n in columns}
+    if contract.frame_required and "coordinate_frame_id" not in columns:
+        out["authority.frame_missing_column"] = F.lit(True)
+    elif contract.frame_required:
+        out["authority.frame_required"] = F.col("coordinate_frame_id").isNull()
+    return out
 
 
-def force_rules(columns: Sequence[str]) -> dict[str, Column]:
+def single_values(contract: StreamContract, columns: Sequence[str]) -> dict[str, str]:
+    """Rules that a stream breaks when a column holds several values: rule and column."""
+    out = {f"identity.multiple:{n}": n for n in ("dataset_id", "session_id", "stream_id") if n in columns}
+    out |= {f"authority.multiple:{n}": n for n in ("clock_id", "synchronization_spec_id") if n in columns}
+    if contract.frame_required and "coordinate_frame_id" in columns:
+        out["authority.frame_multiple"] = "coordinate_frame_id"
+    return out
+
+
+def force_checks(columns: Sequence[str]) -> dict[str, Column]:
     """A force row carries newtons or a body-weight ratio, never both and never neither."""
     newton, ratio = F.lit(False), F.lit(False)
     for name in ("force_x_n", "force_y_n", "force_z_n"):
@@ -91,10 +95,14 @@ def force_rules(columns: Sequence[str]) -> dict[str, Column]:
             newton = newton | F.col(name).isNotNull()
     if "force_z_body_weight_ratio" in columns:
         ratio = F.col("force_z_body_weight_ratio").isNotNull()
-    return {"force.payload.missing": F.count_if(~newton & ~ratio), "force.payload.ambiguous": F.count_if(newton & ratio)}
+    return {"force.payload.missing": ~newton & ~ratio, "force.payload.ambiguous": newton & ratio}
 
 
-def pose_rules() -> dict[str, Column]:
+def force_rules(columns: Sequence[str]) -> dict[str, Column]:
+    return counted(force_checks(columns))
+
+
+def pose_checks() -> dict[str, Column]:
     """Coordinates exist exactly when the joint is available."""
     seen = F.coalesce("is_available", F.lit(False))
     axes = ("x_m", "y_m", "z_m")
@@ -105,17 +113,33 @@ def pose_rules() -> dict[str, Column]:
         finite = finite & F.coalesce(is_finite(a), F.lit(False))
     error_ok = F.coalesce(is_finite("error_m") & (F.col("error_m") >= 0), F.lit(False))
     return {
-        "pose.availability.null": F.count_if(F.col("is_available").isNull()),
-        "pose.payload.missing_coordinates": F.count_if(seen & ~every),
-        "pose.payload.unexpected_coordinates": F.count_if(~seen & some),
-        "pose.payload.non_finite": F.count_if(seen & ~finite),
-        "pose.error.invalid": F.count_if(F.col("error_m").isNotNull() & ~error_ok),
+        "pose.availability.null": F.col("is_available").isNull(),
+        "pose.payload.missing_coordinates": seen & ~every,
+        "pose.payload.unexpected_coordinates": ~seen & some,
+        "pose.payload.non_finite": seen & ~finite,
+        "pose.error.invalid": F.col("error_m").isNotNull() & ~error_ok,
     }
 
 
-def class_rules() -> dict[str, Column]:
+def pose_rules() -> dict[str, Column]:
+    return counted(pose_checks())
+
+
+def class_checks() -> dict[str, Column]:
     c = F.col("measurement_class")
-    return {"measurement_class.illegal": F.count_if(c.isNotNull() & ~c.isin(*MEASUREMENT_CLASSES)), "measurement_class.null": F.count_if(c.isNull())}
+    return {"measurement_class.illegal": c.isNotNull() & ~c.isin(*MEASUREMENT_CLASSES), "measurement_class.null": c.isNull()}
+
+
+def row_checks(contract: StreamContract, columns: Sequence[str]) -> dict[str, Column]:
+    """Every check of a contract that one row passes or fails by itself."""
+    out = identity_checks(contract, columns) | authority_checks(contract, columns)
+    if "measurement_class" in columns:
+        out |= class_checks()
+    if contract.modality == "force":
+        out |= force_checks(columns)
+    if contract.modality == "pose":
+        out |= pose_checks()
+    return out
 
 
 def time_rules(df: DataFrame, keys: Sequence[str], *, strict: bool, chunk: int = 100_000) -> DataFrame:
@@ -142,14 +166,8 @@ def time_rules(df: DataFrame, keys: Sequence[str], *, strict: bool, chunk: int =
 
 def validate(df: DataFrame, contract: StreamContract, keys: Sequence[str] = ("stream_id",), *, chunk: int = 100_000) -> DataFrame:
     """Every row rule of a contract: stream, rule and number of violations."""
-    rules = identity_rules(contract, df.columns) | authority_rules(contract, df.columns)
+    rules = counted(row_checks(contract, df.columns)) | {n: several(c) for n, c in single_values(contract, df.columns).items()}
     rules = {n: c for n, c in rules.items() if not any(n.endswith(f":{k}") for k in keys)}
-    if "measurement_class" in df.columns:
-        rules |= class_rules()
-    if contract.modality == "force":
-        rules |= force_rules(df.columns)
-    if contract.modality == "pose":
-        rules |= pose_rules()
     out = count_rules(df, keys, rules).drop("rows")
     if contract.dense:
         out = out.unionByName(time_rules(df, keys, strict=contract.strict_time, chunk=chunk))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pacelane.operators import joins, ranking
 from pacelane.plans.registry import query, r6, rounded
-from pacelane.testbed import SIGNAL_CHUNK, TRACK_CHUNK
+from pacelane.testbed import SIGNAL_CHUNK, TRACK_CHUNK, contest_of
 
 MS = 1_000_000
 
@@ -53,14 +53,14 @@ def event_snapshot(tb):
 
 
 LINK_SQL = """
-    WITH g AS (SELECT period_number, game_clock_s, count(*) AS n, min(frame_idx) AS f FROM tb_frame_clock GROUP BY 1, 2),
-    gs AS (SELECT period_number, game_clock_s, shot_clock_s, count(*) AS n, min(frame_idx) AS f FROM tb_frame_clock GROUP BY 1, 2, 3),
+    WITH g AS (SELECT contest_id, period_number, game_clock_s, count(*) AS n, min(frame_idx) AS f FROM tb_frame_clock GROUP BY 1, 2, 3),
+    gs AS (SELECT contest_id, period_number, game_clock_s, shot_clock_s, count(*) AS n, min(frame_idx) AS f FROM tb_frame_clock GROUP BY 1, 2, 3, 4),
     j AS (SELECT e.*, i.frame_idx AS fi, w.frame_idx AS fw, CASE WHEN e.shot_clock_s IS NULL THEN g.n ELSE gs.n END AS n, CASE WHEN e.shot_clock_s IS NULL THEN g.f ELSE gs.f END AS fg
           FROM tb_dynamic_event e
-          LEFT JOIN tb_frame_clock i ON i.period_number = e.period_number AND i.frame_idx = e.source_frame_idx
-          LEFT JOIN tb_frame_clock w ON w.period_number = e.period_number AND w.wall_clock_ms = e.wall_clock_ms
-          LEFT JOIN g ON g.period_number = e.period_number AND g.game_clock_s = e.game_clock_s
-          LEFT JOIN gs ON gs.period_number = e.period_number AND gs.game_clock_s = e.game_clock_s AND gs.shot_clock_s = e.shot_clock_s),
+          LEFT JOIN tb_frame_clock i ON i.contest_id = e.contest_id AND i.period_number = e.period_number AND i.frame_idx = e.source_frame_idx
+          LEFT JOIN tb_frame_clock w ON w.contest_id = e.contest_id AND w.period_number = e.period_number AND w.wall_clock_ms = e.wall_clock_ms
+          LEFT JOIN g ON g.contest_id = e.contest_id AND g.period_number = e.period_number AND g.game_clock_s = e.game_clock_s
+          LEFT JOIN gs ON gs.contest_id = e.contest_id AND gs.period_number = e.period_number AND gs.game_clock_s = e.game_clock_s AND gs.shot_clock_s = e.shot_clock_s),
     k AS (SELECT *, CASE WHEN fi <> fw THEN NULL WHEN fi IS NOT NULL THEN 'frameIdx' WHEN fw IS NOT NULL THEN 'wallClock' WHEN n = 1 THEN 'gameClock' END AS link_method FROM j),
     l AS (SELECT *, CASE link_method WHEN 'frameIdx' THEN fi WHEN 'wallClock' THEN fw WHEN 'gameClock' THEN fg END AS linked_frame_idx,
                  CASE WHEN link_method IS NULL THEN 'legitimately_unlinked' WHEN link_method = 'frameIdx' THEN 'exact_frame' ELSE 'authoritative_time_clock' END AS disposition,
@@ -69,9 +69,9 @@ LINK_SQL = """
                       WHEN source_frame_idx IS NULL AND wall_clock_ms IS NULL AND game_clock_s IS NULL THEN 'provider_temporal_keys_missing' ELSE 'no_exact_tracking_key' END AS unlinked_reason FROM k)"""
 
 
-@query("link_events_to_frames", "J4", LINK_SQL + " SELECT event_no, family, link_method, linked_frame_idx, linked_frame_idx * 40000000 AS linked_time_ns, disposition, unlinked_reason FROM l")
+@query("link_events_to_frames", "J4", LINK_SQL + " SELECT contest_id, event_no, family, link_method, linked_frame_idx, linked_frame_idx * 40000000 AS linked_time_ns, disposition, unlinked_reason FROM l")
 def link_events_to_frames(tb):
-    return joins.link_events_to_frames(tb.dynamic_event, tb.frame_clock).select("event_no", "family", "link_method", "linked_frame_idx", "linked_time_ns", "disposition", "unlinked_reason")
+    return joins.link_events_to_frames(tb.dynamic_event, tb.frame_clock, keys=["contest_id"]).select("contest_id", "event_no", "family", "link_method", "linked_frame_idx", "linked_time_ns", "disposition", "unlinked_reason")
 
 
 @query(
@@ -80,7 +80,7 @@ def link_events_to_frames(tb):
     LINK_SQL + " SELECT family, disposition, unlinked_reason, count(*) AS events, CAST(grouping_id(family, disposition, unlinked_reason) AS BIGINT) AS level FROM l GROUP BY ROLLUP (family, disposition, unlinked_reason)",
 )
 def link_dispositions(tb):
-    return joins.link_dispositions(joins.link_events_to_frames(tb.dynamic_event, tb.frame_clock))
+    return joins.link_dispositions(joins.link_events_to_frames(tb.dynamic_event, tb.frame_clock, keys=["contest_id"]))
 
 
 PERIODS_SQL = """
@@ -161,7 +161,7 @@ def abbr_team_map(tb):
 @query(
     "possession_context",
     "J19, S20",
-    """WITH p AS (SELECT stream_id, t_rel_ns, CASE WHEN sample_index % 3 = 0 THEN NULL ELSE group_id END AS team_id, object_id AS player_id FROM tb_tracking WHERE k % 20 = 0),
+    """WITH p AS (SELECT stream_id, CASE WHEN k % 20 = 0 THEN t_rel_ns ELSE t_rel_ns + 7 END AS t_rel_ns, CASE WHEN sample_index % 3 = 0 THEN NULL ELSE group_id END AS team_id, object_id AS player_id FROM tb_tracking),
        g AS (SELECT stream_id, t_rel_ns, count(*) AS n, count(DISTINCT coalesce(team_id, '-') || player_id) AS d, any_value(team_id) AS team_id, any_value(player_id) AS player_id,
                     bool_or(team_id IS NOT NULL) AS has FROM p GROUP BY 1, 2)
        SELECT b.stream_id, b.t_rel_ns, coalesce(d > 1, false) AS possession_conflict, n IS NOT NULL AS possession_present,
@@ -169,34 +169,36 @@ def abbr_team_map(tb):
        FROM tb_ball b LEFT JOIN g USING (stream_id, t_rel_ns)""",
 )
 def possession_context(tb):
-    possession = tb.tracking.filter("k % 20 = 0").select("stream_id", "t_rel_ns", F.expr("CASE WHEN sample_index % 3 = 0 THEN NULL ELSE group_id END").alias("team_id"), F.col("object_id").alias("player_id"))
+    time = F.expr("CASE WHEN k % 20 = 0 THEN t_rel_ns ELSE t_rel_ns + 7 END").alias("t_rel_ns")  # most rows lie off the frames
+    possession = tb.tracking.select("stream_id", time, F.expr("CASE WHEN sample_index % 3 = 0 THEN NULL ELSE group_id END").alias("team_id"), F.col("object_id").alias("player_id"))
     return joins.possession_context(tb.ball.select("stream_id", "t_rel_ns"), possession, ["stream_id", "t_rel_ns"], ["team_id", "player_id"])
 
 
 COINCIDENCE_SQL = """
-    WITH po AS (SELECT frame, CASE WHEN frame % 35 = 0 THEN NULL ELSE frame // 250 + 1 END AS period, CAST(frame * 40 AS VARCHAR) AS timestamp, object_id AS player_id, x_m AS x, y_m AS y FROM tb_tracking WHERE k % 6 <> 1),
-    tr AS (SELECT frame, frame // 100 + 1 AS period, CAST(CASE WHEN frame % 8 = 0 THEN frame * 100 + 1 ELSE frame * 100 END AS VARCHAR) AS timestamp, object_id AS player_id, x_m AS x, y_m AS y FROM tb_tracking WHERE k % 5 <> 2),
-    sp AS (SELECT frame * 2 // 5 AS frame, period, timestamp, player_id, x, y FROM po WHERE frame % 5 = 0),
-    pf AS (SELECT frame, min(period) AS period, min(timestamp) AS ts FROM sp GROUP BY 1),
-    tf AS (SELECT frame, min(period) AS period, min(timestamp) AS ts FROM tr GROUP BY 1),
-    sh AS (SELECT pf.frame, pf.period, pf.ts = tf.ts AS timestamp_match FROM pf JOIN tf USING (frame) WHERE pf.period IS NOT NULL),
-    pl AS (SELECT coalesce(a.frame, b.frame) AS frame, coalesce(a.player_id, b.player_id) AS player_id, a.frame IS NOT NULL AS in_pose, b.frame IS NOT NULL AS in_tracking,
-                  sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS residual_m FROM sp a FULL JOIN tr b ON a.frame = b.frame AND a.player_id = b.player_id),
-    c AS (SELECT sh.frame, sh.period, sh.timestamp_match, player_id, in_pose, in_tracking, residual_m FROM sh JOIN pl USING (frame))"""
+    WITH t AS (SELECT * REPLACE (frame % 240 AS frame), 'g' || frame // 240 AS contest_id FROM tb_tracking),
+    po AS (SELECT contest_id, frame, CASE WHEN frame % 35 = 0 THEN NULL ELSE frame // 250 + 1 END AS period, CAST(frame * 40 AS VARCHAR) AS timestamp, CASE WHEN k % 6 <> 1 THEN object_id END AS player_id, x_m AS x, y_m AS y FROM t),
+    tr AS (SELECT contest_id, frame, frame // 100 + 1 AS period, CAST(CASE WHEN frame % 8 = 0 THEN frame * 100 + 1 ELSE frame * 100 END AS VARCHAR) AS timestamp, CASE WHEN k % 5 <> 2 THEN object_id END AS player_id, x_m AS x, y_m AS y FROM t),
+    sp AS (SELECT contest_id, frame * 2 // 5 AS frame, period, timestamp, player_id, x, y FROM po WHERE frame % 5 = 0),
+    pf AS (SELECT contest_id, frame, min(period) AS period, min(timestamp) AS ts FROM sp GROUP BY 1, 2),
+    tf AS (SELECT contest_id, frame, min(period) AS period, min(timestamp) AS ts FROM tr GROUP BY 1, 2),
+    sh AS (SELECT contest_id, pf.frame, pf.period, pf.ts = tf.ts AS timestamp_match FROM pf JOIN tf USING (contest_id, frame) WHERE pf.period IS NOT NULL),
+    pl AS (SELECT coalesce(a.contest_id, b.contest_id) AS contest_id, coalesce(a.frame, b.frame) AS frame, coalesce(a.player_id, b.player_id) AS player_id, a.frame IS NOT NULL AS in_pose, b.frame IS NOT NULL AS in_tracking,
+                  sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS residual_m FROM sp a FULL JOIN tr b ON a.contest_id = b.contest_id AND a.frame = b.frame AND a.player_id = b.player_id),
+    c AS (SELECT contest_id, sh.frame, sh.period, sh.timestamp_match, player_id, in_pose, in_tracking, residual_m FROM sh JOIN pl USING (contest_id, frame))"""
 
 
 def _coincidence(tb):
-    base = tb.tracking
-    pose = base.filter("k % 6 <> 1").select(
-        "frame", F.expr("CASE WHEN frame % 35 = 0 THEN NULL ELSE frame div 250 + 1 END").alias("period"), (F.col("frame") * 40).cast("string").alias("timestamp"), F.col("object_id").alias("player_id"), F.col("x_m").alias("x"), F.col("y_m").alias("y")
+    base = tb.tracking.withColumns({"contest_id": contest_of("frame"), "frame": F.expr("frame % 240")})
+    pose = base.select(
+        "contest_id", "frame", F.expr("CASE WHEN frame % 35 = 0 THEN NULL ELSE frame div 250 + 1 END").alias("period"), (F.col("frame") * 40).cast("string").alias("timestamp"), F.expr("CASE WHEN k % 6 <> 1 THEN object_id END").alias("player_id"), F.col("x_m").alias("x"), F.col("y_m").alias("y")
     )
-    tracking = base.filter("k % 5 <> 2").select(
-        "frame", F.expr("frame div 100 + 1").alias("period"), F.expr("cast(CASE WHEN frame % 8 = 0 THEN frame * 100 + 1 ELSE frame * 100 END as string)").alias("timestamp"), F.col("object_id").alias("player_id"), F.col("x_m").alias("x"), F.col("y_m").alias("y")
+    tracking = base.select(
+        "contest_id", "frame", F.expr("frame div 100 + 1").alias("period"), F.expr("cast(CASE WHEN frame % 8 = 0 THEN frame * 100 + 1 ELSE frame * 100 END as string)").alias("timestamp"), F.expr("CASE WHEN k % 5 <> 2 THEN object_id END").alias("player_id"), F.col("x_m").alias("x"), F.col("y_m").alias("y")
     )
-    return joins.coincidence(pose, tracking)
+    return joins.coincidence(pose, tracking, keys=["contest_id"])
 
 
-@query("pose_tracking_coincidence", "J18, U3", COINCIDENCE_SQL + " SELECT frame, period, timestamp_match, player_id, in_pose, in_tracking, round(residual_m, 6) + 0.0 AS residual_m FROM c")
+@query("pose_tracking_coincidence", "J18, U3", COINCIDENCE_SQL + " SELECT contest_id, frame, period, timestamp_match, player_id, in_pose, in_tracking, round(residual_m, 6) + 0.0 AS residual_m FROM c")
 def pose_tracking_coincidence(tb):
     return rounded(_coincidence(tb), "residual_m")
 
@@ -205,15 +207,15 @@ def pose_tracking_coincidence(tb):
     "coincidence_summary",
     "J18, L7",
     COINCIDENCE_SQL
-    + """ SELECT period, count(DISTINCT frame) AS frame_pairs, count(DISTINCT frame) FILTER (timestamp_match) AS timestamp_matches, count(*) FILTER (in_pose AND in_tracking) AS matched_players,
+    + """ SELECT contest_id, period, count(DISTINCT frame) AS frame_pairs, count(DISTINCT frame) FILTER (timestamp_match) AS timestamp_matches, count(*) FILTER (in_pose AND in_tracking) AS matched_players,
                  count(*) FILTER (in_pose AND NOT in_tracking) AS pose_only, count(*) FILTER (in_tracking AND NOT in_pose) AS tracking_only, count(residual_m) AS residuals,
                  round(avg(residual_m), 6) + 0.0 AS residual_mean, round(max(residual_m), 6) + 0.0 AS residual_max,
-                 round(median(residual_m), 6) + 0.0 AS residual_median, round(quantile_cont(residual_m, 0.9), 6) + 0.0 AS residual_p90 FROM c GROUP BY 1""",
+                 round(median(residual_m), 6) + 0.0 AS residual_median, round(quantile_cont(residual_m, 0.9), 6) + 0.0 AS residual_p90 FROM c GROUP BY 1, 2""",
 )
 def coincidence_summary(tb):
     rows = _coincidence(tb)
     both = F.col("in_pose") & F.col("in_tracking")
-    counts = rows.groupBy("period").agg(
+    counts = rows.groupBy("contest_id", "period").agg(
         F.countDistinct("frame").alias("frame_pairs"),
         F.countDistinct(F.when(F.col("timestamp_match"), F.col("frame"))).alias("timestamp_matches"),
         F.count_if(both).alias("matched_players"),
@@ -223,8 +225,8 @@ def coincidence_summary(tb):
         F.avg("residual_m").alias("residual_mean"),
         F.max("residual_m").alias("residual_max"),
     )
-    spread = ranking.quantiles(rows, ["period"], "residual_m", {"residual_median": 0.5, "residual_p90": 0.9}).drop("valid_n")
-    return rounded(counts.join(spread, "period", "left"), "residual_mean", "residual_max", "residual_median", "residual_p90")
+    spread = ranking.quantiles(rows, ["contest_id", "period"], "residual_m", {"residual_median": 0.5, "residual_p90": 0.9}).drop("valid_n")
+    return rounded(counts.join(spread, ["contest_id", "period"], "left"), "residual_mean", "residual_max", "residual_median", "residual_p90")
 
 
 @query(
@@ -267,14 +269,16 @@ def stream_authorities(tb):
 @query(
     "frames_with_players",
     "J26, P34",
-    """SELECT c.frame_idx, count(*) FILTER (t.object_type <> 'ball') AS players, min(t.object_id) FILTER (t.object_type <> 'ball') AS first_player,
+    """SELECT c.contest_id, c.frame_idx, count(*) FILTER (t.object_type <> 'ball') AS players, min(t.object_id) FILTER (t.object_type <> 'ball') AS first_player,
               round(sum(t.x_m * 3.280839895013123) FILTER (t.object_type <> 'ball'), 4) + 0.0 AS x_total_ft, round(max(t.x_m * 3.280839895013123) FILTER (t.object_type = 'ball'), 4) + 0.0 AS ball_x_ft
-       FROM tb_frame_clock c LEFT JOIN tb_frames t ON t.t_rel_ns = c.canonical_time_ns GROUP BY 1""",
+       FROM tb_frame_clock c LEFT JOIN tb_frames t ON 'g' || t.frame // 240 = c.contest_id AND t.frame % 240 * 40000000 = c.canonical_time_ns GROUP BY 1, 2""",
 )
 def frames_with_players(tb):
-    roster = tb.tracking.select("object_id").distinct().withColumn("display_name", F.upper("object_id"))
-    df = joins.frames_with_players(tb.frame_clock, tb.frames, roster, F.lit(1 / 0.3048))
+    # All contests have the same times and players.
+    tracking = tb.frames.withColumns({"contest_id": contest_of("frame"), "t_rel_ns": F.expr("frame % 240 * 40000000")})
+    roster = tracking.select("contest_id", "object_id").distinct().withColumn("display_name", F.upper("object_id"))
+    df = joins.frames_with_players(tb.frame_clock, tracking, roster, F.lit(1 / 0.3048), keys=["contest_id"])
     total = F.expr("aggregate(players, 0D, (a, p) -> a + p.x)")
     return df.select(
-        "frame_idx", F.size("players").cast("bigint").alias("players"), F.get("players", F.lit(0))["object_id"].alias("first_player"), r6(total, 4).alias("x_total_ft"), r6(F.col("ball.x"), 4).alias("ball_x_ft")
+        "contest_id", "frame_idx", F.size("players").cast("bigint").alias("players"), F.get("players", F.lit(0))["object_id"].alias("first_player"), r6(total, 4).alias("x_total_ft"), r6(F.col("ball.x"), 4).alias("ball_x_ft")
     )

@@ -10,20 +10,25 @@ from pacelane.functions import scalar as clean
 from pacelane.plans.registry import query, r6, rounded
 from pacelane.session import work_folder
 from pacelane.sources import readers as rd
+from pacelane.testbed import contest_of
 
 
 def _path(tb, name: str) -> str:
     return f"{work_folder(tb.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CONTEST = "/match=([^/]+)/"
+
+
 def _text(tb, df, name: str, root: str | None = None) -> str:
-    """Write one text column and return the folder; with a root, one document per row."""
+    """Write one text column beside ``match`` into a folder for each match; with a root, one document per row."""
     path = _path(tb, name)
+    text = next(c for c in df.columns if c != "match")
     if root is None:
-        df.write.text(path)
+        df.select(F.col(text).alias("value"), "match").write.partitionBy("match").text(path)
         return path
-    body = F.concat(F.lit(f"<{root}>"), F.col(df.columns[0]), F.lit(f"</{root}>"))
-    df.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    body = F.concat(F.lit(f"<{root}>"), F.col(text), F.lit(f"</{root}>"))
+    df.select(body.alias("value"), "match").write.partitionBy("match").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -33,7 +38,7 @@ def _text(tb, df, name: str, root: str | None = None) -> str:
     """WITH r AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY us) - 1 AS row_no, (us // 1000) AS ms, k, v, event_id FROM (SELECT user_id AS entity_id, us, k, value AS v, event_id FROM tb_ev)),
        t AS (SELECT *, CASE WHEN k = 3 THEN NULL WHEN k = 4 THEN (ms - 86400000) * 1000000 ELSE ms * 1000000 END AS t, CASE WHEN k = 5 THEN 'required_field_null' WHEN k IN (6, 7) THEN 'coordinate_out_of_range' WHEN k = 8 THEN 'non_finite_value' END AS late FROM r),
        b AS (SELECT *, t <= max(CASE WHEN late IS NULL THEN t END) OVER (PARTITION BY entity_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS behind FROM t)
-       SELECT CAST(entity_id AS VARCHAR) AS sheet, row_no, CAST(t - min(t) OVER () AS BIGINT) AS t_rel_ns, CASE WHEN k IN (5, 7) THEN NULL WHEN k = 6 THEN 95.5 ELSE 43.0 + k / 1000.0 END AS latitude_deg, round(CASE WHEN k = 8 THEN NULL ELSE v / 3.6 END, 6) + 0.0 AS speed_m_s,
+       SELECT 's' || entity_id % 3 AS contest_id, CAST(entity_id // 3 AS VARCHAR) AS sheet, row_no, CAST(t - min(t) OVER (PARTITION BY entity_id % 3) AS BIGINT) AS t_rel_ns, CASE WHEN k IN (5, 7) THEN NULL WHEN k = 6 THEN 95.5 ELSE 43.0 + k / 1000.0 END AS latitude_deg, round(CASE WHEN k = 8 THEN NULL ELSE v / 3.6 END, 6) + 0.0 AS speed_m_s,
               CASE WHEN t IS NULL THEN 'timestamp_unparsable' WHEN behind THEN 'time_out_of_range' ELSE late END AS rule FROM b""".replace("43.0 + k / 1000.0 END", "43.0::DOUBLE + k / 1000.0 END").replace("THEN 95.5 ELSE", "THEN 95.5::DOUBLE ELSE"),
 )
 def read_gnss_rows(tb):
@@ -42,7 +47,8 @@ def read_gnss_rows(tb):
     numbered = ordered.number(tb.ev, ["user_id"], ["us"], "row_no", chunk=86_400_000_000)
     stamp = F.date_format(F.timestamp_millis(F.expr("us div 1000 - CASE WHEN k = 4 THEN 86400000 ELSE 0 END")), "yyyy-MM-dd HH:mm:ss.SSS")
     rows = numbered.select(
-        F.col("user_id").cast("string").alias("sheet"),
+        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("match"),
+        F.expr("cast(user_id div 3 as string)").alias("sheet"),
         "row_no",
         F.when(F.col("k") == 3, "soon").otherwise(stamp).alias("local_time"),
         F.expr("CASE WHEN k = 5 THEN NULL WHEN k = 7 THEN 'north' WHEN k = 6 THEN '95.5' ELSE cast(43.0D + k / 1000.0D as string) END").alias("latitude"),
@@ -50,53 +56,55 @@ def read_gnss_rows(tb):
         F.expr("CASE WHEN k = 8 THEN 'fast' ELSE cast(value as string) END").alias("speed_kmh"),
     )
     path = _path(tb, "gnss")
-    rows.write.option("header", True).csv(path)
-    df = rd.read_gnss_rows(tb.spark, path, chunk=20)
-    return rounded(df.select("sheet", "row_no", "t_rel_ns", "latitude_deg", "speed_m_s", "rule"), "speed_m_s")
+    rows.write.partitionBy("match").option("header", True).csv(path)
+    df = rd.read_gnss_rows(tb.spark, path, contest=CONTEST, chunk=20)
+    return rounded(df.select("contest_id", "sheet", "row_no", "t_rel_ns", "latitude_deg", "speed_m_s", "rule"), "speed_m_s")
 
 
 KICKOFF = 1_700_000_000_000_000_000
+DAY_NS = 86_400_000_000_000
 
 
 @query(
     "read_positions_xml",
     "S5, W18, W19",
-    f"""WITH p AS (SELECT stream_id, object_id, group_id, row_number() OVER (PARTITION BY stream_id, object_id ORDER BY frame) - 1 AS pos, CASE WHEN k = 2 THEN frame - 1 ELSE frame END AS fr, frame, k, x_m, y_m, frame // 100 AS block FROM tb_tracking),
+    f"""WITH p AS (SELECT stream_id, object_id, group_id, row_number() OVER (PARTITION BY stream_id, object_id ORDER BY frame) - 1 AS pos, frame % 200 - CASE WHEN k = 2 THEN 1 ELSE 0 END AS fr, frame, k, x_m, y_m, frame // 100 AS block FROM tb_tracking),
         e AS (SELECT *, CASE WHEN k = 1 THEN 'required_field_null' WHEN k = 3 THEN 'timestamp_unparsable' WHEN k = 4 THEN 'frame_time_mismatch' END AS early, CASE WHEN k = 5 THEN 'coordinate_missing' WHEN k = 6 THEN 'coordinate_out_of_range' WHEN k = 7 THEN 'non_finite_value' END AS late FROM p),
         b AS (SELECT *, fr <= max(CASE WHEN early IS NULL AND late IS NULL THEN fr END) OVER (PARTITION BY stream_id, object_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dup FROM e)
-        SELECT CASE WHEN block % 2 = 0 THEN 'period-1' ELSE 'period-2' END AS trial_id, object_id || '-' || (block // 2) AS object_id, CASE WHEN object_id = 'p00' THEN 'ball' ELSE 'player' END AS object_type, CASE WHEN object_id <> 'p00' THEN group_id END AS group_id,
+        SELECT 'm' || block // 2 AS contest_id, CASE WHEN block % 2 = 0 THEN 'period-1' ELSE 'period-2' END AS trial_id, object_id, CASE WHEN object_id = 'p00' THEN 'ball' ELSE 'player' END AS object_type, CASE WHEN object_id <> 'p00' THEN group_id END AS group_id,
                CASE WHEN k = 1 THEN NULL ELSE fr END AS frame, CASE WHEN k = 3 THEN NULL ELSE fr * 40000000 + CASE WHEN k = 4 THEN 5000000 ELSE 0 END END AS t_rel_ns,
                coalesce(early, CASE WHEN dup THEN 'duplicate_frame' END, late) AS rule, round(CASE WHEN k IN (5, 6, 7) THEN NULL ELSE x_m END, 6) + 0.0 AS x_m FROM b""",
 )
 def read_positions_xml(tb):
-    rows = tb.tracking.withColumn("fr", F.expr("CASE WHEN k = 2 THEN frame - 1 ELSE frame END"))
-    stamp = F.date_format(F.timestamp_micros(F.lit(KICKOFF // 1000) + F.col("fr") * 40_000 + F.expr("CASE WHEN k = 4 THEN 5000 ELSE 0 END")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = tb.tracking.withColumns({"fr": F.expr("frame % 200 - CASE WHEN k = 2 THEN 1 ELSE 0 END"), "n": F.expr("frame div 200")})
+    stamp = F.date_format(F.timestamp_micros(F.lit(KICKOFF // 1000) + F.col("n") * (DAY_NS // 1000) + F.col("fr") * 40_000 + F.expr("CASE WHEN k = 4 THEN 5000 ELSE 0 END")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     x = F.expr("CASE WHEN k = 5 THEN '' WHEN k = 6 THEN ' X=\"left\"' WHEN k = 7 THEN ' X=\"Infinity\"' ELSE concat(' X=\"', cast(x_m as string), '\"') END")
     frame = F.concat(
         F.lit("<Frame"), F.expr("CASE WHEN k = 1 THEN '' ELSE concat(' N=\"', cast(fr as string), '\"') END"), F.lit(' T="'), stamp, F.expr("CASE WHEN k = 3 THEN '' ELSE '+00:00' END"), F.lit('"'), x, F.lit(' Y="'), F.col("y_m").cast("string"), F.lit('"/>')
     )
-    # A set holds the frames of one person in one block of 100 frames; two blocks are the halves of a match with players of its own.
+    # A set holds the frames of one person in one block of 100 frames; two blocks are the halves of a match.  Matches are a day apart.
     sets = rows.select("stream_id", "object_id", "group_id", F.struct("frame", frame.alias("x")).alias("f")).groupBy("stream_id", "object_id", "group_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     block = F.substring("stream_id", 4, 18).cast("long")
     section = F.when(block % 2 == 0, "firstHalf").otherwise("secondHalf")
-    person = F.concat("object_id", F.lit("-"), F.floor(block / 2).cast("string"))
+    match = F.concat(F.lit("m"), F.floor(block / 2).cast("string"))
     team = F.expr("CASE WHEN object_id = 'p00' THEN 'BALL' ELSE group_id END")
-    xml = F.concat(F.lit('<FrameSet GameSection="'), section, F.lit('" TeamId="'), team, F.lit('" PersonId="'), person, F.lit('">'), F.array_join(F.transform("fs", lambda f: f["x"]), ""), F.lit("</FrameSet>"))
-    halves = sets.groupBy("stream_id").agg(F.array_join(F.collect_list(xml), "").alias("x")).select("x")  # 22 sets each
-    df = rd.read_positions_xml(tb.spark, _text(tb, halves, "positions", "Positions"), KICKOFF, chunk=40)
+    xml = F.concat(F.lit('<FrameSet GameSection="'), section, F.lit('" TeamId="'), team, F.lit('" PersonId="'), F.col("object_id"), F.lit('">'), F.array_join(F.transform("fs", lambda f: f["x"]), ""), F.lit("</FrameSet>"))
+    halves = sets.groupBy(match.alias("match"), "stream_id").agg(F.array_join(F.collect_list(xml), "").alias("x")).select("match", "x")  # 22 sets each
+    kickoffs = rows.select(F.concat(F.lit("m"), F.col("n").cast("string")).alias("contest_id"), (F.lit(KICKOFF) + F.col("n") * DAY_NS).alias("kickoff_ns")).distinct()
+    df = rd.read_positions_xml(tb.spark, _text(tb, halves, "positions", "Positions"), kickoffs, contest=CONTEST, chunk=40)
     good = F.when(clean.is_finite("x_m"), F.col("x_m"))
-    return df.select("trial_id", "object_id", "object_type", "group_id", "frame", "t_rel_ns", "rule", r6(good).alias("x_m"))
+    return df.select("contest_id", "trial_id", "object_id", "object_type", "group_id", "frame", "t_rel_ns", "rule", r6(good).alias("x_m"))
 
 
 @query(
     "read_events_xml",
     "S6, P22",
-    f"""WITH e AS (SELECT event_id, us, k, value, event_type FROM tb_ev WHERE k <> 9)
-        SELECT CASE WHEN k = 1 THEN NULL ELSE 'E' || event_id END AS event_id, CASE WHEN k = 2 THEN NULL ELSE us * 1000 END AS utc_ns, CASE WHEN k = 3 THEN '' WHEN k % 3 = 0 THEN 'KickOff' WHEN k % 3 = 1 THEN 'SavedShot' ELSE 'Play' END AS "primary",
+    f"""WITH e AS (SELECT event_id, us, k, value, event_type, user_id % 3 AS n FROM tb_ev WHERE k <> 9)
+        SELECT 'm' || n AS contest_id, CASE WHEN k = 1 THEN NULL ELSE 'E' || event_id END AS event_id, CASE WHEN k = 2 THEN NULL ELSE us * 1000 END AS utc_ns, CASE WHEN k = 3 THEN '' WHEN k % 3 = 0 THEN 'KickOff' WHEN k % 3 = 1 THEN 'SavedShot' ELSE 'Play' END AS "primary",
                CASE WHEN k <> 3 AND k % 3 = 0 THEN 'firstHalf' END AS section, CASE WHEN k = 3 THEN '' WHEN k % 3 = 0 THEN 'kick_off' WHEN k % 3 = 1 THEN 'saved_shot' ELSE 'play' END AS event_type,
                CASE WHEN k <> 3 AND k % 3 = 0 THEN 'free_kick' END AS event_subtype, CASE WHEN k <> 3 THEN 'T' || (k % 2) END AS provider_team_id, CASE WHEN k = 3 THEN NULL WHEN k % 3 = 1 THEN 'keeper & co' ELSE 'P' || k END AS provider_player_id,
                CASE WHEN k = 4 THEN NULL ELSE value END AS x_m, CASE WHEN k <> 3 AND k % 3 = 1 THEN 'left_leg' END AS body_part, CASE WHEN k <> 3 THEN event_type END AS outcome,
-               CASE WHEN k = 2 THEN NULL ELSE us * 1000 - {KICKOFF} END AS t_rel_ns, CASE WHEN k = 1 THEN 'required_field_null' WHEN k = 2 THEN 'timestamp_unparsable' WHEN k = 3 THEN 'schema_failure' WHEN k = 4 THEN 'coordinate_out_of_range' END AS rule FROM e""",
+               CASE WHEN k = 2 THEN NULL ELSE us * 1000 - {KICKOFF} - n * {DAY_NS} END AS t_rel_ns, CASE WHEN k = 1 THEN 'required_field_null' WHEN k = 2 THEN 'timestamp_unparsable' WHEN k = 3 THEN 'schema_failure' WHEN k = 4 THEN 'coordinate_out_of_range' END AS rule FROM e""",
 )
 def read_events_xml(tb):
     stamp = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -110,14 +118,16 @@ def read_events_xml(tb):
            ELSE concat('<Play Team="T', cast(k % 2 as string), '" Player="P', cast(k as string), '" Evaluation="', event_type, '"/>') END"""
     )
     xml = F.when(F.col("k") == 3, F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">"), body, F.lit("</Event>")))
-    df = rd.read_events_xml(tb.spark, _text(tb, tb.ev.select(xml), "events"), KICKOFF)
+    match, n = F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")), F.col("user_id") % 3
+    kickoffs = tb.ev.select(match.alias("contest_id"), (F.lit(KICKOFF) + n * DAY_NS).alias("kickoff_ns")).distinct()
+    df = rd.read_events_xml(tb.spark, _text(tb, tb.ev.select(xml.alias("x"), match.alias("match")), "events"), kickoffs, contest=CONTEST)
     return df.drop("y_m", "provider_context_json")
 
 
 @query(
     "read_match_info",
     "S7",
-    """SELECT 'T' || n_nationkey AS team_id, n_name AS team_name, CASE WHEN n_nationkey % 2 = 0 THEN 'home' ELSE 'guest' END AS role, 'S' || s_suppkey AS person_id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey AS INTEGER) END AS shirt_number, s_name AS short_name,
+    """SELECT 'm' || n_nationkey % 5 AS contest_id, 'T' || n_nationkey AS team_id, n_name AS team_name, CASE WHEN n_nationkey % 2 = 0 THEN 'home' ELSE 'guest' END AS role, 'S' || s_suppkey AS person_id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey AS INTEGER) END AS shirt_number, s_name AS short_name,
               s_suppkey % 3 = 0 AS starting, CASE WHEN s_suppkey % 5 = 0 THEN 'TW' END AS playing_position, false AS team_leader FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def read_match_info(tb):
@@ -130,7 +140,8 @@ def read_match_info(tb):
     # A team element carries at most 50 people; the same team may appear again.
     teams = people.groupBy("n_nationkey", "n_name", F.expr("s_suppkey div 50").alias("part")).agg(F.array_join(F.collect_list(player), "").alias("p"))
     xml = F.concat(F.lit("<Team"), attr("TeamId", "concat('T', cast(n_nationkey as string))"), attr("TeamName", "n_name"), attr("Role", "CASE WHEN n_nationkey % 2 = 0 THEN 'home' ELSE 'guest' END"), F.lit("><Players>"), F.col("p"), F.lit("</Players></Team>"))
-    return rd.read_match_info(tb.spark, _text(tb, teams.select(xml), "teams", "Teams"))
+    match = F.concat(F.lit("m"), (F.col("n_nationkey") % 5).cast("string"))
+    return rd.read_match_info(tb.spark, _text(tb, teams.select(xml.alias("x"), match.alias("match")), "teams", "Teams"), contest=CONTEST)
 
 
 def _clock(frame: str) -> str:
@@ -138,63 +149,68 @@ def _clock(frame: str) -> str:
 
 
 def _tracking_lines(tb):
-    frame = tb.tracking.withColumn("bad", F.col("frame") % 31 == 5)
+    frame = tb.tracking.withColumns({"bad": F.col("frame") % 31 == 5, "match": F.concat(F.lit("m"), F.expr("frame div 100").cast("string")), "frame": F.col("frame") % 100})
     player = F.struct(F.col("object_id").alias("player_id"), F.when(F.col("k") != 1, F.col("x_m")).alias("x"), F.col("y_m").alias("y"), F.when(F.col("k") % 2 == 0, F.col("is_detected")).alias("is_detected"))
-    grouped = frame.groupBy("frame", "bad").agg(F.collect_list(player).alias("player_data"), F.min_by("group_id", "object_id").alias("g"), F.max("x_m").alias("bx"))
+    grouped = frame.groupBy("match", "frame", "bad").agg(F.collect_list(player).alias("player_data"), F.min_by("group_id", "object_id").alias("g"), F.max("x_m").alias("bx"))
     stamp = F.expr(f"CASE WHEN bad THEN 'late' ELSE {_clock('frame')} END")
     ball = F.struct(F.when(F.col("frame") % 7 != 2, F.round("bx", 4)).alias("x"), F.when(F.col("frame") % 7 < 4, F.lit(1.5)).alias("y"), F.when(F.col("frame") % 7 != 2, F.lit(0.2)).alias("z"), F.lit(True).alias("is_detected"))
     line = grouped.select(
-        F.col("frame").alias("line"), F.expr("CASE WHEN frame % 50 = 9 THEN frame - 1 ELSE frame END").alias("frame"), stamp.alias("timestamp"), F.lit(1).alias("period"), "player_data", ball.alias("ball_data"),
+        "match", F.col("frame").alias("line"), F.expr("CASE WHEN frame % 50 = 9 THEN frame - 1 ELSE frame END").alias("frame"), stamp.alias("timestamp"), F.lit(1).alias("period"), "player_data", ball.alias("ball_data"),
         F.struct(F.lit("p01").alias("player_id"), F.expr("CASE WHEN frame % 4 = 0 THEN 'home team' WHEN frame % 4 = 1 THEN 'away team' END").alias("group")).alias("possession"),
     )
     path = _path(tb, "tracking")
-    line.write.option("ignoreNullFields", False).json(path)
+    line.write.partitionBy("match").option("ignoreNullFields", False).json(path)
     return path
 
 
 def _roster(tb):
-    return tb.tracking.filter("object_id <> 'p21'").select("object_id", "group_id", (F.col("object_type") == "goalkeeper").alias("is_goalkeeper")).distinct()
+    """Declared players: all but one, another one in every second match."""
+    declared = tb.tracking.withColumn("n", F.expr("frame div 100")).filter("object_id <> CASE WHEN n % 2 = 0 THEN 'p21' ELSE 'p20' END")
+    return declared.select(F.concat(F.lit("m"), F.col("n").cast("string")).alias("contest_id"), "object_id", "group_id", (F.col("object_type") == "goalkeeper").alias("is_goalkeeper")).distinct()
 
 
 TRACK_SQL = """
-    WITH b AS (SELECT frame, frame % 31 = 5 AS bad, frame % 50 = 9 AS dup, CASE WHEN frame % 50 = 9 THEN frame - 1 ELSE frame END AS fr FROM tb_ball),
-    r AS (SELECT t.frame AS line, fr AS frame, 1 AS period, CASE WHEN bad THEN NULL ELSE t.t_rel_ns END AS t_rel_ns, object_id, CASE WHEN object_id <> 'p21' THEN group_id END AS group_id,
-                 CASE WHEN object_id <> 'p21' AND object_type = 'goalkeeper' THEN 'goalkeeper' ELSE 'player' END AS object_type, CASE WHEN k <> 1 THEN x_m END AS x_m, CASE WHEN k % 2 = 0 THEN is_detected END AS is_detected,
-                 CASE WHEN bad THEN 'timestamp_unparsable' WHEN dup THEN 'duplicate_frame' WHEN object_id = 'p21' THEN 'unknown_participant' WHEN k = 1 THEN 'non_finite_value' END AS rule FROM tb_tracking t JOIN b USING (frame)
+    WITH b AS (SELECT frame, frame // 100 AS n, frame % 100 AS line, frame % 31 = 5 AS bad, frame % 50 = 9 AS dup, CASE WHEN frame % 50 = 9 THEN frame % 100 - 1 ELSE frame % 100 END AS fr, CASE WHEN frame // 100 % 2 = 0 THEN 'p21' ELSE 'p20' END AS out FROM tb_ball),
+    r AS (SELECT 'm' || n AS contest_id, line, fr AS frame, 1 AS period, CASE WHEN bad THEN NULL ELSE line * 40000000 END AS t_rel_ns, object_id, CASE WHEN object_id <> out THEN group_id END AS group_id,
+                 CASE WHEN object_id <> out AND object_type = 'goalkeeper' THEN 'goalkeeper' ELSE 'player' END AS object_type, CASE WHEN k <> 1 THEN x_m END AS x_m, CASE WHEN k % 2 = 0 THEN is_detected END AS is_detected,
+                 CASE WHEN bad THEN 'timestamp_unparsable' WHEN dup THEN 'duplicate_frame' WHEN object_id = out THEN 'unknown_participant' WHEN k = 1 THEN 'non_finite_value' END AS rule FROM tb_tracking t JOIN b USING (frame)
           UNION ALL
-          SELECT frame, fr, 1, CASE WHEN bad THEN NULL ELSE frame * 40000000 END, 'ball', NULL, 'ball', CASE WHEN frame % 7 <> 2 THEN round(x, 4) END, true,
-                 CASE WHEN bad THEN 'timestamp_unparsable' WHEN dup THEN 'duplicate_frame' WHEN frame % 7 = 2 OR frame % 7 >= 4 THEN 'coordinate_missing' END
+          SELECT 'm' || n, line, fr, 1, CASE WHEN bad THEN NULL ELSE line * 40000000 END, 'ball', NULL, 'ball', CASE WHEN line % 7 <> 2 THEN round(x, 4) END, true,
+                 CASE WHEN bad THEN 'timestamp_unparsable' WHEN dup THEN 'duplicate_frame' WHEN line % 7 = 2 OR line % 7 >= 4 THEN 'coordinate_missing' END
           FROM b JOIN (SELECT frame, max(x_m) AS x FROM tb_tracking GROUP BY 1) USING (frame))"""
 
 
-@query("read_tracking_jsonl", "S8, P15, J31, W18", TRACK_SQL + " SELECT line, frame, period, t_rel_ns, object_id, object_type, group_id, round(x_m, 3) + 0.0 AS x_m, is_detected, rule FROM r")
+@query("read_tracking_jsonl", "S8, P15, J31, W18", TRACK_SQL + " SELECT contest_id, line, frame, period, t_rel_ns, object_id, object_type, group_id, round(x_m, 3) + 0.0 AS x_m, is_detected, rule FROM r")
 def read_tracking_jsonl(tb):
-    df = rd.read_tracking_jsonl(tb.spark, _tracking_lines(tb), _roster(tb), chunk=50)
-    return df.select("line", "frame", "period", "t_rel_ns", "object_id", "object_type", "group_id", r6("x_m", 3).alias("x_m"), "is_detected", "rule")
+    df = rd.read_tracking_jsonl(tb.spark, _tracking_lines(tb), _roster(tb), contest=CONTEST, chunk=50)
+    return df.select("contest_id", "line", "frame", "period", "t_rel_ns", "object_id", "object_type", "group_id", r6("x_m", 3).alias("x_m"), "is_detected", "rule")
 
 
-@query("possession_rows", "S20", "SELECT 1 AS period, frame * 40000000 AS t_rel_ns, CASE frame % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END AS team_id, 'p01' AS player_id FROM tb_ball WHERE frame % 31 <> 5 AND frame % 3 = 0")
+@query("possession_rows", "S20", "SELECT 'm' || frame // 100 AS contest_id, 1 AS period, frame % 100 * 40000000 AS t_rel_ns, CASE frame % 4 WHEN 0 THEN 'home-' WHEN 1 THEN 'away-' END || frame // 100 AS team_id, 'p01' AS player_id FROM tb_ball WHERE frame % 31 <> 5 AND frame % 3 = 0")
 def possession_rows(tb):
-    frames = tb.spark.read.schema(rd.TRACKING_SCHEMA).json(_tracking_lines(tb))
-    wanted = tb.ball.filter("frame % 3 = 0").select(F.lit(1).alias("period"), "t_rel_ns")
-    return rd.possession_rows(frames, {"home team": "home", "away team": "away"}, wanted)
+    frames, keys = rd.read_tracking_frames(tb.spark, _tracking_lines(tb), contest=CONTEST)
+    match = F.expr("cast(frame div 100 as string)")
+    wanted = tb.ball.filter("frame % 3 = 0").select(F.concat(F.lit("m"), match).alias("contest_id"), F.lit(1).alias("period"), F.expr("frame % 100 * 40000000").alias("t_rel_ns"))
+    sides = tb.ball.select(F.concat(F.lit("m"), match).alias("contest_id"), F.explode(F.array(F.lit("home"), F.lit("away"))).alias("s"), match.alias("n")).distinct()
+    teams = sides.select("contest_id", F.concat("s", F.lit(" team")).alias("side"), F.concat_ws("-", "s", "n").alias("team_id"))
+    return rd.possession_rows(frames, teams, wanted, keys=keys)
 
 
 POSE_SQL = """
-    WITH j AS (SELECT subject_id, t_rel_ns // 40000000 AS frame, t_rel_ns, joint_id, ['nose', 'neck', 'lEye', 'rEye', 'lEar', 'rEar', 'lShoulder', 'rShoulder', 'lElbow', 'rElbow', 'lWrist', 'rWrist', 'lThumb', 'rThumb', 'lPinky', 'rPinky', 'midHip', 'lHip', 'rHip', 'tail'][joint_id + 1] AS joint_name,
-                      is_available, x_m, error_m FROM tb_pose WHERE t_rel_ns % 120000000 <> 0),
-    f AS (SELECT DISTINCT subject_id, frame, t_rel_ns FROM j),
-    a AS (SELECT subject_id, frame, t_rel_ns, unnest(['lKnee', 'rKnee', 'lAnkle', 'rAnkle', 'lHeel', 'rHeel', 'lBigToe', 'rBigToe', 'lSmallToe', 'rSmallToe']) AS joint_name FROM f),
-    r AS (SELECT subject_id, frame, t_rel_ns, joint_name, CASE WHEN joint_name = 'tail' THEN -1 ELSE joint_id END AS joint_id, is_available AND joint_id <> 4 AS is_available, CASE WHEN is_available AND joint_id <> 4 THEN x_m END AS x_m, CASE WHEN joint_id <> 4 THEN error_m END AS error_m,
-                 CASE WHEN subject_id = 'sub9' THEN 'unknown_participant' WHEN joint_name = 'tail' THEN 'schema_failure' WHEN joint_id = 5 AND is_available THEN 'schema_failure' WHEN joint_id = 6 THEN 'non_finite_value' END AS rule FROM j
-          UNION ALL SELECT subject_id, frame, t_rel_ns, joint_name, 19 + (row_number() OVER (PARTITION BY subject_id, frame ORDER BY CASE joint_name WHEN 'lKnee' THEN 0 WHEN 'rKnee' THEN 1 WHEN 'lAnkle' THEN 2 WHEN 'rAnkle' THEN 3 WHEN 'lHeel' THEN 4 WHEN 'rHeel' THEN 5 WHEN 'lBigToe' THEN 6 WHEN 'rBigToe' THEN 7 WHEN 'lSmallToe' THEN 8 ELSE 9 END) - 1),
-                 false, NULL, NULL, CASE WHEN subject_id = 'sub9' THEN 'unknown_participant' ELSE 'schema_failure' END FROM a)"""
+    WITH j AS (SELECT 'm' || label % 2 AS contest_id, 'sub' || label // 2 AS subject_id, t_rel_ns // 40000000 AS frame, t_rel_ns, joint_id, ['nose', 'neck', 'lEye', 'rEye', 'lEar', 'rEar', 'lShoulder', 'rShoulder', 'lElbow', 'rElbow', 'lWrist', 'rWrist', 'lThumb', 'rThumb', 'lPinky', 'rPinky', 'midHip', 'lHip', 'rHip', 'tail'][joint_id + 1] AS joint_name,
+                      is_available, x_m, error_m FROM (SELECT *, CAST(substr(subject_id, 4) AS INTEGER) AS label FROM tb_pose) WHERE t_rel_ns % 120000000 <> 0),
+    f AS (SELECT DISTINCT contest_id, subject_id, frame, t_rel_ns FROM j),
+    a AS (SELECT contest_id, subject_id, frame, t_rel_ns, unnest(['lKnee', 'rKnee', 'lAnkle', 'rAnkle', 'lHeel', 'rHeel', 'lBigToe', 'rBigToe', 'lSmallToe', 'rSmallToe']) AS joint_name FROM f),
+    r AS (SELECT contest_id, subject_id, frame, t_rel_ns, joint_name, CASE WHEN joint_name = 'tail' THEN -1 ELSE joint_id END AS joint_id, is_available AND joint_id <> 4 AS is_available, CASE WHEN is_available AND joint_id <> 4 THEN x_m END AS x_m, CASE WHEN joint_id <> 4 THEN error_m END AS error_m,
+                 CASE WHEN contest_id = 'm1' AND subject_id = 'sub4' THEN 'unknown_participant' WHEN joint_name = 'tail' THEN 'schema_failure' WHEN joint_id = 5 AND is_available THEN 'schema_failure' WHEN joint_id = 6 THEN 'non_finite_value' END AS rule FROM j
+          UNION ALL SELECT contest_id, subject_id, frame, t_rel_ns, joint_name, 19 + (row_number() OVER (PARTITION BY contest_id, subject_id, frame ORDER BY CASE joint_name WHEN 'lKnee' THEN 0 WHEN 'rKnee' THEN 1 WHEN 'lAnkle' THEN 2 WHEN 'rAnkle' THEN 3 WHEN 'lHeel' THEN 4 WHEN 'rHeel' THEN 5 WHEN 'lBigToe' THEN 6 WHEN 'rBigToe' THEN 7 WHEN 'lSmallToe' THEN 8 ELSE 9 END) - 1),
+                 false, NULL, NULL, CASE WHEN contest_id = 'm1' AND subject_id = 'sub4' THEN 'unknown_participant' ELSE 'schema_failure' END FROM a)"""
 
 
 @query(
     "read_pose_jsonl",
     "S9, P15",
-    POSE_SQL + " SELECT frame, t_rel_ns, subject_id, joint_name, CAST(joint_id AS INTEGER) AS joint_id, is_available, CASE WHEN rule IS NULL THEN x_m END AS x_m, round(CASE WHEN rule IS NULL THEN error_m END, 6) + 0.0 AS error_m, rule FROM r",
+    POSE_SQL + " SELECT contest_id, frame, t_rel_ns, subject_id, joint_name, CAST(joint_id AS INTEGER) AS joint_id, is_available, CASE WHEN rule IS NULL THEN x_m END AS x_m, round(CASE WHEN rule IS NULL THEN error_m END, 6) + 0.0 AS error_m, rule FROM r",
 )
 def read_pose_jsonl(tb):
     names = F.array(*[F.lit(n) for n in (*rd.LANDMARKS[:19], "tail")])
@@ -203,16 +219,18 @@ def read_pose_jsonl(tb):
     xyz = F.when(seen, F.array("x_m", F.when(F.col("joint_id") != 5, F.col("y_m")), "z_m")).otherwise(F.array(*[F.lit(None).cast("double")] * 3))
     error = F.when(F.col("joint_id") == 6, -1.0).otherwise(F.col("error_m") * 100)
     value = F.when(F.col("joint_id") != 4, F.struct(xyz.alias("xyz"), error.alias("p90_mae_cm")))
-    rows = tb.pose.select("subject_id", F.expr("t_rel_ns div 40000000").alias("frame"), F.struct(F.get(names, F.col("joint_id")).alias("k"), value.alias("v")).alias("j"))
-    people = rows.groupBy("frame", "subject_id").agg(F.map_from_entries(F.collect_list("j")).alias("m"))
+    label = F.substring("subject_id", 4, 9).cast("int")
+    who = [F.concat(F.lit("m"), (label % 2).cast("string")).alias("match"), F.concat(F.lit("sub"), F.floor(label / 2).cast("string")).alias("subject_id")]
+    rows = tb.pose.select(*who, F.expr("t_rel_ns div 40000000").alias("frame"), F.struct(F.get(names, F.col("joint_id")).alias("k"), value.alias("v")).alias("j"))
+    people = rows.groupBy("match", "frame", "subject_id").agg(F.map_from_entries(F.collect_list("j")).alias("m"))
     player = F.struct(F.col("subject_id").alias("player_id"), F.when(F.col("frame") % 3 != 0, F.col("m")).alias("joints"))
-    frames = people.groupBy("frame").agg(F.collect_list(player).alias("player_data")).select("frame", F.expr(_clock("frame")).alias("timestamp"), F.lit(1).alias("period"), "player_data")
+    frames = people.groupBy("match", "frame").agg(F.collect_list(player).alias("player_data")).select("match", "frame", F.expr(_clock("frame")).alias("timestamp"), F.lit(1).alias("period"), "player_data")
     path = _path(tb, "pose")
-    frames.write.option("ignoreNullFields", False).json(path)
-    roster = tb.pose.filter("subject_id <> 'sub9'").select(F.col("subject_id").alias("object_id")).distinct()
-    df = rd.read_pose_jsonl(tb.spark, path, roster)
+    frames.write.partitionBy("match").option("ignoreNullFields", False).json(path)
+    roster = tb.pose.select(*who).distinct().filter("match <> 'm1' OR subject_id <> 'sub4'").toDF("contest_id", "object_id")
+    df = rd.read_pose_jsonl(tb.spark, path, roster, contest=CONTEST)
     good = F.col("rule").isNull()
-    return df.select("frame", "t_rel_ns", "subject_id", "joint_name", "joint_id", "is_available", F.when(good, F.col("x_m")).alias("x_m"), r6(F.when(good, F.col("error_m"))).alias("error_m"), "rule")
+    return df.select("contest_id", "frame", "t_rel_ns", "subject_id", "joint_name", "joint_id", "is_available", F.when(good, F.col("x_m")).alias("x_m"), r6(F.when(good, F.col("error_m"))).alias("error_m"), "rule")
 
 
 def _matches(tb):
@@ -259,62 +277,65 @@ def match_periods(tb):
 def _court(tb):
     """All players of a frame; one frame in ten is dead, one ball in six is missing."""
     player = F.struct(F.substring("object_id", 2, 2).alias("playerId"), F.array(F.col("x_m") / 0.3048, F.col("y_m") / 0.3048, F.lit(None).cast("double")).alias("xyz"), F.col("is_detected").cast("int").alias("isDetected"))
-    rows = tb.tracking
+    rows = tb.tracking.withColumns({"match": contest_of("frame"), "frame": F.col("frame") % 240})
     side = lambda g: F.filter(F.collect_list(F.when(F.col("group_id") == g, player)), lambda p: p.isNotNull())
     live = F.col("frame") % 10 != 0
-    grouped = rows.groupBy("frame").agg(side("home").alias("h"), side("away").alias("a"))
+    grouped = rows.groupBy("match", "frame").agg(side("home").alias("h"), side("away").alias("a"))
     ball = F.when(live & (F.col("frame") % 6 != 1), F.struct(F.array(F.lit(10.0), F.lit(20.0), F.lit(3.0)).alias("xyz"), F.lit(1).alias("isDetected")))
     doc = grouped.select(
-        F.col("frame").alias("frameIdx"), F.expr("cast(frame div 120 + 1 as int)").alias("period"), (F.col("frame") * 40 + 1_700_000_000_000).alias("wallClock"), F.expr("cast(120 - (frame % 120) div 2 as double)").alias("gameClock"), F.expr("cast(24 - frame % 24 as double)").alias("shotClock"),
+        "match", F.col("frame").alias("frameIdx"), F.expr("cast(frame div 120 + 1 as int)").alias("period"), (F.col("frame") * 40 + 1_700_000_000_000).alias("wallClock"), F.expr("cast(120 - (frame % 120) div 2 as double)").alias("gameClock"), F.expr("cast(24 - frame % 24 as double)").alias("shotClock"),
         (F.col("frame") % 5 == 0).alias("gameClockStopped"), F.when(live, F.col("h")).alias("homePlayers"), F.when(live, F.col("a")).alias("awayPlayers"), ball.alias("ball"),
     )
     path = _path(tb, "court")
-    doc.write.option("compression", "gzip").option("ignoreNullFields", False).json(path)
-    return rd.read_court_frames(tb.spark, path)
+    doc.write.partitionBy("match").option("compression", "gzip").option("ignoreNullFields", False).json(path)
+    return rd.read_court_frames(tb.spark, path, contest=CONTEST)
 
 
 @query(
     "read_frame_clock",
     "S11, P21",
-    """SELECT frame AS frame_idx, CAST(frame // 120 + 1 AS INTEGER) AS period_number, frame * 40 + 1700000000000 AS wall_clock_ms, (frame * 40 + 1700000000000) * 1000000 AS canonical_time_ns, CAST(120 - (frame % 120) // 2 AS DOUBLE) AS game_clock_s, frame % 5 = 0 AS game_clock_stopped,
-              CAST(24 - frame % 24 AS DOUBLE) AS shot_clock_s, CASE WHEN frame % 10 = 0 THEN 0 ELSE 22 END AS player_count, frame % 10 <> 0 AND frame % 6 <> 1 AS ball_present, frame % 10 = 0 AS is_dead_time FROM tb_ball""",
+    """SELECT contest_id, frame AS frame_idx, CAST(frame // 120 + 1 AS INTEGER) AS period_number, frame * 40 + 1700000000000 AS wall_clock_ms, (frame * 40 + 1700000000000) * 1000000 AS canonical_time_ns, CAST(120 - (frame % 120) // 2 AS DOUBLE) AS game_clock_s, frame % 5 = 0 AS game_clock_stopped,
+              CAST(24 - frame % 24 AS DOUBLE) AS shot_clock_s, CASE WHEN frame % 10 = 0 THEN 0 ELSE 22 END AS player_count, frame % 10 <> 0 AND frame % 6 <> 1 AS ball_present, frame % 10 = 0 AS is_dead_time FROM (SELECT 'g' || frame // 240 AS contest_id, frame % 240 AS frame FROM tb_ball)""",
 )
 def read_frame_clock(tb):
-    return rd.frame_clock(_court(tb))
+    return rd.frame_clock(_court(tb), keys=["contest_id"])
 
 
 @query(
     "read_court_tracking",
     "S12, J15, P8",
-    """WITH p AS (SELECT frame, substr(object_id, 2, 2) AS object_id, 'team-' || group_id AS group_id, x_m, is_detected FROM tb_tracking WHERE frame % 10 <> 0)
-       SELECT CAST(frame // 120 + 1 AS INTEGER) AS period_number, (frame * 40 + 1700000000000) * 1000000 AS t_rel_ns, object_id, 'player' AS object_type, group_id, 'subject-' || substr(md5('court:subject:' || CASE WHEN object_id = '03' THEN '04' ELSE object_id END), 1, 24) AS subject_id,
+    """WITH p AS (SELECT frame % 240 AS frame, 'g' || frame // 240 AS contest_id, substr(object_id, 2, 2) AS object_id, 'team-' || group_id || '-g' || frame // 240 AS group_id, x_m, is_detected FROM tb_tracking WHERE frame % 10 <> 0)
+       SELECT contest_id, CAST(frame // 120 + 1 AS INTEGER) AS period_number, (frame * 40 + 1700000000000) * 1000000 AS t_rel_ns, object_id, 'player' AS object_type, group_id, 'subject-' || substr(md5('court:subject:' || CASE WHEN object_id = '03' AND contest_id <> 'g0' THEN '04' ELSE object_id END), 1, 24) AS subject_id,
               round(x_m, 6) + 0.0 AS x_m, CAST(NULL AS DOUBLE) AS z_m, is_detected FROM p
-       UNION ALL SELECT CAST(frame // 120 + 1 AS INTEGER), (frame * 40 + 1700000000000) * 1000000, 'ball', 'ball', NULL, NULL, round(10 * 0.3048, 6)::DOUBLE, round(3 * 0.3048, 6)::DOUBLE, true FROM tb_ball WHERE frame % 10 <> 0 AND frame % 6 <> 1""",
+       UNION ALL SELECT contest_id, CAST(frame // 120 + 1 AS INTEGER), (frame * 40 + 1700000000000) * 1000000, 'ball', 'ball', NULL, NULL, round(10 * 0.3048, 6)::DOUBLE, round(3 * 0.3048, 6)::DOUBLE, true FROM (SELECT 'g' || frame // 240 AS contest_id, frame % 240 AS frame FROM tb_ball) WHERE frame % 10 <> 0 AND frame % 6 <> 1""",
 )
 def read_court_tracking(tb):
-    aliases = tb.tracking.filter("object_id = 'p03'").select(F.lit("03").alias("alias_id"), F.lit("04").alias("canonical_id")).distinct()
-    df = rd.court_tracking(_court(tb), "court", aliases, {"home": "team-home", "away": "team-away"}).drop("y_m")
+    # Every contest has its teams; the alias holds in all contests but the first.
+    contests = tb.ball.select(contest_of("frame").alias("contest_id")).distinct()
+    aliases = contests.filter("contest_id <> 'g0'").select("contest_id", F.lit("03").alias("alias_id"), F.lit("04").alias("canonical_id"))
+    teams = contests.withColumn("side", F.explode(F.array(F.lit("home"), F.lit("away")))).withColumn("team_id", F.concat_ws("-", F.lit("team"), "side", "contest_id"))
+    df = rd.court_tracking(_court(tb), "court", aliases, teams, keys=["contest_id"]).drop("y_m")
     return rounded(df, "x_m", "z_m")
 
 
 @query(
     "read_dynamic_events",
     "S13, P14, U5",
-    """WITH e AS (SELECT event_no, family, source_frame_idx, wall_clock_ms, game_clock_s, shot_clock_s, period_number, event_no // 200 AS doc FROM tb_dynamic_event),
-       n AS (SELECT *, row_number() OVER (PARTITION BY doc, family ORDER BY event_no) - 1 AS i FROM e)
-       SELECT family, CAST(i AS INTEGER) AS family_index, family || ':' || lpad(CAST(i AS VARCHAR), 7, '0') AS sequence_index, CAST(event_no AS VARCHAR) AS source_event_id, CASE WHEN event_no % 9 = 0 THEN NULL ELSE CAST(period_number AS INTEGER) END AS period_number,
+    """WITH e AS (SELECT contest_id, event_no, family, source_frame_idx, wall_clock_ms, game_clock_s, shot_clock_s, period_number, event_no // 200 AS doc FROM tb_dynamic_event),
+       n AS (SELECT *, row_number() OVER (PARTITION BY contest_id, doc, family ORDER BY event_no) - 1 AS i FROM e)
+       SELECT contest_id, family, CAST(i AS INTEGER) AS family_index, family || ':' || lpad(CAST(i AS VARCHAR), 7, '0') AS sequence_index, CAST(event_no AS VARCHAR) AS source_event_id, CASE WHEN event_no % 9 = 0 THEN NULL ELSE CAST(period_number AS INTEGER) END AS period_number,
               source_frame_idx, wall_clock_ms, game_clock_s, shot_clock_s, CASE WHEN event_no % 9 = 0 THEN 'required_field_null' END AS rule FROM n""",
 )
 def read_dynamic_events(tb):
     record = F.struct(
         F.col("event_no").alias("eventId"), F.expr("CASE WHEN event_no % 9 = 0 THEN NULL ELSE period_number END").alias("periodNumber"), F.col("source_frame_idx").alias("startFrame"), F.col("wall_clock_ms").alias("wallClock"), F.col("game_clock_s").alias("startGameClock"), F.col("shot_clock_s").alias("shot_clock")
     )
-    # One document per 200 event numbers.
-    families = tb.dynamic_event.groupBy(F.expr("event_no div 200").alias("doc"), "family").agg(F.array_sort(F.collect_list(F.struct("event_no", record.alias("r")))).alias("rs"))
-    docs = families.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("family", F.transform("rs", lambda r: r["r"]).alias("rs")))).alias("m"))
+    # One document per contest and 200 event numbers.
+    families = tb.dynamic_event.groupBy(F.col("contest_id").alias("match"), F.expr("event_no div 200").alias("doc"), "family").agg(F.array_sort(F.collect_list(F.struct("event_no", record.alias("r")))).alias("rs"))
+    docs = families.groupBy("match", "doc").agg(F.map_from_entries(F.collect_list(F.struct("family", F.transform("rs", lambda r: r["r"]).alias("rs")))).alias("m"))
     path = _path(tb, "dynamic")
-    docs.select(F.to_json("m").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return rd.read_dynamic_events(tb.spark, path).drop("payload_json")
+    docs.select("match", F.to_json("m").alias("value")).write.partitionBy("match").option("maxRecordsPerFile", 1).text(path)
+    return rd.read_dynamic_events(tb.spark, path, contest=CONTEST).drop("payload_json")
 
 
 SEASON_SQL = """SELECT 'bed/' || c_custkey AS subject_id, 'team-' || substr(md5('bed:team:' || c_nationkey), 1, 24) AS team_id, 'edition-' || substr(md5('bed:edition:870'), 1, 24) AS competition_edition_id, c_mktsegment AS position_group,

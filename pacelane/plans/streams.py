@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from pacelane.plans.registry import query
+from pacelane.schema import contract
 from pacelane.session import work_folder
-from pacelane.streaming import live
+from pacelane.streaming import live, validator
 
 DELAY = "1 hour"
 
@@ -76,3 +77,41 @@ def live_dedupe(tb):
 def validate_stream(tb):
     rows = _events(tb).select(F.col("entity_id").cast("string").alias("stream_id"), F.col("event_id").alias("sample_index"), (F.unix_micros("ts") + F.expr("CASE WHEN k = 4 THEN -90000000000 ELSE 0 END")).alias("t_rel_ns"))
     return live.validate_stream(rows, _path(tb, "validate"), strict=True, chunk=2000).select("stream_id", "rows", "violations")
+
+
+FORCE_SQL = """
+    WITH r AS (SELECT 'st' || user_id % 50 AS stream_id, CASE WHEN k <> 1 THEN 'd' END AS dataset_id, 's' || CASE WHEN user_id % 50 = 3 THEN k % 2 ELSE 0 END AS session_id, CASE WHEN k <> 2 THEN user_id END AS subject_id,
+                      CASE WHEN k <> 3 THEN event_id END AS i, CASE WHEN k <> 4 THEN us + CASE WHEN k = 5 THEN -90000000000 ELSE 0 END END AS t,
+                      CASE WHEN k = 6 THEN 'GUESSED' WHEN k = 7 THEN NULL ELSE 'RAW_MEASURED' END AS c, CASE WHEN k <> 8 THEN 'clock' || CASE WHEN user_id % 50 = 4 THEN k % 3 ELSE 0 END END AS clock,
+                      CASE WHEN k <> 9 THEN 'sync' END AS sync, CASE WHEN k <> 10 THEN 'frame' || CASE WHEN user_id % 50 = 5 THEN k % 2 ELSE 0 END END AS frame,
+                      k <> 11 AND k % 2 = 0 AS newton, k <> 11 AND (k % 2 = 1 OR k = 12) AS ratio FROM tb_ev),
+    o AS (SELECT *, i <= lag(i) OVER w AS bad_i, t <= lag(t) OVER w AS bad_t FROM r WHERE i IS NOT NULL WINDOW w AS (PARTITION BY stream_id ORDER BY i)),
+    v AS (SELECT stream_id, unnest([{'rule': 'identity.null:dataset_id', 'n': count(*) FILTER (dataset_id IS NULL)}, {'rule': 'identity.multiple:session_id', 'n': CAST(min(session_id) <> max(session_id) AS BIGINT)},
+                {'rule': 'identity.subject_required', 'n': count(*) FILTER (subject_id IS NULL)}, {'rule': 'authority.null:clock_id', 'n': count(*) FILTER (clock IS NULL)},
+                {'rule': 'authority.multiple:clock_id', 'n': CAST(min(clock) <> max(clock) AS BIGINT)}, {'rule': 'authority.null:synchronization_spec_id', 'n': count(*) FILTER (sync IS NULL)},
+                {'rule': 'authority.frame_required', 'n': count(*) FILTER (frame IS NULL)}, {'rule': 'authority.frame_multiple', 'n': CAST(min(frame) <> max(frame) AS BIGINT)},
+                {'rule': 'measurement_class.illegal', 'n': count(*) FILTER (c = 'GUESSED')}, {'rule': 'measurement_class.null', 'n': count(*) FILTER (c IS NULL)},
+                {'rule': 'force.payload.missing', 'n': count(*) FILTER (NOT newton AND NOT ratio)}, {'rule': 'force.payload.ambiguous', 'n': count(*) FILTER (newton AND ratio)},
+                {'rule': 'time.null:sample_index', 'n': count(*) FILTER (i IS NULL)}, {'rule': 'time.null:t_rel_ns', 'n': count(*) FILTER (t IS NULL)}], recursive := true) FROM r GROUP BY 1
+          UNION ALL
+          SELECT stream_id, unnest([{'rule': 'time.monotonic:sample_index', 'n': count(*) FILTER (bad_i)}, {'rule': 'time.monotonic:t_rel_ns', 'n': count(*) FILTER (bad_t)}, {'rule': 'time.zero_based', 'n': CAST(min(i) <> 0 AS BIGINT)},
+                {'rule': 'time.contiguous', 'n': CAST(max(i) <> count(*) - 1 AS BIGINT)}], recursive := true) FROM o GROUP BY 1)
+    SELECT stream_id, rule, n AS violations FROM v WHERE n > 0"""
+
+
+@query("validate_live", "T1", FORCE_SQL)
+def validate_live(tb):
+    """A force contract over the events as they arrive, with a defect of every kind planted."""
+    user = F.col("entity_id") % 50
+    word = lambda text, stream, by: F.concat(F.lit(text), F.when(user == stream, F.col("k") % by).otherwise(0).cast("string"))
+    unless = lambda k, value: F.when(F.col("k") != k, value)
+    newton = (F.col("k") != 11) & (F.col("k") % 2 == 0)
+    ratio = (F.col("k") != 11) & ((F.col("k") % 2 == 1) | (F.col("k") == 12))
+    time = F.unix_micros("ts") + F.expr("CASE WHEN k = 5 THEN -90000000000 ELSE 0 END")
+    rows = _events(tb).select(
+        F.concat(F.lit("st"), user.cast("string")).alias("stream_id"), unless(1, F.lit("d")).alias("dataset_id"), word("s", 3, 2).alias("session_id"), unless(2, F.col("entity_id")).alias("subject_id"),
+        unless(3, F.col("event_id")).alias("sample_index"), unless(4, time).alias("t_rel_ns"), F.when(F.col("k") == 6, "GUESSED").when(F.col("k") != 7, "RAW_MEASURED").alias("measurement_class"),
+        unless(8, word("clock", 4, 3)).alias("clock_id"), unless(9, F.lit("sync")).alias("synchronization_spec_id"), unless(10, word("frame", 5, 2)).alias("coordinate_frame_id"),
+        F.when(newton, 1.0).alias("force_z_n"), F.when(ratio, 1.0).alias("force_z_body_weight_ratio"),
+    )
+    return validator.validate_live(rows, contract("force"), _path(tb, "live"), width=500)

@@ -52,20 +52,20 @@ VIEWS: dict[str, str] = {
                t_rel_ns + k * 1300000 - 60000000 AS t_rel_ns, x_m, y_m
         FROM tb_tracking WHERE k % 10 = 3""",
     "tb_frame_clock": """
-        SELECT 'g0' AS contest_id, frame AS frame_idx, frame // 120 + 1 AS period_number, frame * 40 + 1700000000000 AS wall_clock_ms,
-               t_rel_ns AS canonical_time_ns, CAST(120 - (frame % 120) // 2 AS DOUBLE) AS game_clock_s,
+        SELECT contest_id, frame AS frame_idx, frame // 120 + 1 AS period_number, frame * 40 + 1700000000000 AS wall_clock_ms,
+               frame * 40000000 AS canonical_time_ns, CAST(120 - (frame % 120) // 2 AS DOUBLE) AS game_clock_s,
                CAST(24 - frame % 24 AS DOUBLE) AS shot_clock_s,
                CASE WHEN frame % 10 = 0 THEN 0 ELSE 10 END AS player_count, frame % 10 <> 0 AS ball_present
-        FROM tb_ball""",
+        FROM (SELECT 'g' || frame // 240 AS contest_id, frame % 240 AS frame FROM tb_ball)""",
     "tb_dynamic_event": """
-        SELECT CASE WHEN k % 2 = 0 THEN 'passes' WHEN k % 3 = 0 THEN 'chance_players' ELSE 'shots' END AS family,
+        SELECT contest_id, CASE WHEN k % 2 = 0 THEN 'passes' WHEN k % 3 = 0 THEN 'chance_players' ELSE 'shots' END AS family,
                sample_index AS event_no, frame // 120 + 1 AS period_number,
                CASE WHEN sample_index % 5 = 0 THEN frame END AS source_frame_idx,
                CASE WHEN sample_index % 5 = 1 THEN frame * 40 + 1700000000000
                     WHEN sample_index % 10 = 0 THEN (frame + 1) * 40 + 1700000000000 END AS wall_clock_ms,
                CASE WHEN sample_index % 5 IN (2, 3) THEN CAST(120 - (frame % 120) // 2 AS DOUBLE) END AS game_clock_s,
                CASE WHEN sample_index % 5 = 2 THEN CAST(24 - frame % 24 AS DOUBLE) END AS shot_clock_s
-        FROM tb_tracking WHERE k % 7 = 2""",
+        FROM (SELECT * REPLACE (frame % 240 AS frame), 'g' || frame // 240 AS contest_id FROM tb_tracking WHERE k % 7 = 2)""",
     "tb_pose": """
         SELECT 'sub' || label AS subject_id, n * 40000000 AS t_rel_ns, joint_id, 'j' || lpad(CAST(joint_id AS VARCHAR), 2, '0') AS joint_name,
                CAST(embedding[joint_id * 3 + 1] AS DOUBLE) AS x_m, CAST(embedding[joint_id * 3 + 2] AS DOUBLE) AS y_m,

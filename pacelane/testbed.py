@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacelane.operators import ordered
@@ -25,6 +25,11 @@ TRACK = ["stream_id", "object_id"]
 FRAME = ["stream_id", "t_rel_ns"]
 
 
+def contest_of(frame: str) -> Column:
+    """Contest of a frame of the whole bed."""
+    return F.concat(F.lit("g"), F.expr(f"{frame} div 240").cast("string"))
+
+
 class Testbed:
     __test__ = False
 
@@ -154,13 +159,14 @@ class Testbed:
 
     @cached_property
     def frame_clock(self) -> DataFrame:
-        frame = self.ball.select("frame", "t_rel_ns")
+        """Contests of 240 frames; frame numbers and clocks are the same in each."""
+        frame = self.ball.select(contest_of("frame").alias("contest_id"), F.expr("frame % 240").alias("frame"))
         return frame.select(
-            F.lit("g0").alias("contest_id"),
+            "contest_id",
             F.col("frame").alias("frame_idx"),
             F.expr("frame div 120 + 1").alias("period_number"),
             (F.col("frame") * 40 + 1_700_000_000_000).alias("wall_clock_ms"),
-            F.col("t_rel_ns").alias("canonical_time_ns"),
+            (F.col("frame") * 40_000_000).alias("canonical_time_ns"),
             F.expr("cast(120 - (frame % 120) div 2 as double)").alias("game_clock_s"),
             F.expr("cast(24 - frame % 24 as double)").alias("shot_clock_s"),
             F.expr("CASE WHEN frame % 10 = 0 THEN 0 ELSE 10 END").alias("player_count"),
@@ -170,8 +176,9 @@ class Testbed:
     @cached_property
     def dynamic_event(self) -> DataFrame:
         """Basketball event records with one, several or no temporal key."""
-        base = self.tracking.filter(F.col("k") % 7 == 2)
+        base = self.tracking.filter(F.col("k") % 7 == 2).withColumns({"contest_id": contest_of("frame"), "frame": F.expr("frame % 240")})
         return base.select(
+            "contest_id",
             F.expr("CASE WHEN k % 2 = 0 THEN 'passes' WHEN k % 3 = 0 THEN 'chance_players' ELSE 'shots' END").alias("family"),
             F.col("sample_index").alias("event_no"),
             F.expr("frame div 120 + 1").alias("period_number"),
