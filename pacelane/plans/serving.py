@@ -238,6 +238,61 @@ def structure_discovery(tb):
     return cmp.structure_counts(rows, F.col("event_type"), ["high_k", "user_id"])
 
 
+STRUCTURE_SQL = """
+    WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber % 3 = 0) AS gaps, count(*) FILTER (l_linenumber % 2 = 0) AS even FROM lineitem GROUP BY 1),
+    o AS (SELECT o_orderstatus AS key, o_orderkey, o_orderkey % 4 = 0 AS bare, o_orderkey % 5 = 0 AS odd, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(even, 0) AS even FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+    p AS (SELECT key, unnest([
+        {'path': '$', 'kinds': ['object'], 'documents': count(*), 'occurrences': count(*), 'least': 1, 'most': 1, 'optional': false},
+        {'path': '$.id', 'kinds': CASE WHEN bool_and(odd) THEN ['text'] WHEN bool_or(odd) THEN ['integer', 'text'] ELSE ['integer'] END, 'documents': count(*), 'occurrences': count(*), 'least': 1, 'most': 1, 'optional': false},
+        {'path': '$.price', 'kinds': ['number'], 'documents': count(*) FILTER (NOT bare), 'occurrences': count(*) FILTER (NOT bare), 'least': CASE WHEN bool_or(bare) THEN 0 ELSE 1 END, 'most': 1, 'optional': bool_or(bare)},
+        {'path': '$.lines', 'kinds': ['array'], 'documents': count(*), 'occurrences': count(*), 'least': 1, 'most': 1, 'optional': false},
+        {'path': '$.lines[]', 'kinds': ['object'], 'documents': count(*) FILTER (n > 0), 'occurrences': CAST(sum(n) AS BIGINT), 'least': CASE WHEN min(n) = 0 THEN 0 ELSE min(n) END, 'most': max(n), 'optional': min(n) = 0},
+        {'path': '$.lines[].part', 'kinds': ['integer'], 'documents': count(*) FILTER (n > 0), 'occurrences': CAST(sum(n) AS BIGINT), 'least': 1, 'most': 1, 'optional': false},
+        {'path': '$.lines[].flags', 'kinds': ['object'], 'documents': count(*) FILTER (n > gaps), 'occurrences': CAST(sum(n - gaps) AS BIGINT), 'least': CASE WHEN sum(gaps) > 0 THEN 0 ELSE 1 END, 'most': 1, 'optional': sum(gaps) > 0},
+        {'path': '$.lines[].flags.even', 'kinds': ['boolean'], 'documents': count(*) FILTER (n > gaps), 'occurrences': CAST(sum(n - gaps) AS BIGINT), 'least': 1, 'most': 1, 'optional': false}], recursive := true) FROM o GROUP BY key)
+    SELECT key, path, kinds, documents, occurrences, CAST(least AS BIGINT) AS least, CAST(most AS BIGINT) AS most, optional FROM p WHERE occurrences > 0"""
+
+
+@query("structure_json", "G37", STRUCTURE_SQL)
+def structure_json(tb):
+    """Paths of one nested document for each order."""
+    from pacelane.operators import structure as st
+
+    flags = F.when(F.col("l_linenumber") % 3 != 0, F.struct((F.col("l_linenumber") % 2 == 0).alias("even")))
+    lines = tb.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"), flags.alias("flags"))).alias("lines"))  # an order has a few lines
+    orders = tb.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast(lines.schema["lines"].dataType)
+    number = F.concat(F.lit('{"id":'), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))).otherwise(F.col("o_orderkey").cast("string")))
+    price = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit(',"price":'), F.col("o_totalprice").cast("string")))
+    text = F.concat(number, price, F.lit(',"lines":'), F.to_json(F.coalesce("lines", none)), F.lit("}"))
+    return st.structure(orders.select("o_orderstatus", text.alias("text")), "o_orderstatus", "text")
+
+
+@query(
+    "structure_xml",
+    "G37",
+    """WITH p AS (SELECT n_regionkey AS key, count(DISTINCT n_nationkey) AS docs, count(s_suppkey) AS people, count(*) FILTER (s_suppkey % 3 = 0) AS noted, count(DISTINCT n_nationkey) FILTER (s_suppkey % 3 = 0) AS noted_docs, count(DISTINCT n_nationkey) FILTER (s_suppkey IS NOT NULL) AS peopled FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+       c AS (SELECT n_regionkey AS key, n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2), m AS (SELECT key, min(n) AS least, max(n) AS most FROM c GROUP BY 1)
+       SELECT CAST(key AS INTEGER) AS key, r.path, r.kinds, r.documents, r.occurrences, r.least, r.most, r.optional FROM (SELECT key, unnest([
+           {'path': '/Team', 'kinds': ['element'], 'documents': docs, 'occurrences': docs, 'least': CAST(1 AS BIGINT), 'most': CAST(1 AS BIGINT), 'optional': false},
+           {'path': '/Team/@name', 'kinds': ['text'], 'documents': docs, 'occurrences': docs, 'least': 1, 'most': 1, 'optional': false},
+           {'path': '/Team/Player', 'kinds': ['element'], 'documents': peopled, 'occurrences': people, 'least': least, 'most': most, 'optional': least = 0},
+           {'path': '/Team/Player/@no', 'kinds': ['integer'], 'documents': peopled, 'occurrences': people, 'least': 1, 'most': 1, 'optional': false},
+           {'path': '/Team/Player/Note', 'kinds': ['element'], 'documents': noted_docs, 'occurrences': noted, 'least': CASE WHEN noted < people THEN 0 ELSE 1 END, 'most': 1, 'optional': noted < people},
+           {'path': '/Team/Player/Note/text()', 'kinds': ['number'], 'documents': noted_docs, 'occurrences': noted, 'least': 1, 'most': 1, 'optional': false}]) AS r FROM p JOIN m USING (key)) WHERE r.occurrences > 0""",
+)
+def structure_xml(tb):
+    """Paths of one document for each nation, its suppliers inside."""
+    from pacelane.operators import structure as st
+
+    note = F.when(F.col("s_suppkey") % 3 == 0, F.lit("<Note>1.5</Note>")).otherwise("")
+    player = F.concat(F.lit('<Player no="'), F.col("s_suppkey").cast("string"), F.lit('">'), note, F.lit("</Player>"))
+    people = tb.table("supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(player), "").alias("players"))
+    nations = tb.table("nation").join(people, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    text = F.concat(F.lit('<Team name="'), F.col("n_name"), F.lit('">'), F.coalesce("players", F.lit("")), F.lit("</Team>"))
+    return st.structure(nations.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), text.alias("text")), "n_regionkey", "text", "xml")
+
+
 @query("exact_quantile", "G36", "SELECT l_returnflag, count(*) AS valid_n, round(quantile_cont(l_extendedprice, 0.01), 4) + 0.0 AS p01, round(quantile_cont(l_extendedprice, 0.999), 4) + 0.0 AS p999 FROM lineitem GROUP BY 1")
 def exact_quantile(tb):
     from pacelane.operators import ranking
