@@ -57,9 +57,9 @@ class Minima:
 
 
 def signatures(df: DataFrame, width: int, count: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id``, ``n_shingles``, ``node`` (digest of the set; null if empty) and ``signature`` of every document."""
+    """``id``, ``n_shingles``, ``node`` (digest of the set; null if empty), ``signature`` and ``text_hash`` of every document."""
     ship_package(df.sparkSession)
-    source = plain(df, id_column, text_column)
+    source = plain(df, id_column, text_column).withColumn("__hash", F.xxhash64(F.col(f"`{text_column}`")))
     kind = source.schema[id_column].dataType.simpleString()
 
     def sign(batches):
@@ -73,10 +73,10 @@ def signatures(df: DataFrame, width: int, count: int, id_column: str = "doc_id",
                     sizes.append(len(codes))
                     nodes.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None)
                     signs.append(minima.of(codes) if len(codes) else None)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "node", "signature"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signs, pa.list_(pa.int32())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "node", "signature", "text_hash"])
 
-    return source.mapInArrow(sign, f"id {kind}, n_shingles long, node binary, signature array<int>")
+    return source.mapInArrow(sign, f"id {kind}, n_shingles long, node binary, signature array<int>, text_hash long")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -115,14 +115,16 @@ def _compare(pairs: DataFrame, sets: DataFrame, width: int, threshold: int) -> D
 def node_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Verified links ``a``, ``b`` that connect just what all links connect.
 
-    ``nodes``: ``node``, ``rep`` (smallest id), ``signature``; ``texts``: ``id``, ``text`` of the documents.
+    ``nodes``: ``node``, ``rep`` (smallest id), ``text_hash`` (of a text of that id), ``signature``; ``texts``: ``id``, ``text`` of the documents.
     """
     rows = band_rows(threshold)
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
     level = shared_buckets(nodes.select("node", "rep", F.explode(bands).alias("bucket")))
     members = level.select(F.col("rep").alias("key_rep"), F.col("node").alias("key_node")).distinct()
-    keys = members.join(nodes.select(F.col("node").alias("key_node"), "signature"), "key_node")
+    keys = settle(members.join(nodes.select(F.col("node").alias("key_node"), "signature", "text_hash"), "key_node"))
     sets = settle(_texts_of(keys, texts, width))
+    if sets.count() > keys.count():  # rows that agree in id and text
+        sets = settle(sets.dropDuplicates(["node"]))
     picks = np.random.default_rng(23)
     picked = F.array(*[F.array(*[F.lit(int(k) + 1) for k in picks.choice(BANDS * rows, 2 * rows, replace=False)]) for _ in range(SHARP)])
 
@@ -131,7 +133,37 @@ def node_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -
         band = F.transform(picked, lambda p, i: F.xxhash64(F.lit(-1), i, F.transform(p, lambda k: F.element_at("signature", k))))
         return some.join(sets.select("node", "signature").distinct(), "node").select("node", "rep", F.explode(band).alias("bucket"))
 
-    return bucket_links(level, lambda pairs: _compare(pairs, sets, width, threshold), threshold / 100, sharper, lambda cells: _meet(cells, sets, width, threshold))
+    return bucket_links(
+        level,
+        lambda pairs: _compare(pairs, sets, width, threshold),
+        threshold / 100,
+        sharper,
+        lambda cells: _meet(cells, sets, width, threshold),
+        lambda some: _sharing(some, sets, width, threshold),
+    )
+
+
+def _sharing(some: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Those of ``some`` nodes that share enough shingles with the others of them, taken together, to be linked to any; asked twice,
+    since without the nodes that go the others share less."""
+
+    def spell(batches):
+        for batch in batches:
+            at = 0
+            for _, _, data, offsets in slices(batch.column(1)):
+                words = find_words(data, offsets)
+                for k in range(len(offsets) - 1):
+                    codes = shingle_set(words.code[words.first[k] : words.first[k + 1]], width)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[at], len(codes)), pa.array(codes.view(np.int64))], ["node", "code"])
+                    at += 1
+
+    rows = settle(sets.select("node", "text").join(some, "node", "left_semi").mapInArrow(spell, "node binary, code long"))
+    size = rows.groupBy("node").agg(F.count("*").alias("size"))
+    for _ in range(2):
+        often = rows.groupBy("code").agg(F.count("*").alias("many")).where("many > 1").select("code")
+        shared = rows.join(often, "code").groupBy("node").agg(F.count("*").alias("shared")).join(size, "node")
+        rows = settle(rows.join(shared.where(100 * F.col("shared") >= threshold * F.col("size")).select("node"), "node", "left_semi"))
+    return rows.select("node").distinct()
 
 
 def _meet(cells: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -182,8 +214,9 @@ def _meet(cells: DataFrame, sets: DataFrame, width: int, threshold: int) -> Data
 
 
 def _texts_of(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node``, ``signature``, ``text`` of the wanted nodes; an id with several texts gives the one of the node."""
-    rows = texts.join(keys, F.col("id").eqNullSafe(F.col("key_rep"))).select(F.col("key_node").alias("node"), "signature", "text")
+    """``node``, ``signature``, ``text`` of the wanted nodes; an id with several texts, or a null id, gives the one of the node."""
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    rows = hashed.join(keys, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("key_rep"))).select(F.col("key_node").alias("node"), "signature", "text")
 
     def same(batches):
         for batch in batches:
@@ -204,8 +237,9 @@ def _texts_of(keys: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def near_groups(df: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``df``: ``id``, ``n_shingles``, ``node`` and ``component`` (smallest id of its group)."""
     signed = settle(signatures(df, width, BANDS * band_rows(threshold), id_column, text_column))
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
-    nodes = settle(nodes)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("least")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(first, F.first("signature").alias("signature"))
+    nodes = settle(nodes.select("node", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("text_hash"), "signature"))
     texts = plain(df, id_column, text_column).toDF("id", "text")
     named = grouped(nodes, node_links(nodes, texts, width, threshold))
     known = signed.where("node IS NOT NULL").select("id", "n_shingles", "node").join(named, "node")

@@ -2,8 +2,10 @@
 
 Every member of a bucket is compared with the bucket's lead, the node of the smallest id.  Members that are not
 linked to it form what is left of the bucket: of up to ``SMALL`` members it is compared pair by pair.  Larger ones are
-bucketed anew by sharper keys, if there are any; what is still large is cut into blocks of about ``BLOCK`` nodes, and two
-blocks meet in one task, which returns a few links that connect what all links of the two blocks connect.
+bucketed anew by sharper keys, if there are any.  Nodes of buckets that are still large are first thinned out: a node too much
+of which no other one shares has no link.  The others form clusters, nodes tied by common buckets, so that two nodes meet
+once however many buckets they share.  A cluster is cut into blocks of about ``BLOCK`` nodes, and two blocks meet in one
+task, which returns a few links that connect what all links of the two blocks connect.
 
 What is still open are links between a member linked to a lead and one that is not.  The Jaccard distance obeys the
 triangle inequality, so with distances ``p`` and ``q`` to the lead these two can only be linked if ``|p - q|`` is at most the
@@ -21,12 +23,14 @@ from pacelane.llm.components import components
 from pacelane.llm.frames import settle
 
 SMALL = 32
-BLOCK = 256
+BLOCK = 512
 
 Compare = Callable[[DataFrame], DataFrame]
 """From pairs ``a``, ``b`` to ``a``, ``b``, ``jaccard``."""
 Meet = Callable[[DataFrame], DataFrame]
 """From nodes (``cell``, ``side``, ``node``) to the links ``a``, ``b`` between sides 0 and 1 of a cell, or inside side 0 if there is no side 1."""
+Possible = Callable[[DataFrame], DataFrame]
+"""From nodes (``node``) to those of them that may be linked to another one of them."""
 
 
 def _order() -> Column:
@@ -55,8 +59,17 @@ def _blocks(size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
 
 
+def _clusters(large: DataFrame, possible: Possible | None) -> DataFrame:
+    """``node``, ``bucket``, ``size``: the nodes of large buckets (``node``, ``lead``) that may have links, each in one cluster instead of many buckets."""
+    tied = components(large.select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("component", "bucket")
+    nodes = settle(large.select("node").distinct())
+    kept = settle((nodes if possible is None else possible(nodes)).join(tied, "node").select("node", "bucket"))
+    sizes = kept.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return kept.join(sizes, "bucket")
+
+
 def _cells_inside(rows: DataFrame) -> DataFrame:
-    """Cells in which any two nodes of a large bucket (``node``, ``bucket``, ``size``) meet."""
+    """Cells in which any two nodes of a cluster (``node``, ``bucket``, ``size``) meet."""
     blocks = _blocks(F.col("size"))
     rows = rows.select("node", "bucket", blocks.alias("n"), F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int").alias("own"))
     rows = rows.select("node", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
@@ -76,7 +89,7 @@ def _cells_between(outside: DataFrame, inside: DataFrame, sizes: DataFrame) -> D
     return both[0].unionByName(both[1])
 
 
-def bucket_links(spread: DataFrame, compare: Compare, near: float, sharper: Callable[[DataFrame], DataFrame] | None = None, meet: Meet | None = None) -> DataFrame:
+def bucket_links(spread: DataFrame, compare: Compare, near: float, sharper: Callable[[DataFrame], DataFrame] | None = None, meet: Meet | None = None, possible: Possible | None = None) -> DataFrame:
     """Links ``a``, ``b`` that connect just what all pairs of a bucket with a similarity of ``near`` connect.
 
     ``spread``: the buckets (``shared_buckets``); ``sharper`` gives, for some nodes (``node``, ``rep``), other buckets
@@ -98,7 +111,7 @@ def bucket_links(spread: DataFrame, compare: Compare, near: float, sharper: Call
             large = shared_buckets(sharper(large.select("node", "rep").distinct()))
             links = links.unionByName(settle(compare(_inside(large.where(F.col("size") <= SMALL))).where(linked).select("a", "b")))
             large = large.where(F.col("size") > SMALL)
-        links = links.unionByName(settle(meet(_cells_inside(large)).distinct()))
+        links = links.unionByName(settle(meet(_cells_inside(_clusters(large, possible))).distinct()))
     return _across(links, judged.select("lead", "node", "jaccard").distinct(), compare, near, meet)
 
 
