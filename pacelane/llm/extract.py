@@ -9,6 +9,10 @@ A block is the text between two block-level tags.  Menus, headers, footers, side
 styles and reader comments are left out, by tag or by class and id.  Character references are decoded, white space in a
 block becomes one space, blocks are joined by an empty line.
 
+A class or id counts as a whole: ``cookie-notice`` and ``share-buttons`` name a notice and buttons, ``has-sidebar``, ``header-fixed`` and
+``banner-story`` do not name a part to leave out.  A wrapper that is left out for its class is taken back when the page's first article
+or main part opens inside it.  Tags end at the first ``>`` outside a quoted value; a quote that is never closed quotes nothing.
+
 A null or empty page, or one without a container, has the empty text.  Pages without a host take no part in votes and
 use their own best container.  Ties between paths go to the smaller path.  Repeated rows get equal answers.
 """
@@ -26,29 +30,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacelane.llm.frames import plain, ship_package
+from pacelane.llm.frames import plain, settle, ship_package
 
 PATHS = 3
 """Paths of a host that are tried in turn."""
+SENT = 8 << 20
+"""Bytes of hosts and paths that are sent to every task; more are joined by shuffle."""
 
 # Tags by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select canvas".split())
+TO_THE_END = frozenset("script style noscript template textarea iframe".split())
+"""Raw tags that, never closed, hold the rest of the page; any other one then holds nothing."""
+INLINE = frozenset("math mi mn mo mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mspace semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 SKIPPED = frozenset("nav footer aside form menu button dialog head".split()) | RAW
 CONTAINERS = frozenset("article main section div td body html blockquote center table tbody tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUND = frozenset("ul ol dl table td th article section div main body html aside nav footer header form button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|related|replies|reply|respond|share|sharing|sidebar|skip|social|"
-    r"sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.I,
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\s"'>/=]++(?:\s*+=\s*+{_VALUE})?+|[\s/="'])*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+# Names of parts to leave out, what may follow such a name, and what before it speaks of the page instead.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar "
+    "navigation newsletter notice pagination pager popup promo promoted related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
+)
+AFTER = frozenset(
+    "area bar block body bottom box button buttons container content form group holder icons inner item items left link links list panel posts right row section slot stories thread top unit "
+    "wrap wrapper zone articles header footer".split()
 )
+ABOUT = frozenset("has no not with without is hide hides show under over below above after before".split())
+_PART = re.compile(r"[a-z]+|\d+")
+
+
+def unwanted(names: str) -> bool:
+    """Whether a class or id (several, by white space) names a part to leave out."""
+    for name in names.lower().split():
+        parts = [w for w in _PART.findall(name) if not w.isdigit()]
+        while len(parts) > 1 and parts[-1] in AFTER and parts[-1] not in PARTS:
+            parts.pop()
+        if parts and parts[-1] in PARTS and parts[0] not in ABOUT:
+            return True
+        if len(parts) > 1 and parts[0] in PARTS and parts[1] in AFTER:
+            return True
+    return False
+
+
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu".split())
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
@@ -69,8 +98,9 @@ class Page:
         self.blocks: list[Block] = []
         self.paths: list[str] = []
         stack: list[tuple[str, bool, int | None]] = []  # tag, left out, container number
+        named: list[bool] = []  # whether it is left out by class or id alone
         parts: list[str] = []
-        state = {"linked": 0, "link": 0, "out": 0}
+        state = {"linked": 0, "link": 0, "out": 0, "article": 0}
 
         def flush() -> None:
             if parts:
@@ -85,6 +115,7 @@ class Page:
                 if stack[-1][0] not in INLINE:
                     flush()
                 tag, out, _ = stack.pop()
+                named.pop()
                 state["out"] -= out
                 state["link"] -= tag == "a"
 
@@ -120,8 +151,9 @@ class Page:
             if tag not in INLINE:
                 flush()
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else size
+                if not found.group(3).endswith("/"):
+                    end = self._raw_end(source, tag, at)
+                    at = end if end is not None else size if tag in TO_THE_END else at
                 continue
             closed = SAME.get(tag, ()) or ({"p"} if tag in CLOSES_P else ())
             if closed:
@@ -133,11 +165,21 @@ class Page:
                         break
             if tag in VOID or found.group(3).endswith("/") and tag in INLINE:
                 continue
-            names = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(found.group(3))} if found.group(3) else {}
+            names: dict[str, str] = {}
+            for k, a, b, c in _ATTRIBUTE.findall(found.group(3)):
+                names.setdefault(k.lower(), a or b or c)
+            if tag in ("article", "main") and not state["article"] and not unwanted(f"{names.get('class', '')} {names.get('id', '')}"):
+                # the first one is no part of what its wrappers are named after
+                if state["out"] and all(by_name for (_, out, _), by_name in zip(stack, named, strict=True) if out):
+                    stack[:] = [(t, False, place) for t, _, place in stack]
+                    state["out"] = 0
+                state["article"] = not state["out"]
             out = tag in SKIPPED or (tag == "header" and not any(t in ("article", "main") for t, _, _ in stack))
+            by_name = False
             if names and tag not in ("html", "body", "article", "main"):
-                out = out or bool(_UNWANTED.search(names.get("class", "")) or _UNWANTED.search(names.get("id", "")) or names.get("role") in _ROLES)
-                out = out or "hidden" in names or names.get("aria-hidden") == "true"
+                out = out or names.get("role") in _ROLES or "hidden" in names or names.get("aria-hidden") == "true"
+                by_name = not out and unwanted(f"{names.get('class', '')} {names.get('id', '')}")
+                out = out or by_name
             place = None
             if tag in CONTAINERS and not state["out"] and not out:
                 classes = ".".join(sorted(set(_DIGITS.sub("#", names.get("class", "").lower()).split())))
@@ -146,11 +188,25 @@ class Page:
                 self.paths.append(f"{self.paths[above]}>{step}" if above is not None else step)
                 place = len(self.paths) - 1
             stack.append((tag, out, place))
+            named.append(by_name)
             state["out"] += out
             state["link"] += tag == "a"
         close(0)
         flush()
 
+    @staticmethod
+    def _raw_end(source: str, tag: str, at: int) -> int | None:
+        """Place behind the end tag of a raw element whose content begins at ``at``; drawings may hold drawings."""
+        depth = 1
+        for mark in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)(?:>|\Z)", re.I).finditer(source, at):
+            if mark.group(1):
+                depth -= 1
+            elif tag == "svg" and not mark.group(2).endswith("/"):
+                depth += 1
+            if not depth:
+                return mark.end()
+        return None
+
     def best(self) -> tuple[int, float] | None:
         """The container with most text, and its score: a block counts fully for the innermost one, by half for the next."""
         score = [0.0] * len(self.paths)
@@ -214,7 +270,9 @@ def host_paths(pages: DataFrame, paths: int = PATHS) -> DataFrame:
 def main_texts(pages: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page, read by its host's paths (``host_paths`` of the same pages by default)."""
     ship_package(pages.sparkSession)
-    paths = host_paths(pages) if paths is None else paths
+    paths = settle(host_paths(pages) if paths is None else paths)
+    taken = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", " ")) + 64)).first()[0] or 0
+    paths = F.broadcast(paths) if taken <= SENT else paths
     rows = plain(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     joined = rows.withColumn("__host", F.when(host != "", host)).join(paths.withColumnsRenamed({"host": "__host", "paths": "__paths"}), "__host", "left")

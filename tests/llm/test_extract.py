@@ -23,6 +23,21 @@ def page(content, extra=""):
         (f"<article><p>{BODY}</p><!-- <p>no</p> --><p hidden>no</p><p>a &lt; b</p></article>", f"{BODY}\n\na < b"),
         (page(f"<div id='cookie-notice'><p>{BODY * 4}</p></div><article><p>{BODY}</p></article>"), BODY),
         (page(f"<article><p>a<i>b</i>c <a href='x'>link</a></p><pre>one\n two</pre><p>{BODY}</p></article>"), f"abc link\n\none two\n\n{BODY}"),
+        # classes that speak of the layout, and wrappers named after a part
+        (page(f"<div class='content has-sidebar'><p>{BODY}</p></div>"), BODY),
+        (page(f"<div id='page' class='header-fixed'><article><p>{BODY}</p></article></div>"), BODY),
+        (page(f"<div class='layout no-sidebar'><article><p>{BODY}</p></article><p>rest</p></div>"), BODY),
+        (page(f"<article><p class='banner-story'>{BODY}</p><p class='reply-brief'>{BODY}</p></article>"), f"{BODY}\n\n{BODY}"),
+        (page(f"<div class='newsletter'><article><p>{BODY}</p></article></div>"), BODY),
+        (page(f"<article><p>{BODY}</p></article><div class='comments'><article><p>{BODY * 3}</p></article></div>"), BODY),
+        (page(f"<article><p>{BODY}</p><div class='share-buttons'>x</div><div class='related-posts-2'>y</div><div id='site-footer'>z</div><p class='ad slot'>buy</p></article>"), BODY),
+        # raw tags
+        (page(f"<article><svg/><p>{BODY}</p><iframe src=x /><p>two</p></article>"), f"{BODY}\n\ntwo"),
+        (f"<title>never closed<article><p>{BODY}</p><select><option>a<p>two</p></article>", f"{BODY}\n\na\n\ntwo"),
+        (page(f"<article><svg><svg><text>in</text></svg><text>ner</text></svg><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>"), f"{BODY} x=1."),
+        # attributes
+        (page(f"<article><p title=\"abc>{BODY}</p><p>two</p></article>"), f"{BODY}\n\ntwo"),
+        (page(f"<article><p title=it's>{BODY}</p><p>it's two</p><p data-x='a>b' title=\"class='ad'\">three</p></article>"), f"{BODY}\n\nit's two\n\nthree"),
     ],
 )
 def test_pages(source, expected):
@@ -52,6 +67,15 @@ def test_odd_rows(spark):
     assert main_texts(frame(spark, [])).count() == 0
 
 
+def test_large_path_tables_are_joined_by_shuffle(spark, monkeypatch):
+    from pacelane.llm import extract
+
+    rows = [(k, f"http://h{k % 3}.org/", page(f"<article><p>{BODY}</p></article>")) for k in range(9)]
+    first = sorted(map(tuple, main_texts(frame(spark, rows)).collect()))
+    monkeypatch.setattr(extract, "SENT", 0)
+    assert first == sorted(map(tuple, main_texts(frame(spark, rows)).collect())) and all(t == BODY for _, _, t in first)
+
+
 def test_hosts():
     assert host_of("HTTP://User@Example.com:8080/x") == "example.com"
     assert host_of(None) is None and host_of("nonsense") is None and host_of("http://[bad") is None
