@@ -7,15 +7,20 @@ similarity of 0.8 or more.
 Candidates come from the runs of ``MATCH`` words (equal neighbours are numbered).  Under a hash function, a compact window
 ``(l, c, r)`` stands for all subsequences that contain run ``c`` and lie in ``l..r``: ``c`` has the least hash in all of them.  The
 windows are the nodes of the Cartesian tree over the hashes; those of at least ``REACH`` runs are kept.  Every stretch of ``REACH``
-runs lies in one window, so documents that share ``MATCH + REACH - 1`` words in a row agree on a minimum, whatever the function.
+runs lies in one window of each of ``FUNCTIONS`` functions, so the windows of a function cut the starts of the stretches into
+intervals.  Joining the intervals of all functions gives the groups of stretches that share a whole signature, one minimum for each
+function.  Documents that share ``MATCH + REACH - 1`` words in a row agree on a signature, whatever the functions; documents that
+share a shorter line agree only if every function has its minimum inside the line.
 Passages of similarity 0.8 share as many: two sets of ``LEAST`` tokens share 41 at least, and between two shared stretches at
 least 8 tokens are lost (4 on either side at a moved part, 9 at a word put in, 10 at a changed one), so with ``k`` breaks at least
-``max(41, 32 k)`` tokens are shared in ``k + 1`` stretches, and one of them has ``STRETCH`` = 21 tokens or more.  (Passages in which tokens repeat may share less.)  One
-agreement makes a candidate; verification on the texts around it decides.
-
-Documents that share a minimum are first verified with the smallest one, so a passage that many documents share costs one
-pair for each.  Where a minimum of a document then lies in no verified passage that begins and ends with shared tokens, it meets every other document of that
-minimum, in blocks of which two meet in one task; each of these minima names one partner, verified again on the whole texts.
+``max(41, 32 k)`` tokens are shared in ``k + 1`` stretches, and one of them has ``STRETCH`` = 21 tokens or more.  (Passages in
+which tokens repeat may share less.)
+
+Documents that share a signature are first verified with the smallest one, so a passage that many documents share costs one
+pair for each.  Where the minima of a document then lie in no verified passage that begins and ends with shared tokens, it meets every other
+document of that signature, in blocks of which two meet in one task; each names one partner, verified again on the whole texts.
+Verification takes time in proportion to the texts, also where a line repeats: every maximal stretch of ``STRETCH`` shared tokens
+is tried once, with the other text's places that tokens around it single out.
 A passage's row names one document it repeats; that document has a row of its own.
 
 Null and empty texts and texts with fewer than ``WORDS`` words have no passage.  Rows that share an id count as one document;
@@ -46,6 +51,8 @@ SIMILAR = 0.8
 GAP = RUN + 1
 """Tokens between two shared ones of a passage whose parts may lie in any order: one changed word spoils five."""
 AROUND = 2 * WORDS
+FUNCTIONS = 2
+"""Hash functions whose minima make a signature."""
 BLOCK = 256
 """Members of a block that meets others in one task."""
 TASK = 2048
@@ -93,9 +100,32 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return places[real], before[real] + 1, after[real] - 1
 
 
-def token_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hash of every token, never zero; 0 stays 0."""
-    return np.where(codes == 0, U64(0), mix(codes * U64(0x9E3779B97F4A7C15)) | U64(1))
+def token_hashes(codes: np.ndarray, function: int = 0) -> np.ndarray:
+    """Hash of every token under a function, never zero; 0 stays 0."""
+    return np.where(codes == 0, U64(0), mix((codes + U64(function)) * U64(0x9E3779B97F4A7C15)) | U64(1))
+
+
+def signatures(tokens: np.ndarray, least: int, functions: int = FUNCTIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, first and last of its minima's places, of every group of stretches of ``least`` tokens that share all minima.
+
+    A window ``(l, c, r)`` holds the stretches that start in ``max(l, c - least + 1)..min(c, r - least + 1)``; the windows of a function hold
+    every stretch once, so the interval join over all functions is one pass over the sorted begins.
+    """
+    begins, minima = [], []
+    for function in range(functions):
+        hashes = token_hashes(tokens, function)
+        centre, left, right = compact_windows(hashes, least)
+        begins.append(np.maximum(left, centre - least + 1))
+        minima.append((centre, np.minimum(centre, right - least + 1), hashes))
+    starts = np.unique(np.concatenate(begins))
+    value = np.zeros(len(starts), U64)
+    first, last = np.full(len(starts), len(tokens)), np.zeros(len(starts), np.int64)
+    for begin, (centre, _, hashes) in zip(begins, minima, strict=True):
+        order = np.argsort(begin, kind="stable")
+        at = centre[order[np.searchsorted(begin[order], starts, side="right") - 1]] if len(starts) else starts
+        value = mix(value * U64(0xD6E8FEB86659FD93) + hashes[at])
+        first, last = np.minimum(first, at), np.maximum(last, at)
+    return value, first, last
 
 
 def told_apart(tokens: np.ndarray) -> np.ndarray:
@@ -110,7 +140,7 @@ def told_apart(tokens: np.ndarray) -> np.ndarray:
 
 
 def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``value`` (least hash), ``doc`` and ``place`` (word of the centre) of every compact window."""
+    """``value`` (signature), ``doc``, ``place`` and ``stop`` (first word of the first minimum, end of the last) of every group of stretches."""
     ship_package(df.sparkSession)
     source = plain(df, id_column, text_column).where(F.col(f"`{id_column}`").isNotNull() & (F.octet_length(F.col(f"`{text_column}`")) >= 2 * WORDS - 1))
     kind = source.schema[id_column].dataType.simpleString()
@@ -127,48 +157,47 @@ def window_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 last = words.first[1:]
                 for k in range(1, MATCH):
                     tokens[np.maximum(last - k, 0)] = 0
-                hashes = token_hashes(told_apart(tokens))
-                centre, _, _ = compact_windows(hashes, REACH)
-                text = words.text[centre]
+                value, low, high = signatures(told_apart(tokens), REACH)
+                text = words.text[low]
                 docs = batch.column(0).take(pa.array(text + first))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[centre].view(np.int64)), docs, pa.array(centre - words.first[text])], ["value", "doc", "place"])
+                place, stop = (pa.array((x - words.first[text]).astype(np.int32)) for x in (low, high + MATCH))
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), docs, place, stop], ["value", "doc", "place", "stop"])
 
-    return source.mapInArrow(cut, f"value long, doc {kind}, place long")
+    return source.mapInArrow(cut, f"value long, doc {kind}, place int, stop int")
 
 
 def shared_windows(rows: DataFrame) -> DataFrame:
-    """The rows whose minimum several documents have, with ``lead``, the smallest of these."""
+    """The rows whose signature several documents have, with ``lead``, the smallest of these."""
     leads = rows.groupBy("value").agg(F.min("doc").alias("lead"), F.max("doc").alias("other")).where("lead <> other").select("value", "lead")
     return settle(rows.join(leads, "value"))
 
 
 def lead_pairs(shared: DataFrame) -> DataFrame:
-    """``lead``, ``doc`` and their ``hits`` (``lead_places``, ``place``) of every document and the leads of its minima."""
-    heads = shared.where("doc = lead").groupBy("value").agg(F.array_sort(F.collect_set("place")).alias("lead_places"))
+    """``lead`` and ``doc`` of every document and the leads of its signatures, and the words between which these lie in either."""
+    heads = shared.where("doc = lead").groupBy("value").agg(F.min("place").alias("lead_low"), F.max("stop").alias("lead_high"))
     met = shared.where("doc <> lead").join(heads, "value")
-    return met.groupBy("lead", "doc").agg(F.collect_set(F.struct("lead_places", "place")).alias("hits"))
+    return met.groupBy("lead", "doc").agg(F.min("lead_low").alias("lead_low"), F.max("lead_high").alias("lead_high"), F.min("place").alias("low"), F.max("stop").alias("high"))
 
 
 def _cut_members(pairs: DataFrame) -> DataFrame:
-    """Of each member's ``text`` only the words around its windows, from word ``base`` on."""
+    """Of each member's ``text`` only the words around its signatures, from word ``base`` on."""
 
     def cut(batches):
         for batch in batches:
-            hits = batch.column(2).to_pylist()
+            low, high = (batch.column(k).to_numpy() for k in (4, 5))
             bases, texts, at = [], [], 0
-            for _, _, data, offsets in slices(batch.column(3)):
+            for _, _, data, offsets in slices(batch.column(6)):
                 words = find_words(data, offsets)
                 for k in range(len(offsets) - 1):
-                    centres = [h["place"] for h in hits[at]]
-                    base, text = _around(words, k, min(centres), max(centres))
+                    base, text = _around(words, k, int(low[at]), int(high[at]) - MATCH)
                     bases.append(base)
                     texts.append(text)
                     at += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bases, pa.int32()), pa.array(texts, pa.string())], ["lead", "doc", "hits", "base", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bases, pa.int32()), pa.array(texts, pa.string())], names)
 
-    schema = pairs.schema
-    kinds = {n: schema[n].dataType.simpleString() for n in ("lead", "doc", "hits")}
-    return pairs.select("lead", "doc", "hits", "text").mapInArrow(cut, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", base int, part string")
+    names = ["lead", "doc", "lead_low", "lead_high", "base", "part"]
+    kind = pairs.schema["doc"].dataType.simpleString()
+    return pairs.select("lead", "doc", "lead_low", "lead_high", "low", "high", "text").mapInArrow(cut, f"lead {kind}, doc {kind}, lead_low int, lead_high int, base int, part string")
 
 
 def _around(words: Words, k: int, least: int, most: int) -> tuple[int, str]:
@@ -270,78 +299,117 @@ def _grown(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarra
     return tuple(ends), starts, stops
 
 
-def _hopeless(starts: np.ndarray, stops: np.ndarray) -> bool:
-    """Whether no run of neighbouring equal runs makes a passage."""
-    if len(starts) > 500:
-        return False
-    length = (stops - starts)[:, 0] + 1
-    gaps = np.concatenate([[0], (starts[1:] - stops[:-1] - 1).sum(axis=1)])
-    upto = np.cumsum((1 - SIMILAR) * length - SIMILAR * gaps)
-    before = upto - (1 - SIMILAR) * length
-    lacking = np.maximum(0, LEAST - 1 - (stops[None, :, :] - starts[:, None, :])).sum(axis=2)
-    score = np.triu(upto[None, :] - before[:, None] - SIMILAR * lacking + 1)
-    return bool(score.max() < 1 - 1e-9)
-
-
-def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple]) -> list[tuple[int, int, int, int, float]]:
-    """Passages of two token sequences around equal tokens (a place or places in ``lead``, a place in ``part``): from and to (tokens) in
-    either, and their likeness.  Pairs of places that both lie in a passage found before are passed over."""
-    found: list[tuple[int, int, int, int, float]] = []
-    in_part, in_lead = np.isin(lead, part), np.isin(part, lead)
-    shared = np.concatenate([[0], np.cumsum(in_part)])
-    region_lead, region_part = _regions(in_part), _regions(in_lead)
-    judged: dict[tuple[int, int, int, int], float] = {}
-    known_lead, known_part = np.zeros(len(lead), bool), np.zeros(len(part), bool)
-    failed: set[tuple[int, int]] = set()
-    chained: set[tuple[int, int]] = set()
-
-    def add(a0, a1, b0, b1, like):
-        found.append((a0, a1, b0, b1, like))
-        known_lead[a0 : a1 + 1] = known_part[b0 : b1 + 1] = True
-
-    def runs():
-        for places, b in sorted(((np.unique(a), b) for a, b in hits), key=lambda h: (h[1], h[0][0])):
-            if not 0 <= b < len(part):
-                continue
-            places = places[(places >= 0) & (places < len(lead))]
-            for a in places[(lead[places] == part[b]) & ~(known_lead[places] & known_part[b])].tolist():
-                if known_lead[a] and known_part[b]:
-                    continue
-                back = min(a, b)
-                differ = np.flatnonzero(lead[a - back : a] != part[b - back : b])
-                start = a - back + (int(differ[-1]) + 1 if len(differ) else 0)
-                # one of the hits in an equal run stands for all
-                if (start, a - b) not in failed:
-                    failed.add((start, a - b))
-                    yield a, b, start
-
-    for a, b, start in runs():
-        a0, a1 = (int(r[a]) for r in region_lead)
-        b0, b1 = (int(r[b]) for r in region_part)
-        # neither side reaches farther from the centre than the other, but for a few edits
-        a0, a1 = max(a0, a - (b - b0) - 4 * RUN), min(a1, a + (b1 - b) + 4 * RUN)
-        b0, b1 = max(b0, b - (a - a0) - 4 * RUN), min(b1, b + (a1 - a) + 4 * RUN)
-        options = [(a0, a1, b0, b1)]
-        if (start, a - b) not in chained:
-            grown, starts, stops = _grown(lead, part, a, b, shared)
-            options.append(grown)
-            if _hopeless(starts, stops):
-                chained.update(zip(starts[:, 0].tolist(), (starts[:, 0] - starts[:, 1]).tolist(), strict=True))
-        for o in sorted(options, key=lambda o: -min(o[1] - o[0], o[3] - o[2])):
-            a0, a1, b0, b1 = o
-            if o not in judged:
-                judged[o] = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1]) if min(a1 - a0, b1 - b0) + 1 >= LEAST else 0.0
-            like = judged[o]
-            if like >= SIMILAR:
-                add(a0, a1, b0, b1, like)
+def _passage(lead: np.ndarray, part: np.ndarray, a: int, b: int, run: int) -> tuple[int, int, int, int, float] | None:
+    """The passage around ``run`` equal tokens from places ``a`` and ``b`` on that reaches ``AROUND`` tokens farther at most on either end."""
+    lead_from, part_from = max(0, a - AROUND), max(0, b - AROUND)
+    one, other = lead[lead_from : a + run + AROUND], part[part_from : b + run + AROUND]
+    a, b = a - lead_from, b - part_from
+    in_other, in_one = np.isin(one, other), np.isin(other, one)
+    grown, _, _ = _grown(one, other, a, b, np.concatenate([[0], np.cumsum(in_other)]))
+    (first_one, last_one), (first_other, last_other) = _regions(in_other), _regions(in_one)
+    a0, a1, b0, b1 = (int(x) for x in (first_one[a], last_one[a], first_other[b], last_other[b]))
+    # neither side reaches farther from the place than the other, but for a few edits
+    a0, a1 = max(a0, a - (b - b0) - 4 * RUN), min(a1, a + (b1 - b) + 4 * RUN)
+    b0, b1 = max(b0, b - (a - a0) - 4 * RUN), min(b1, b + (a1 - a) + 4 * RUN)
+    options = {(a0, a1, b0, b1), grown, (a, a + run - 1, b, b + run - 1)}
+    for a0, a1, b0, b1 in sorted(options, key=lambda o: (-min(o[1] - o[0], o[3] - o[2]), o)):
+        if min(a1 - a0, b1 - b0) + 1 < LEAST:
+            return None
+        like = _likeness(one[a0 : a1 + 1], other[b0 : b1 + 1])
+        if like >= SIMILAR:
+            return a0 + lead_from, a1 + lead_from, b0 + part_from, b1 + part_from, like
+    return None
+
+
+def _equal_run(one: np.ndarray, other: np.ndarray) -> int:
+    """How many tokens are equal from the first on; time in proportion to the answer."""
+    at, step, size = 0, 64, min(len(one), len(other))
+    while at < size:
+        differ = one[at : min(size, at + step)] != other[at : min(size, at + step)]
+        if differ.any():
+            return at + int(np.argmax(differ))
+        at, step = at + step, 2 * step
+    return size
+
+
+def _search(lead: np.ndarray, part: np.ndarray, known_lead: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Passages of ``part`` in ``lead`` around its stretches of shared tokens that are not ``known`` yet."""
+    codes, own = shingle_codes(lead, STRETCH), shingle_codes(part, STRETCH)
+    if not len(codes) or not len(own):
+        return []
+    order = np.argsort(codes, kind="stable")
+    ranked = codes[order]
+    low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
+    places = np.flatnonzero(high > low)
+    if not len(places):
+        return []
+    # place of every token of ``part`` that ``lead`` has once, else -1
+    tokens, first, often = np.unique(lead, return_index=True, return_counts=True)
+    where = np.minimum(np.searchsorted(tokens, part), len(tokens) - 1)
+    single = np.where((tokens[where] == part) & (often[where] == 1), first[where], -1)
+    found, k = [], 0
+    while k < len(places):
+        b = int(places[k])
+        options = order[low[b] : high[b]]
+        tries = [int(options[0])]
+        if len(options) > 1:
+            # the places nearest to where the single tokens around point
+            around = np.arange(max(0, b - LEAST), min(len(part), b + STRETCH + LEAST))
+            around = around[single[around] >= 0]
+            wanted = np.unique(single[around] - around + b)
+            after = np.searchsorted(options, wanted)
+            tries += options[np.unique(np.concatenate([np.minimum(after, len(options) - 1), np.maximum(after - 1, 0)]))].tolist() if len(wanted) else []
+        longest = 0
+        for a in dict.fromkeys(tries):
+            run = _equal_run(lead[a:], part[b:])
+            longest = max(longest, run)
+            if known[b : b + run].all() and known_lead[a : a + run].all():
+                break
+            back = _equal_run(lead[max(0, a - AROUND) : a][::-1], part[max(0, b - AROUND) : b][::-1])
+            passage = _passage(lead, part, a - back, b - back, run + back)
+            if passage is not None:
+                found.append(passage)
+                known_lead[passage[0] : passage[1] + 1] = known[passage[2] : passage[3] + 1] = True
                 break
+        # stretches that begin inside the run and end in it are done
+        k = int(np.searchsorted(places, b + longest - STRETCH + 1))
+    return found
+
+
+def _joined(lead: np.ndarray, part: np.ndarray, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Passages that overlap in both texts as one, where the whole is similar enough."""
+    out: list[tuple[int, int, int, int, float]] = []
+    group: list[tuple[int, int, int, int, float]] = []
+
+    def close():
+        if len(group) > 1:
+            a0, a1, b0, b1 = min(g[0] for g in group), max(g[1] for g in group), min(g[2] for g in group), max(g[3] for g in group)
+            like = _likeness(lead[a0 : a1 + 1], part[b0 : b1 + 1])
+            out.extend([(a0, a1, b0, b1, like)] if like >= SIMILAR else group)
         else:
-            back, ahead = min(a, b), min(len(lead) - a, len(part) - b)
-            differ = np.flatnonzero(lead[a - back : a + ahead] != part[b - back : b + ahead]) - back
-            low = int(differ[differ < 0].max()) + 1 if (differ < 0).any() else -back
-            high = int(differ[differ > 0].min()) - 1 if (differ > 0).any() else ahead - 1
-            if high - low + 1 >= LEAST:
-                add(a + low, a + high, b + low, b + high, 1.0)
+            out.extend(group)
+
+    for passage in sorted(found, key=lambda f: (f[2], f[0])):
+        if group and passage[2] <= group[-1][3] + 1 and group[-1][0] <= passage[0] <= group[-1][1] + 1:
+            group.append(passage)
+        else:
+            close()
+            group = [passage]
+    close()
+    return out
+
+
+def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple] | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Passages of two token sequences: from and to (tokens) in either, and their likeness.
+
+    ``hits`` (a place in ``lead``, a place in ``part``): only passages that hold one of them, in both, are returned.
+    """
+    known_lead, known_part = np.zeros(len(lead), bool), np.zeros(len(part), bool)
+    found = _search(lead, part, known_lead, known_part)
+    found += [(a0, a1, b0, b1, like) for b0, b1, a0, a1, like in _search(part, lead, known_part, known_lead)]
+    found = _joined(lead, part, found)
+    if hits is not None:
+        found = [f for f in found if any(f[0] <= a <= f[1] and f[2] <= b <= f[3] for a, b in hits)]
     return found
 
 
@@ -351,21 +419,23 @@ def firm(lead: np.ndarray, part: np.ndarray, a0: int, a1: int, b0: int, b1: int)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
-    """Passages of the pairs (``lead``, ``doc``, ``hits``), a row for either document."""
+    """Passages of the pairs (``lead``, ``doc`` and the words between which they may lie), a row for either document."""
     kind = texts.schema[id_column].dataType.simpleString()
     members = _cut_members(pairs.join(texts.toDF("doc", "text"), "doc"))
-    joined = members.join(texts.toDF("lead", "text"), "lead").select("lead", "doc", "hits", "base", "part", "text")
+    joined = members.join(texts.toDF("lead", "text"), "lead").select("lead", "doc", "lead_low", "lead_high", "base", "part", "text")
 
     def verify(batches):
+        last, tokens = None, np.zeros(0, U64)
         for batch in batches:
-            rows, last, tokens = [], None, np.zeros(0, U64)
-            for lead, doc, hits, base, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows = []
+            for lead, doc, low, high, base, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (lead, text) != last:
                     last, tokens = (lead, text), _tokens(text)
-                places = [(h["lead_places"], h["place"] - base) for h in hits]
-                for a0, a1, b0, b1, like in verified(tokens, own := _tokens(part), places):
-                    whole = firm(tokens, own, a0, a1, b0, b1)
-                    one, other = (a0, a1 + RUN), (b0 + base, b1 + base + RUN)
+                low = max(0, low - AROUND)
+                some = tokens[low : max(0, high) + AROUND]
+                for a0, a1, b0, b1, like in verified(some, own := _tokens(part)):
+                    whole = firm(some, own, a0, a1, b0, b1)
+                    one, other = (a0 + low, a1 + low + RUN), (b0 + base, b1 + base + RUN)
                     rows.append((doc, *other, lead, *one, like, whole))
                     rows.append((lead, *one, doc, *other, like, whole))
             if rows:
@@ -377,13 +447,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
 
 
 def open_members(shared: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
-    """Members (``value``, ``doc``, ``place``, ``open``, ``size``) of the minima at which some member, ``open``, is in no firm passage ``found`` for it.
+    """Members (``value``, ``doc``, ``place``, ``stop``, ``open``, ``size``) of the signatures at which some member, ``open``, is in no firm passage ``found`` for it.
 
     The lead has met all others and is left out.
     """
     spans = found.where("firm").groupBy(F.col(f"`{id_column}`").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (F.col("place") + MATCH <= s["end_word"]))
-    members = shared.where("doc <> lead").join(spans, "doc", "left").select("value", "doc", "place", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (F.col("stop") <= s["end_word"]))
+    members = shared.where("doc <> lead").join(spans, "doc", "left").select("value", "doc", "place", "stop", (~F.coalesce(inside, F.lit(False))).alias("open"))
     sizes = members.groupBy("value").agg(F.count("*").alias("size"), F.max("open").alias("some"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     return settle(members.join(sizes.where("some AND low <> high").select("value", "size"), "value"))
 
@@ -491,7 +561,7 @@ def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], t
             if hopeful[k, other] and docs[other] != docs[k]:
                 pair = (look[other], look[k])
                 if pair not in judged:
-                    met = verified(tokens[other], tokens[k], [(at[other], at[k])])
+                    met = verified(tokens[other], tokens[k])
                     judged[pair] = bool(met), any(firm(tokens[other], tokens[k], *m[:4]) for m in met)
                 if judged[pair][1]:
                     best = other
@@ -529,11 +599,12 @@ def open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
                     other.append(low + b)
         column = table.column("doc")
         one, other = np.array(one, np.int64), np.array(other, np.int64)
-        places = np.array(places, np.int64)
+        places = np.array(places, np.int32)
         return pa.table({"lead": column.take(pa.array(one)), "doc": column.take(pa.array(other)), "lead_place": places[one], "place": places[other]})
 
-    met = rows.groupBy("task").applyInArrow(meet, f"lead {kind}, doc {kind}, lead_place long, place long")
-    return met.groupBy("lead", "doc").agg(F.collect_set(F.struct(F.array("lead_place").alias("lead_places"), "place")).alias("hits"))
+    met = rows.groupBy("task").applyInArrow(meet, f"lead {kind}, doc {kind}, lead_place int, place int")
+    ends = (F.min("lead_place").alias("lead_low"), (F.max("lead_place") + MATCH).alias("lead_high"), F.min("place").alias("low"), (F.max("place") + MATCH).alias("high"))
+    return met.groupBy("lead", "doc").agg(*ends)
 
 
 def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -160,3 +160,70 @@ def test_near_passages_at_the_threshold_are_found(spark, docs):
         sets = [{tuple(p[i : i + RUN]) for i in range(len(p) - RUN + 1)} for p in (passage, other)]
         assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
     assert {r.doc_id for r in repeated_passages(docs(rows)).collect()} == set(range(800))
+
+
+def test_signatures_group_stretches_that_share_all_minima():
+    from pacelane.llm.passages import signatures, token_hashes
+
+    rng = np.random.default_rng(9)
+    for length, least, functions, top in ((150, 10, 2, 10**9), (90, 14, 3, 8), (40, 40, 2, 10**6), (9, 12, 2, 50)):
+        tokens = rng.integers(1, top, length).astype(U64)
+        tokens[rng.integers(0, length, 2)] = 0
+        expected = set()
+        for i in range(length - least + 1):
+            if tokens[i : i + least].all():
+                expected.add(tuple(i + int(np.argmin(token_hashes(tokens, f)[i : i + least])) for f in range(functions)))
+        value, first, last = signatures(tokens, least, functions)
+        assert {(min(c), max(c)) for c in expected} == set(zip(first.tolist(), last.tolist()))
+        assert len(value) >= len(expected)
+
+
+def test_equal_stretches_agree_on_a_signature():
+    from pacelane.llm.passages import signatures
+
+    rng = np.random.default_rng(10)
+    for _ in range(50):
+        shared = rng.integers(1, 10**12, 14).astype(U64)
+        sides = [np.concatenate([rng.integers(1, 10**12, n).astype(U64), shared, rng.integers(1, 10**12, 30).astype(U64)]) for n in (5, 40)]
+        one, other = (set(signatures(s, 14)[0].tolist()) for s in sides)
+        assert one & other
+
+
+def test_repeated_lines_in_long_texts_take_time_in_proportion():
+    import time
+
+    rng = random.Random(40)
+    number = {}
+
+    def tokens(text):
+        return np.array([number.setdefault(tuple(text[k : k + RUN]), len(number) + 1) for k in range(len(text) - RUN + 1)]).astype(U64)
+
+    line, seconds = words(rng, 30), []
+    for total in (2_500, 20_000):
+        one, other = ([w for _ in range(total // 40) for w in line + words(rng, 10)] for _ in range(2))
+        passage = words(rng, 60)
+        one[990:990], other[1510:1510] = passage, passage
+        sides = tokens(one), tokens(other)
+        begin = time.perf_counter()
+        found = verified(*sides)
+        seconds.append(time.perf_counter() - begin)
+        assert [f for f in found if f[1] - f[0] >= 55 and f[0] <= 990 and f[1] >= 1045]
+    assert seconds[1] < 16 * max(seconds[0], 0.2) and seconds[1] < 30
+    # the line alone, over and over: one passage, not one for each pair of places
+    again = tokens(line * 600)
+    assert verified(again, again[: 30 * 400])[0][2:4] == (0, 30 * 400 - 1)
+
+
+def test_a_repeated_line_leads_to_the_place_its_surroundings_name():
+    rng = random.Random(41)
+    number = {}
+
+    def tokens(text):
+        return np.array([number.setdefault(tuple(text[k : k + RUN]), len(number) + 1) for k in range(len(text) - RUN + 1)]).astype(U64)
+
+    line = words(rng, 30)
+    tails = [words(rng, 30) for _ in range(40)]
+    one = [w for t in tails for w in line + t]
+    other = words(rng, 70) + line + tails[23][:12] + words(rng, 1) + tails[23][13:] + words(rng, 70)
+    found = verified(tokens(one), tokens(other))
+    assert len(found) == 1 and found[0][0] <= 23 * 60 and found[0][1] >= 23 * 60 + 50
