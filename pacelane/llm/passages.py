@@ -299,12 +299,41 @@ def _grown(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarra
     return tuple(ends), starts, stops
 
 
+def _within(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which values of ``one`` are in ``other``."""
+    ranked = np.sort(other)
+    return ranked[np.minimum(np.searchsorted(ranked, one), len(ranked) - 1)] == one
+
+
+def _once(tokens: np.ndarray) -> bool:
+    ranked = np.sort(tokens)
+    return not (ranked[1:] == ranked[:-1]).any()
+
+
+def _bound(shared: np.ndarray, a: int, run: int) -> float:
+    """The most that one side adds to the score of a passage that holds ``run`` shared tokens from ``a`` on: 0.1 for a shared token, -0.8
+    for a lost one; a similarity of 0.8 without repeated tokens needs a sum of 0 over both sides."""
+    sums = np.zeros(len(shared) + 1)
+    np.cumsum(np.where(shared, (1 - SIMILAR) / 2, -SIMILAR), out=sums[1:])
+    begins = np.arange(a + 1)
+    stop = np.maximum(a + run, begins + LEAST)
+    begins, stop = begins[stop < len(sums)], stop[stop < len(sums)]
+    if not len(begins):
+        return -np.inf
+    after = np.maximum.accumulate(sums[::-1])[::-1]
+    return float((after[stop] - sums[begins]).max())
+
+
 def _passage(lead: np.ndarray, part: np.ndarray, a: int, b: int, run: int) -> tuple[int, int, int, int, float] | None:
     """The passage around ``run`` equal tokens from places ``a`` and ``b`` on that reaches ``AROUND`` tokens farther at most on either end."""
     lead_from, part_from = max(0, a - AROUND), max(0, b - AROUND)
     one, other = lead[lead_from : a + run + AROUND], part[part_from : b + run + AROUND]
     a, b = a - lead_from, b - part_from
-    in_other, in_one = np.isin(one, other), np.isin(other, one)
+    if len(one) == run == len(other):
+        return (lead_from, lead_from + run - 1, part_from, part_from + run - 1, 1.0) if run >= LEAST else None
+    in_other, in_one = _within(one, other), _within(other, one)
+    if run < LEAST and in_other[a] and _bound(in_other, a, run) + _bound(in_one, b, run) < -1e-6 and _once(one) and _once(other):
+        return None
     grown, _, _ = _grown(one, other, a, b, np.concatenate([[0], np.cumsum(in_other)]))
     (first_one, last_one), (first_other, last_other) = _regions(in_other), _regions(in_one)
     a0, a1, b0, b1 = (int(x) for x in (first_one[a], last_one[a], first_other[b], last_other[b]))
@@ -340,7 +369,11 @@ def _search(lead: np.ndarray, part: np.ndarray, known_lead: np.ndarray, known: n
     order = np.argsort(codes, kind="stable")
     ranked = codes[order]
     low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
-    places = np.flatnonzero(high > low)
+    # of one word over and over the first and the last stretch stand for those between
+    same = own[1:] == own[:-1]
+    between = np.zeros(len(own), bool)
+    between[1:-1] = same[1:] & same[:-1]
+    places = np.flatnonzero((high > low) & ~between)
     if not len(places):
         return []
     # place of every token of ``part`` that ``lead`` has once, else -1
@@ -506,63 +539,67 @@ def _promising(shared: np.ndarray, centre: np.ndarray, size: np.ndarray) -> np.n
     return np.where(place[None, :] <= centre[:, None], best, -np.inf).max(axis=1)
 
 
-def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+class Surroundings:
+    """Tokens of a text part, the distinct ones, and the fewest of these that a passage in it may have."""
+
+    def __init__(self, text: str):
+        self.tokens = _tokens(text)
+        self.distinct = np.unique(self.tokens)
+        self.once = len(self.distinct) == len(self.tokens)
+        # a passage has as many distinct tokens as some stretch of its least length, and shares four of five
+        fewest = LEAST if self.once and len(self.tokens) >= LEAST else _fewest(self.tokens)
+        self.least = int(np.ceil(SIMILAR * fewest - 1e-9))
+
+
+def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], parts: list[Surroundings]) -> list[tuple[int, int]]:
     """For every open member of a cell the smallest other document's member (this, then the open one) that it has a passage with,
     if there is one a passage that begins and ends with shared tokens.
 
-    Members on different sides of a cell are compared, or all if there is one side.
+    Members on different sides of a cell are compared, or all if there is one side.  Equal surroundings are judged once.
     """
-    distinct = [np.unique(t) for t in tokens]
-    count = np.array([len(d) for d in distinct])
-    # a passage has as many distinct tokens as some stretch of its least length, and shares four of five
-    least = np.array([np.ceil(SIMILAR * _fewest(t) - 1e-9) for t in tokens])
-    owner = np.repeat(np.arange(len(tokens)), count)
-    _, token, often = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
-    common = often > 1
-    column = np.cumsum(common) - 1
-    use = common[token]
-    owner, column = owner[use], column[token[use]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((len(tokens), len(tokens)), np.float32)
-    for first in range(0, int(common.sum()), 4096):
-        part = slice(*np.searchsorted(column, [first, first + 4096]))
-        matrix = np.zeros((len(tokens), min(4096, int(common.sum()) - first)), np.float32)
-        matrix[owner[part], column[part] - first] = 1
-        both += matrix @ matrix.T
-    apart = side[:, None] != side[None, :] if (side != side[0]).any() else np.ones(both.shape, bool)
-    hopeful = apart & (both >= least[:, None]) & (both >= least[None, :])
-    # tokens of every member by column, for the bound of ``_promising``
-    held = np.zeros((len(tokens), int(common.sum()) + 1), bool)
-    held[owner, column] = True
-    held[:, -1] = False
-    places = np.full((len(tokens), max(map(len, tokens)) + 1), held.shape[1] - 1)
-    sorted_tokens, where = np.unique(np.concatenate(distinct)), np.cumsum(common) - 1
-    for k, t in enumerate(tokens):
-        index = np.searchsorted(sorted_tokens, t)
-        places[k, : len(t)] = np.where(common[index], where[index], held.shape[1] - 1)
-    size, once = np.array([len(t) for t in tokens]), count == np.array([len(t) for t in tokens])
+    known: dict = {}
+    look = [known.setdefault((id(p), place), len(known)) for p, place in zip(parts, at, strict=True)]
+    firsts = {k: m for m, k in reversed(list(enumerate(look)))}
+    kinds = [parts[firsts[k]] for k in range(len(known))]
+    centres = np.array([at[firsts[k]] for k in range(len(known))])
+    seeking = np.unique(np.array(look)[is_open])
+    row = {int(k): r for r, k in enumerate(seeking)}
+    # shared distinct tokens of the open kinds and all others
+    owner = np.repeat(np.arange(len(kinds)), [len(k.distinct) for k in kinds])
+    sorted_tokens, token, often = np.unique(np.concatenate([k.distinct for k in kinds]), return_inverse=True, return_counts=True)
+    held = np.zeros((len(kinds), len(sorted_tokens) + 1), bool)
+    held[owner, token] = True
+    use = np.flatnonzero(held[seeking, :-1].any(axis=0) & (often > 1))
+    both = np.zeros((len(seeking), len(kinds)), np.float32)
+    for first in range(0, len(use), 4096):
+        matrix = held[:, use[first : first + 4096]].astype(np.float32)
+        both += matrix[seeking] @ matrix.T
+    np.put_along_axis(both, seeking[:, None], np.array([len(kinds[k].distinct) for k in seeking], np.float32)[:, None], axis=1)
+    least = np.array([k.least for k in kinds])
+    hopeful = (both >= least[None, :]) & (both >= least[seeking][:, None])
+    places = np.full((len(kinds), max(len(k.tokens) for k in kinds) + 1), len(sorted_tokens))
+    for k, kind in enumerate(kinds):
+        places[k, : len(kind.tokens)] = np.searchsorted(sorted_tokens, kind.tokens)
+    size, once = np.array([len(k.tokens) for k in kinds]), np.array([k.once for k in kinds])
+    for r, k in enumerate(seeking):
+        some = np.flatnonzero(hopeful[r] & once) if once[k] else np.zeros(0, np.int64)
+        if len(some):
+            mine = _promising(held[some][:, places[k]], np.full(len(some), centres[k]), np.full(len(some), size[k]))
+            theirs = _promising(held[k][places[some]], centres[some], size[some])
+            hopeful[r, some] = mine + theirs >= -1e-6
+    sided = bool((side != side[0]).any())
     by_id = sorted(range(len(docs)), key=lambda k: docs[k])
-    # equal surroundings are judged once
-    looks = [(t.tobytes(), p) for t, p in zip(tokens, at, strict=True)]
-    known: dict = {look: k for k, look in enumerate(looks)}
-    look = [known[x] for x in looks]
     judged: dict[tuple[int, int], tuple[bool, bool]] = {}
     out = []
-    centres = np.array(at)
     for k in np.flatnonzero(is_open).tolist():
-        best = None
-        some = np.flatnonzero(hopeful[k] & once) if once[k] else np.zeros(0, np.int64)
-        if len(some):
-            mine = _promising(held[some][:, places[k]], np.full(len(some), at[k]), np.full(len(some), size[k]))
-            theirs = _promising(held[k][places[some]], centres[some], size[some])
-            hopeful[k, some] = mine + theirs >= -1e-6
+        best, mine = None, hopeful[row[look[k]]]
         for other in by_id:
-            if hopeful[k, other] and docs[other] != docs[k]:
+            if mine[look[other]] and docs[other] != docs[k] and not (sided and side[other] == side[k]):
                 pair = (look[other], look[k])
                 if pair not in judged:
-                    met = verified(tokens[other], tokens[k])
-                    judged[pair] = bool(met), any(firm(tokens[other], tokens[k], *m[:4]) for m in met)
+                    one, own = parts[other].tokens, parts[k].tokens
+                    met = verified(one, own)
+                    judged[pair] = bool(met), any(firm(one, own, *m[:4]) for m in met)
                 if judged[pair][1]:
                     best = other
                     break
@@ -591,10 +628,13 @@ def open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
         parts = table.column("part")
         cuts = np.flatnonzero(np.diff(cells)) + 1
         one, other = [], []
+        known: dict[str, Surroundings] = {}
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
             if high - low > 1 and is_open[low:high].any():
-                tokens = [_tokens(p.as_py()) for p in parts[low:high]]
-                for a, b in partners(docs[low:high], side[low:high], is_open[low:high], at[low:high], tokens):
+                if len(known) > 4 * BLOCK:
+                    known = {}
+                here = [known[t] if t in known else known.setdefault(t, Surroundings(t)) for t in (p.as_py() for p in parts[low:high])]
+                for a, b in partners(docs[low:high], side[low:high], is_open[low:high], at[low:high], here):
                     one.append(low + a)
                     other.append(low + b)
         column = table.column("doc")
