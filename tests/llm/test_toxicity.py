@@ -87,3 +87,30 @@ def test_windows_overlap_and_cover():
     for b, n in zip(begin, size):
         covered |= set(range(b, b + n))
     assert covered == set(range(1000))
+
+
+def test_every_window_is_scored_as_one_by_one():
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, n)) for n in (0, 1, 23, 24, 25, 60, 0, 5000, 30)]
+    data, offsets = text_bytes(pa.array(texts))
+    found = find_words(data, offsets, PUNCTUATION)
+    network = Network(np.unique(found.code)[:50], np.ones(50, bool))
+    network.shift = 0.25
+    vocabulary = Vocabulary(found, network.known)
+    vectors = network.inputs(vocabulary, network.tables)
+    best = []
+    for k, n in enumerate(np.diff(found.first)):
+        begin = found.first[k] + np.arange(max(1, n - toxicity.WINDOW + 1) if n else 0)
+        index, mask = window_words(vocabulary.of, begin, np.full(len(begin), min(n, toxicity.WINDOW)))
+        best.append(float(network.logits(vectors, index, mask).max()) + 0.25 if n else -np.inf)
+    assert np.allclose(network.text_logits(data, offsets), best, atol=1e-4)
+
+
+def test_words_before_a_text_never_lower_its_score():
+    rows = corpus(random.Random(6), 120)
+    network = train([t for _, t, _ in rows], [y for _, _, y in rows])
+    texts = [t for _, t, _ in rows if len(t.split()) >= toxicity.WINDOW]
+    plain_scores = network.text_logits(*text_bytes(pa.array(texts)))
+    for n in (1, 8, 15):
+        moved = network.text_logits(*text_bytes(pa.array([" ".join(words(random.Random(n), n)) + " " + t for t in texts])))
+        assert (moved >= plain_scores - 1e-4).all()
