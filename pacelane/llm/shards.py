@@ -6,8 +6,9 @@ by Fisher and Yates with a generator seeded by the bucket.  The buckets one afte
 rows; its position ``p`` gives shard ``p mod n`` and slot ``p div n``, so shard counts differ by one at most and slots
 have no gaps (law ``rows``).
 
-Equal texts with different ids are dealt independently.  Rows that agree in id and text share a bucket and are
-interchangeable.  Null ids and null texts hash as such; a null text has size 8.  The result depends on the rows, the
+Equal texts with different ids are dealt independently.  Rows that agree in id and text are interchangeable; they share a
+bucket unless they overfill it.  Then they are numbered, group by group of ``GROUP`` rows, and each goes its own way
+by its number.  Null ids and null texts hash as such; a null text has size 8.  The result depends on the rows, the
 seed, the bucket size and the shard count, not on the cluster.  An empty table has no rows in any shard.
 """
 
@@ -16,13 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacelane.llm.frames import ship_package
+from pacelane.llm.frames import settle, ship_package
 
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1_000_000
+GROUP_BITS = 12
+GROUP = 1 << GROUP_BITS
 OVERHEAD = 8
 """Bytes that a row counts besides its text."""
 
@@ -41,6 +44,18 @@ def fisher_yates(count: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__copy``, 0 to n - 1 among the n rows of a ``__ticket``; no task sees more than ``GROUP`` of them at once."""
+    placed = settle(rows).withColumn("__place", F.monotonically_increasing_id())
+    placed = placed.withColumn("__group", F.shiftright("__place", GROUP_BITS))
+    sizes = placed.groupBy("__ticket", "__group").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy("__ticket").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__ticket", "__group", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__ticket", "__group").orderBy("__place")
+    numbered = placed.join(starts, ["__ticket", "__group"]).withColumn("__copy", F.col("__start") + F.row_number().over(within) - 1)
+    return numbered.drop("__place", "__group", "__start")
+
+
 def shuffled(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``df`` with ``shard`` and ``slot``; columns of these names are replaced, all others stay."""
     ship_package(df.sparkSession)
@@ -48,8 +63,20 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCK
     total = rows.agg(F.sum(row_size(text_column))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_bytes)))
     ticket = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
-    dealt = rows.withColumn("__ticket", ticket).withColumn("__bucket", F.pmod("__ticket", F.lit(buckets)).cast("int"))
-    counts = dict(map(tuple, dealt.groupBy("__bucket").count().collect()))  # one row per bucket
+    bucket = F.pmod("__ticket", F.lit(buckets)).cast("int").alias("__bucket")
+    dealt = rows.withColumn("__ticket", ticket).select("*", bucket)
+    found = dealt.groupBy("__bucket").agg(F.count(F.lit(1)), F.sum(row_size(text_column))).collect()  # one row per bucket
+    counts = {b: n for b, n, _ in found}
+    full = [b for b, n, size in found if n > 1 and size > 2 * bucket_bytes]
+    if full:
+        inside = dealt.where(F.col("__bucket").isin(full)).groupBy("__ticket").agg(F.count(F.lit(1)).alias("n"), F.sum(row_size(text_column)).alias("size"))
+        heavy = inside.where((F.col("n") > 1) & (F.col("size") > bucket_bytes)).select("__ticket")  # fewer than there are buckets
+        if not heavy.isEmpty():
+            heavy = F.broadcast(settle(heavy))
+            copies = numbered_copies(dealt.join(heavy, "__ticket", "left_semi").drop("__bucket"))
+            copies = copies.withColumn("__ticket", F.xxhash64("__ticket", "__copy")).drop("__copy").select("*", bucket)
+            dealt = dealt.join(heavy, "__ticket", "left_anti").unionByName(copies).select(*dealt.columns)
+            counts = dict(map(tuple, dealt.groupBy("__bucket").count().collect()))
     starts, at = {}, 0
     for bucket in sorted(counts):
         starts[bucket] = at
@@ -58,12 +85,12 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCK
     place = rows.columns.index(id_column)
 
     def shuffle(table: pa.Table) -> pa.Table:
-        bucket = table.column("__bucket")[0].as_py()
+        number = table.column("__bucket")[0].as_py()
         first = pa.table({"ticket": table.column("__ticket"), "id": table.column(place)})
         fixed = pc.sort_indices(first, sort_keys=[("ticket", "ascending"), ("id", "ascending")])
-        order = fisher_yates(len(table), np.random.default_rng([seed, bucket]))
+        order = fisher_yates(len(table), np.random.default_rng([seed, number]))
         out = table.drop_columns(["__ticket", "__bucket"]).take(fixed.take(pa.array(order)))
-        position = offsets[bucket] + np.arange(len(out))
+        position = offsets[number] + np.arange(len(out))
         return out.append_column("shard", pa.array((position % shards).astype(np.int32))).append_column("slot", pa.array(position // shards))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

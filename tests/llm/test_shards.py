@@ -3,8 +3,9 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from pacelane.llm import shards
 from pacelane.llm.queries import op5
-from pacelane.llm.shards import fisher_yates, shuffled, write_shards
+from pacelane.llm.shards import fisher_yates, numbered_copies, shuffled, write_shards
 
 
 def rows_of(frame):
@@ -58,3 +59,19 @@ def test_empty_table_and_query(spark, docs):
 
     rows = {r.doc_id: r for r in op5(Fixture).collect()}
     assert rows[1]["size"] == 10 and rows[2]["size"] == 8 and rows[2].text_crc32 == 0 and rows[1].law == "rows"
+
+
+def test_many_equal_rows_are_dealt_over_the_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(shards, "GROUP_BITS", 4)
+    rows = [(1, "again and again")] * 700 + [(k, f"text {k}") for k in range(300)] + [(None, None)] * 200
+    counts = []
+    for frame in (docs(rows), docs(rows).repartition(7)):
+        got = rows_of(shuffled(frame, 3, seed=2, bucket_bytes=1000))
+        assert Counter((i, t) for i, t, _, _ in got) == Counter(rows)
+        assert sorted((p, s) for _, _, s, p in got) == sorted((k // 3, k % 3) for k in range(len(rows)))
+        places = sorted(p * 3 + s for i, _, s, p in got if i == 1)
+        assert np.histogram(places, 6, (0, len(rows)))[0].min() > 10  # one bucket would hold them side by side, in five parts at most
+        counts.append(sorted(got, key=str))
+    assert counts[0] == counts[1]
+    plan_rows = numbered_copies(docs(rows).withColumn("__ticket", F.xxhash64("doc_id"))).groupBy("__ticket").agg(F.count("*"), F.countDistinct("__copy"), F.max("__copy"))
+    assert all(n == distinct == most + 1 for _, n, distinct, most in plan_rows.collect())
