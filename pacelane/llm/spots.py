@@ -95,11 +95,30 @@ def alike_groups(df: DataFrame, threshold: float = 0.8, id_column: str = "doc_id
     return found.unionByName(bare).withColumnRenamed("id", id_column)
 
 
+def id_ranges(rows: DataFrame, count: int, low: int, high: int, per: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """``rows`` with ``__chunk``, the number of an id range of at most ``2 * per`` rows (or of one id); number, least and greatest id and rows of each.
+
+    A range that holds more is cut again, into even parts of its own span, so a few far ids cost a pass over the ids and not a full range.
+    """
+    rows, found = rows.withColumn("__chunk", F.lit(low).cast("long")), [(low, low, high, count)]
+    while full := [(chunk, least, min(1 << 62, max(1, (top - least + 1) * per // n))) for chunk, least, top, n in found if n > 2 * per and top > least]:
+        cut = lambda least, width: F.greatest(least, F.try_subtract("doc_id", F.pmod("doc_id", width)))
+        if len(found) == 1:
+            rows = rows.withColumn("__chunk", cut(*[F.lit(x).cast("long") for x in full[0][1:]]))
+        else:
+            again = F.broadcast(rows.sparkSession.createDataFrame(full, "__chunk long, __least long, __width long"))
+            part = F.when(F.col("__width").isNull(), F.col("__chunk")).otherwise(cut(F.col("__least"), F.col("__width")))
+            rows = rows.join(again, "__chunk", "left").withColumn("__chunk", part).drop("__least", "__width")
+        ranges = rows.groupBy("__chunk").agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)))
+        found = sorted(map(tuple, ranges.collect()))  # one row per range
+    return rows, found
+
+
 def beside_next(df: DataFrame, columns: dict[str, Column], out: dict[str, str]) -> DataFrame:
     """``doc_id``, ``text``, ``columns`` and, of the next document by falling id, the columns named in ``out`` (old: new name).
 
-    After the last document comes the first.  The ids are cut into ranges of about ``CHUNK`` rows (more where ids are very
-    uneven, or if there would be more than ``MOST_CHUNKS`` ranges); each range is ordered in one task and gets a copy of
+    After the last document comes the first.  The ids are cut into ranges of about ``CHUNK`` rows, however unevenly they lie (of more
+    rows if there would be more than ``MOST_CHUNKS`` ranges); each range is ordered in one task and gets a copy of
     the next range's first row.  Rows that share an id follow each other by a hash of their text.  A row with a null id is
     no one's next and has none (nulls).
     """
@@ -110,9 +129,8 @@ def beside_next(df: DataFrame, columns: dict[str, Column], out: dict[str, str])
     if not count:
         return bare
     per = max(CHUNK, -(-count // MOST_CHUNKS))
-    width = max(1, (high - low + 1) * per // count)
-    rows = rows.where("doc_id IS NOT NULL").withColumn("__chunk", F.expr(f"(doc_id - {low}L) div {width}L"))
-    tops = sorted(map(tuple, rows.groupBy("__chunk").agg(F.max("doc_id")).collect()))  # one row per range
+    rows, found = id_ranges(rows.where("doc_id IS NOT NULL"), count, low, high, per)
+    tops = [(chunk, top) for chunk, _, top, _ in found]
     asked = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
     copies = F.broadcast(df.sparkSession.createDataFrame(asked, "__top long, __to long"))
     places = F.array_compact(F.array(F.struct(F.col("__chunk").alias("chunk"), F.lit(False).alias("copy")), F.when(F.col("__to").isNotNull(), F.struct(F.col("__to").alias("chunk"), F.lit(True).alias("copy")))))

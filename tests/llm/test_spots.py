@@ -107,3 +107,16 @@ def test_groups_match_all_pairs(spark, docs):
                 if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] > group[b]:
                     group[a], changed = group[b], True
     assert {r.doc_id: r.component for r in alike_groups(docs(rows)).collect()} == group
+
+
+def test_far_ids_do_not_fill_a_range(spark, docs, monkeypatch):
+    monkeypatch.setattr(spots, "CHUNK", 64)
+    ids = [*range(0, 3000, 3), 10**9, *range(10**15, 10**15 + 500), -(1 << 63), (1 << 63) - 1, 7, 7, 7]
+    rows = docs([(i, f"text {i}") for i in ids])
+    cut, found = spots.id_ranges(rows.select("doc_id", "text"), len(ids), min(ids), max(ids), 64)
+    assert max(n for *_, n in found) <= 128 and sum(n for *_, n in found) == len(ids)
+    assert all(a[2] < b[1] for a, b in zip(found, found[1:]))
+    order = sorted(set(ids), reverse=True)
+    later = dict(zip(order, order[1:] + order[:1]))
+    got = {(r.doc_id, r.later) for r in beside_next(rows.select("doc_id", "text"), {}, {"doc_id": "later"}).collect()}
+    assert got == {(i, later[i]) for i in order} | {(7, 7)}
