@@ -69,7 +69,7 @@ def candidates(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str =
     asked = spark.createDataFrame(clauses, "kind string, clause int, trigram string, size int")
     index = postings(df, sorted({t for _, _, t, _ in clauses}), id_column, text_column)
     lists = index.join(F.broadcast(asked), "trigram").groupBy("kind", "clause", "block", "size").agg(F.collect_list("numbers").alias("lists"))
-    shared = F.aggregate(F.slice("lists", 2, 1_000), F.element_at("lists", 1), lambda all_of, one: F.array_intersect(all_of, one))
+    shared = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.element_at("lists", 1), lambda all_of, one: F.array_intersect(all_of, one))
     found = lists.where(F.size("lists") == F.col("size")).select("kind", F.explode(shared).alias("number"))
     return found.groupBy("number").agg(F.collect_set("kind").alias("kinds"))
 
