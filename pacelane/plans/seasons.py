@@ -103,7 +103,7 @@ def season_page(tb):
        FROM g GROUP BY 1, 2""",
 )
 def merge_alias_rows(tb):
-    df = season.merge_alias_rows(tb.alias_rows, tb.alias_map, "shots", ["games_played", "attempts", "fg_percentage"])
+    df = season.merge_alias_rows(tb.alias_rows, tb.alias_map, ["games_played", "attempts", "fg_percentage"])
     return rounded(rounded(df, "games_played", "fg_percentage"), "attempts", digits=4)
 
 

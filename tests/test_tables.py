@@ -86,12 +86,21 @@ def test_period_clock(spark):
     assert got == [(0, 720 * s), (2880 * s, 4200 * s), (None, None), (3170 * s, 4810 * s)]
 
 
+# Columns of provider tables, as far as rates need them.
+SHOTS = "attempts two_attempts three_attempts ft_attempts fouled_fg_attempts corner_three_attempts catch_two_attempts rim_attempts".split()
+DRIVES = "total_drives fga_in_drive turnovers".split()
+PICKS = [f"{role}_{name}" for role in ("handler", "screener") for name in "total_picks fga_in_pick picks_vs_drop picks_vs_blitz_high picks_at_elbow score_2pt_vs_drop miss_2pt_vs_drop score_2pt_at_rim miss_2pt_at_rim".split()]
+
+
 def test_weighted_merge_refuses_unknown_weights():
-    assert season.rate_weights("shots", "catch_two_fg_percentage") == ["catch_two_attempts"]
-    assert season.rate_weights("shots", "three_pt_percentage") == ["three_attempts"]
-    assert season.rate_weights("picks", "handler_ppp_vs_drop") == ["handler_picks_vs_drop"]
-    assert season.rate_weights("picks", "screener_fg2_pct_at_rim") == ["screener_score_2pt_at_rim", "screener_miss_2pt_at_rim"]
-    assert season.rate_weights("drives", "blowby_rate") == ["total_drives"] and season.rate_weights("shots", "odd_rate") == []
+    assert season.rate_weights("catch_two_fg_percentage", SHOTS) == ["catch_two_attempts"]
+    assert season.rate_weights("three_pt_percentage", SHOTS) == ["three_attempts"]
+    assert season.rate_weights("handler_ppp_vs_drop", PICKS) == ["handler_picks_vs_drop"]
+    assert season.rate_weights("screener_fg2_pct_at_rim", PICKS) == ["screener_score_2pt_at_rim", "screener_miss_2pt_at_rim"]
+    assert season.rate_weights("blowby_rate", DRIVES) == ["total_drives"] and season.rate_weights("odd_rate", SHOTS) == []
+    # a rate of a part is never weighted by the whole, nor by half of a sum
+    assert season.rate_weights("wing_fg_percentage", SHOTS) == [] and season.rate_weights("handler_ppp_vs_ice", PICKS) == []
+    assert season.rate_weights("handler_fg2_pct_vs_drop", [c for c in PICKS if "miss" not in c]) == []
 
 
 def test_unknown_family_is_refused(spark):
@@ -226,12 +235,17 @@ def test_exported_times_keep_their_fraction(spark):
 def test_counts_behind_rates():
     from pacelane.operators.season import is_rate, rate_weights
 
+    tables = {"shots": SHOTS, "drives": DRIVES, "picks": PICKS}
     expected = {
         ("shots", "fg_percentage"): ["attempts"],
         ("shots", "corner_three_fg_percentage"): ["corner_three_attempts"],
         ("shots", "rim_efg_percentage"): ["rim_attempts"],
         ("shots", "fouled_fg_percentage"): ["fouled_fg_attempts"],
         ("shots", "three_attempt_rate"): ["attempts"],
+        ("shots", "ft_percentage"): ["ft_attempts"],
+        ("shots", "three_pa_rate"): ["attempts"],
+        ("shots", "avg_attempts_distance"): ["attempts"],
+        ("shots", "points_per_shot"): ["attempts"],
         ("shots", "attempts"): [],
         ("drives", "turnover_rate"): ["total_drives"],
         ("drives", "points_per_shot_in_drive"): ["fga_in_drive"],
@@ -243,7 +257,7 @@ def test_counts_behind_rates():
         ("picks", "handler_rate_left"): ["handler_total_picks"],
         ("picks", "handler_picks"): [],
     }
-    assert {k: rate_weights(*k) for k in expected} == expected
+    assert {(t, c): rate_weights(c, tables[t]) for t, c in expected} == expected
     assert is_rate("three_pa_rate") and is_rate("avg_speed") and not is_rate("operations") and not is_rate("attempts")
 
 
