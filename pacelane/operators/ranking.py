@@ -27,6 +27,9 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     cuts = F.percentile_approx("value", [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("__cuts")
     ends = counts.groupBy(*keys).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.sum("n").alias("valid_n"), cuts)
+    # Approximate cuts depend on the order in which partial results meet, and the plan reads them twice (chunk sums and rows):
+    # they are written once, so both readings place a value in the same cell.
+    ends = settle(ends)
     joined = ordered.attach(counts, ends, keys, "value") if keys else counts.join(F.broadcast(ends))  # one row
     # The cuts hold about as many distinct values each, wherever outliers lie; inside a cut values go on an even grid.
     joined = joined.withColumn("__cut", F.size(F.filter("__cuts", lambda c: c <= F.col("value"))))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pacelane.operators import ordered
@@ -109,3 +110,14 @@ def test_chunks_of_a_long_tail_are_even(spark, monkeypatch):
     ranking.distribution(spark.range(60_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, F.lit(1e12)).otherwise(F.col("id") / 7.0).alias("v")), ["k"], "v")
     sizes = [r["count"] for r in ordered.with_chunk(seen["df"], "__place", seen["chunk"]).groupBy(ordered.CHUNK).count().collect()]
     assert max(sizes) <= 60_000 / 8
+
+
+def test_cuts_are_computed_once(spark):
+    from pacelane.operators import ranking
+
+    # Approximate percentiles may differ from one reading of the plan to the next; chunk sums and rows must see the same cuts.
+    df = spark.range(0, 30_000, 1, 32).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 30_011 / 7.0).alias("v"))
+    found = ranking.distribution(df, ["k"], "v")
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    want = F.row_number().over(Window.partitionBy("k").orderBy("value"))
+    assert found.withColumn("want", want).filter("at_or_below <> want").count() == 0
