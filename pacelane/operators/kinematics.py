@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pacelane.functions.scalar import SPHERE_RADIUS_M, haversine_m, seconds
+from pacelane.functions.scalar import SPHERE_RADIUS_M, haversine_m, is_finite, seconds
 from pacelane.operators import ordered
 from pacelane.session import settle
 
@@ -371,9 +371,12 @@ def rolling_peak(
 
     Distances inside a window are differences of a running sum that may start
     anywhere, so each chunk (plus one window of earlier rows) sums on its own.
+    Sums are exact decimals (15 digits after the point, steps below 1e13 m): as
+    doubles, equal windows in different chunks would differ by rounding.
     """
     t = order[0]
-    narrow = settle(series.select(*keys, *order, step, *([sample_index] if sample_index not in order else [])))
+    exact = F.when(is_finite(step), F.col(step)).cast("decimal(28,15)").alias(step)
+    narrow = settle(series.select(*keys, *order, exact, *([sample_index] if sample_index not in order else [])))
     begins = narrow.groupBy(*keys).agg(F.min(t).alias("__t0"))
     out = None
     for window_s in windows_s:
@@ -388,7 +391,7 @@ def rolling_peak(
         moved = ordered.trailing(narrow, keys, t, covered, inside, span=span, chunk=chunk, tie=order[1:])
         full = ordered.attach(moved, begins, keys, t).filter((F.col(t) - F.col("__t0") >= span) & (F.col(t) > F.col("__t0")))
         best = full.groupBy(*keys).agg(
-            F.max_by(F.struct(F.col("__covered").alias("d"), F.col(sample_index).alias("i"), F.col(t).alias("t")), F.struct(F.col("__covered"), -F.col(t))).alias("__best")
+            F.max_by(F.struct(F.col("__covered").cast("double").alias("d"), F.col(sample_index).alias("i"), F.col(t).alias("t")), F.struct(F.col("__covered"), -F.col(t))).alias("__best")
         )
         rows = best.select(
             *keys,

@@ -110,6 +110,15 @@ def test_rolling_peak_is_a_window_maximum(spark, steps):
     assert sums[got.end_sample_index] == pytest.approx(sums[best])
 
 
+def test_equal_windows_in_two_chunks_go_to_the_earliest(spark):
+    # The windows ending at 6 and 7 hold the same steps; 7 opens a chunk, whose running sum starts at another row.
+    steps = [0.0, 0.6, 0.0, 6.9, 6.4, 3.5, 5.8, 0.0, 0.0, 0.0]
+    rows = [("a", i, i * 100 * MS, s) for i, s in enumerate(steps)]
+    df = spark.createDataFrame(rows, "e string, sample_index bigint, t bigint, step_m double")
+    got = kin.rolling_peak(df, ["e"], ["t"], [0.5], chunk=700 * MS).first()
+    assert (got.end_sample_index, got.peak_distance_m) == (6, 22.6)
+
+
 def test_cumulative_trapezoid_is_exact_for_a_line(spark):
     df = spark.createDataFrame([("a", i * MS, 3.0 * i) for i in range(50)], "e string, t bigint, v double")
     got = kin.cumulative_trapezoid(df, ["e"], ["t"], "v", "area", chunk=9 * MS).orderBy("t").collect()
