@@ -153,3 +153,28 @@ def test_sample_frames_matches_a_plain_walk(spark, chunk, fan_in):
             last = t
     got = sorted(r.t for r in seg.sample_frames(df, ["s"], "t", 30, chunk=chunk, fan_in=fan_in).collect())
     assert got == want
+
+
+def test_grouped_kernels_take_many_groups_of_a_task(spark):
+    # Groups reach over Arrow batches, keys may be null, and no group has an Arrow stream of its own.
+    from pyspark.sql import types as T
+
+    from pacelane.operators.grouped import apply_grouped, sorted_columns
+
+    data = [(k, part, i) for k in ("a", "b", None) for part in (None, 0, 1) for i in range(7)] + [("z", 5, i) for i in range(25)]
+    df = spark.createDataFrame(data, "k string, part int, i long").repartition(3)
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("many", T.LongType()), T.StructField("seen", T.ArrayType(T.LongType()))])
+
+    def kernel(key, table):
+        (i,) = sorted_columns(table, "i")
+        return {"k": [key[0]], "part": [key[1]], "many": [len(i)], "seen": [i.tolist()]}
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = apply_grouped(df, ["k", "part"], kernel, schema)
+        got = {(r.k, r.part): (r.many, r.seen) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(k, p): (7, list(range(7))) for k in ("a", "b", None) for p in (None, 0, 1)} | {("z", 5): (25, list(range(25)))}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
