@@ -1,11 +1,13 @@
 """Incremental validation of live streams with keyed state.
 
-The samples of a stream are cut into chunks of their index.  Every chunk has a state of its own (``transformWithState``): rows
-seen, failed rows of every check, least and greatest value of columns that must hold one value, first and last sample, and
-order violations.  So a stream that sends most of the rows works in many tasks, and the state of a chunk is one small row.
-
-After each micro-batch the chunks it touched report their state; ``finish`` reads the last report of each, compares the edges
-of neighbouring chunks and returns the rows that ``quality.validate`` gives for the same samples at once.  How the
+The samples of a stream are cut into chunks of their index, and neighbouring chunks are gathered in lots of at most ``WIDTH``
+indices (or one chunk).  Every lot has a state of its own (``transformWithState``): rows seen, failed rows of every check, least and
+greatest value of columns that must hold one value, and for each chunk its first and last sample and order violations.  So a
+stream that sends most of the rows works in many tasks, the state of a lot is one small row, and narrow chunks do not cost a
+state each.
+
+After each micro-batch the lots it touched report their state; ``finish`` reads the last report of each, compares the edges
+of neighbouring lots and returns the rows that ``quality.validate`` gives for the same samples at once.  How the
 samples were split into micro-batches, and restarts from the checkpoint, change nothing.  A sample that arrives after a
 later one of its chunk counts as an order violation, as it would for a reader of the stream.
 """
@@ -35,6 +37,8 @@ PIECE = """rows bigint, failed array<bigint>, low array<string>, high array<stri
 
 
 FIELDS = [c.split()[0] for c in PIECE.replace("\n", " ").split(", ")]
+EDGES = ("first_index", "first_t", "last_index", "last_t", "indexed", "late_index", "late_t")
+STATE = f"rows bigint, failed array<bigint>, low array<string>, high array<string>, chunks array<bigint>, {', '.join(f'{c} array<bigint>' for c in EDGES)}"
 PART = "seen bigint, failed array<bigint>, low array<string>, high array<string>, indices binary, times binary, timed binary"
 
 
@@ -44,7 +48,7 @@ def _edge(pick, values: tuple):
 
 
 def _pack(batches: Iterator[pa.RecordBatch], checks: int) -> Iterator[pa.RecordBatch]:
-    """Samples of a task as one row for each stream and chunk: counts, extremes, and the indices and times as arrays."""
+    """Samples of a task as one row for each stream and lot: counts, extremes, and the indices and times as arrays."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,14 +82,49 @@ def _names(contract: StreamContract, columns: list[str]) -> tuple[dict, dict]:
     return tuple({n: v for n, v in d.items() if not n.endswith(":stream_id")} for d in (checks, single))
 
 
+def _tally(edges: dict[int, list], index: np.ndarray, t: np.ndarray, timed: np.ndarray, width: int, strict: bool) -> None:
+    """Take samples into the edges and order violations of their chunks (``EDGES``), each chunk after what it had before."""
+    order = np.lexsort((np.where(timed, t, 0), index))
+    index, t, timed = index[order], t[order], timed[order]
+    chunk = index // width
+    starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+    ends = np.r_[starts[1:], len(chunk)]
+    # The sample before each one: its neighbour, or at a chunk's start the last one of the chunk so far.
+    had = [edges.get(c) for c in chunk[starts].tolist()]
+    known, of_index, of_t, of_timed = np.ones(len(index), dtype=bool), np.r_[0, index[:-1]], np.r_[0, t[:-1]], np.r_[False, timed[:-1]]
+    known[starts] = [e is not None for e in had]
+    of_index[starts] = [0 if e is None else e[2] for e in had]
+    of_t[starts] = [0 if e is None or e[3] is None else e[3] for e in had]
+    of_timed[starts] = [e is not None and e[3] is not None for e in had]
+    late_index = np.add.reduceat(known & (index <= of_index), starts, dtype=np.int64)
+    late_t = np.add.reduceat(timed & of_timed & (t <= of_t if strict else t < of_t), starts, dtype=np.int64)
+    sample = lambda k: [int(index[k]), int(t[k]) if timed[k] else None]
+    for c, old, start, end, i, at in zip(chunk[starts].tolist(), had, starts.tolist(), ends.tolist(), late_index.tolist(), late_t.tolist(), strict=True):
+        first = old[:2] if old and old[0] <= index[start] else sample(start)
+        so_far = old[4:] if old else [0, 0, 0]
+        edges[c] = [*first, *sample(end - 1), so_far[0] + end - start, so_far[1] + i, so_far[2] + at]
+
+
+def _lot(edges: dict[int, list], strict: bool) -> tuple:
+    """The edges of a lot as those of one long chunk: neighbouring chunks are compared here."""
+    if not edges:
+        return None, None, None, None, 0, 0, 0
+    ranked = [edges[c] for c in sorted(edges)]
+    indexed, late_index, late_t = (sum(e[k] for e in ranked) for k in (4, 5, 6))
+    for a, b in zip(ranked, ranked[1:]):
+        late_index += b[0] <= a[2]
+        late_t += a[3] is not None and b[1] is not None and (b[1] <= a[3] if strict else b[1] < a[3])
+    return *ranked[0][:2], *ranked[-1][2:4], indexed, late_index, late_t
+
+
 class Tally(StatefulProcessor):
-    """State of one chunk of one stream; reports it whenever samples arrive."""
+    """State of one lot of one stream; reports it whenever samples arrive."""
 
-    def __init__(self, strict: bool):
-        self.strict = strict
+    def __init__(self, strict: bool, width: int):
+        self.strict, self.width = strict, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.piece = handle.getValueState("piece", PIECE)
+        self.piece = handle.getValueState("piece", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = pd.concat(list(rows), ignore_index=True)
@@ -94,32 +133,22 @@ class Tally(StatefulProcessor):
         low, high = ([_edge(f, values) for values in zip(*parts[c], *([old[k]] if old else []), strict=True)] for f, c, k in ((min, "low", 2), (max, "high", 3)))
         index, t = (np.concatenate([np.frombuffer(p, np.int64) for p in parts[c]]) for c in ("indices", "times"))
         timed = np.concatenate([np.frombuffer(p, bool) for p in parts["timed"]])
-        first, last = (list(old[4:6]), list(old[6:8])) if old else ([None, None], [None, None])
-        indexed, late_index, late_t = old[8:11] if old else (0, 0, 0)
+        edges = {c: list(e) for c, *e in zip(*old[4:], strict=True)} if old else {}
         if len(index):
-            order = np.lexsort((np.where(timed, t, 0), index))
-            index, t, timed = index[order], t[order], timed[order]
-            if first[0] is None or index[0] < first[0]:
-                first = [int(index[0]), int(t[0]) if timed[0] else None]
-            if last[0] is not None:  # the sample before these
-                index, t, timed = np.r_[last[0], index], np.r_[0 if last[1] is None else last[1], t], np.r_[last[1] is not None, timed]
-            both = timed[1:] & timed[:-1]
-            indexed += len(order)
-            late_index += int((index[1:] <= index[:-1]).sum())
-            late_t += int((both & (t[1:] <= t[:-1] if self.strict else t[1:] < t[:-1])).sum())
-            last = [int(index[-1]), int(t[-1]) if timed[-1] else None]
-        piece = ((old[0] if old else 0) + int(parts["seen"].sum()), failed, low, high, *first, *last, indexed, late_index, late_t)
-        self.piece.update(piece)
-        yield pd.DataFrame([(*key, *piece)], columns=["stream_id", "chunk", *FIELDS]).astype({c: "Int64" for c in FIELDS if c not in ("failed", "low", "high")})
+            _tally(edges, index, t, timed, self.width, self.strict)
+        head = ((old[0] if old else 0) + int(parts["seen"].sum()), failed, low, high)
+        self.piece.update((*head, list(edges), *([e[k] for e in edges.values()] for k in range(len(EDGES)))))
+        row = (*key, *head, *_lot(edges, self.strict))
+        yield pd.DataFrame([row], columns=["stream_id", "chunk", *FIELDS]).astype({c: "Int64" for c in FIELDS if c not in ("failed", "low", "high")})
 
     def close(self) -> None:
         pass
 
 
 def pieces(stream: DataFrame, contract: StreamContract, *, width: int = WIDTH) -> DataFrame:
-    """Reports of a stream's chunks, as a stream: the state of each chunk that a micro-batch touched.
+    """Reports of a stream's lots, as a stream: the state of each lot that a micro-batch touched.
 
-    Checks are column expressions, one bit for each that a sample fails.  Samples are packed before they are shuffled to their chunk's state.
+    Checks are column expressions, one bit for each that a sample fails.  Samples are packed before they are shuffled to their lot's state.
     """
     spark = stream.sparkSession
     ship_package(spark)
@@ -132,7 +161,7 @@ def pieces(stream: DataFrame, contract: StreamContract, *, width: int = WIDTH) -
     zero = F.lit(0).cast("bigint")
     if contract.dense:
         index, t = F.col("sample_index"), F.col("t_rel_ns")
-        chunk = F.coalesce(ordered.chunk_number("sample_index", width), F.lit(ordered.NOWHERE))
+        chunk = F.coalesce(ordered.chunk_number("sample_index", width * max(1, WIDTH // width)), F.lit(ordered.NOWHERE))
     else:
         index, t, chunk = [F.lit(None).cast("bigint")] * 2 + [F.pmod(F.xxhash64(*values), F.lit(ordered.SALTS).cast("bigint"))]
     columns = [chunk, failed, F.coalesce(index, zero), index.isNotNull(), F.coalesce(t, zero), t.isNotNull(), *values]
@@ -140,7 +169,7 @@ def pieces(stream: DataFrame, contract: StreamContract, *, width: int = WIDTH) -
     kind = f"stream_id {stream.schema['stream_id'].dataType.simpleString()}, chunk bigint"
     many = len(checks)
     packed = rows.mapInArrow(lambda batches: _pack(batches, many), f"{kind}, {PART}")
-    return packed.groupBy("stream_id", "chunk").transformWithStateInPandas(Tally(contract.strict_time), f"{kind}, {PIECE}", "append", "none")
+    return packed.groupBy("stream_id", "chunk").transformWithStateInPandas(Tally(contract.strict_time, width), f"{kind}, {PIECE}", "append", "none")
 
 
 def finish(reports: DataFrame, contract: StreamContract, columns: list[str], *, width: int = WIDTH) -> DataFrame:

@@ -94,3 +94,13 @@ def test_events_without_a_time_axis(spark, tmp_path):
     write(spark, str(tmp_path / "in"), rows, "a")
     found = validator.validate_live(live(spark, str(tmp_path / "in")), contract("event"), str(tmp_path / "work"))
     assert violations(found) == violations(quality.validate(spark.createDataFrame(rows, KIND), contract("event")))
+
+
+def test_narrow_chunks_share_a_state(spark, rows, tmp_path):
+    wanted, folder = contract("force"), str(tmp_path / "in")
+    seen = sorted(rows[0] + rows[1], key=lambda r: (r[4] is None, r[4] or 0, r[5] or 0))
+    write(spark, folder, seen, "a")
+    found = validator.validate_live(live(spark, folder), wanted, str(tmp_path / "work"), width=5)
+    assert violations(found) == violations(quality.validate(spark.createDataFrame(seen, KIND), wanted, chunk=5))
+    # 437 samples in chunks of five: two streams, each with a lot and one for samples without an index
+    assert spark.read.parquet(str(tmp_path / "work" / "reports")).count() <= 4
