@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pacelane.operators import compare as cmp
 from pacelane.operators import games, serve
+from pacelane.operators.grouped import spread
 from pacelane.plans.lineage import CURRENT_SQL, _current, _metrics
 from pacelane.plans.registry import query, rounded
 
@@ -260,7 +261,8 @@ def structure_json(tb):
 
     flags = F.when(F.col("l_linenumber") % 3 != 0, F.struct((F.col("l_linenumber") % 2 == 0).alias("even")))
     lines = tb.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"), flags.alias("flags"))).alias("lines"))  # an order has a few lines
-    orders = tb.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # Orders are few bytes but much work as documents, so they are dealt over all tasks before the texts are made.
+    orders = spread(tb.table("orders"), "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     none = F.array().cast(lines.schema["lines"].dataType)
     number = F.concat(F.lit('{"id":'), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))).otherwise(F.col("o_orderkey").cast("string")))
     price = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit(',"price":'), F.col("o_totalprice").cast("string")))

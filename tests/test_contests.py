@@ -124,3 +124,14 @@ def test_structure_of_odd_documents(spark):
     found = {r.path: (r.kinds, r.occurrences, r.least, r.most, r.optional) for r in xml.collect()}
     assert found == {"/a": (["element"], 2, 1, 1, False), "/a/@b": (["integer"], 1, 0, 1, True), "/a/c": (["element"], 2, 0, 2, True), "/a/c/text()": (["number"], 1, 0, 1, True), "/": (["unreadable"], 1, 1, 1, False)}
     assert st.structure(spark.createDataFrame([], "k string, t string"), "k", "t").count() == 0
+
+
+def test_structure_walks_each_document_once(spark):
+    texts = ['{"a": {"b": 1}, "c": [[], [1, null], [true]]}', '{"a.b": 2.5, "a": {"b": "x"}}', '{"a": [], "c": {"b": [{"d": 1}, {"d": 2, "e": {}}]}}', "[1, {}, [2]]", "7", "not json", "{}"]
+    out = st.structure(spark.createDataFrame([("k", t) for t in texts * 3], "k string, t string").repartition(1), "k", "t")
+    want: dict = {}
+    for text in texts * 3:
+        st._add(want, "k", text, st.json_nodes)
+    got = {(r.key, r.path): (r.documents, r.occurrences, r.most) for r in out.filter("path <> '$.a.b'").collect()}
+    assert got == {p: (e[5], e[2], e[8]) for p, e in want.items() if p[1] != "$.a.b"}
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
