@@ -23,6 +23,8 @@ DEFAULT_CHUNK_NS = 600_000_000_000
 FRAME = ["stream_id", "t_rel_ns"]
 PLAYER_TYPES = ("player", "goalkeeper")
 RIGHT_TO_LEFT = "right_to_left"
+ROUNDING = 1e-12
+"""Error of a covariance of a line-up, as a share of its variances."""
 
 
 def is_player() -> Column:
@@ -198,7 +200,12 @@ def ball_zone(x: Column, y: Column, direction: Column, *, length: float = 105.0,
 
 
 def axis_angle(xx: Column, yy: Column, xy: Column) -> tuple[Column, Column, Column]:
-    """Principal angle in degrees [0, 180) and the deviations along both axes."""
+    """Principal angle in degrees [0, 180) and the deviations along both axes.
+
+    A covariance within the rounding error of its sums is zero: its sign depends on the order of the rows and would
+    turn an angle of 0 into one of 180.
+    """
+    xy = F.when(F.abs(xy) > ROUNDING * (xx + yy), xy).otherwise(F.lit(0.0))
     root = F.sqrt(F.greatest(F.lit(0.0), (xx - yy) * (xx - yy) + 4 * xy * xy))
     major, minor = F.greatest(F.lit(0.0), (xx + yy + root) / 2), F.greatest(F.lit(0.0), (xx + yy - root) / 2)
     angle = F.when(root > 1e-12, F.pmod(F.degrees(F.atan2(2 * xy, xx - yy) / 2), F.lit(180.0)))

@@ -153,3 +153,20 @@ def test_influence_breaks_ties_by_group_then_id(spark):
     got = {r.object_id: r.grid_cells for r in each.collect()}
     assert got == {"z": 294, "b": 0}
     assert {r.group_id: r.grid_cells_controlled for r in tac.team_influence(each).collect()} == {"A": 294, "B": 0}
+
+
+def test_an_axis_without_covariance_is_the_same_in_any_order(spark):
+    # Heights are even about the middle player, so the covariance is zero but for rounding, whose sign depends on the order.
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    data = []
+    for frame in range(300):
+        x, step = rng.integers(-5000, 5000), rng.integers(1, 2000)
+        spots = [((x - step) / 100, 7.0), (x / 100, 5.0 + rng.integers(0, 2)), ((x + step) / 100, 7.0)]
+        order = rng.permutation(3)
+        data += [(frame, int(k), float(spots[i][0]), float(spots[i][1]), f"p{i}") for k, i in enumerate(order) if step > 200]
+    rows = spark.createDataFrame(data, "t_rel_ns long, k int, x_m double, y_m double, object_id string")
+    rows = rows.withColumns({"stream_id": F.lit("s"), "group_id": F.lit("home"), "role": F.lit("ATT")}).repartition(4, "k")
+    got = {r.orientation_deg for r in tac.functional_units(rows).collect()}
+    assert got == {0.0}
