@@ -8,6 +8,7 @@ batch; Spark does the grouping and the shuffle.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -104,32 +105,84 @@ def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
     index counts as slightly inside every circle through it, so a tied polygon is
     split by a fan from its smallest index.  Points must be distinct.
     """
-    n = len(points)
+    return triangulate_all(np.asarray(points, dtype=float)[None])[0]
+
+
+def triangulate_all(points: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Triangles of many frames of equally many points, (frames, points, 2), at once."""
+    frames, n = points.shape[:2]
     if n < 3:
-        return []
+        return [[] for _ in range(frames)]
     triples = np.array(list(combinations(range(n), 3)))
-    a, b, c = (points[triples[:, i]] for i in range(3))
-    area = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+    a, b, c = (points[:, triples[:, i]] for i in range(3))
+    area = (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
     def offset(corner):
-        d = corner[:, None, :] - points[None, :, :]
-        return d[..., 0], d[..., 1], d[..., 0] ** 2 + d[..., 1] ** 2
+        x, y = (corner[:, :, None, k] - points[:, None, :, k] for k in range(2))
+        return x, y, x**2 + y**2
 
     (ax, ay, az), (bx, by, bz), (cx, cy, cz) = offset(a), offset(b), offset(c)
-    inside = (ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)) * np.sign(area)[:, None]
+    inside = (ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)) * np.sign(area)[..., None]
     index = np.arange(n)[None, :]
     corner = (index == triples[:, 0:1]) | (index == triples[:, 1:2]) | (index == triples[:, 2:3])
-    # Share of the smallest corner in the tied point's position; negative means beyond the opposite side.
-    share = (bx * cy - by * cx) / np.where(area == 0, 1.0, area)[:, None]
-    tied = (inside == 0) & ((index < triples[:, 0:1]) | (share < 0))
-    blocked = ((inside > 0) | tied) & ~corner
-    keep = (area != 0) & ~blocked.any(axis=1)
-    return [tuple(int(i) for i in t) for t in triples[keep]]
+    blocked, tied = inside > 0, (inside == 0) & ~corner
+    if tied.any():
+        # Share of the smallest corner in the tied point's position; negative means beyond the opposite side.
+        share = (bx * cy - by * cx) / np.where(area == 0, 1.0, area)[..., None]
+        blocked |= tied & ((index < triples[:, 0:1]) | (share < 0))
+    blocked &= ~corner
+    keep = (area != 0) & ~blocked.any(axis=2)
+    listed = [tuple(t) for t in triples.tolist()]
+    found: list[list] = [[] for _ in range(frames)]
+    for frame, triple in zip(*(k.tolist() for k in np.nonzero(keep))):
+        found[frame].append(listed[triple])
+    return found
+
+
+TOGETHER = 15_000
+"""Pairs of a triple and a point that are looked at together: arrays of 120 KB, which stay in the cache and are reused."""
 
 
 @pandas_udf(T.ArrayType(_struct(a=T.IntegerType(), b=T.IntegerType(), c=T.IntegerType())))
 def delaunay_of(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([[{"a": i, "b": j, "c": k} for i, j, k in triangulate(np.column_stack((x, y)))] for x, y in zip(xs, ys)])
+    """Frames of equally many points are triangulated together."""
+    sizes = xs.map(len).to_numpy()
+    out: list = [None] * len(xs)
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        some = max(1, TOGETHER // max(1, n * comb(n, 3)))
+        for part in np.split(rows, range(some, len(rows), some)):
+            points = np.stack([np.column_stack((xs.iat[r], ys.iat[r])) for r in part]).astype(float).reshape(len(part), n, 2)
+            for row, triangles in zip(part, triangulate_all(points)):
+                out[row] = [{"a": i, "b": j, "c": k} for i, j, k in triangles]
+    return pd.Series(out)
+
+
+@pandas_udf(_struct(inside=T.IntegerType(), nearest=T.IntegerType(), own_m=T.DoubleType(), other_m=T.DoubleType()))
+def players_about(
+    ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series, turn: pd.Series, xs: pd.Series, ys: pd.Series, own_from: pd.Series, own: pd.Series
+) -> pd.DataFrame:
+    """Opponents inside each triangle, place of the player nearest to its centroid, and the least distance of either side.
+
+    A frame's players come ordered by group and id, so the first smallest distance is the tie rule and a team is ``own`` places from ``own_from`` on.
+    Corners are turned already, players are turned here.
+    """
+    sizes = xs.map(len).to_numpy()
+    place = np.arange(max(sizes.max(initial=0), 1))[None, :]
+    present = place < sizes[:, None]
+    column = lambda s: s.to_numpy(dtype=float)[:, None]
+    x, y = np.zeros(present.shape), np.zeros(present.shape)
+    if sizes.sum():
+        x[present], y[present] = np.concatenate(xs.to_list()), np.concatenate(ys.to_list())
+    x, y = x * column(turn), y * column(turn)
+    a, b, c = [(column(p), column(q)) for p, q in ((ax, ay), (bx, by), (cx, cy))]
+    sides = [(q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) for p, q in ((a, b), (b, c), (c, a))]
+    within = (np.minimum.reduce(sides) >= -1e-10) | (np.maximum.reduce(sides) <= 1e-10)
+    far = np.where(present, np.hypot(x - (a[0] + b[0] + c[0]) / 3, y - (a[1] + b[1] + c[1]) / 3), np.inf)
+    start = own_from.to_numpy()[:, None]
+    mates = (place >= start) & (place < start + own.to_numpy()[:, None])
+    least = lambda some: [None if np.isinf(m) else m for m in np.where(some, far, np.inf).min(axis=1).tolist()]
+    return pd.DataFrame({"inside": (within & present & ~mates).sum(axis=1), "nearest": far.argmin(axis=1), "own_m": least(mates), "other_m": least(~mates)})
 
 
 def left_of(rings: np.ndarray, cut: float) -> np.ndarray:

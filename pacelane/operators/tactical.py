@@ -347,7 +347,8 @@ def triangle_metrics(
     triangles: DataFrame, rows: DataFrame, balls: DataFrame, direction: Column | None = None, keys: Sequence[str] = FRAME, *, min_area: float = 1e-9, length: float = 105.0, width: float = 68.0
 ) -> DataFrame:
     """Area, aspect, angle, zone, opponents inside and nearest team of each triangle."""
-    packed = pack(rows, keys, ("object_id", "group_id", "x_m", "y_m"))
+    packed = pack(rows, keys, ("group_id", "object_id", "x_m", "y_m"))
+    packed = packed.select(*keys, F.col("players.group_id").alias("__groups"), F.col("players.x_m").alias("__xs"), F.col("players.y_m").alias("__ys"))
     way = F.lit(None).cast("string") if direction is None else direction
     df = triangles.join(packed, list(keys)).join(balls, list(keys), "left").withColumns({"__way": way})
     df = df.withColumn("__turn", sign_of(F.col("__way")))
@@ -368,19 +369,15 @@ def triangle_metrics(
     xy = ((ax - mx) * (ay - my) + (bx - mx) * (by - my) + (cx - mx) * (cy - my)) / 3
     angle, _, _ = axis_angle(var(ax, bx, cx, mx), var(ay, by, cy, my), xy)
 
-    def side(p, q, o):
-        return (q[0] - p[0]) * (o["y_m"] * F.col("__turn") - p[1]) - (q[1] - p[1]) * (o["x_m"] * F.col("__turn") - p[0])
-
-    def within(o: Column) -> Column:
-        s = [side(corner[p], corner[q], o) for p, q in ("ab", "bc", "ca")]
-        return (F.least(*s) >= -1e-10) | (F.greatest(*s) <= 1e-10)
-
-    foes = F.filter("players", lambda o: o["group_id"] != F.col("group_id"))
-    mates = F.filter("players", lambda o: o["group_id"] == F.col("group_id"))
-    far = lambda o: F.hypot(o["x_m"] * F.col("__turn") - mx, o["y_m"] * F.col("__turn") - my)
-    nearest = F.array_min(F.transform("players", lambda o: F.struct(far(o).alias("m"), o["group_id"].alias("group_id"), o["object_id"].alias("id"))))
+    df = df.withColumns(
+        {
+            "__from": F.array_position("__groups", F.col("group_id")).cast("int") - 1,
+            "__own": F.size(F.filter("__groups", lambda g: g == F.col("group_id"))),
+        }
+    )
+    df = df.withColumn("__near", planar.players_about(ax, ay, bx, by, cx, cy, F.col("__turn"), F.col("__xs"), F.col("__ys"), F.col("__from"), F.col("__own")))
     sides = [F.col("__ab"), F.col("__bc"), F.col("__ca")]
-    inside = F.size(F.filter(foes, within))
+    inside = F.col("__near.inside")
     return df.select(
         *keys,
         "group_id",
@@ -394,8 +391,8 @@ def triangle_metrics(
         zone(mx, my, F.col("__way"), length=length, width=width).alias("zone"),
         inside.alias("opponent_count_inside"),
         (inside / F.col("area_m2")).alias("opponent_density_per_m2"),
-        nearest["group_id"].alias("nearest_team_at_centroid"),
-        (F.array_min(F.transform(foes, far)) - F.array_min(F.transform(mates, far))).alias("nearest_team_distance_margin_m"),
+        F.get("__groups", F.col("__near.nearest")).alias("nearest_team_at_centroid"),
+        (F.col("__near.other_m") - F.col("__near.own_m")).alias("nearest_team_distance_margin_m"),
     )
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pacelane.functions import planar
@@ -155,6 +156,16 @@ def test_influence_breaks_ties_by_group_then_id(spark):
     assert {r.group_id: r.grid_cells_controlled for r in tac.team_influence(each).collect()} == {"A": 294, "B": 0}
 
 
+def test_frames_are_triangulated_together_as_one_by_one():
+    rng = np.random.default_rng(8)
+    frames = [rng.integers(-4, 5, size=(n, 2)).astype(float) for n in rng.choice([0, 1, 2, 3, 5, 9], 60)]
+    frames = [np.unique(f, axis=0) for f in frames]
+    got = planar.delaunay_of.func(*[pd.Series([f[:, k] for f in frames]) for k in range(2)])
+    assert [[(t["a"], t["b"], t["c"]) for t in g] for g in got] == [planar.triangulate(f) for f in frames]
+    many = rng.normal(size=(7, 9, 2))
+    assert planar.triangulate_all(many) == [planar.triangulate(f) for f in many]
+
+
 def test_an_axis_without_covariance_is_the_same_in_any_order(spark):
     # Heights are even about the middle player, so the covariance is zero but for rounding, whose sign depends on the order.
     from pyspark.sql import functions as F
@@ -170,3 +181,16 @@ def test_an_axis_without_covariance_is_the_same_in_any_order(spark):
     rows = rows.withColumns({"stream_id": F.lit("s"), "group_id": F.lit("home"), "role": F.lit("ATT")}).repartition(4, "k")
     got = {r.orientation_deg for r in tac.functional_units(rows).collect()}
     assert got == {0.0}
+
+
+def test_triangle_neighbours_follow_the_stated_ties(spark):
+    from pyspark.sql import functions as F
+
+    spots = [("home", "h1", 0.0, 0.0), ("home", "h2", 6.0, 0.0), ("home", "h3", 0.0, 6.0), ("away", "a1", 1.0, 1.0), ("away", "a2", 9.0, 9.0), ("away", "a0", 3.0, 3.0)]
+    rows = spark.createDataFrame([("s", 0, *s) for s in spots], "stream_id string, t_rel_ns long, group_id string, object_id string, x_m double, y_m double")
+    balls = rows.select("stream_id", "t_rel_ns", F.struct(F.lit(2.0).alias("x"), F.lit(2.0).alias("y")).alias("ball")).distinct()
+    got = tac.triangle_metrics(tac.shape_triangles(rows.filter("group_id = 'home'")), rows, balls).collect()
+    assert [(r.opponent_count_inside, r.nearest_team_at_centroid) for r in got] == [(2, "away")]
+    assert got[0].nearest_team_distance_margin_m == pytest.approx(math.sqrt(2) - math.sqrt(8))
+    alone = tac.triangle_metrics(tac.shape_triangles(rows.filter("group_id = 'home'")), rows.filter("group_id = 'home'"), balls).collect()
+    assert [(r.opponent_count_inside, r.nearest_team_at_centroid, r.nearest_team_distance_margin_m) for r in alone] == [(0, "home", None)]
