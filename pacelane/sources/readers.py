@@ -548,11 +548,20 @@ def rep_observations(reps: DataFrame, keys: Sequence[str], metrics: Sequence[str
 
 
 def read_file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Name, SHA-256 and size of every file below a folder."""
+    """Name, SHA-256 and size of every file below a folder; Spark lists no empty file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_bytes"))
 
 
+def read_packed_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Name, SHA-256 and size of every file kept in packs: Parquet rows of ``key`` and ``content``, the bytes of a file.
+
+    Many small files are kept so, since making and listing one at a time costs a file system more than their bytes.
+    """
+    packs = spark.read.schema("key string, content binary").parquet(path)
+    return packs.select("key", F.sha2("content", 256).alias("found_sha256"), F.octet_length("content").cast("bigint").alias("found_bytes"))
+
+
 def compare_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """Retrieved files against their manifest: verified, missing, mismatched, wrong size or unlisted."""
     both = manifest.join(found, "key", "full_outer")
@@ -566,5 +575,6 @@ def compare_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("key", status.alias("status"))
 
 
-def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    return compare_manifest(manifest, read_file_hashes(spark, path))
+def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame, *, packed: bool = False) -> DataFrame:
+    """The files below a folder, or in the packs of it, hashed again and compared with their manifest."""
+    return compare_manifest(manifest, read_packed_hashes(spark, path) if packed else read_file_hashes(spark, path))
