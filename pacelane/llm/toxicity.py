@@ -290,45 +290,56 @@ class Network:
         """Scores, as ``logits`` gives them, of the windows that begin at each place of one line of words.
 
         Windows lie side by side in memory, so a step of all of them reads one slice of the line's gates.  A logistic gate is
-        written as a hyperbolic tangent of half its input.
+        written as a hyperbolic tangent of half its input, of the update gate with its sign turned.
         """
         p, n_all = self.p, len(of) - WINDOW + 1
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
-        gates = {s: ((vectors @ p[f"in_{s}"] + p[f"base_{s}"]) * half).T for s in "fb"}
-        back = {s: np.ascontiguousarray(0.5 * p[f"back_{s}"].T) for s in "fb"}
+        turn = np.repeat(np.array([-0.5, 0.5, 1], np.float32), HIDDEN)
+        # row by row in memory: taking a block's words from a transposed view would copy the gates of all words for each block
+        gates = {s: np.ascontiguousarray(((vectors @ p[f"in_{s}"] + p[f"base_{s}"]) * turn).T) for s in "fb"}
+        back = {s: np.ascontiguousarray((p[f"back_{s}"] * np.repeat(np.array([-0.5, 0.5, 0.5], np.float32), HIDDEN)).T) for s in "fb"}
         look = np.ascontiguousarray(np.concatenate([p["look"].T, p["out"][None]]))
         score = np.empty(n_all, np.float32)
         for at in range(0, n_all, BLOCK):
             n = min(BLOCK, n_all - at)
             if not at or n < BLOCK:  # the same memory for block after block
-                states, state = np.empty((WINDOW, 2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+                states = np.empty((WINDOW, 2 * HIDDEN, n), np.float32)
                 kept, open_ = np.empty((3 * HIDDEN, n), np.float32), np.empty((2 * HIDDEN, n), np.float32)
+                seen, weight = np.empty((LOOK + 1, n), np.float32), np.empty(n, np.float32)
             line = of[at : at + n + WINDOW - 1]
+            above, below = np.zeros(n, np.float32), np.zeros(n, np.float32)
+            step, new = open_[:HIDDEN], open_[HIDDEN:]
             for side, rows in (("b", slice(HIDDEN, None)), ("f", slice(0, HIDDEN))):
                 given = np.take(gates[side], line, axis=1)
-                state.fill(0)
-                stay, new = open_[:HIDDEN], open_[HIDDEN:]
+                state = None
                 for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-                    now = given[:, t : t + n]
-                    np.matmul(back[side], state, out=kept)
-                    np.add(now[: 2 * HIDDEN], kept[: 2 * HIDDEN], out=open_)
-                    np.tanh(open_, out=open_)
-                    new += 1
-                    new *= kept[2 * HIDDEN :]
-                    new += now[2 * HIDDEN :]
-                    np.tanh(new, out=new)
-                    new -= state
-                    np.subtract(1, stay, out=stay)
-                    new *= stay
-                    new *= np.float32(0.5)
-                    state += new
-                    states[t, rows] = state
-            above, below = np.zeros(n, np.float32), np.zeros(n, np.float32)
-            for t in range(WINDOW):
-                seen = look @ states[t]
-                weight = np.exp(p["gaze"] @ np.tanh(seen[:LOOK]))  # bounded, as the tangents are
-                above += weight * seen[LOOK]
-                below += weight
+                    now, after = given[:, t : t + n], states[t, rows]
+                    if state is None:  # from a state of zeros
+                        np.tanh(now[:HIDDEN], out=step)
+                        np.tanh(now[2 * HIDDEN :], out=new)
+                        step += 1
+                    else:
+                        np.matmul(back[side], state, out=kept)
+                        np.add(now[: 2 * HIDDEN], kept[: 2 * HIDDEN], out=open_)
+                        np.tanh(open_, out=open_)
+                        open_ += 1
+                        new *= kept[2 * HIDDEN :]
+                        new += now[2 * HIDDEN :]
+                        np.tanh(new, out=new)
+                        new -= state
+                    step *= np.float32(0.5)
+                    if state is None:
+                        np.multiply(new, step, out=after)
+                    else:
+                        new *= step
+                        np.add(state, new, out=after)
+                    state = after
+                    if side == "f":  # both states of the step are there
+                        np.matmul(look, states[t], out=seen)
+                        np.tanh(seen[:LOOK], out=seen[:LOOK])
+                        np.exp(np.matmul(p["gaze"], seen[:LOOK], out=weight), out=weight)  # bounded, as the tangents are
+                        below += weight
+                        weight *= seen[LOOK]
+                        above += weight
             score[at : at + n] = above / below + p["bias"][0]
         return score
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,26 @@ def test_every_window_is_scored_as_one_by_one():
     assert np.allclose(network.text_logits(data, offsets), best, atol=1e-4)
 
 
+def test_a_block_of_windows_costs_the_same_with_many_distinct_words():
+    """A block reads the gates of its own words; it once copied those of all words, each time."""
+    network = Network(np.zeros(0, np.uint64), np.zeros(0, bool))
+    rng = np.random.default_rng(8)
+    line, vectors = rng.integers(0, 1000, 3 * toxicity.BLOCK), rng.standard_normal((400_000, toxicity.SIZE + toxicity.TELLING)).astype(np.float32)
+
+    def seconds(rows, line):
+        took = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            network.full_windows(vectors[:rows], line)
+            took.append(time.perf_counter() - begin)
+        return min(took)
+
+    # what the gates themselves take is in both
+    few = seconds(1000, line) - seconds(1000, line[: toxicity.BLOCK])
+    many = seconds(len(vectors), line) - seconds(len(vectors), line[: toxicity.BLOCK])
+    assert many < 3 * few
+
+
 def test_words_before_a_text_never_lower_its_score():
     rows = corpus(random.Random(6), 120)
     network = train([t for _, t, _ in rows], [y for _, _, y in rows])
