@@ -138,12 +138,14 @@ def running(
     lasts: Mapping[str, Column] | None = None,
     nexts: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
+    maxima_before: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive prefix sums / maxima, last non-null value so far, next non-null value.
+    """Inclusive prefix sums / maxima, maxima of the earlier rows only, last non-null value so far, next non-null value.
 
     Each chunk is reduced to one row first; only those rows are ordered per key.
     """
     sums, lasts, nexts, maxima = dict(sums or {}), dict(lasts or {}), dict(nexts or {}), dict(maxima or {})
+    passed = dict(maxima_before or {})
     keys, order = list(keys), list(order)
     if chunk is None:
         whole = Window.partitionBy(*keys).orderBy(*order)
@@ -152,6 +154,7 @@ def running(
             df,
             {n: F.sum(e).over(before) for n, e in sums.items()}
             | {n: F.max(e).over(before) for n, e in maxima.items()}
+            | {n: F.max(e).over(whole.rowsBetween(Window.unboundedPreceding, -1)) for n, e in passed.items()}
             | {n: F.last(e, ignorenulls=True).over(before) for n, e in lasts.items()}
             | {n: F.first(e, ignorenulls=True).over(after) for n, e in nexts.items()},
         )
@@ -162,7 +165,7 @@ def running(
     position = F.struct(*order)
     summary = cut.groupBy(*keys, CHUNK).agg(
         *[F.sum(e).alias(f"__sum_{n}") for n, e in sums.items()],
-        *[F.max(e).alias(f"__max_{n}") for n, e in maxima.items()],
+        *[F.max(e).alias(f"__max_{n}") for n, e in (maxima | passed).items()],
         *[F.max_by(e, F.when(e.isNotNull(), position)).alias(f"__last_{n}") for n, e in lasts.items()],
         *[F.min_by(e, F.when(e.isNotNull(), position)).alias(f"__next_{n}") for n, e in nexts.items()],
     )
@@ -172,24 +175,32 @@ def running(
         *keys,
         CHUNK,
         *[F.sum(f"__sum_{n}").over(earlier).alias(f"__sum_{n}") for n in sums],
-        *[F.max(f"__max_{n}").over(earlier).alias(f"__max_{n}") for n in maxima],
+        *[F.max(f"__max_{n}").over(earlier).alias(f"__max_{n}") for n in maxima | passed],
         *[F.last(f"__last_{n}", ignorenulls=True).over(earlier).alias(f"__last_{n}") for n in lasts],
         *[F.first(f"__next_{n}", ignorenulls=True).over(later).alias(f"__next_{n}") for n in nexts],
     )
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before, after = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
-    out = cut.join(carry, [*keys, CHUNK])
+    # The windows come before the join: their order serves a merge join too, so a task sorts and holds its rows once.
+    here = (
+        {n: F.sum(e).over(before) for n, e in sums.items()}
+        | {n: F.max(e).over(before) for n, e in maxima.items()}
+        | {n: F.max(e).over(local.rowsBetween(Window.unboundedPreceding, -1)) for n, e in passed.items()}
+        | {n: F.last(e, ignorenulls=True).over(before) for n, e in lasts.items()}
+        | {n: F.first(e, ignorenulls=True).over(after) for n, e in nexts.items()}
+    )
+    out = _add(cut, {f"__here_{n}": e for n, e in here.items()}).join(carry, [*keys, CHUNK])
     new: dict[str, Column] = {}
-    for n, e in sums.items():
-        here = F.sum(e).over(before)
-        new[n] = F.when(here.isNull(), F.col(f"__sum_{n}")).otherwise(F.coalesce(F.col(f"__sum_{n}"), F.lit(0)) + here)
-    for n, e in maxima.items():
-        new[n] = F.greatest(F.col(f"__max_{n}"), F.max(e).over(before))
-    for n, e in lasts.items():
-        new[n] = F.coalesce(F.last(e, ignorenulls=True).over(before), F.col(f"__last_{n}"))
-    for n, e in nexts.items():
-        new[n] = F.coalesce(F.first(e, ignorenulls=True).over(after), F.col(f"__next_{n}"))
-    helper = [CHUNK, *keys, *[c for c in carry.columns if c.startswith("__")]]
+    for n in sums:
+        own = F.col(f"__here_{n}")
+        new[n] = F.when(own.isNull(), F.col(f"__sum_{n}")).otherwise(F.coalesce(F.col(f"__sum_{n}"), F.lit(0)) + own)
+    for n in maxima | passed:
+        new[n] = F.greatest(F.col(f"__max_{n}"), F.col(f"__here_{n}"))
+    for n in lasts:
+        new[n] = F.coalesce(F.col(f"__here_{n}"), F.col(f"__last_{n}"))
+    for n in nexts:
+        new[n] = F.coalesce(F.col(f"__here_{n}"), F.col(f"__next_{n}"))
+    helper = [CHUNK, *keys, *[f"__here_{n}" for n in here], *[c for c in carry.columns if c.startswith("__")]]
     return _add(out, new).drop(*helper)
 
 

@@ -37,9 +37,8 @@ def behind(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
     Accepted rows always advance, so the last accepted value is that maximum.
     """
-    best = ordered.running(df, keys, order, chunk=chunk, maxima={"__best": F.when(valid, F.col(value))})
-    best = ordered.stencil(best, keys, order, lambda w: {"__before": F.lag("__best").over(w)}, ahead=0, chunk=chunk)
-    return best.withColumn(out, F.coalesce(F.col(value) <= F.col("__before"), F.lit(False))).drop("__best", "__before")
+    best = ordered.running(df, keys, order, chunk=chunk, maxima_before={"__before": F.when(valid, F.col(value))})
+    return best.withColumn(out, F.coalesce(F.col(value) <= F.col("__before"), F.lit(False))).drop("__before")
 
 
 def _number(text: Column) -> Column:
@@ -143,7 +142,8 @@ def position_rows(
         (F.col("__origin").isNull(), "required_field_null"),
     )
     late = first_rule((missing, "coordinate_missing"), (text, "coordinate_out_of_range"), (infinite, "non_finite_value"))
-    df = df.withColumns({"__early": early, "__late": late})
+    # From here on without the texts of the frames, which would be sorted along.
+    df = df.select(*identity, "pos", "frame", "utc_ns", "__origin", "x_m", "y_m", "z_m", early.alias("__early"), late.alias("__late"))
     df = behind(df, identity, ["pos"], "frame", F.col("__early").isNull() & F.col("__late").isNull(), "__behind", chunk=chunk)
     is_ball = F.col("team_id") == BALL_TEAM
     return df.select(

@@ -121,3 +121,22 @@ def test_cuts_are_computed_once(spark):
     assert "percentile_approx" not in found._jdf.queryExecution().toString()
     want = F.row_number().over(Window.partitionBy("k").orderBy("value"))
     assert found.withColumn("want", want).filter("at_or_below <> want").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [7, 300, 10**9, None])
+def test_maxima_of_earlier_rows(series, chunk):
+    got = ordered.running(series, ["k"], ["t"], chunk=chunk, maxima_before={"m": F.col("z")})
+    earlier = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    assert rows(got) == rows(series.withColumn("m", F.max("z").over(earlier)))
+
+
+def test_rows_are_ordered_once_and_without_what_is_done(spark):
+    """Positions are judged by one row-level window; the texts of their frames are not sorted along, and no row is copied."""
+    from pacelane.sources import readers
+
+    frames = "struct<_N: string, _T: string, _X: string, _Y: string, _Z: string>"
+    sets = spark.range(1).selectExpr("'firstHalf' _GameSection", "'T' _TeamId", "'P' _PersonId", f"cast(array() as array<{frames}>) Frame")
+    plan = readers.position_rows(sets, 0, chunk=40)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "__chunk" in line.split("windowspec", 1)[-1]]
+    assert not [line for line in windows if "collect_list" in line or "row_number" in line]
+    assert len([line for line in windows if "__before" in line or "max(" in line]) <= 2  # rows, and one summary for each chunk
