@@ -215,24 +215,59 @@ def _tokens(text: str) -> np.ndarray:
     return shingle_codes(find_words(data, np.array([0, len(data)])).code, RUN)
 
 
+def _tokens_of(texts: pa.Array) -> list[np.ndarray]:
+    """Tokens of every text, found slice by slice."""
+    out = []
+    for _, _, data, offsets in slices(texts):
+        words = find_words(data, offsets)
+        codes = shingle_codes(words.code, RUN)
+        ends = np.maximum(words.first[1:] - RUN + 1, words.first[:-1])
+        out += [codes[low:high] for low, high in zip(words.first[:-1].tolist(), ends.tolist(), strict=True)]
+    return out
+
+
 def _regions(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last shared token around every shared token without a longer gap than ``GAP``."""
     places = np.flatnonzero(shared)
     first, last = np.zeros(len(shared), np.int64), np.zeros(len(shared), np.int64)
     if len(places):
         cuts = np.flatnonzero(np.diff(places) > GAP)
-        begins, ends = places[np.r_[0, cuts + 1]], places[np.r_[cuts, len(places) - 1]]
+        begins, ends = places[np.concatenate([[0], cuts + 1])], places[np.concatenate([cuts, [len(places) - 1]])]
         group = np.searchsorted(begins, places, side="right") - 1
         first[places], last[places] = begins[group], ends[group]
     return first, last
 
 
 def _likeness(one: np.ndarray, other: np.ndarray) -> float:
-    one, other = np.unique(one), np.unique(other)
-    both = len(np.intersect1d(one, other, assume_unique=True))
+    one, other = _distinct(one), _distinct(other)
+    both = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
     return both / (len(one) + len(other) - both)
 
 
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    ranked = np.sort(tokens)
+    kept = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=kept[1:])
+    return ranked[kept]
+
+
+def _nearest(one: np.ndarray, other: np.ndarray) -> tuple[int, int] | None:
+    """Places of equal tokens with the least sum, of several such the smallest token's; None if no token is equal."""
+    if len(one) * len(other) <= 1 << 15:
+        at, there = np.nonzero(one[:, None] == other[None, :])
+        if not len(at):
+            return None
+        total = at + there
+        least = np.flatnonzero(total == total.min())
+        k = least[int(np.argmin(one[at[least]]))]
+    else:
+        _, at, there = np.intersect1d(one, other, return_indices=True)
+        if not len(at):
+            return None
+        k = int(np.argmin(at + there))
+    return int(at[k]), int(there[k])
+
+
 def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (in ``lead``, in ``part``) where the passage around equal tokens ``a`` and ``b`` may end, in the direction of ``step``, the
     score up to there and where the equal run begins that ends there: 0.2 for a shared token, -0.8 for a token of either side between; a passage of score 0 has a similarity of 0.8.
@@ -257,10 +292,9 @@ def _chain(lead: np.ndarray, part: np.ndarray, a: int, b: int, shared: np.ndarra
         other = part[b + 1 : b + 2 + most] if step > 0 else part[max(0, b - 1 - most) : b][::-1]
         near, nearest = most + 1, None
         for reach in (4 * RUN, 32 * RUN, most + 1):
-            _, at, there = np.intersect1d(one[:reach], other[:reach], return_indices=True)
-            if len(at):
-                k = int(np.argmin(at + there))
-                near, nearest = int(at[k] + there[k]), (int(at[k]), int(there[k]))
+            nearest = _nearest(one[:reach], other[:reach])
+            if nearest is not None:
+                near = sum(nearest)
                 if near <= reach:
                     break
         if nearest is None or near > most:
@@ -361,9 +395,8 @@ def _equal_run(one: np.ndarray, other: np.ndarray) -> int:
     return size
 
 
-def _search(lead: np.ndarray, part: np.ndarray, known_lead: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """Passages of ``part`` in ``lead`` around its stretches of shared tokens that are not ``known`` yet."""
-    codes, own = shingle_codes(lead, STRETCH), shingle_codes(part, STRETCH)
+def _search(lead: np.ndarray, part: np.ndarray, codes: np.ndarray, own: np.ndarray, known_lead: np.ndarray, known: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Passages of ``part`` in ``lead`` around its stretches of shared tokens (their numbers: ``codes`` and ``own``) that are not ``known`` yet."""
     if not len(codes) or not len(own):
         return []
     order = np.argsort(codes, kind="stable")
@@ -376,16 +409,17 @@ def _search(lead: np.ndarray, part: np.ndarray, known_lead: np.ndarray, known: n
     places = np.flatnonzero((high > low) & ~between)
     if not len(places):
         return []
-    # place of every token of ``part`` that ``lead`` has once, else -1
-    tokens, first, often = np.unique(lead, return_index=True, return_counts=True)
-    where = np.minimum(np.searchsorted(tokens, part), len(tokens) - 1)
-    single = np.where((tokens[where] == part) & (often[where] == 1), first[where], -1)
-    found, k = [], 0
+    found, k, single = [], 0, None
     while k < len(places):
         b = int(places[k])
         options = order[low[b] : high[b]]
         tries = [int(options[0])]
         if len(options) > 1:
+            if single is None:
+                # place of every token of ``part`` that ``lead`` has once, else -1
+                tokens, first, often = np.unique(lead, return_index=True, return_counts=True)
+                where = np.minimum(np.searchsorted(tokens, part), len(tokens) - 1)
+                single = np.where((tokens[where] == part) & (often[where] == 1), first[where], -1)
             # the places nearest to where the single tokens around point
             around = np.arange(max(0, b - LEAST), min(len(part), b + STRETCH + LEAST))
             around = around[single[around] >= 0]
@@ -437,10 +471,14 @@ def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple] | None = None
 
     ``hits`` (a place in ``lead``, a place in ``part``): only passages that hold one of them, in both, are returned.
     """
-    known_lead, known_part = np.zeros(len(lead), bool), np.zeros(len(part), bool)
-    found = _search(lead, part, known_lead, known_part)
-    found += [(a0, a1, b0, b1, like) for b0, b1, a0, a1, like in _search(part, lead, known_part, known_lead)]
-    found = _joined(lead, part, found)
+    if LEAST <= len(lead) == len(part) and (lead == part).all():
+        found = [(0, len(lead) - 1, 0, len(part) - 1, 1.0)]
+    else:
+        known_lead, known_part = np.zeros(len(lead), bool), np.zeros(len(part), bool)
+        codes, own = shingle_codes(lead, STRETCH), shingle_codes(part, STRETCH)
+        found = _search(lead, part, codes, own, known_lead, known_part)
+        found += [(a0, a1, b0, b1, like) for b0, b1, a0, a1, like in _search(part, lead, own, codes, known_part, known_lead)]
+        found = _joined(lead, part, found)
     if hits is not None:
         found = [f for f in found if any(f[0] <= a <= f[1] and f[2] <= b <= f[3] for a, b in hits)]
     return found
@@ -448,7 +486,8 @@ def verified(lead: np.ndarray, part: np.ndarray, hits: list[tuple] | None = None
 
 def firm(lead: np.ndarray, part: np.ndarray, a0: int, a1: int, b0: int, b1: int) -> bool:
     """Whether a passage begins and ends with shared tokens."""
-    return bool(np.isin(lead[[a0, a1]], part[b0 : b1 + 1]).all() and np.isin(part[[b0, b1]], lead[a0 : a1 + 1]).all())
+    one, other = lead[a0 : a1 + 1], part[b0 : b1 + 1]
+    return bool((other == one[0]).any() and (other == one[-1]).any() and (one == other[0]).any() and (one == other[-1]).any())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
@@ -480,21 +519,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
 
 
 def open_members(shared: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
-    """Members (``value``, ``doc``, ``place``, ``stop``, ``open``, ``size``) of the signatures at which some member, ``open``, is in no firm passage ``found`` for it.
+    """Members (``value``, ``doc``, ``place``, ``stop``, ``open``, ``size``, ``sought``) of the signatures at which some member, ``open``, is in no firm passage ``found`` for it.
+
+    A signature has ``size`` members, of which partners are ``sought`` for so many.
 
     The lead has met all others and is left out.
     """
     spans = found.where("firm").groupBy(F.col(f"`{id_column}`").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (F.col("stop") <= s["end_word"]))
     members = shared.where("doc <> lead").join(spans, "doc", "left").select("value", "doc", "place", "stop", (~F.coalesce(inside, F.lit(False))).alias("open"))
-    sizes = members.groupBy("value").agg(F.count("*").alias("size"), F.max("open").alias("some"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    return settle(members.join(sizes.where("some AND low <> high").select("value", "size"), "value"))
+    sizes = members.groupBy("value").agg(F.count("*").alias("size"), F.sum(F.col("open").cast("int")).alias("sought"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return settle(members.join(sizes.where("sought > 0 AND low <> high").select("value", "size", "sought"), "value"))
 
 
 def _contexts(members: DataFrame, texts: DataFrame) -> DataFrame:
     """The members with ``part``, the words around, in which ``at`` is the place."""
     kind = texts.schema.fields[0].dataType.simpleString()
-    listed = members.groupBy("doc").agg(F.collect_list(F.struct("value", "place", "open", "size")).alias("windows"))
+    listed = members.groupBy("doc").agg(F.collect_list(F.struct("value", "place", "open", "size", "sought")).alias("windows"))
 
     def cut(batches):
         for batch in batches:
@@ -505,13 +546,13 @@ def _contexts(members: DataFrame, texts: DataFrame) -> DataFrame:
                     rows = []
                     for w in windows[at]:
                         base, text = _around(words, k, w["place"], w["place"])
-                        rows.append((w["value"], w["place"], w["open"], w["size"], w["place"] - base, text))
+                        rows.append((w["value"], w["place"], w["open"], w["size"], w["sought"], w["place"] - base, text))
                     docs = batch.column(0).take(pa.array(np.full(len(rows), at)))
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([docs, *columns], ["doc", "value", "place", "open", "size", "at", "part"])
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([docs, *columns], ["doc", "value", "place", "open", "size", "sought", "at", "part"])
                     at += 1
 
-    return listed.join(texts.toDF("doc", "text"), "doc").select("doc", "windows", "text").mapInArrow(cut, f"doc {kind}, value long, place long, open boolean, size long, at long, part string")
+    return listed.join(texts.toDF("doc", "text"), "doc").select("doc", "windows", "text").mapInArrow(cut, f"doc {kind}, value long, place long, open boolean, size long, sought long, at long, part string")
 
 
 def _fewest(tokens: np.ndarray) -> int:
@@ -539,30 +580,58 @@ def _promising(shared: np.ndarray, centre: np.ndarray, size: np.ndarray) -> np.n
     return np.where(place[None, :] <= centre[:, None], best, -np.inf).max(axis=1)
 
 
+def _firmest(shared: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The most that one side adds to the score of a passage that begins and ends with shared tokens, wherever it lies; as ``_promising``."""
+    place = np.arange(shared.shape[1] + 1)
+    sums = np.zeros((len(shared), shared.shape[1] + 1))
+    np.cumsum(np.where(shared, (1 - SIMILAR) / 2, -SIMILAR), axis=1, out=sums[:, 1:])
+    after = np.full(sums.shape, -np.inf)
+    after[:, 1:] = np.where(shared & (place[None, 1:] <= size[:, None]), sums[:, 1:], -np.inf)
+    after = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    if shared.shape[1] < LEAST:
+        return np.full(len(shared), -np.inf)
+    begins = shared.shape[1] - LEAST + 1
+    return np.where(shared[:, :begins], after[:, LEAST:] - sums[:, :begins], -np.inf).max(axis=1)
+
+
 class Surroundings:
     """Tokens of a text part, the distinct ones, and the fewest of these that a passage in it may have."""
 
-    def __init__(self, text: str):
-        self.tokens = _tokens(text)
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
         self.distinct = np.unique(self.tokens)
         self.once = len(self.distinct) == len(self.tokens)
         # a passage has as many distinct tokens as some stretch of its least length, and shares four of five
-        fewest = LEAST if self.once and len(self.tokens) >= LEAST else _fewest(self.tokens)
-        self.least = int(np.ceil(SIMILAR * fewest - 1e-9))
-
-
-def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], parts: list[Surroundings]) -> list[tuple[int, int]]:
-    """For every open member of a cell the smallest other document's member (this, then the open one) that it has a passage with,
-    if there is one a passage that begins and ends with shared tokens.
-
-    Members on different sides of a cell are compared, or all if there is one side.  Equal surroundings are judged once.
+        self.fewest = LEAST if self.once and len(self.tokens) >= LEAST else _fewest(self.tokens)
+        self.least = int(np.ceil(SIMILAR * self.fewest - 1e-9))
+        self._counts: np.ndarray | None = None
+
+    def lost(self, shared: np.ndarray) -> np.ndarray:
+        """Distinct tokens without a like that any passage holds at least; rows of ``shared`` tell which tokens have one."""
+        if self._counts is None:
+            # which tokens are the first of their kind in which stretch of the least length
+            order = np.argsort(self.tokens, kind="stable")
+            again = np.flatnonzero(self.tokens[order[1:]] == self.tokens[order[:-1]])
+            previous = np.full(len(self.tokens), -1)
+            previous[order[again + 1]] = order[again]
+            begin, place = np.arange(len(self.tokens) - LEAST + 1), np.arange(len(self.tokens))[:, None]
+            self._counts = ((begin > previous[:, None]) & (begin <= place) & (place < begin + LEAST)).astype(np.float32)
+        return ((~shared).astype(np.float32) @ self._counts).min(axis=1)
+
+
+def partners(docs: list, seeks: np.ndarray, at: list[int], parts: list[Surroundings]) -> list[tuple[int, int]]:
+    """For every member of a cell that ``seeks`` the smallest other document's member (this, then the seeking one) that it has a
+    passage with, if there is one a passage that begins and ends with shared tokens.
+
+    Those that seek are compared with those that do not.  Equal surroundings are judged once.
     """
     known: dict = {}
     look = [known.setdefault((id(p), place), len(known)) for p, place in zip(parts, at, strict=True)]
     firsts = {k: m for m, k in reversed(list(enumerate(look)))}
     kinds = [parts[firsts[k]] for k in range(len(known))]
     centres = np.array([at[firsts[k]] for k in range(len(known))])
-    seeking = np.unique(np.array(look)[is_open])
+    look = np.array(look)
+    seeking = np.unique(look[seeks])
     row = {int(k): r for r, k in enumerate(seeking)}
     # shared distinct tokens of the open kinds and all others
     owner = np.repeat(np.arange(len(kinds)), [len(k.distinct) for k in kinds])
@@ -575,26 +644,44 @@ def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], p
         matrix = held[:, use[first : first + 4096]].astype(np.float32)
         both += matrix[seeking] @ matrix.T
     np.put_along_axis(both, seeking[:, None], np.array([len(kinds[k].distinct) for k in seeking], np.float32)[:, None], axis=1)
-    least = np.array([k.least for k in kinds])
+    least, fewest = np.array([k.least for k in kinds]), np.array([k.fewest for k in kinds])
     hopeful = (both >= least[None, :]) & (both >= least[seeking][:, None])
+    given = np.zeros(len(kinds), bool)
+    given[look[~seeks]] = True
+    hopeful &= given
+    # no passage has more shared tokens than the parts, or fewer distinct ones
+    hopeful &= both * (1 + SIMILAR) >= SIMILAR * (fewest[None, :] + fewest[seeking][:, None]) - 1e-3
     places = np.full((len(kinds), max(len(k.tokens) for k in kinds) + 1), len(sorted_tokens))
     for k, kind in enumerate(kinds):
         places[k, : len(kind.tokens)] = np.searchsorted(sorted_tokens, kind.tokens)
     size, once = np.array([len(k.tokens) for k in kinds]), np.array([k.once for k in kinds])
+    may_be_firm = np.ones(hopeful.shape, bool)
     for r, k in enumerate(seeking):
         some = np.flatnonzero(hopeful[r] & once) if once[k] else np.zeros(0, np.int64)
         if len(some):
             mine = _promising(held[some][:, places[k]], np.full(len(some), centres[k]), np.full(len(some), size[k]))
             theirs = _promising(held[k][places[some]], centres[some], size[some])
             hopeful[r, some] = mine + theirs >= -1e-6
-    sided = bool((side != side[0]).any())
-    by_id = sorted(range(len(docs)), key=lambda k: docs[k])
+            some = some[hopeful[r, some]]
+        if len(some):
+            mine = _firmest(held[some][:, places[k, : size[k]]], np.full(len(some), size[k]))
+            theirs = _firmest(held[k][places[some]], size[some])
+            may_be_firm[r, some] = mine + theirs >= -1e-6
+        # where tokens repeat: what any stretch of the least length lacks
+        some = np.flatnonzero(hopeful[r] & ~once) if once[k] else np.flatnonzero(hopeful[r])
+        some = some[some != k]
+        if len(some):
+            missed = kinds[k].lost(held[some][:, places[k, : size[k]]])
+            missed += [kinds[o].lost(held[k][places[o, : size[o]]][None])[0] for o in some]
+            hopeful[r, some] = both[r, some] * (1 - SIMILAR) >= SIMILAR * missed - 1e-3
+    by_id = np.array(sorted(np.flatnonzero(~seeks).tolist(), key=lambda k: docs[k]), np.int64)
     judged: dict[tuple[int, int], tuple[bool, bool]] = {}
     out = []
-    for k in np.flatnonzero(is_open).tolist():
-        best, mine = None, hopeful[row[look[k]]]
-        for other in by_id:
-            if mine[look[other]] and docs[other] != docs[k] and not (sided and side[other] == side[k]):
+    for k in np.flatnonzero(seeks).tolist():
+        best, r = None, row[look[k]]
+        for other in by_id[hopeful[r][look[by_id]]].tolist():
+            # a partner is known: only one with a passage that begins and ends with shared tokens would do better
+            if docs[other] != docs[k] and (best is None or may_be_firm[r, look[other]]):
                 pair = (look[other], look[k])
                 if pair not in judged:
                     one, own = parts[other].tokens, parts[k].tokens
@@ -610,31 +697,35 @@ def partners(docs: list, side: np.ndarray, is_open: np.ndarray, at: list[int], p
 
 
 def open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``lead``, ``doc`` and ``hits`` of open members and one partner each from every block they have one in."""
+    """``lead``, ``doc`` and the words between which they may meet of open members and one partner each from every block they have one in.
+
+    In a cell a block of a signature's open members seeks in a block of all its members.
+    """
     kind = texts.schema.fields[0].dataType.simpleString()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    total = members.agg(F.sum(blocks)).first()[0]
-    own = F.pmod(F.xxhash64("doc", "place"), blocks).cast("int")
-    rows = _contexts(members, texts).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cell = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(cell.alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "value", "doc", "place", "open", "at", "part")
+    blocks, seekers = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "sought"))
+    total = members.agg(F.sum(seekers + F.when(F.col("open"), blocks).otherwise(0))).first()[0]
+    number = F.xxhash64("doc", "place")
+    given = F.transform(F.sequence(F.lit(0), seekers - 1), lambda k: F.struct(k.alias("seeker"), F.pmod(number, blocks).cast("int").alias("block"), F.lit(False).alias("seeks")))
+    sought = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.pmod(number, seekers).cast("int").alias("seeker"), k.alias("block"), F.lit(True).alias("seeks")))
+    rows = _contexts(members, texts).withColumn("copy", F.explode(F.when(F.col("open"), F.concat(given, sought)).otherwise(given)))
+    rows = rows.select(F.xxhash64("value", "copy.seeker", "copy.block").alias("cell"), "copy.seeks", "doc", "place", "at", "part")
     rows = rows.withColumn("task", F.pmod("cell", F.lit(-(-total // TASK))))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
-        cells = table.column("cell").to_numpy()
-        side, is_open = table.column("side").to_numpy(), table.column("open").to_numpy()
+        cells, seeks = table.column("cell").to_numpy(), table.column("seeks").to_numpy()
         docs, places, at = (table.column(c).to_pylist() for c in ("doc", "place", "at"))
-        parts = table.column("part")
+        parts = table.column("part").combine_chunks().dictionary_encode()
+        tokens, text = _tokens_of(parts.dictionary), parts.indices.to_pylist()
         cuts = np.flatnonzero(np.diff(cells)) + 1
         one, other = [], []
-        known: dict[str, Surroundings] = {}
+        known: dict[int, Surroundings] = {}
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
-            if high - low > 1 and is_open[low:high].any():
+            if seeks[low:high].any() and not seeks[low:high].all():
                 if len(known) > 4 * BLOCK:
                     known = {}
-                here = [known[t] if t in known else known.setdefault(t, Surroundings(t)) for t in (p.as_py() for p in parts[low:high])]
-                for a, b in partners(docs[low:high], side[low:high], is_open[low:high], at[low:high], here):
+                here = [known[t] if t in known else known.setdefault(t, Surroundings(tokens[t])) for t in text[low:high]]
+                for a, b in partners(docs[low:high], seeks[low:high], at[low:high], here):
                     one.append(low + a)
                     other.append(low + b)
         column = table.column("doc")

@@ -227,3 +227,49 @@ def test_a_repeated_line_leads_to_the_place_its_surroundings_name():
     other = words(rng, 70) + line + tails[23][:12] + words(rng, 1) + tails[23][13:] + words(rng, 70)
     found = verified(tokens(one), tokens(other))
     assert len(found) == 1 and found[0][0] <= 23 * 60 and found[0][1] >= 23 * 60 + 50
+
+
+def test_a_line_said_over_and_over_with_one_other_word_costs_no_verification(monkeypatch):
+    from pacelane.llm import passages
+    from pacelane.llm.passages import Surroundings, _tokens, firm, partners
+
+    rng = random.Random(43)
+    line = words(rng, 31)
+    texts = [" ".join((line[:9] + [f"x{k}"] + line[10:]) * 6) for k in range(30)]
+    # a line of 46 words alone makes passages that do not end with shared tokens: one verification for each member will do
+    long = words(rng, 46)
+    beside = [" ".join(words(rng, 60) + long + words(rng, 60)) for _ in range(30)]
+    calls, plain = [0], passages.verified
+
+    def counted(*given):
+        calls[0] += 1
+        return plain(*given)
+
+    monkeypatch.setattr(passages, "verified", counted)
+    for group, at, bound in ((texts, 40, 0), (beside, 70, 31)):
+        parts = [Surroundings(_tokens(t)) for t in group]
+        calls[0], n = 0, len(parts)
+        seeks = np.arange(2 * n) >= n
+        found = partners(list(range(n)) * 2, seeks, [at] * (2 * n), parts * 2)
+        assert calls[0] <= bound
+        expected = []
+        for k, own in enumerate(parts):
+            met = [(o, plain(one.tokens, own.tokens)) for o, one in enumerate(parts) if o != k]
+            best = [o for o, m in met if any(firm(parts[o].tokens, own.tokens, *f[:4]) for f in m)] or [o for o, m in met if m]
+            expected += [(best[0], n + k)] if best else []
+        assert sorted(found) == sorted(expected)
+        assert bool(found) == (group is beside)
+
+
+def test_bounds_on_a_passage_hold():
+    from pacelane.llm.passages import Surroundings, _firmest
+
+    rng = np.random.default_rng(12)
+    for top in (60, 10**9):
+        for _ in range(20):
+            tokens = rng.integers(1, top, 70).astype(U64)
+            shared = np.isin(tokens, rng.choice(np.unique(tokens), 30, replace=False))
+            stretches = [slice(k, k + LEAST) for k in range(70 - LEAST + 1)]
+            assert Surroundings(tokens).lost(shared[None])[0] == min(len(np.unique(tokens[s][~shared[s]])) for s in stretches)
+            sums = [0.1 * shared[i:j].sum() - 0.8 * (~shared[i:j]).sum() for i in range(70) for j in range(i + LEAST, 71) if shared[i] and shared[j - 1]]
+            assert abs(_firmest(shared[None], np.array([70]))[0] - max(sums, default=-np.inf)) < 1e-9 or not sums
