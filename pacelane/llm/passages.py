@@ -29,6 +29,8 @@ rows with a null id cannot be named and are left out.  A passage that repeats on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,8 @@ GAP = RUN + 1
 AROUND = 2 * WORDS
 FUNCTIONS = 2
 """Hash functions whose minima make a signature."""
+ROUNDS = 512
+"""Rounds after which pointers to smaller hashes are found one by one; a round costs little once few pointers are left."""
 BLOCK = 256
 """Members of a block that meets others in one task."""
 TASK = 2048
@@ -82,24 +86,49 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     centre = np.flatnonzero((_sliding(padded, least, np.maximum) == hashes) & (hashes > 0))
     if not len(centre):
         return none, none, none
-    # the Cartesian tree over the centres and the separators, by a stack of rising hashes
+    # the Cartesian tree over the centres and the separators
     places = np.concatenate([centre, np.flatnonzero(hashes == 0)])
     places.sort()
-    kept = places.tolist()
-    value = hashes[places].tolist()
-    before, after = [-1] * len(kept), [len(hashes)] * len(kept)
-    stack: list[int] = []
-    for k, v in enumerate(value):
-        while stack and value[stack[-1]] > v:
-            after[stack.pop()] = kept[k]
-        if stack:
-            before[k] = kept[stack[-1]]
-        stack.append(k)
-    before, after = np.array(before), np.array(after)
-    real = (hashes[places] > 0) & (after - before - 1 >= least)
+    value = hashes[places]
+    kept = np.concatenate([places, [len(hashes), -1]])
+    before = kept[_nearest_smaller(value, -1)]
+    after = kept[_nearest_smaller(value, 1)]
+    real = (value > 0) & (after - before - 1 >= least)
     return places[real], before[real] + 1, after[real] - 1
 
 
+def _nearest_smaller(value: np.ndarray, step: int) -> np.ndarray:
+    """For each value but zeros the nearest before it (``step`` -1; -1 if none) that is not greater, or after it (1; the count if none) that is less.
+
+    What lies between a place and its pointer is not smaller, so a pointer to a greater value may take that value's own pointer:
+    pointers double their reach.  Values in an order that needs many rounds go through a stack instead."""
+    pointer, seeking = np.arange(len(value)) + step, np.flatnonzero(value)
+    greater = np.greater if step < 0 else np.greater_equal
+    rounds = 0
+    while len(seeking):
+        if (rounds := rounds + 1) > ROUNDS:
+            return _by_stack(value, step)
+        at = pointer[seeking]
+        inside = (at >= 0) & (at < len(value))
+        seeking, at = seeking[inside], at[inside]
+        far = greater(value[at], value[seeking])
+        seeking = seeking[far]
+        pointer[seeking] = pointer[at[far]]
+    return pointer
+
+
+def _by_stack(value: np.ndarray, step: int) -> np.ndarray:
+    """``_nearest_smaller`` one value after another."""
+    values, pointer, stack = value.tolist(), [], []
+    for k in range(len(values)) if step < 0 else range(len(values) - 1, -1, -1):
+        v = values[k]
+        while stack and (values[stack[-1]] > v or step > 0 and values[stack[-1]] == v):
+            stack.pop()
+        pointer.append(stack[-1] if stack else -1 if step < 0 else len(values))
+        stack.append(k)
+    return np.array(pointer[::-step], np.int64)
+
+
 def token_hashes(codes: np.ndarray, function: int = 0) -> np.ndarray:
     """Hash of every token under a function, never zero; 0 stays 0."""
     return np.where(codes == 0, U64(0), mix((codes + U64(function)) * U64(0x9E3779B97F4A7C15)) | U64(1))
@@ -215,27 +244,22 @@ def _tokens(text: str) -> np.ndarray:
     return shingle_codes(find_words(data, np.array([0, len(data)])).code, RUN)
 
 
-def _tokens_of(texts: pa.Array) -> list[np.ndarray]:
+def _tokens_of(texts: pa.Array) -> Iterator[np.ndarray]:
     """Tokens of every text, found slice by slice."""
-    out = []
     for _, _, data, offsets in slices(texts):
         words = find_words(data, offsets)
         codes = shingle_codes(words.code, RUN)
         ends = np.maximum(words.first[1:] - RUN + 1, words.first[:-1])
-        out += [codes[low:high] for low, high in zip(words.first[:-1].tolist(), ends.tolist(), strict=True)]
-    return out
+        for low, high in zip(words.first[:-1].tolist(), ends.tolist(), strict=True):
+            yield codes[low:high]
 
 
-def _regions(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last shared token around every shared token without a longer gap than ``GAP``."""
+def _region(shared: np.ndarray, place: int) -> tuple[int, int]:
+    """First and last shared token around the shared token ``place`` without a longer gap than ``GAP``."""
     places = np.flatnonzero(shared)
-    first, last = np.zeros(len(shared), np.int64), np.zeros(len(shared), np.int64)
-    if len(places):
-        cuts = np.flatnonzero(np.diff(places) > GAP)
-        begins, ends = places[np.concatenate([[0], cuts + 1])], places[np.concatenate([cuts, [len(places) - 1]])]
-        group = np.searchsorted(begins, places, side="right") - 1
-        first[places], last[places] = begins[group], ends[group]
-    return first, last
+    cuts = np.flatnonzero(places[1:] - places[:-1] > GAP)
+    k = int(np.searchsorted(places[cuts], place))
+    return int(places[cuts[k - 1] + 1]) if k else int(places[0]), int(places[cuts[k]]) if k < len(cuts) else int(places[-1])
 
 
 def _likeness(one: np.ndarray, other: np.ndarray) -> float:
@@ -369,8 +393,7 @@ def _passage(lead: np.ndarray, part: np.ndarray, a: int, b: int, run: int) -> tu
     if run < LEAST and in_other[a] and _bound(in_other, a, run) + _bound(in_one, b, run) < -1e-6 and _once(one) and _once(other):
         return None
     grown, _, _ = _grown(one, other, a, b, np.concatenate([[0], np.cumsum(in_other)]))
-    (first_one, last_one), (first_other, last_other) = _regions(in_other), _regions(in_one)
-    a0, a1, b0, b1 = (int(x) for x in (first_one[a], last_one[a], first_other[b], last_other[b]))
+    (a0, a1), (b0, b1) = _region(in_other, a), _region(in_one, b)
     # neither side reaches farther from the place than the other, but for a few edits
     a0, a1 = max(a0, a - (b - b0) - 4 * RUN), min(a1, a + (b1 - b) + 4 * RUN)
     b0, b1 = max(b0, b - (a - a0) - 4 * RUN), min(b1, b + (a1 - a) + 4 * RUN)
@@ -500,12 +523,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
         last, tokens = None, np.zeros(0, U64)
         for batch in batches:
             rows = []
-            for lead, doc, low, high, base, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)]
+            for lead, doc, low, high, base, text, own in zip(*columns, _tokens_of(batch.column(5)), strict=True):
                 if (lead, text) != last:
                     last, tokens = (lead, text), _tokens(text)
                 low = max(0, low - AROUND)
                 some = tokens[low : max(0, high) + AROUND]
-                for a0, a1, b0, b1, like in verified(some, own := _tokens(part)):
+                for a0, a1, b0, b1, like in verified(some, own):
                     whole = firm(some, own, a0, a1, b0, b1)
                     one, other = (a0 + low, a1 + low + RUN), (b0 + base, b1 + base + RUN)
                     rows.append((doc, *other, lead, *one, like, whole))
@@ -649,14 +673,25 @@ def partners(docs: list, seeks: np.ndarray, at: list[int], parts: list[Surroundi
     given = np.zeros(len(kinds), bool)
     given[look[~seeks]] = True
     hopeful &= given
+    # of one document alone
+    holders: list[set] = [set() for _ in kinds]
+    for doc, k in zip(docs, look.tolist(), strict=True):
+        holders[k].add(doc)
+    alone = np.array([len(h) == 1 for h in holders])[seeking]
+    hopeful[np.flatnonzero(alone), seeking[alone]] = False
     # no passage has more shared tokens than the parts, or fewer distinct ones
     hopeful &= both * (1 + SIMILAR) >= SIMILAR * (fewest[None, :] + fewest[seeking][:, None]) - 1e-3
+    if not hopeful.any():
+        return []
+    hoping = hopeful.any(axis=1)
+    needed = hopeful.any(axis=0)
+    needed[seeking[hoping]] = True
     places = np.full((len(kinds), max(len(k.tokens) for k in kinds) + 1), len(sorted_tokens))
-    for k, kind in enumerate(kinds):
-        places[k, : len(kind.tokens)] = np.searchsorted(sorted_tokens, kind.tokens)
+    for k in np.flatnonzero(needed):
+        places[k, : len(kinds[k].tokens)] = np.searchsorted(sorted_tokens, kinds[k].tokens)
     size, once = np.array([len(k.tokens) for k in kinds]), np.array([k.once for k in kinds])
     may_be_firm = np.ones(hopeful.shape, bool)
-    for r, k in enumerate(seeking):
+    for r, k in zip(np.flatnonzero(hoping).tolist(), seeking[hoping].tolist(), strict=True):
         some = np.flatnonzero(hopeful[r] & once) if once[k] else np.zeros(0, np.int64)
         if len(some):
             mine = _promising(held[some][:, places[k]], np.full(len(some), centres[k]), np.full(len(some), size[k]))
@@ -716,7 +751,7 @@ def open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
         cells, seeks = table.column("cell").to_numpy(), table.column("seeks").to_numpy()
         docs, places, at = (table.column(c).to_pylist() for c in ("doc", "place", "at"))
         parts = table.column("part").combine_chunks().dictionary_encode()
-        tokens, text = _tokens_of(parts.dictionary), parts.indices.to_pylist()
+        tokens, text = list(_tokens_of(parts.dictionary)), parts.indices.to_pylist()
         cuts = np.flatnonzero(np.diff(cells)) + 1
         one, other = [], []
         known: dict[int, Surroundings] = {}

@@ -273,3 +273,38 @@ def test_bounds_on_a_passage_hold():
             assert Surroundings(tokens).lost(shared[None])[0] == min(len(np.unique(tokens[s][~shared[s]])) for s in stretches)
             sums = [0.1 * shared[i:j].sum() - 0.8 * (~shared[i:j]).sum() for i in range(70) for j in range(i + LEAST, 71) if shared[i] and shared[j - 1]]
             assert abs(_firmest(shared[None], np.array([70]))[0] - max(sums, default=-np.inf)) < 1e-9 or not sums
+
+
+def test_pointers_to_smaller_hashes_are_those_of_a_stack():
+    from pacelane.llm.passages import _by_stack, _nearest_smaller
+
+    import time
+
+    rng = np.random.default_rng(14)
+    for top in (3, 50, 10**9):
+        value = rng.integers(1, top, 400).astype(U64)
+        value[rng.integers(0, 400, 5)] = 0
+        real = value > 0
+        for step in (-1, 1):
+            assert np.array_equal(_nearest_smaller(value, step)[real], _by_stack(value, step)[real])
+    up = np.arange(1, 300_001).astype(U64)
+    zigzag = np.where(np.arange(len(up)) % 2 == 0, up, up[::-1]).astype(U64)
+    begin = time.perf_counter()
+    for hashes in (up, up[::-1].copy(), zigzag):
+        compact_windows(hashes, 1)
+    assert time.perf_counter() - begin < 30
+    # random hashes take no step of Python for each token
+    hashes, calls = rng.integers(1, 1 << 60, 200_000).astype(U64), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    import sys
+
+    sys.setprofile(count)
+    try:
+        compact_windows(hashes, 15)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5_000
